@@ -4,26 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is hot when it holds more than this share of the rows; there can be at most 1/share such keys,
-# so the list of hot keys has a fixed size bound and may be broadcast.
-HOT_SHARE = 1 / 1000
+# The HOT_KEYS largest keys may be split. The next one holds at most 1/HOT_KEYS of all rows, and the list
+# of split keys has a fixed size bound, so it may be broadcast.
+HOT_KEYS = 1000
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-           salts: int = 64, hot_rows: int = 100_000) -> DataFrame:
+           salts: int = 64, hot_rows: int = 100_000, counted: DataFrame | None = None) -> DataFrame:
     """Join many rows to a right side that is unique on `keys`, splitting hot left keys.
 
-    Left rows of a hot key are spread over `salts` sub-keys by a hash of the row, and only the right
-    rows of those keys are repeated once per sub-key. All other keys join as usual, in the same join.
+    Left rows of a hot key (more than `hot_rows` rows) are spread over `salts` sub-keys by a hash of the
+    row, and only the right rows of those keys are repeated once per sub-key. All other keys join as
+    usual, in the same join. `counted` is a cheaper table with the same keys, to find the hot ones in.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = left.select(F.count(F.lit(1)).alias("_all"))
-    hot = counts.filter((F.col("_n") > hot_rows) & (F.col("_n") > rows.scalar() * HOT_SHARE)).select(
-        *keys, F.lit(salts).alias("_salts"))
+    counts = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > hot_rows).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(
+        *keys, F.lit(salts).cast("bigint").alias("_salts"))
     rest = [c for c, t in left.dtypes
             if c not in keys and not t.startswith(("array", "map", "struct", "binary"))]
-    spread = F.pmod(F.xxhash64(*(rest or keys)), F.coalesce("_salts", F.lit(1)))
-    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread).drop("_salts")
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - F.lit(1).cast("bigint")))
+    salt_count = F.coalesce("_salts", F.lit(1).cast("bigint"))
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*(rest or keys)), salt_count)).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), salt_count - 1))
     repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", copies).drop("_salts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from threadgrove.queries import base
 
-MODULES = ["threads"]
+MODULES = ["threads", "texts", "scores", "evaluation", "files"]
 
 
 def _load():
