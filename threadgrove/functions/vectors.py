@@ -20,6 +20,13 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return values.reshape(len(vectors), -1)
 
 
+def unit_rows(column: pa.ChunkedArray) -> np.ndarray:
+    """L2-normalised float64 matrix of a vector column; zero vectors stay zero."""
+    x = _matrix(column.combine_chunks())
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n == 0, 1.0, n)
+
+
 def _pairwise(a: pa.Array, b: pa.Array, f) -> pa.Array:
     present = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
     out = np.zeros(len(a))

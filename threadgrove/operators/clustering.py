@@ -10,7 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadgrove.functions.vectors import dot_expr, mean_vector, norm_expr, unit
+from threadgrove.functions.vectors import dot_expr, mean_vector, unit, unit_rows
+from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
 GRAMS_HELD = 64  # groups whose d x d matrix a task holds before it hands them on
@@ -78,28 +79,24 @@ def intra_class_range(df: DataFrame, key: str = "id", label: str = "label", vec:
     so a large class becomes many tasks and no pair is emitted.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    rows = (df.select(label, F.col(key).alias("_k"), unit(vec).alias("_u")).join(sizes, label)
-            .withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-            .withColumn("_b", F.pmod(F.xxhash64("_k"), F.col("_blocks")).cast("int")).drop("_n"))
-    first = rows.withColumn("_x", F.col("_b")).withColumn("_y", F.explode(F.sequence(F.col("_b"), F.col("_blocks") - 1)))
-    second = rows.withColumn("_y", F.col("_b")).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_b"))))
-    cells = first.groupBy(label, "_x", "_y").cogroup(second.groupBy(label, "_x", "_y"))
+    rows = lookup(df.filter(F.col(vec).isNotNull()).select(label, F.col(key).alias("_k"), F.col(vec).alias("_v")), sizes, [label])
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = F.pmod(F.xxhash64("_k"), blocks).cast("int")
+    first = rows.select(F.col(label).alias("_l"), "_k", "_v", own.alias("_x"), F.explode(F.sequence(own, blocks - 1)).alias("_y"))
+    second = rows.select(F.col(label).alias("_l"), "_k", "_v", F.explode(F.sequence(F.lit(0), own)).alias("_x"), own.alias("_y"))
+    cells = first.groupBy("_l", "_x", "_y").cogroup(second.select(*[F.col(c).alias(f"{c}2") for c in second.columns])
+                                                     .groupBy("_l2", "_x2", "_y2"))
     kind = dict(df.dtypes)[label]
 
     def extremes(a: pa.Table, b: pa.Table) -> pa.Table:
-        def matrix(t):
-            v = t["_u"].combine_chunks()
-            return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
-
         lo, hi, name = [], [], []
         if a.num_rows and b.num_rows:
-            sims = matrix(a) @ matrix(b).T
+            sims = unit_rows(a["_v"]) @ unit_rows(b["_v2"]).T
             if a["_x"][0] == a["_y"][0]:  # a block with itself: leave out every row paired with itself
-                same = np.asarray(a["_k"])[:, None] == np.asarray(b["_k"])[None, :]
-                sims = sims[~same]
+                sims = sims[np.asarray(a["_k"])[:, None] != np.asarray(b["_k2"])[None, :]]
             if sims.size:
-                lo, hi, name = [float(sims.min())], [float(sims.max())], [a[label][0].as_py()]
-        return pa.table({label: pa.array(name, a.schema.field(label).type), "lo": pa.array(lo, pa.float64()),
+                lo, hi, name = [float(sims.min())], [float(sims.max())], [a["_l"][0].as_py()]
+        return pa.table({label: pa.array(name, a.schema.field("_l").type), "lo": pa.array(lo, pa.float64()),
                          "hi": pa.array(hi, pa.float64())})
 
     found = cells.applyInArrow(extremes, f"`{label}` {kind}, lo double, hi double")

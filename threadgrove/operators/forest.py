@@ -303,8 +303,8 @@ def outline(nodes: DataFrame, assigned: DataFrame, trees: DataFrame, log: DataFr
         shown = best_per_group(shown.join(starts, ["post_id", "root_id"]), ["post_id"], [F.asc("_start")],
                                max_subtrees).drop("_start")
     text = F.when(F.length("content") > preview, F.concat(F.substring("content", 1, preview), F.lit("...")))
-    rows = (assigned.select("post_id", "comment_id", "root_id", "dist")
-            .join(shown.select("post_id", "root_id", "size"), ["post_id", "root_id"])
+    rows = (lookup(assigned.select("post_id", "comment_id", "root_id", "dist"),
+                   shown.select("post_id", "root_id", "size"), ["post_id", "root_id"])
             .join(nodes.select("post_id", "comment_id", "content", "path"), ["post_id", "comment_id"]))
     if max_depth is not None:
         rows = rows.filter(F.col("dist") <= max_depth)

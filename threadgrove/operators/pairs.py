@@ -9,6 +9,7 @@ from threadgrove.functions.text import MIN_LENGTH, UNKNOWN, clean_text, long_eno
 from threadgrove.functions.vectors import mean_vector
 from threadgrove.operators.ranking import dense_index, hash_rank, take_by_hash
 from threadgrove.operators.skew import lookup
+from threadgrove.session import stored
 
 
 def cap(df: DataFrame, group: list[str], key: list[str], n: int | None, seed: int = 42) -> DataFrame:
@@ -122,11 +123,12 @@ def cross_thread_negatives(pairs: DataFrame, nodes: DataFrame, key: str = "sampl
     Both draws are hash values that point at dense indexes, so the sampling is three equi-joins. With
     no other post the text is the placeholder.
     """
-    pool = negative_pool(nodes.filter(F.length("content") > 0), seed)
-    posts = dense_index(pool.groupBy("post_id").agg(F.count(F.lit(1)).alias("_texts")), ["post_id"], seed, "_post")
+    filled = nodes.filter(F.col("parent_id").isNotNull() & (F.length("content") > 0))
+    pool = negative_pool(filled, seed)
+    posts = stored(dense_index(filled.groupBy("post_id").agg(F.count(F.lit(1)).alias("_texts")), ["post_id"], seed, "_post"))
     count = posts.select(F.count(F.lit(1)).alias("n")).scalar()
     slots = pairs.select(key, "post_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    own = lookup(slots, posts.select("post_id", F.col("_post").alias("_own")), ["post_id"], "left")
+    own = lookup(slots, posts.select("post_id", F.col("_post").alias("_own")), ["post_id"], "left", counted=pairs)
     others = count - F.when(F.col("_own").isNull(), 0).otherwise(1)
     draw = F.try_mod(portable_hash(f"{seed}:post", key, "slot"), others)
     drawn = own.withColumn("_draw", draw).withColumn(

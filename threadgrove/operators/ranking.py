@@ -10,16 +10,9 @@ from threadgrove.functions.hashing import HASH_BITS, portable_hash
 PRUNED_LIMIT = 1000
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on `keys` that also matches NULL keys; the keys appear once, from the left."""
-    if not keys:
-        raise ValueError("no join keys")
-    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys],
-                           *[c for c in right.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(renamed[f"__{k}"])
-    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+def _grouped(df: DataFrame, group: list[str]) -> DataFrame:
+    """Add `_g`, the group as one struct: never NULL itself, so rows of NULL groups join and count too."""
+    return df.withColumn("_g", F.struct(*group) if group else F.lit(0))
 
 
 def hash_rank(df: DataFrame, group: list[str], key: list[str], seed, name: str = "rank",
@@ -28,25 +21,24 @@ def hash_rank(df: DataFrame, group: list[str], key: list[str], seed, name: str =
 
     The 32-bit hash space is cut into 2^bits ranges. Rows are numbered inside one (group, range) cell,
     and the number of rows in the earlier ranges of the group, known from a small count table, is
-    added. A group with a third of the rows is thus numbered by 2^bits tasks, not by one.
+    added. A group with a third of the rows is thus numbered by 2^bits tasks, not by one. The rows are
+    shuffled once: the join uses the partitioning and order of the window.
     `size` adds the number of rows in the group.
     """
-    cells = df.withColumn("_h", portable_hash(seed, *key)).withColumn(
+    cells = _grouped(df, group).withColumn("_h", portable_hash(seed, *key)).withColumn(
         "_cell", F.shiftright("_h", HASH_BITS - bits))
-    counts = cells.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    counts = cells.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy("_g")
     before = counts.select(
-        *group, "_cell",
+        "_g", "_cell",
         (F.sum("_n").over(across.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_n")).alias("_before"),
         F.sum("_n").over(across).alias("_size"))
-    inside = Window.partitionBy(*group, "_cell").orderBy("_h", *key)
-    ranked = join_null_safe(cells.withColumn("_inside", F.row_number().over(inside)), before,
-                            [*group, "_cell"])
-    out = ranked.withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-    if size:
-        out = out.withColumn(size, F.col("_size").cast("bigint"))
-    return out.drop("_h", "_cell", "_before", "_inside", "_size")
+    inside = Window.partitionBy("_g", "_cell").orderBy("_h", *key)
+    ranked = cells.withColumn("_inside", F.row_number().over(inside)).join(before, ["_g", "_cell"])
+    out = ranked.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("bigint").alias(name),
+                        *([F.col("_size").cast("bigint").alias(size)] if size else []))
+    return out
 
 
 def dense_index(df: DataFrame, key: list[str], seed, name: str = "idx") -> DataFrame:
@@ -86,24 +78,21 @@ def running_totals(df: DataFrame, value: str, measures: dict[str, Column], lo: f
     of [lo, hi]; values outside fall into the end cells, so the result is exact for any bounds.
     """
     group = group or []
-    cells = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
-             .agg(*[m.alias(k) for k, m in measures.items()])
+    rows = _grouped(df.filter(F.col(value).isNotNull()), group)
+    cells = (rows.groupBy("_g", value).agg(*[m.alias(k) for k, m in measures.items()])
              .withColumn("_cell", _cell_of(value, lo, hi, bits)))
-    sums = cells.groupBy(*group, "_cell").agg(*[F.sum(k).alias(f"_s_{k}") for k in measures])
-    across = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    sums = cells.groupBy("_g", "_cell").agg(*[F.sum(k).alias(f"_s_{k}") for k in measures])
+    across = Window.partitionBy("_g")
     upto = across.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     offsets = sums.select(
-        *group, "_cell",
+        "_g", "_cell",
         *[(F.sum(f"_s_{k}").over(upto) - F.col(f"_s_{k}")).alias(f"_o_{k}") for k in measures],
         *[F.sum(f"_s_{k}").over(across).alias(f"{k}_all") for k in measures])
-    inside = (Window.partitionBy(*group, "_cell").orderBy(value)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    local = cells.select(*group, "_cell", value, *measures,
-                         *[(F.sum(k).over(inside) - F.col(k)).alias(f"_l_{k}") for k in measures])
-    out = join_null_safe(local, offsets, [*group, "_cell"])
-    for k in measures:
-        out = out.withColumn(f"{k}_before", F.col(f"_l_{k}") + F.col(f"_o_{k}"))
-    return out.select(*group, value, *measures, *[f"{k}_before" for k in measures],
+    inside = Window.partitionBy("_g", "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = cells.select("*", *[(F.sum(k).over(inside) - F.col(k)).alias(f"_l_{k}") for k in measures])
+    out = local.join(offsets, ["_g", "_cell"])
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in group], value, *measures,
+                      *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(f"{k}_before") for k in measures],
                       *[f"{k}_all" for k in measures])
 
 

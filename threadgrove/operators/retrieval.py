@@ -12,21 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadgrove.functions.vectors import unit_rows
 from threadgrove.operators.ranking import best_per_group
 from threadgrove.session import stored
 
 DIGITS = 12  # similarities are compared after rounding, so that equal vectors tie in every block
 
 
-def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-    n = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(n == 0, 1.0, n)
-
-
 def _sims(q: pa.Table, c: pa.Table) -> np.ndarray:
-    return np.round(_unit_rows(q["embedding"]) @ _unit_rows(c["embedding"]).T, DIGITS)
+    return np.round(unit_rows(q["embedding"]) @ unit_rows(c["embedding"]).T, DIGITS)
 
 
 def _blocks(df: DataFrame, key: str, block: int) -> tuple[Column, Column]:
@@ -85,7 +79,7 @@ def _sides(queries: DataFrame, candidates: DataFrame, id_col: str, label: str, v
     def side(df, name):
         return df.filter(F.col(vec).isNotNull()).select(
             F.col(id_col).cast("bigint").alias(name), F.col(label).cast("string").alias("label"),
-            F.col(vec).cast("array<double>").alias("embedding"))
+            F.col(vec).alias("embedding"))
 
     return side(queries, "query_id"), side(candidates, "candidate_id")
 

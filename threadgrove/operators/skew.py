@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 # The HOT_KEYS largest keys may be split. The next one holds at most 1/HOT_KEYS of all rows, and the list
 # of split keys has a fixed size bound, so it may be broadcast.
 HOT_KEYS = 1000
+HOT_ROWS = 100_000
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-           salts: int = 64, hot_rows: int = 100_000, counted: DataFrame | None = None) -> DataFrame:
+           salts: int = 64, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Join many rows to a right side that is unique on `keys`, splitting hot left keys.
 
     Left rows of a hot key (more than `hot_rows` rows) are spread over `salts` sub-keys by a hash of the

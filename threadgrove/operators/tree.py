@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
+from threadgrove.operators.skew import HOT_ROWS, lookup
 from threadgrove.session import stored
 
 TOP_LEVEL = "0"  # fixed value: parent id that marks a comment on the post itself
@@ -61,7 +62,7 @@ def jump_to_roots(links: DataFrame, keys: list[str], node: str, parent: str, ter
     length d needs about log2(d) joins. Only unfinished nodes are joined and rewritten; every step is
     a written table, which cuts the lineage. Nodes whose chain leaves the table, or runs in a cycle,
     are not in the result. Joins are on (keys, node), so a large tree is spread like any other rows;
-    many nodes with one common pointer make a skewed join partition, which AQE splits.
+    a pointer shared by very many nodes is split by `lookup`.
 
     `carry` columns travel along. `path` names a column whose values are collected from the terminal
     down to the node (length = depth).
@@ -86,7 +87,11 @@ def jump_to_roots(links: DataFrame, keys: list[str], node: str, parent: str, ter
             *keys, F.col("_node").alias("_ptr"), F.col("_ptr").alias("_next"),
             F.col("_dist").alias("_more"), F.col("_done").alias("_end"),
             *([F.col("_path").alias("_above")] if path else []))
-        moved = active.drop("_done").join(target, [*keys, "_ptr"]).select(
+        here = active.drop("_done")
+        # with no more open nodes than a hot key needs, no pointer can be shared by too many of them
+        joined = (here.join(target, [*keys, "_ptr"]) if open_now <= HOT_ROWS
+                  else lookup(here, target, [*keys, "_ptr"]))
+        moved = joined.select(
             *keys, "_node", F.col("_next").alias("_ptr"), (F.col("_dist") + F.col("_more")).alias("_dist"),
             F.col("_end").alias("_done"),
             *([F.concat("_above", "_path").alias("_path")] if path else []), *carry)
@@ -108,10 +113,10 @@ def attach(posts: DataFrame, comments: DataFrame) -> DataFrame:
     them are left out. `posts` as from `post_nodes`, `comments` as from `resolve_parents`.
     """
     comments = first_comments(comments)
-    known = comments.join(posts.select("post_id"), "post_id", "left_semi")
+    known = lookup(comments, posts.select("post_id"), ["post_id"], "left_semi")
     parents = known.select("post_id", F.col("comment_id").alias("parent_id"), F.col("seq").alias("_pseq"))
     top = F.col("parent_id") == F.col("post_id")
-    links = known.join(parents, ["post_id", "parent_id"], "left").filter(
+    links = lookup(known, parents, ["post_id", "parent_id"], "left", counted=comments).filter(
         top | (F.col("_pseq") < F.col("seq"))).withColumn("_top", top)
     reached = jump_to_roots(links, ["post_id"], "comment_id", "parent_id", "_top",
                             carry=["parent_id", "content", "seq"])

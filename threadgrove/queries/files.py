@@ -20,7 +20,7 @@ def _path(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("a1_thread_scan", with_(NODES + "," + _RAW_POSTS, """SELECT note_id AS id, md5(content) AS digest, title, NULL AS parent_comment_id, NULL::BIGINT AS seq FROM raw_posts
+@query("a1_thread_scan", with_(NODES + "," + _RAW_POSTS, """SELECT note_id AS id, md5(content) AS digest, nullif(title,'') AS title, NULL AS parent_comment_id, NULL::BIGINT AS seq FROM raw_posts
   UNION ALL SELECT comment_id, md5(content), NULL, CASE WHEN parent_id=post_id THEN '0' ELSE parent_id END, seq FROM nodes WHERE parent_id IS NOT NULL"""))
 def _(spark, sf):
     p, c = _path(spark, "posts"), _path(spark, "comments")

@@ -8,6 +8,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from threadgrove.functions.text import EMPTY
+from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
 SCHEMA = T.StructType([
@@ -49,7 +50,7 @@ def add_embeddings(texts: DataFrame, path: str, encoder: str, make_model: Callab
     """Vectors for all texts: compute and append the missing ones, then join the store by text key.
 
     The store is partitioned by encoder, so only one encoder's files are read. Equal texts are
-    embedded once; rows of a very frequent text join one store row, which AQE splits.
+    embedded once, and rows of a very frequent text are spread when they join its vector.
     """
     spark = texts.sparkSession
     todo = missing_texts(texts, read_store(spark, path), encoder, col)
@@ -57,4 +58,4 @@ def add_embeddings(texts: DataFrame, path: str, encoder: str, make_model: Callab
     new = stored(new)  # the store must not be read and appended to in one job
     new.write.mode("append").partitionBy("encoder").parquet(path)
     have = read_store(spark, path).filter(F.col("encoder") == encoder).select("text_key", "embedding")
-    return texts.withColumn("text_key", text_key(col)).join(have, "text_key").drop("text_key")
+    return lookup(texts.withColumn("text_key", text_key(col)), have, ["text_key"]).drop("text_key")

@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from threadgrove import schemas
 from threadgrove.functions.text import fraction_of
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     """A table with an explicit schema.
 
     CSV texts may contain line breaks, so one CSV file is one task; use many files, or parquet, which
-    splits and prunes columns.
+    splits and prunes columns. An empty CSV field reads as NULL.
     """
     reader = spark.read.schema(schema)
     return reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
@@ -98,20 +99,26 @@ def write_pairs(df: DataFrame, path: str, strategy: str, threshold: float) -> No
 
 # ---- runs -----------------------------------------------------------------------------------------
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Runs from a JSON map of `<model>_frac<fraction>` to a list of runs, one row per run."""
-    doc = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", schemas.RUN_RESULTS).alias("m"))
+def read_runs(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """One row per run from JSON maps of `<model>_frac<fraction>` to a list of runs.
+
+    Every line is a map, or with `whole_file` every file (an indented document).
+    """
+    doc = spark.read.option("wholetext", whole_file).text(path).select(F.from_json("value", schemas.RUN_RESULTS).alias("m"))
     rows = doc.select(F.explode("m").alias("model_fraction", "_runs")).select("model_fraction", F.explode("_runs").alias("_r"))
     return rows.select("model_fraction", F.split("model_fraction", "_frac")[0].alias("model_name"),
                        fraction_of("model_fraction").alias("data_fraction"), "_r.*")
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    """One JSON map of all runs; run tables are small by nature (one row per training run)."""
+    """JSON maps, one per line, each with a list of the runs of one key with neighbouring run indexes.
+
+    A list covers 1000 run indexes, so no line grows with the table.
+    """
     fields = [f.name for f in schemas.RUN.fields]
-    lists = runs.groupBy("model_fraction").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_l"))
-    whole = lists.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("model_fraction", "_l")))).alias("m"))
-    whole.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
+    lists = runs.groupBy("model_fraction", F.floor(F.col("run_idx") / 1000).alias("_part")).agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("_l"))
+    lists.select(F.to_json(F.create_map("model_fraction", "_l")).alias("value")).write.mode("overwrite").text(path)
 
 
 # ---- reports --------------------------------------------------------------------------------------
