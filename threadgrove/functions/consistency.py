@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from threadgrove.functions.vectors import dot_expr, norm_expr, total
+from threadgrove.functions.vectors import dot_expr, let, norm_expr, total
 
 EPSILON = 1e-8  # fixed value: added to probabilities before taking logs
 
@@ -12,8 +12,8 @@ EPSILON = 1e-8  # fixed value: added to probabilities before taking logs
 def softmax(logits) -> Column:
     """Class probabilities of logits, shifted by the maximum."""
     x = F.col(logits) if isinstance(logits, str) else logits
-    powers = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    return F.transform(powers, lambda v: v / total(powers))
+    powers = let(x, lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda v: F.exp((v - top).cast("double")))))
+    return let(powers, lambda p: let(total(p), lambda s: F.transform(p, lambda v: v / s)))
 
 
 def confidence(p) -> Column:

@@ -16,6 +16,10 @@ STOP_LIST = [
 UNKNOWN = "<unk>"  # fixed values: placeholders
 EMPTY = "<empty_text_placeholder>"
 MIN_LENGTH = 5
+# The characters stripped from both ends, all that Unicode or ASCII call white space.
+SPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+         "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+OTHER_CASE = {"s": "\u017f", "k": "\u212a"}  # fixed values: further characters that equal a letter when case is ignored
 PREVIEW = 100
 
 
@@ -23,6 +27,15 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def stop_pattern(words: list[str]) -> str:
+    """Pattern for any of the words, tried in order, case ignored.
+
+    A look at the first character lets the engine skip almost every position of a text at once.
+    """
+    first = {v for w in words for v in (w[0], w[0].lower(), w[0].upper(), OTHER_CASE.get(w[0].lower(), w[0]))}
+    return f"(?=[{''.join(re.escape(c) for c in sorted(first))}])(?iu:" + "|".join(re.escape(w) for w in words) + ")"
+
+
 def clean_text(col, stop_list: list[str] | None = None) -> Column:
     """Drop [bracketed] spans, @mentions and stop words, then strip white space; NULL becomes ''."""
     words = STOP_LIST if stop_list is None else stop_list
@@ -30,8 +43,8 @@ def clean_text(col, stop_list: list[str] | None = None) -> Column:
     out = F.regexp_replace(out, r"(?d)\[.*?\]", "")
     out = F.regexp_replace(out, r"(?U)@\S+\s?", "")
     if words:
-        out = F.regexp_replace(out, "(?iu)" + "|".join(re.escape(w) for w in words), "")
-    return F.regexp_replace(out, r"(?U)\A\s+|\s+\z", "")
+        out = F.regexp_replace(out, stop_pattern(words), "")
+    return F.trim(out, F.lit(SPACE))
 
 
 def text_or(col, default: str = UNKNOWN) -> Column:

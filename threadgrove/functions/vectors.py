@@ -96,10 +96,14 @@ def cosine_expr(a, b) -> Column:
     return F.when(norms == 0, F.lit(float("nan"))).otherwise(F.try_divide(dot_expr(a, b), norms))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def logsumexp(values) -> Column:
     """Stable log of a sum of exponentials over an array of doubles."""
-    top = F.array_max(_c(values))
-    return top + F.log(total(F.transform(_c(values), lambda x: F.exp(x - top))))
+    return let(F.array_max(_c(values)), lambda top: top + F.log(total(F.transform(_c(values), lambda x: F.exp(x - top)))))
 
 
 def mean_vector(df: DataFrame, keys: list[str], vec: str = "embedding", mask: str | None = None,

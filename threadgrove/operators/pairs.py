@@ -18,9 +18,13 @@ def cap(df: DataFrame, group: list[str], key: list[str], n: int | None, seed: in
 
 
 def _cleaned(nodes: DataFrame, minimum: int, stop_list) -> DataFrame:
-    """Comments whose cleaned text is long enough; the text column is `_text`."""
-    return (nodes.filter(F.col("parent_id").isNotNull())
-            .withColumn("_text", clean_text("content", stop_list)).filter(long_enough("_text", minimum)))
+    """Comments whose cleaned text is long enough; the text column is `_text`.
+
+    Filter and projection are one generator, because a filter on a computed column would be pushed
+    below it and clean every text twice.
+    """
+    once = F.filter(F.array(clean_text("content", stop_list)), lambda t: long_enough(t, minimum))
+    return nodes.filter(F.col("parent_id").isNotNull()).select("*", F.explode(once).alias("_text"))
 
 
 def _in_large_subtrees(nodes: DataFrame, assigned: DataFrame, trees: DataFrame, minimum: int) -> DataFrame:
@@ -41,7 +45,8 @@ def parent_child_pairs(nodes: DataFrame, pruned: DataFrame, assigned: DataFrame,
         member = lookup(assigned.select("post_id", F.col("comment_id").alias("child_id"), "root_id"),
                         large, ["post_id", "root_id"]).drop("root_id")
         links = links.join(member, ["post_id", "child_id"])
-    texts = _cleaned(nodes, min_length, stop_list)
+    # each text is needed as a child and as a parent: cleaning costs more than writing
+    texts = stored(_cleaned(nodes, min_length, stop_list).select("post_id", "comment_id", "_text"))
     child = texts.select("post_id", F.col("comment_id").alias("child_id"), F.col("_text").alias("positive_content"))
     parent = texts.select("post_id", F.col("comment_id").alias("parent_id"), F.col("_text").alias("anchor_content"))
     pairs = lookup(links.join(child, ["post_id", "child_id"]), parent, ["post_id", "parent_id"], counted=links)

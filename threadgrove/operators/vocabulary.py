@@ -42,6 +42,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
                   text: str = "content", max_len: int | None = 256, pad: str = "max_length") -> DataFrame:
     """key, input_ids, attention_mask. Unknown words become 1, short rows are filled with 0.
 
+    `vocab` (token, count, id) should be a stored table: it is read twice.
+
     `pad`: 'max_length', 'longest' (the longest row of the table) or 'none'.
     """
     tokens = tokenize(F.col(text))
@@ -49,7 +51,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
         tokens = F.slice(tokens, 1, max_len)
     placed = df.select(F.col(key), F.posexplode_outer(tokens).alias("_pos", "token"))
     known = vocab.select("token", F.col("id").alias("_id"))
-    coded = lookup(placed, known, ["token"], "left").select(
+    # frequent words are hot keys, and the vocabulary already knows how frequent they are
+    frequency = vocab.select("token", F.col("count").alias("_n"))
+    coded = lookup(placed, known, ["token"], "left", counts=frequency).select(
         key, "_pos", F.when(F.col("_pos").isNotNull(), F.coalesce("_id", F.lit(UNK))).alias("_id"))
     # one group is one text, so its size is bounded by the text itself
     pairs = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))))

@@ -11,7 +11,7 @@ from threadgrove.queries.base import NODES, forest_sql, hash_sql, query, r, tabl
 from threadgrove.session import stored
 
 T1 = -0.05
-SPACE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def clean_sql(x: str) -> str:

@@ -21,6 +21,15 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.options(**CSV_OPTIONS).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, when the input has fewer partitions than there are cores.
+
+    A few large files that cannot be split would otherwise leave most of the cluster idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**CSV_OPTIONS).option("quoteAll", "true").csv(path)
 
