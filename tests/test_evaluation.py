@@ -162,3 +162,13 @@ def test_round_reports(spark):
     assert [x.trend for x in encoders.round_trend(df).orderBy("round").collect()] == ["-", "Intra up, Inter down, Margin up"]
     assert [x.note for x in encoders.round_delta(df).orderBy("round").collect()] == ["Baseline", "Intra up, Inter down, Strong improvement"]
     assert {x.metric: x.encoder for x in encoders.best_encoders(df, ["intra_sim", "inter_sim"]).collect()} == {"intra_sim": "round2", "inter_sim": "round2"}
+
+
+def test_all_metrics_of_two_encoders(spark):
+    from threadgrove.plans.evaluation import compare_encoders
+
+    good = spark.createDataFrame([(i, i % 3, (np.eye(3)[i % 3] + 0.01 * (i % 5)).tolist()) for i in range(45)], VEC)
+    bad, _, _ = cloud(spark, 45, 4)
+    got = {x.encoder: x for x in compare_encoders({"good": (good, good), "bad": (bad, bad)}, ks=(1, 3)).collect()}
+    assert got["good"].acc == 1.0 and got["good"].nmi == pytest.approx(1.0) and got["good"].mrr == 1.0
+    assert got["good"].margin > got["bad"].margin and got["good"].ari > got["bad"].ari

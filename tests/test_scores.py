@@ -155,3 +155,34 @@ def test_losses_of_small_batches(spark):
     n = spark.createDataFrame([(1, [0.0, 1.0])], "sample_index long, negative array<double>")
     got = {x.sample_index: x.loss for x in infonce.explicit(p, n, temperature=1.0).collect()}
     assert got[1] == pytest.approx(math.log(math.e + 1) - 1) and got[2] == 0.0
+
+
+@pytest.mark.parametrize("strategy,column", [("comment_reply", "child_id"), ("node_center", "node_id"), ("single_text", "comment_id")])
+def test_threads_to_pairs(spark, strategy, column):
+    from threadgrove.plans.curation import threads_to_pairs
+
+    posts = spark.createDataFrame([("P", "title", "post")], "note_id string, title string, content string")
+    rows = [("A", "P", "0", "first text", 1), ("B", "P", "A", "second text", 2), ("C", "P", "B", "third text", 3), ("D", "P", "A", "tiny", 4)]
+    comments = spark.createDataFrame(rows, "comment_id string, note_id string, parent_comment_id string, content string, seq long")
+    vecs = spark.createDataFrame([("P", c, [1.0, 0.0]) for c in "ABCD"], "post_id string, comment_id string, embedding array<float>")
+    got = threads_to_pairs(posts, comments, vecs, 0.5, strategy).collect()
+    assert {x[column] for x in got} == ({"B", "C"} if strategy == "comment_reply" else {"A", "B", "C"})
+    assert sorted(x.sample_index for x in got) == list(range(len(got)))
+    with pytest.raises(ValueError):
+        threads_to_pairs(posts, comments, vecs, 0.5, "other")
+
+
+def test_cluster_sessions_must_name_a_shared_folder(monkeypatch):
+    from threadgrove import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///x/"
+    assert session.shared_dir(Session()) == "hdfs:///x"

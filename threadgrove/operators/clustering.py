@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadgrove.functions.rows import beside
 from threadgrove.functions.vectors import dot_expr, mean_vector, unit, unit_rows
 from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
@@ -52,14 +53,19 @@ def pair_moments(df: DataFrame, group: str, vec: str = "_u") -> DataFrame:
 
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(vec).alias("v"))
     summed = rows.mapInArrow(grams, "g string, i int, row array<double>").groupBy("g", "i").agg(_sum_vector("row").alias("r"))
-    squares = summed.groupBy("g").agg(F.sum(dot_expr("r", "r")).alias("_gg"))
     own = dot_expr("v", "v")
     basic = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), _sum_vector("v").alias("_s"),
                                   F.sum(own).alias("_own"), F.sum(own * own).alias("_own2"))
+    # both sides have one row per group (or per group and matrix row): add them up instead of joining
+    none = F.lit(None).cast("double")
+    parts = basic.select("g", "size", dot_expr("_s", "_s").alias("_ss"), "_own", "_own2", none.alias("_gg")).unionByName(
+        summed.select("g", F.lit(None).cast("bigint").alias("size"), none.alias("_ss"), none.alias("_own"),
+                      none.alias("_own2"), dot_expr("r", "r").alias("_gg")))
+    sums = parts.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("size", "_ss", "_own", "_own2", "_gg")])
     pairs = F.col("size") * (F.col("size") - 1) / 2
-    mean = F.try_divide((dot_expr("_s", "_s") - F.col("_own")) / 2, pairs)
+    mean = F.try_divide((F.col("_ss") - F.col("_own")) / 2, pairs)
     second = F.try_divide((F.col("_gg") - F.col("_own2")) / 2, pairs)
-    return basic.join(squares, "g").select(
+    return sums.select(
         F.col("g").alias(group), "size", mean.alias("mean"),
         F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("std"))
 
@@ -128,9 +134,9 @@ def inter_class_exact(df: DataFrame, label: str = "label", vec: str = "embedding
 def class_separation(df: DataFrame, label: str = "label", vec: str = "embedding", centroids: bool = True) -> DataFrame:
     """One row: mean intra-class and inter-class similarity and their difference."""
     intra = intra_class(df, label, vec).agg(
-        F.coalesce(F.avg("intra_similarity"), F.lit(0.0)).alias("intra_class_similarity")).withColumn("_one", F.lit(1))
-    inter = (inter_class_centroids if centroids else inter_class_exact)(df, label, vec).withColumn("_one", F.lit(1))
-    return intra.join(inter, "_one").select(
+        F.coalesce(F.avg("intra_similarity"), F.lit(0.0)).alias("intra_class_similarity"))
+    inter = (inter_class_centroids if centroids else inter_class_exact)(df, label, vec)
+    return beside(intra, inter).select(
         "intra_class_similarity", F.col("inter_similarity").alias("inter_class_similarity"),
         (F.col("intra_class_similarity") - F.col("inter_similarity")).alias("margin"), "num_classes")
 
@@ -167,41 +173,44 @@ def _with_key(table: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return table if by else table.withColumn("_one", F.lit(1))
 
 
+def _margin_sums(table: DataFrame, by: tuple[str, ...], f) -> DataFrame:
+    """Per key: total rows, and the sum of f(count) over the cells, the labels and the clusters.
+
+    Every cell is counted once as itself, once for its label and once for its cluster, so the margins
+    need no join.
+    """
+    kinds = F.explode(F.array(F.struct(F.lit("cell").alias("kind"), F.col("label").alias("a"), F.col("cluster").alias("b")),
+                              F.struct(F.lit("label").alias("kind"), F.col("label").alias("a"), F.lit("").alias("b")),
+                              F.struct(F.lit("cluster").alias("kind"), F.lit("").alias("a"), F.col("cluster").alias("b"))))
+    rows = table.select(*by, "n", kinds.alias("_k")).groupBy(*by, "_k").agg(F.sum("n").cast("double").alias("n"))
+    kind = F.col("_k.kind")
+    return rows.groupBy(*by).agg(
+        F.sum(F.when(kind == "cell", F.col("n"))).alias("total"),
+        *[F.sum(F.when(kind == k, f(F.col("n")))).alias(k) for k in ("cell", "label", "cluster")])
+
+
 def nmi(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Normalised mutual information, normalised by the arithmetic mean of both entropies."""
-    keys, t = _keyed(by), _with_key(table, by)
-    rows = t.groupBy(*keys, "label").agg(F.sum("n").alias("a"))
-    cols = t.groupBy(*keys, "cluster").agg(F.sum("n").alias("b"))
-    all_ = t.groupBy(*keys).agg(F.sum("n").alias("total"))
-
-    def entropy(d, c, name):
-        p = F.col(c) / F.col("total")
-        return d.join(all_, keys).groupBy(*keys).agg((-F.sum(p * F.log(p))).alias(name))
-
-    joint = t.join(rows, [*keys, "label"]).join(cols, [*keys, "cluster"]).join(all_, keys)
-    p = F.col("n") / F.col("total")
-    mi = joint.groupBy(*keys).agg(F.sum(p * F.log(F.col("n") * F.col("total") / (F.col("a").cast("double") * F.col("b")))).alias("mi"))
-    out = mi.join(entropy(rows, "a", "ha"), keys).join(entropy(cols, "b", "hb"), keys)
-    mean = (F.col("ha") + F.col("hb")) / 2
+    """Normalised mutual information, normalised by the arithmetic mean of both entropies.
+
+    With S(x) the sum of x log x: H = log N - S / N, and the mutual information is
+    log N + (S(cells) - S(labels) - S(clusters)) / N.
+    """
+    s, n = _margin_sums(table, by, lambda x: x * F.log(x)), F.col("total")
+    shared = F.log(n) + (F.col("cell") - F.col("label") - F.col("cluster")) / n
+    mean = F.log(n) - (F.col("label") + F.col("cluster")) / n / 2
     # one class and one cluster agree fully
-    return out.select(*by, F.when(mean <= 0, F.lit(1.0)).otherwise(F.greatest(F.col("mi"), F.lit(0.0)) / mean).alias("nmi"))
+    return s.select(*by, F.when(mean <= 1e-15, F.lit(1.0)).otherwise(F.greatest(shared, F.lit(0.0)) / mean).alias("nmi"))
 
 
 def ari(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adjusted Rand index from pair counts."""
-    keys, t = _keyed(by), _with_key(table, by)
+    def pairs(x):
+        return x * (x - 1) / 2
 
-    def pairs(c):
-        n = F.col(c).cast("double")
-        return n * (n - 1) / 2
-
-    cells = t.groupBy(*keys).agg(F.sum(pairs("n")).alias("s"), F.sum("n").alias("total"))
-    a = t.groupBy(*keys, "label").agg(F.sum("n").alias("a")).groupBy(*keys).agg(F.sum(pairs("a")).alias("sa"))
-    b = t.groupBy(*keys, "cluster").agg(F.sum("n").alias("b")).groupBy(*keys).agg(F.sum(pairs("b")).alias("sb"))
-    expected = F.col("sa") * F.col("sb") / pairs("total")
-    top = (F.col("sa") + F.col("sb")) / 2
-    value = F.when(top == expected, F.lit(1.0)).otherwise((F.col("s") - expected) / (top - expected))
-    return cells.join(a, keys).join(b, keys).select(*by, value.alias("ari"))
+    s = _margin_sums(table, by, pairs)
+    expected = F.col("label") * F.col("cluster") / pairs(F.col("total"))
+    top = (F.col("label") + F.col("cluster")) / 2
+    return s.select(*by, F.when(top == expected, F.lit(1.0)).otherwise((F.col("cell") - expected) / (top - expected)).alias("ari"))
 
 
 def purity(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

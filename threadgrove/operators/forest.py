@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadgrove.functions import vectors
+from threadgrove.functions.rows import beside
 from threadgrove.operators.ranking import best_per_group, exact_quantiles, take_by_hash
 from threadgrove.operators.skew import lookup
 from threadgrove.operators.tree import jump_to_roots
@@ -99,9 +100,7 @@ def similarity_distribution(edges: DataFrame, by: tuple[str, ...] = ("post_id",)
              F.max("similarity").alias("max")]
     plain = valid.groupBy(*by).agg(*basic)
     quantiles = exact_quantiles(valid, "similarity", QUARTILES, -1.0, 1.0, list(by))
-    if by:
-        return plain.join(quantiles, list(by))
-    return plain.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return plain.join(quantiles, list(by)) if by else beside(plain, quantiles)
 
 
 def similarity_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threadgrove.functions.rows import beside
 from threadgrove.functions.vectors import unit_rows
 from threadgrove.operators.ranking import best_per_group
 from threadgrove.session import stored
@@ -147,8 +148,8 @@ def evaluate(queries: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (1
     hits = stored(_hits(q, c, k, block))
     total, size = [d.select(F.count(F.lit(1)).alias("n")).scalar() for d in (q, c)]
     precision = precision_at_k(_merge(hits, "top", k), total, ks, size)
-    wide = precision.groupBy(F.lit(1).alias("_one")).agg(
+    wide = precision.agg(
         *[F.max(F.when(F.col("k") == x, F.col("precision"))).alias(f"precision_at_{x}") for x in ks])
     mrr = reciprocal_ranks(q, c, hits, k, block).agg(
-        F.avg("reciprocal_rank").alias("mrr"), F.count(F.lit(1)).alias("sample_count"), F.lit(1).alias("_one"))
-    return wide.join(mrr, "_one").drop("_one")
+        F.avg("reciprocal_rank").alias("mrr"), F.count(F.lit(1)).alias("sample_count"))
+    return beside(wide, mrr)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadgrove.functions.text import fraction_of
 from threadgrove.operators.ranking import best_per_group
+from threadgrove.operators.skew import lookup
 
 # fixed values: metric columns of a run
 TEST_METRICS = ["test_accuracy", "test_f1", "test_precision", "test_recall"]
@@ -80,7 +81,7 @@ def closest_to_mean(runs: DataFrame, metric: str = "test_f1", key: str = "model_
     The mean comes from an aggregation that is joined back, so no group is held in one window.
     """
     means = runs.groupBy(key).agg(F.avg(metric).alias("mean_value"))
-    rows = runs.filter(F.col(metric).isNotNull()).join(means, key).withColumn(
+    rows = lookup(runs.filter(F.col(metric).isNotNull()), means, [key], counted=runs).withColumn(
         "distance_to_mean", F.abs(F.col(metric) - F.col("mean_value")))
     return best_per_group(rows, [key], [F.asc("distance_to_mean"), F.asc("run_idx")])
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadgrove.functions.consistency import consistency
+from threadgrove.functions.rows import beside
 from threadgrove.functions.text import preview
 from threadgrove.operators.ranking import dense_index, exact_quantiles, hash_rank, take_by_hash
 from threadgrove.operators.skew import lookup
@@ -16,9 +17,12 @@ REVIEW = [("very_low", 0.0, 0.2), ("low", 0.2, 0.4), ("medium", 0.4, 0.6), ("hig
 
 def score_pairs(pairs: DataFrame, method: str = "confidence_weighted_dot_product",
                 max_pairs: int | None = None) -> DataFrame:
-    """Add `consistency_score` from `anchor_probs` and `positive_probs`; optionally only the first pairs."""
+    """Add `consistency_score` from `anchor_probs` and `positive_probs`.
+
+    `max_pairs` keeps the pairs with the first sample indexes, as a filter on that dense index.
+    """
     if max_pairs is not None:
-        pairs = pairs.orderBy("sample_index").limit(max_pairs)
+        pairs = pairs.filter(F.col("sample_index") < max_pairs)
     return pairs.withColumn("consistency_score", consistency("anchor_probs", "positive_probs", method))
 
 
@@ -26,9 +30,9 @@ def score_statistics(scored: DataFrame) -> DataFrame:
     """Count, mean, population std, range and exact quantiles of the scores."""
     s = "consistency_score"
     plain = scored.agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"),
-                       F.min(s).alias("min"), F.max(s).alias("max"), F.lit(1).alias("_one"))
+                       F.min(s).alias("min"), F.max(s).alias("max"))
     q = exact_quantiles(scored, s, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}, 0.0, 1.0)
-    return plain.join(q.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return beside(plain, q)
 
 
 def _group_name(score: str, mode: str, threshold: float, bins) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threadgrove.functions.hashing import portable_hash
+from threadgrove.functions.rows import beside
 from threadgrove.functions.vectors import cosine
 from threadgrove.operators.ranking import hash_rank, running_totals
+from threadgrove.operators.skew import lookup
 
 SCORE_DIGITS = 9  # scores closer than this count as equal
 
@@ -23,7 +25,7 @@ def topic_pairs(df: DataFrame, key: str = "id", label: str = "label", vec: str =
     w = Window.partitionBy(F.lit(0)).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # over the labels
     starts = sizes.select(label, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    placed = ranked.join(starts, label).withColumn("_place", F.col("_start") + F.col("_r") - 1)
+    placed = lookup(ranked, starts, [label], counts=sizes.withColumnRenamed("_c", "_n")).withColumn("_place", F.col("_start") + F.col("_r") - 1)
     step = F.try_mod(portable_hash(f"{seed}:positive", key), F.col("_n") - 1) + 1
     positive = F.col("_start") + F.pmod(F.col("_r") - 1 + step, F.col("_n"))
     far = F.try_mod(portable_hash(f"{seed}:negative", key), total - F.col("_n"))
@@ -53,8 +55,8 @@ def pair_metrics(scored: DataFrame, ks: tuple[int, ...] = (10, 50, 100, 500)) ->
     top = scored.orderBy(F.desc("score"), "pair_id").limit(max(ks))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "pair_id"))  # over max(ks) rows
     precision = top.withColumn("_rank", rank).agg(
-        *[F.avg(F.when(F.col("_rank") <= k, F.col("truth"))).alias(f"precision_at_{k}") for k in ks], F.lit(1).alias("_one"))
-    return out.withColumn("_one", F.lit(1)).join(precision, "_one").select(
+        *[F.avg(F.when(F.col("_rank") <= k, F.col("truth"))).alias(f"precision_at_{k}") for k in ks])
+    return beside(out, precision).select(
         "auc", F.greatest(F.col("_b._hit"), F.col("_none")).alias("accuracy"),
         F.when(F.col("_b._hit") >= F.col("_none"), -F.col("_b._t")).alias("best_threshold"),
         *[f"precision_at_{k}" for k in ks])

@@ -47,6 +47,19 @@ def read_round(spark, path: str, round_num: int, variant: str = "main") -> DataF
             .drop("round", "variant"))
 
 
+def run_rounds(pairs: DataFrame, path: str, settings: list[dict], variant: str = "main") -> DataFrame:
+    """Run rounds 1, 2, … one after the other and return the last one.
+
+    Every round reads the history of the one before from its partition and writes its own.
+    `settings` holds the arguments of `curation_round` per round.
+    """
+    spark, previous = pairs.sparkSession, None
+    for n, chosen in enumerate(settings, start=1):
+        write_round(curation_round(pairs, n, previous=previous, **chosen), path, n, variant)
+        previous = read_round(spark, path, n, variant)
+    return previous
+
+
 # fixed values: the variants compared by default
 DEFAULT_VARIANTS = [("linear", 0.0), ("threshold", 0.3), ("threshold", 0.5), ("threshold", 0.7)]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threadgrove.functions.vectors import mean_vector
 from threadgrove.operators import clustering, encoders, probe, retrieval, runs, splits, topic_pairs
 from threadgrove.queries.base import hash_sql, query, r, table, tidy, with_
+from threadgrove.plans.evaluation import evaluate_encoder
 from threadgrove.session import shared_dir, stored
 from threadgrove.sources import tables
 
@@ -286,6 +287,17 @@ def _(spark, sf):
     return tidy(clustering.class_separation(_vectors(spark, sf)))
 
 
+@query("encoder_metrics", with_(_RANKED + ", " + _MRR + """,
+p AS (SELECT list_cosine_similarity(a.embedding,b.embedding) AS s, a.label FROM parts a JOIN parts b ON a.label=b.label AND a.id<b.id AND NOT a.train AND NOT b.train),
+u AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding,1) AS i FROM parts WHERE NOT train),
+c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM u GROUP BY 1,2) GROUP BY 1),
+intra AS (SELECT avg(m) AS m FROM (SELECT avg(s) AS m FROM p GROUP BY label)), inter AS (SELECT avg(list_cosine_similarity(a.c,b.c)) AS m FROM c a JOIN c b ON a.label<b.label)""",
+    f"SELECT 'given' AS encoder, {', '.join(r(f'(SELECT {_PK.format(k=k)} FROM ranked)', f'precision_at_{k}') for k in (1,5))}, {r('avg(rr)','mrr')}, {r('(SELECT m FROM intra)','intra_sim')}, {r('(SELECT m FROM inter)','inter_sim')}, {r('(SELECT m FROM intra)-(SELECT m FROM inter)','margin')} FROM rr"))
+def _(spark, sf):
+    train, test = _parts(spark, sf)
+    return tidy(evaluate_encoder("given", train, test, ks=(1, 5), kmeans=False, block=512))
+
+
 @query("l8_kmeans")
 def _(spark, sf):
     rows, inertia = clustering.kmeans_labels(_vectors(spark, sf), n_init=3, max_iter=50)

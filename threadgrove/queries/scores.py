@@ -307,11 +307,8 @@ def _(spark, sf):
     """Two rounds through the partitioned table: all pairs at 0.0, then noise and a threshold of 0.7."""
     path = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
     pairs = pairs_with_probs(spark, sf)
-    rounds.write_round(rounds.curation_round(pairs, 1, "threshold", 0.0, "cosine_similarity"), path, 1)
-    before = rounds.read_round(spark, path, 1)
-    second = rounds.curation_round(pairs, 2, "threshold", 0.7, "cosine_similarity", {"fraction": 0.2, "seed": 7}, before)
-    rounds.write_round(second, path, 2)
-    out = rounds.read_round(spark, path, 2)
+    common = {"strategy": "threshold", "method": "cosine_similarity"}
+    out = rounds.run_rounds(pairs, path, [{**common, "threshold": 0.0}, {**common, "threshold": 0.7, "noise": {"fraction": 0.2, "seed": 7}}])
     return tidy(out.select("sample_index", "consistency_score", "sample_weight", F.col("training_rounds")["round_1"].alias("trained_1"),
                            F.col("training_rounds")["round_2"].alias("trained_2"), F.col("noise.source_index").alias("noise_source_index"), "last_trained_round"))
 

@@ -215,3 +215,14 @@ def _(spark, sf):
 def _(spark, sf):
     nodes, _e, assigned, trees = _grown(spark, sf)
     return tidy(pairs.text_summary(nodes, assigned, trees))
+
+
+@query("threads_to_pairs", with_(_PC, "SELECT post_id, parent_id, child_id, anchor_content, positive_content FROM pc"))
+def _(spark, sf):
+    """From raw posts and comments to pairs in one go."""
+    from threadgrove.plans.curation import threads_to_pairs
+    from threadgrove.queries.threads import _raw_comments, _raw_posts
+
+    vecs = thread_nodes(spark, sf).select("post_id", "comment_id", "embedding")
+    out = threads_to_pairs(_raw_posts(spark, sf), _raw_comments(spark, sf), vecs, T1)
+    return out.select("post_id", "parent_id", "child_id", "anchor_content", "positive_content")
