@@ -57,8 +57,7 @@ def test_deep_chain_and_wide_star(spark):
 
 def test_star_is_the_same_when_its_centre_is_split(spark, monkeypatch):
     import threadgrove.operators.skew as skew
-    monkeypatch.setattr(tree, "HOT_ROWS", 10)
-    monkeypatch.setattr(skew.lookup, "__defaults__", ("inner", 8, 10, None))
+    monkeypatch.setattr(skew, "HOT_ROWS", 10)
     star = [("P", "c0", "0", "", 0)] + [("P", f"s{i}", "c0", "", 1 + i) for i in range(200)]
     got = attached(spark, star, "P")
     assert len(got) == 202 and got[("P", "s199")] == 2

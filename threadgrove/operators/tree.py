@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from threadgrove.operators.skew import HOT_ROWS, lookup
+from threadgrove.operators import skew
+from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
 TOP_LEVEL = "0"  # fixed value: parent id that marks a comment on the post itself
@@ -46,14 +47,6 @@ def require_unique_posts(posts: DataFrame) -> DataFrame:
     return posts
 
 
-def first_comments(comments: DataFrame) -> DataFrame:
-    """Keep the earliest row of every comment id inside a post."""
-    rest = [c for c in comments.columns if c not in ("post_id", "comment_id")]
-    first = F.min_by(F.struct(*rest), "seq")
-    return comments.groupBy("post_id", "comment_id").agg(first.alias("_r")).select(
-        "post_id", "comment_id", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*comments.columns)
-
-
 def jump_to_roots(links: DataFrame, keys: list[str], node: str, parent: str, terminal: str,
                   carry: list[str] | None = None, path: str | None = None) -> DataFrame:
     """For every node the terminal ancestor it reaches, and the number of edges to it.
@@ -89,7 +82,7 @@ def jump_to_roots(links: DataFrame, keys: list[str], node: str, parent: str, ter
             *([F.col("_path").alias("_above")] if path else []))
         here = active.drop("_done")
         # with no more open nodes than a hot key needs, no pointer can be shared by too many of them
-        joined = (here.join(target, [*keys, "_ptr"]) if open_now <= HOT_ROWS
+        joined = (here.join(target, [*keys, "_ptr"]) if open_now <= skew.HOT_ROWS
                   else lookup(here, target, [*keys, "_ptr"]))
         moved = joined.select(
             *keys, "_node", F.col("_next").alias("_ptr"), (F.col("_dist") + F.col("_more")).alias("_dist"),
@@ -106,22 +99,25 @@ def jump_to_roots(links: DataFrame, keys: list[str], node: str, parent: str, ter
 
 
 def attach(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Nodes of all posts and of the comments that can be attached to them.
+    """Nodes of all posts and of the comments that can be attached to them, with `depth`.
 
     A comment is attached when its parent is the post, or an attached comment that was listed
     earlier. Comments of unknown posts, replies listed before their parent, and everything below
-    them are left out. `posts` as from `post_nodes`, `comments` as from `resolve_parents`.
+    them are left out; of equal comment ids in a post the earliest row counts. `posts` as from
+    `post_nodes`, `comments` as from `resolve_parents`. Only ids take part in the search; the texts
+    join once, at the end.
     """
-    comments = first_comments(comments)
-    known = lookup(comments, posts.select("post_id"), ["post_id"], "left_semi")
-    parents = known.select("post_id", F.col("comment_id").alias("parent_id"), F.col("seq").alias("_pseq"))
+    first = F.min(F.struct("seq", "parent_id")).alias("_f")
+    ids = comments.groupBy("post_id", "comment_id").agg(first).select(
+        "post_id", "comment_id", "_f.parent_id", "_f.seq")
+    known = lookup(ids, posts.select("post_id"), ["post_id"], "left_semi", counted=comments)
+    parents = ids.select("post_id", F.col("comment_id").alias("parent_id"), F.col("seq").alias("_pseq"))
     top = F.col("parent_id") == F.col("post_id")
     links = lookup(known, parents, ["post_id", "parent_id"], "left", counted=comments).filter(
         top | (F.col("_pseq") < F.col("seq"))).withColumn("_top", top)
-    reached = jump_to_roots(links, ["post_id"], "comment_id", "parent_id", "_top",
-                            carry=["parent_id", "content", "seq"])
-    nodes = reached.select("post_id", "comment_id", "parent_id", "content", "seq",
-                           (F.col("dist") + 1).alias("depth"))
+    reached = jump_to_roots(links, ["post_id"], "comment_id", "parent_id", "_top", carry=["seq"])
+    nodes = comments.join(reached.select("post_id", "comment_id", "seq", "dist"), ["post_id", "comment_id", "seq"]).select(
+        "post_id", "comment_id", "parent_id", "content", "seq", (F.col("dist") + 1).alias("depth"))
     roots = posts.select("post_id", "comment_id", "parent_id", "content", "seq",
                          F.lit(0).cast("bigint").alias("depth"))
     return roots.unionByName(nodes)
@@ -129,14 +125,12 @@ def attach(posts: DataFrame, comments: DataFrame) -> DataFrame:
 
 def with_depth(nodes: DataFrame, path: bool = False) -> DataFrame:
     """Add `depth` (edges to the post) and, on request, `path`, an array that sorts in preorder."""
-    carry = [c for c in nodes.columns if c not in ("post_id", "comment_id", "depth")]
-    links = nodes.withColumn("_top", F.col("parent_id").isNull())
+    links = nodes.select("post_id", "comment_id", "parent_id", F.col("parent_id").isNull().alias("_top"),
+                         *([F.struct("seq", "comment_id").alias("_step")] if path else []))
     # the path step is (seq, id): siblings in input order, ids break ties
-    if path:
-        links = links.withColumn("_step", F.struct("seq", "comment_id"))
-    out = jump_to_roots(links, ["post_id"], "comment_id", "parent_id", "_top",
-                        carry=carry, path="_step" if path else None)
-    return out.drop("root_id").withColumnRenamed("dist", "depth")
+    out = jump_to_roots(links, ["post_id"], "comment_id", "parent_id", "_top", path="_step" if path else None)
+    found = out.drop("root_id").withColumnRenamed("dist", "depth")
+    return nodes.drop("depth", "path").join(found, ["post_id", "comment_id"])
 
 
 def tree_depth(nodes: DataFrame) -> DataFrame:
