@@ -50,28 +50,30 @@ def _hits(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> Data
     """Per query and block: the k best candidates ('top') and the best one of the same label ('match')."""
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = [[], [], [], [], []]
+        parts = []
         if q.num_rows and c.num_rows:
+            c = c.sort_by("candidate_id")  # so that the first of equal similarities has the smallest id
             sims = _sims(q, c)
             qi, ci = np.asarray(q["query_id"]), np.asarray(c["candidate_id"])
-            same = np.asarray(q["label"].to_pylist(), object)[:, None] == np.asarray(c["label"].to_pylist(), object)[None, :]
-            low = np.partition(sims, -k, axis=1)[:, -k] if k < sims.shape[1] else np.full(len(sims), -np.inf)
-            for i, row in enumerate(sims):
-                picked = np.flatnonzero(row >= low[i])
-                picked = picked[np.lexsort((ci[picked], -row[picked]))][:k]
-                for kind, ids in (("top", picked), ("match", _first_match(row, same[i], ci))):
-                    out[0] += [qi[i]] * len(ids)
-                    out[1] += ci[ids].tolist()
-                    out[2] += row[ids].tolist()
-                    out[3] += same[i][ids].tolist()
-                    out[4] += [kind] * len(ids)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "candidate_id": pa.array(out[1], pa.int64()),
-                         "similarity": pa.array(out[2], pa.float64()), "same": pa.array(out[3], pa.bool_()),
-                         "kind": pa.array(out[4], pa.string())})
-
-    def _first_match(row, same, ci):
-        ids = np.flatnonzero(same)
-        return ids[:0] if not len(ids) else ids[np.lexsort((ci[ids], -row[ids]))][:1]
+            _, codes = np.unique(np.array(q["label"].to_pylist() + c["label"].to_pylist(), object).astype(str), return_inverse=True)
+            same = codes[:len(qi), None] == codes[None, len(qi):]
+            low = np.partition(sims, -k, axis=1)[:, -k:].min(axis=1) if k < len(ci) else np.full(len(qi), -np.inf)
+            rows, cols = np.nonzero(sims >= low[:, None])
+            order = np.lexsort((cols, -sims[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            first = np.searchsorted(rows, np.arange(len(qi)))
+            keep = np.arange(len(rows)) - first[rows] < k
+            parts.append(("top", rows[keep], cols[keep]))
+            best = np.where(same, sims, -np.inf).argmax(axis=1)
+            some = np.flatnonzero(same.any(axis=1))
+            parts.append(("match", some, best[some]))
+        hit = [(kind, qi[r], ci[x], sims[r, x], same[r, x]) for kind, r, x in parts]
+        def column(i, kind):
+            return pa.array(np.concatenate([h[i] for h in hit]) if hit else [], kind)
+
+        return pa.table({"query_id": column(1, pa.int64()), "candidate_id": column(2, pa.int64()),
+                         "similarity": column(3, pa.float64()), "same": column(4, pa.bool_()),
+                         "kind": pa.array([h[0] for h in hit for _ in h[1]], pa.string())})
 
     return _cells(queries, candidates, block).applyInArrow(cell, _HITS)
 

@@ -61,7 +61,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
     if pad == "none":
         width = F.size("_ids")
     elif pad == "longest":
-        width = rows.select(F.max(F.size("_ids")).alias("n")).scalar()
+        width = df.select(F.max(F.size(tokens)).alias("n")).scalar()
     else:
         width = F.lit(max_len)
     fill = F.greatest(width - F.size("_ids"), F.lit(0))

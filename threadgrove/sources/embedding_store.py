@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -40,9 +41,12 @@ def missing_texts(texts: DataFrame, store: DataFrame, encoder: str, col: str = "
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The store, or an empty table when nothing was written yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(SCHEMA).parquet(path) if exists else spark.createDataFrame([], SCHEMA)
+    try:
+        return spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
 
 
 def add_embeddings(texts: DataFrame, path: str, encoder: str, make_model: Callable, col: str = "content",
