@@ -61,7 +61,7 @@ def test_running_totals(hot):
 def test_lookup_equals_a_plain_join_when_keys_are_split(spark, hot, how):
     right = spark.createDataFrame([("hot", 1), ("g1", 2), ("g2", 3), ("unused", 4)], "grp string, w int")
     plain = hot.join(right, ["grp"], how)
-    split = lookup(hot, right, ["grp"], how, salts=8, hot_rows=100)
+    split = lookup(hot, right, ["grp"], how, hot_rows=100)
     order = sorted(plain.columns)
     a, b = [d.select(*order).toPandas().sort_values("id").reset_index(drop=True) for d in (plain, split)]
     pd.testing.assert_frame_equal(a, b)
@@ -72,7 +72,7 @@ def test_lookup_spreads_a_hot_key(spark, hot):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        parts = lookup(hot, right, ["grp"], salts=8, hot_rows=100).groupBy(F.spark_partition_id()).count().count()
+        parts = lookup(hot, right, ["grp"], hot_rows=100).groupBy(F.spark_partition_id()).count().count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")

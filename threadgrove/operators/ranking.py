@@ -16,7 +16,7 @@ def _grouped(df: DataFrame, group: list[str]) -> DataFrame:
 
 
 def hash_rank(df: DataFrame, group: list[str], key: list[str], seed, name: str = "rank",
-              size: str | None = None, bits: int = 12) -> DataFrame:
+              size: str | None = None, bits: int = 16) -> DataFrame:
     """Exact 1-based rank of every row in its group, in seeded-hash order; ties fall to `key`.
 
     The 32-bit hash space is cut into 2^bits ranges. Rows are numbered inside one (group, range) cell,
@@ -70,7 +70,7 @@ def _cell_of(value: str, lo: float, hi: float, bits: int) -> Column:
 
 
 def running_totals(df: DataFrame, value: str, measures: dict[str, Column], lo: float, hi: float,
-                   group: list[str] | None = None, bits: int = 12) -> DataFrame:
+                   group: list[str] | None = None, bits: int = 16) -> DataFrame:
     """Prefix sums of measures over the ordered distinct values of each group.
 
     Gives one row per (group, value) with each measure `m`, `m_before` (sum over smaller values) and
@@ -97,7 +97,7 @@ def running_totals(df: DataFrame, value: str, measures: dict[str, Column], lo: f
 
 
 def exact_quantiles(df: DataFrame, value: str, fractions: dict[str, float], lo: float, hi: float,
-                    group: list[str] | None = None, bits: int = 12) -> DataFrame:
+                    group: list[str] | None = None, bits: int = 16) -> DataFrame:
     """Exact linearly interpolated quantiles per group from prefix counts; no group is collected."""
     group = group or []
     ranked = running_totals(df, value, {"_n": F.count(F.lit(1))}, lo, hi, group, bits)

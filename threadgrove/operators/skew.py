@@ -11,19 +11,20 @@ HOT_ROWS = 100_000
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
-           salts: int = 64, hot_rows: int | None = None, counted: DataFrame | None = None,
+           hot_rows: int | None = None, counted: DataFrame | None = None,
            counts: DataFrame | None = None) -> DataFrame:
     """Join many rows to a right side that is unique on `keys`, splitting hot left keys.
 
-    Left rows of a hot key (more than `hot_rows`, by default HOT_ROWS, rows) are spread over `salts` sub-keys by a hash of the
-    row, and only the right rows of those keys are repeated once per sub-key. All other keys join as
-    usual, in the same join. `counted` is a cheaper table with the same keys, to find the hot ones in;
+    Left rows of a hot key (more than `hot_rows`, by default HOT_ROWS, rows) are spread over sub-keys of
+    about `hot_rows` rows by a hash of the row, and only the one right row of that key is repeated once
+    per sub-key. All other keys join as usual, in the same join. `counted` is a cheaper table with the same keys, to find the hot ones in;
     `counts` (keys, `_n`) saves counting.
     """
     if counts is None:
         counts = (left if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows)).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(
-        *keys, F.lit(salts).cast("bigint").alias("_salts"))
+    size = HOT_ROWS if hot_rows is None else hot_rows
+    hot = counts.filter(F.col("_n") > size).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(
+        *keys, F.ceil(F.col("_n") / size).cast("bigint").alias("_salts"))
     rest = [c for c, t in left.dtypes
             if c not in keys and not t.startswith(("array", "map", "struct", "binary"))]
     salt_count = F.coalesce("_salts", F.lit(1).cast("bigint"))

@@ -167,9 +167,11 @@ def _(spark, sf):
     return tidy(runs.best_overall(_tested_best(spark, sf)))
 
 
-@query("k4_best_overall_by_validation", with_(_RUNS, f"SELECT 'val_f1' AS metric, run_idx, model_name, data_fraction, {r('val_f1','value')} FROM (SELECT * FROM runs WHERE test_f1 IS NULL QUALIFY row_number() OVER (PARTITION BY model_name, data_fraction ORDER BY val_f1 DESC, run_idx)=1) ORDER BY val_f1 DESC, run_idx LIMIT 1"))
+@query("k4_best_overall_by_validation", with_(_RUNS + """,
+long AS (SELECT run_idx, model_name, data_fraction, unnest(['test_accuracy','test_f1','test_precision','test_recall','val_f1']) AS metric, unnest([test_accuracy,test_f1,test_precision,test_recall,val_f1]) AS value FROM best)""",
+    f"SELECT metric, run_idx, model_name, data_fraction, {r('value','value')} FROM long WHERE (metric='val_f1') = EXISTS (SELECT 1 FROM best WHERE test_f1 IS NULL) QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, run_idx)=1"))
 def _(spark, sf):
-    return tidy(runs.best_overall(runs.best_runs(_runs(spark, sf).filter("test_f1 is null"))))
+    return tidy(runs.best_overall(runs.best_runs(_runs(spark, sf))))
 
 
 @query("k5_fraction_trend", with_(_RUNS, f"SELECT model_name, row_number() OVER (PARTITION BY model_name ORDER BY data_fraction DESC) AS step, data_fraction, {r('test_f1','test_f1')}, {r('test_accuracy','test_accuracy')} FROM tested"))
@@ -424,10 +426,10 @@ def _(spark, sf):
 
 # ---- pooling --------------------------------------------------------------------------------------
 
-@query("c2_masked_mean", with_(_VECS + ", v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding,1)-1 AS pos FROM vecs WHERE id%2=0)", f"SELECT label::BIGINT AS label, pos, {r('avg(x)','value')} FROM v GROUP BY 1,2"))
+@query("c2_masked_mean", with_(_VECS + ", v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding,1)-1 AS pos FROM vecs WHERE embedding[1] >= 0)", f"SELECT label::BIGINT AS label, pos, {r('avg(x)','value')} FROM v GROUP BY 1,2"))
 def _(spark, sf):
-    """Vectors as the tokens of a text per label; the mask leaves out the odd ones."""
-    masked = _vectors(spark, sf).withColumn("mask", 1 - F.pmod("id", F.lit(2)))
+    """Vectors as the tokens of a text per label; the mask leaves out those with a negative first component."""
+    masked = _vectors(spark, sf).withColumn("mask", (F.col("embedding")[0] >= 0).cast("int"))
     return tidy(mean_vector(masked, ["label"], mask="mask").select("label", F.posexplode("center").alias("pos", "value")))
 
 
