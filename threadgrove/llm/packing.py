@@ -9,10 +9,12 @@ starts at a power-of-two distance are looked up besides. Ranges of documents are
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,34 +28,69 @@ END_ID = 2
 SENTENCE_COST = 8
 INNER_COST = 96
 GAP = 256
-BLOCK_CHARS = 1 << 21
-RANGE_BYTES = 8 << 20
+BLOCK_CHARS = 1 << 20
+RANGE_BYTES = 32 << 20
 CELLS = 1 << 16
-REMEMBERED = 400_000
-SENTENCE_END = re.compile(r"[.!?][\"')\]]*$")
+REMEMBERED = 500_000
+LEARNED = 20_000
+SENTENCE_ENDS = (".", "!", "?")
+MARKS = ".,!?;:*#$%&"
+SHORTEST = 512
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+class Numbers(dict):
+    """Numbers for pieces in the order in which they come up; `new` lists those not looked at yet."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
 
 
 class Pieces:
-    """Token ids of blank-free pieces of text. A blank always separates tokens of this kind of tokenizer, so the ids of a text are
-    the ids of its pieces in a row; each distinct piece is tokenised once."""
+    """Token ids of pieces of text between which this kind of tokenizer always separates tokens: at blanks, and between a letter
+    a-z and the run of marks that ends a word. So the ids of a text are the ids of its pieces in a row, and each distinct
+    word is tokenised once. A-Z are lowered first, as the tokenizer does, unless the text may hold a special token."""
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self.reset()
 
     def reset(self) -> None:
-        self.number = {"": 0, "\n": 1, None: 2}
+        self.number = Numbers({"": 0, "\n": 1, None: 2})
+        self.number.new = []
+        self.words: dict[str, tuple[int, ...]] = {"": ()}
         self.ids, self.starts = array("I", [self.end_id]), array("q", [0, 0, 0, 1])
         self.costs = array("q", [INNER_COST, SENTENCE_COST, 0])
 
-    def learn(self, pieces: list[str]) -> None:
-        for piece, found in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-            self.number[piece] = len(self.costs)
-            self.ids.extend(found.ids)
-            self.starts.append(len(self.ids))
-            self.costs.append(SENTENCE_COST if SENTENCE_END.search(piece) else INNER_COST)
+    def learn(self) -> None:
+        """Ids and costs of the new pieces; their words and mark runs go to the tokenizer together."""
+        words, parts = self.words, []
+        for piece in self.number.new:
+            word = piece.rstrip(MARKS)
+            # after anything but a letter a-z, marks may belong to the token before them
+            parts.append((word, piece[len(word):]) if "a" <= word[-1:] <= "z" else (piece, ""))
+        asked = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in words]
+        for a in range(0, len(asked), LEARNED):
+            some = asked[a:a + LEARNED]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                words[word] = tuple(found.ids)
+        ids, starts, costs = self.ids, self.starts, self.costs
+        for word, marks in parts:
+            ids.extend(words[word])
+            ids.extend(words[marks])
+            starts.append(len(ids))
+            costs.append(SENTENCE_COST if (marks or word).rstrip("\"')]")[-1:] in SENTENCE_ENDS else INNER_COST)
+        self.number.new = []
+
+    def split(self, text: str) -> list[str]:
+        if "<|" not in text:
+            text = text.encode().translate(LOWER).decode()
+        return text.replace("\r", " ").replace("\t", " ").replace("\n", " \n ").split(" ")
 
     def stream(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all documents with their end ids; ends of the documents; cut places after pieces and their costs."""
@@ -61,12 +98,10 @@ class Pieces:
             self.reset()
         split: list[str | None] = []
         for text in docs:
-            split += text.replace("\r", " ").replace("\t", " ").replace("\n", " \n ").split(" ")
+            split += self.split(text)
             split.append(None)
-        new = [p for p in dict.fromkeys(split) if p not in self.number]
-        if new:
-            self.learn(new)
         at = np.fromiter(map(self.number.__getitem__, split), np.int64, len(split))
+        self.learn()
         starts, ids = np.array(self.starts), np.array(self.ids, np.uint32)
         sizes = (starts[1:] - starts[:-1])[at]
         ends = np.cumsum(sizes)
@@ -101,11 +136,11 @@ def places(total: int, ends: np.ndarray, costs: np.ndarray, last: bool) -> tuple
 def best_cuts(at: np.ndarray, cost: np.ndarray, capacity: int = CAPACITY, last: bool = True) -> list[int]:
     """Places (numbers into `at`) where the cheapest windows end. Without `last`, the final window stays open and free.
 
-    best[j] = cost[j] + min(over starts i within capacity of best[i] + capacity - (at[j] - at[i]),
+    Unpadded windows are of SHORTEST ids at least, except at the end of the data. best[j] = cost[j] + min(over starts i within capacity of best[i] + capacity - (at[j] - at[i]),
     over starts at a power-of-two distance of best[i]); `queue` keeps starts of growing best + at.
     """
     exact: dict[int, list[int]] = {}
-    for p in range(capacity.bit_length()):
+    for p in range(0 if last else SHORTEST.bit_length() - 1, capacity.bit_length()):
         size = 1 << p
         i = np.searchsorted(at, at - size)
         for j in np.flatnonzero((at >= size) & (at[np.minimum(i, len(at) - 1)] == at - size)).tolist():
