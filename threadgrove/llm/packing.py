@@ -29,9 +29,9 @@ SENTENCE_COST = 8
 INNER_COST = 96
 GAP = 256
 BLOCK_CHARS = 1 << 20
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 64 << 20
 CELLS = 1 << 16
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 LEARNED = 20_000
 SENTENCE_ENDS = (".", "!", "?")
 MARKS = ".,!?;:*#$%&"
