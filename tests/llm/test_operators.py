@@ -1,0 +1,389 @@
+"""Every operator against its brute-force version, on a small table of awkward rows, and on an empty one."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from threadgrove.llm import fingerprint, language_id, mixing, packing, quality, secrets, simhash, suffix, topk, toxicity
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string, _row string, _h string, fp string, band string"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def awkward():
+    """Nulls, empty and very long texts, ties, repeated rows, copies with small changes, and extra columns with clashing names."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(["the", "ion", "er", "ß", "ing", "ou", "é"]) for _ in range(r.randint(1, 4)))
+    prose = lambda n: " ".join(word() + r.choice(["", "", ",", ".", "!\n"]) for _ in range(n))
+    base, passage = prose(400), prose(60)
+    texts = [None, "", " ", "\n\n", "a", "A b\tc\x0bd", "123 456 --- 78", base, base, base.upper(), base + " end", base[:-40], prose(300) + passage + prose(20),
+             passage + prose(200), prose(30_000), "x" * 5000, "xy" * 300, "ab. " * 400, "it's <|endoftext|> <|ENDOFTEXT|> wasn't.* ΑΣ.", "\U0001f600" * 150 + "é" * 100, *[prose(r.randint(1, 80)) for _ in range(40)]]
+    rows = [(i * 7 - 20, t, ("en", "fr", None)[i % 3], ("s1", "s2", None, "", "s3")[min(4, i % 9)], len(t or "")) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[7], (10**15, prose(50), None, None, None)]
+    return [(*x, "s", "z", "r", "h", "f", "b") for x in rows]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(awkward(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nameless(spark):
+    """The same, where some rows have no id."""
+    rows = [(None, *x[1:]) if i % 5 == 0 else x for i, x in enumerate(awkward())]
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark, docs):
+    rows = [(i * 7 - 20, i % 3 and 1, int(i % 4 == 0)) for i in range(50)] + [(None, 1, 1), (1, None, None), (-20, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
+
+
+def test_top_k(spark):
+    r = random.Random(1)
+    rows = [(i, [r.choice([-0.5, 0.0, 0.25, r.random()]) for _ in range(6)], "x") for i in range(600)]
+    rows += [(600 + i, rows[i][1], "x") for i in range(30)] + [(700, None, "x"), (800, [1.0, None], "x"), (900, [float("nan")] * 6, "x"), (None, [1.0] * 6, "x"), (1000, [0.0] * 6, "x"), (1100, [1.0], "x")]
+    df = spark.createDataFrame([*rows, rows[100], rows[3]], "vec_id bigint, embedding array<double>, score string")
+    got = {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 100 == 0, tile_rows=64, query_rows=4).select("query_id", "rank", "vec_id", "score").collect()}
+    vectors = {i: (v + [0.0] * (6 - len(v)) if v is not None else None) for i, v, _ in rows if i is not None}
+    assert got == brute.top(vectors, [i for i in vectors if i % 100 == 0])
+    few = topk.top_k(df.filter("vec_id < 4"), F.col("vec_id") == 0)
+    assert few.count() == 3 and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_top_k_stops_early():
+    ids, v = np.arange(4096), np.zeros((4096, 3))
+    v[:, 0] = 4096 - ids
+    lists = topk.Lists(ids, v)
+    reads = []
+    lists.vectors = type("Counted", (), {"__getitem__": lambda s, at: (reads.append(len(at)), v[at])[1]})()
+    assert [i for _, i in lists.search(np.array([2.0, 0, 0]), -1, [], 5)] == [0, 1, 2, 3, 4]
+    assert sum(reads) <= topk.FIRST_DEPTH * 2
+
+
+def test_language_by_sets(spark, docs, nothing):
+    r = random.Random(2)
+    parts = {"aa": ["ka", "ko", "ki"], "bb": ["lu", "ly", "lo"], "cc": ["ka", "lu", "zz"]}
+    rows = [(i, " ".join("".join(r.choice(p) for _ in range(3)) for _ in range(r.randint(5, 60))), lang) for i, (lang, p) in enumerate(list(parts.items()) * 60)]
+    df = spark.createDataFrame([*rows, (900, None, "aa"), (901, "12 ... ½", "bb"), (902, "q", None), (None, "kakoki", "aa")], "doc_id bigint, text string, lang string")
+    filters = language_id.train(df)
+    out = {x.doc_id: x for x in language_id.identify_languages(df, filters).collect()}
+    held = [i for i, _, _ in rows if brute.held_out(i, 5, 0)]
+    assert [out[i].lang_pred for i in held] == [rows[i][2] for i in held] and all(out[i].held_out for i in held)
+    assert (out[900].lang_pred, out[901].lang_pred, out[902].score) == ("und", "und", 0.0) and out[902].lang_pred in parts
+    known = {lang: Counter() for lang in parts}
+    for i, t, lang in rows:
+        if not brute.held_out(i, 5, 0):
+            p = language_id.letters(t)
+            known[lang].update({p[k:k + 4] for k in range(len(p) - 3)})
+    sizes = Counter(lang for i, _, lang in rows if not brute.held_out(i, 5, 0))
+    grams = {g for k in known.values() for g in k}
+    wrong = 0
+    for g in grams:
+        share = {lang: known[lang][g] / sizes[lang] for lang in parts}
+        want = {lang for lang in parts if share[lang] >= 0.01 and known[lang][g] >= 2 and share[lang] >= 0.25 * max(share.values())}
+        mask = int(filters.masks(language_id.gram_hashes(g))[0, 0])
+        got = {lang for i, lang in enumerate(filters.languages) if mask >> i & 1}
+        assert want <= got  # a Bloom filter loses nothing
+        wrong += got != want
+    assert wrong <= 0.01 * len(grams) + 1
+    empty = language_id.identify_languages(docs, language_id.train(nothing)).collect()
+    assert {x.lang_pred for x in empty} == {"und"} and language_id.identify_languages(nothing, filters).count() == 0
+
+
+def test_long_text_in_pieces(monkeypatch):
+    text = " ".join(random.Random(5).choice(["kako", "luly", "kiki"]) for _ in range(3000))
+    filters = language_id.Filters(["aa"], "aa", np.ones((1, 1 << language_id.SLOT_BITS), np.int64), np.zeros(1))
+    whole = filters.counts([language_id.letters(text)])
+    slots = quality.gram_slots(np.frombuffer(text.encode(), np.uint8))
+    hashed = simhash.simhash(text.encode())
+    for module in (language_id, quality, simhash):
+        monkeypatch.setattr(module, "PIECE", 1000)
+    assert [x.tolist() for x in filters.counts([language_id.letters(text)])] == [x.tolist() for x in whole]
+    assert simhash.simhash(text.encode()) == hashed
+    assert len(set(slots) ^ set(quality.gram_slots(np.frombuffer(text.encode(), np.uint8)))) <= 8  # the two ends only
+
+
+@pytest.mark.parametrize("which", ["docs", "nameless"])
+def test_packing(request, which):
+    df = request.getfixturevalue(which)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = Counter()
+    for x in df.collect():
+        ids = np.array(tokenizer.encode(x.text or "", add_special_tokens=False).ids + [2], np.uint32)
+        want[(x.doc_id, ids.tobytes())] += 1
+    pieces = packing.pack_documents(df, TOKENIZER, range_bytes=100_000).collect()
+    sequences, docs = {}, {}
+    for p in pieces:
+        assert len(p.ids) == 4 * p.length
+        sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for s in sequences.values():
+        end = 0
+        for offset, length in sorted(s):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    got, open_docs = Counter(), {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        held = open_docs.setdefault(p.doc_id, [])
+        assert p.start == sum(len(h) // 4 for h in held)
+        held.append(bytes(p.ids))
+        if sum(len(h) // 4 for h in held) == p.doc_tokens:
+            got[(p.doc_id, b"".join(open_docs.pop(p.doc_id)))] += 1
+    assert got == want and not open_docs
+
+
+def test_packing_of_nothing(nothing):
+    assert packing.pack_documents(nothing, TOKENIZER).count() == 0
+
+
+def test_cuts_are_cheapest():
+    r = random.Random(4)
+    for _ in range(60):
+        at = np.array(sorted({0, *r.sample(range(1, 90), r.randint(2, 12))}))
+        if np.diff(at).max() > 16:
+            continue
+        cost = np.array([0, *[r.choice([0, 3, 9]) for _ in at[1:-1]], 0])
+        price = lambda i, j: (0 if (n := int(at[j] - at[i])) & (n - 1) == 0 else 16 - n) + int(cost[j])
+        best = [0] + [10**9] * (len(at) - 1)
+        for j in range(1, len(at)):
+            best[j] = min(best[i] + price(i, j) for i in range(j) if at[j] - at[i] <= 16)
+        cuts = [0, *packing.best_cuts(at, cost, 16)]
+        assert cuts[-1] == len(at) - 1 and sum(price(i, j) for i, j in zip(cuts, cuts[1:])) == best[-1]
+
+
+@pytest.mark.parametrize("rows", [3, 2000])
+def test_fingerprints(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK_ROWS", rows)
+    once = docs.dropDuplicates(["doc_id"])
+    texts = {x.doc_id: x.text or "" for x in once.collect()}
+    edited = brute.edited(list(texts.items()))
+    prints = {}
+    for x in fingerprint.fingerprint_documents(once).collect():
+        n, text, following = edited[x.doc_id]
+        assert (x.n_chars, x.edited_sha256) == (n, hashlib.sha256(text.encode()).hexdigest())
+        of = lambda t: "".join(f"{v:016x}" for v in brute.lthash(t))
+        assert (x.fingerprint, x.edited_fingerprint) == (of(texts[x.doc_id]), of(text))
+        assert 0 <= x.near_edited <= 1 and (x.near_next == 1) >= (following == texts[x.doc_id])
+        prints.setdefault(texts[x.doc_id], set()).add(x.fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
+
+
+def test_fingerprints_of_few(spark, docs, nameless, nothing):
+    assert fingerprint.fingerprint_documents(nothing).count() == 0
+    one = fingerprint.fingerprint_documents(docs.filter("doc_id = -13")).collect()
+    assert len(one) == 1
+    assert fingerprint.fingerprint_documents(nameless).count() == nameless.count()
+    alone = spark.createDataFrame([(5, "abcdef")], "doc_id bigint, text string")
+    assert fingerprint.fingerprint_documents(alone).first().edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_fingerprints_are_homomorphic(spark):
+    df = spark.createDataFrame([("one, two.\nthree", "four five\nsix")], "a string, b string")
+    both = fingerprint.fingerprint(F.concat_ws("\n", "b", "a"))
+    a, b = fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))
+    x = df.select(both.alias("both"), fingerprint.add(a, b).alias("sum"), fingerprint.subtract(both, b).alias("left"), a.alias("a")).first()
+    assert x["both"] == x["sum"] and x["left"] == x["a"]
+
+
+def test_secrets(spark, docs, nothing):
+    r = random.Random(6)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    secret = [(i, f'some prose token = "{hexes(40)}" goes on', "s") for i in range(80)]
+    other = [(100 + i, f"call 4{r.randrange(10**15):015d} or mail {hexes(6)}.{i}@mail{i}.example.com now", "s") for i in range(80)]
+    df = spark.createDataFrame([*secret, *other, (None, secret[0][1], "s"), (None, None, "s"), (300, "", "s"), secret[1]], "doc_id bigint, text string, _row string")
+    dictionary, model = secrets.fitted(df, F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
+    found = secrets.scan(df, dictionary, model).collect()
+    assert len(found) == 82 + 160
+    texts = {i: t for i, t, _ in secret + other}
+    for x in found:
+        value = (texts[x.doc_id] if x.doc_id is not None else secret[0][1])[x.start:x.start + x.length]
+        assert x.is_secret == (len(value) == 40)
+    masked = secrets.mask_secrets(df, dictionary, model)
+    assert masked.schema == df.schema and masked.count() == df.count()
+    kept = [x.text for x in masked.collect() if x.text]
+    assert sum(secrets.MASK in t for t in kept) == 82 and not any(secrets.CANDIDATE.search(t) and "prose" in t for t in kept)
+    assert secrets.scan(nothing, frozenset(), 0.0).count() == 0 and secrets.mask_secrets(nothing, frozenset(), 1.0).count() == 0
+    assert secrets.mask_secrets(docs, dictionary, model).count() == docs.count()
+
+
+def test_secret_mask_positions(spark):
+    text = "\U0001f600 a" + "b" * 11 + "1 é " + "c" * 11 + "2 end"
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id bigint, text string, n_chars bigint")
+    got = secrets.mask_secrets(df, frozenset(), 1.0).first()
+    assert got.text == "\U0001f600 [SECRET] é [SECRET] end" and got.n_chars == len(got.text)
+
+
+def test_quality(spark, docs, labels, nothing):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["good", "text", "here"] if i % 3 else ["BAD!!", "$$$", "here"]) for _ in range(30)), "x") for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, None, "x"), (None, "", "x"), rows[0]], "doc_id bigint, text string, predicted string")
+    known = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id bigint, quality int")
+    out = quality.score_quality(df, known).collect()
+    assert len(out) == 303 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.3) for x in out)
+    held = [x for x in out if x.doc_id is not None and x.held_out]
+    assert held and all(brute.held_out(x.doc_id, 5, 0) for x in held) and all(x.predicted == int(x.doc_id % 3 > 0) for x in held)
+    assert {x.score for x in quality.score_quality(docs, known.limit(0)).collect()} == {0.5}
+    assert quality.score_quality(nothing, labels).count() == 0 and quality.score_quality(docs, labels).count() == docs.count()
+
+
+def test_dual_coordinate_descent_is_optimal():
+    r = np.random.default_rng(9)
+    rows = [np.sort(r.choice(40, 8, replace=False)) for _ in range(60)]
+    values, y = [r.normal(size=8) for _ in rows], np.where(r.random(60) < 0.5, 1.0, -1.0)
+    w, b = quality.dual_coordinate_descent(rows, values, y, epochs=2000, tolerance=1e-9)
+    loss = lambda w, b: (w @ w + b * b) / 2 + sum(max(0.0, 1 - t * (w[i] @ v + b)) for i, v, t in zip(rows, values, y))
+    assert all(loss(w, b) <= loss(w + 0.01 * np.pad(r.normal(size=40), (0, len(w) - 40)), b + 0.01 * r.normal()) + 1e-6 for _ in range(50))
+
+
+def test_mixing(spark, docs, nameless, nothing):
+    rows = docs.collect()
+    sizes, size_of = Counter(), lambda t: len(brute.BLANK.findall(t or ""))
+    for x in rows:
+        sizes[x.source] += size_of(x.text)
+    want = brute.mix_targets(sizes)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    texts = {x.doc_id: x for x in rows}
+    taken = Counter()
+    for x in got:
+        doc = texts[x.doc_id]
+        assert x["size"] == size_of(doc.text) and x.source_size == sizes[doc.source] and x.target == pytest.approx(want[doc.source], abs=1e-5)
+        assert 0 <= x.taken <= 2 * x["size"] and (x.position is None) == (x.taken == 0)
+        taken[doc.source] += x.taken
+    assert all(abs(taken[s] - want[s]) < 1.001 for s in want)
+    again = mixing.mix(docs.repartition(7)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    out = mixing.training_documents(docs)
+    assert out.schema == docs.schema and sum(size_of(x.text) for x in out.collect()) == sum(taken.values())
+    assert mixing.mix(nothing).count() == 0 and mixing.training_documents(nothing).count() == 0 and mixing.mix(nameless).count() == len(rows)
+
+
+def test_positions_follow_the_schedule(spark):
+    for slope in (-0.5, 0.0, 0.5):
+        demand = lambda t: t * (1 - slope) + slope * t * t
+        times = [i / 10 for i in range(11)]
+        df = spark.createDataFrame([(demand(t) * 50,) for t in times], "x double")
+        got = [r[0] for r in df.select(mixing.due(F.col("x"), F.lit(50.0), F.lit(slope))).collect()]
+        assert got == pytest.approx(times, abs=1e-9)
+
+
+def test_toxicity(spark, docs, labels, nothing):
+    r = random.Random(10)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ne"]) for _ in range(3))
+    rows = [(i, " ".join([word() for _ in range(40)] + ["idiot", "scum"] * (i % 4 == 0)), "x") for i in range(400)]
+    df = spark.createDataFrame([*rows, (None, None, "x"), (None, "", "x"), rows[1]], "doc_id bigint, text string, score string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int")
+    index = toxicity.toxicity_index(df, known)
+    out = toxicity.score_toxicity(df, index).collect()
+    assert len(out) == 403 and all(x.predicted == int(x.doc_id is not None and x.doc_id % 4 == 0) for x in out)
+    assert all(x.held_out == brute.held_out(x.doc_id, 4, 2) for x in out if x.doc_id is not None)
+    assert toxicity.reject_toxic(df, index).count() == 303 and toxicity.reject_toxic(df, index).schema == df.schema
+    blank = toxicity.toxicity_index(df, known.limit(0))
+    assert toxicity.score_toxicity(df, blank).filter("predicted = 1 and score < 0.3").count() == 0
+    assert toxicity.score_toxicity(nothing, index).count() == 0 and toxicity.score_toxicity(docs, toxicity.toxicity_index(docs, labels)).count() == docs.count()
+
+
+def test_nearest_examples_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "clear_terms", lambda rows, y: [f"t{i}" for i in range(30)])
+    r = random.Random(11)
+    rows = [Counter({f"t{r.randrange(30)}": r.randint(1, 5) for _ in range(r.randint(0, 6))}) for _ in range(200)]
+    index = toxicity.build(list(range(200)), rows, np.array([i % 2 for i in range(200)]))
+    held = [i for i, x in enumerate(rows) if x]
+    vectors = np.zeros((len(held), 30))
+    for n, i in enumerate(held):
+        at, v = index.vector({int(t[1:]): c for t, c in rows[i].items()})
+        vectors[n, at] = v
+    for _ in range(50):
+        at, v = index.vector({r.randrange(30): r.randint(1, 3) for _ in range(4)})
+        cosines = vectors[:, at] @ v
+        want = sorted(((-c, n) for n, c in enumerate(cosines) if c > 1e-12))[:16]
+        got = index.nearest(at, v)
+        assert [c for c, _ in got] == pytest.approx([-c for c, _ in want], abs=1e-6)
+
+
+def test_simhash(spark, docs, nameless, nothing):
+    got = {x.doc_id: x for x in simhash.near_duplicates(docs).collect()}
+    fps = {x.doc_id: brute.simhash(x.text) for x in docs.collect()}
+    want = brute.components(fps)
+    assert {d: (int(x.fingerprint, 16), x.component_id) for d, x in got.items()} == {d: (fps[d], want[d]) for d in fps}
+    kept = simhash.one_of_each(docs)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values())) and kept.schema == docs.schema
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+    unnamed = simhash.near_duplicates(nameless).collect()
+    assert len(unnamed) == nameless.count() and all((x.component_id is None) == (x.doc_id is None) for x in unnamed)
+    assert simhash.one_of_each(nameless).filter("doc_id is null").count() == nameless.filter("doc_id is null").count()
+
+
+@pytest.mark.parametrize("block", [8, 4096])
+def test_links_of_crowded_groups(spark, block):
+    """Chains and crowds of fingerprints a few bits apart, in many small blocks and in one."""
+    r = random.Random(12)
+    fps = {r.getrandbits(64) for _ in range(300)}
+    for center in list(fps)[:6]:
+        x = center
+        for _ in range(60):
+            for _ in range(r.randint(1, 5)):
+                x ^= 1 << r.randrange(64)
+            fps.add(x)
+            fps.add(center ^ 1 << r.randrange(64) ^ 1 << r.randrange(64))
+    by_id = dict(enumerate(sorted(fps)))
+    nodes = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in by_id.items()], "id bigint, fp bigint")
+    roots = {x.node: x.root for x in simhash.components(simhash.links(nodes, block=block)).collect()}
+    assert {i: roots.get(i, i) for i in by_id} == brute.components(by_id)
+
+
+@pytest.mark.parametrize("which", ["docs", "nameless"])
+def test_repeated_substrings(request, which, monkeypatch):
+    monkeypatch.setattr(suffix, "RANGE_BYTES", 1 << 14)
+    monkeypatch.setattr(suffix, "CHUNK", 1 << 15)
+    df = request.getfixturevalue(which)
+    rows = df.collect()
+    want = Counter((x.doc_id, *w) for x, w in zip(rows, brute.without_repeats([(x.text or "").encode() for x in rows])))
+    got = Counter()
+    for x in suffix.repeated_substrings(df).collect():
+        got[(x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), len(x.spans), hashlib.sha256(bytes(x.kept)).hexdigest())] += 1
+    assert got == want
+
+
+def test_repeats_at_every_shift(spark):
+    """A 200-byte passage at all shifts against the cover is found; 199 bytes are not."""
+    r = random.Random(13)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    long, short = noise(200), noise(199)
+    rows = [(i, noise(i) + "#" + long + "%" + noise(5)) for i in range(140)]
+    rows += [(200, noise(3) + "<" + short + ">" + noise(9)), (201, noise(50) + "(" + short + ")" + noise(2))]
+    want = dict(zip([i for i, _ in rows], brute.without_repeats([t.encode() for _, t in rows])))
+    for x in suffix.repeated_substrings(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        gone = sum(s.length for s in x.spans)
+        assert gone == want[x.doc_id][1] and (gone >= 202) == (x.doc_id < 140) and (gone > 0) == (x.doc_id < 140)
+
+
+def test_no_repeats_of_nothing(nothing):
+    assert suffix.repeated_substrings(nothing).count() == 0
+
+
+def test_word_counts(spark, docs):
+    got = docs.select("text", mixing.words(F.col("text")).alias("n")).collect()
+    assert all(x.n == len(brute.BLANK.findall(x.text or "")) for x in got)
+
+
+def test_crc_matches(spark):
+    assert zlib.crc32(b"12") % 5 == spark.range(12, 13).select(F.col("id").alias("doc_id")).select(quality.crc_rest(5)).first()[0]

@@ -150,7 +150,7 @@ class TermsOf(dict):
 class Scorer:
     """Scores texts one after the other and remembers which pieces carry terms of the list."""
 
-    REMEMBERED = 500_000
+    REMEMBERED = 250_000
 
     def __init__(self, index: Index):
         self.index, self.known = index, TermsOf(index.terms)
