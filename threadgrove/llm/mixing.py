@@ -92,7 +92,7 @@ def _position(number: int, slopes: tuple) -> Column:
 
 def mix(documents: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST,
         slopes: tuple = SLOPES, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken, position of every document.
+    """doc_id, size, source_size, target, taken, position of every document, range-sorted by position (not taken: first).
 
     `taken` counts the words the mix takes of a document, over all passes; a source's taken words add up to the floor
     of its target. `position` is the training time of the document in the first pass, null if nothing is taken; the
@@ -103,8 +103,9 @@ def mix(documents: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     gives an empty result; other columns are not read.
     """
     placed = _placed(documents, None, weights, share, most, seed)
-    return placed.select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), "target",
+    mixed = placed.select("doc_id", "size", F.col("source_size").cast("bigint").alias("source_size"), "target",
                          sum((_taken(p) for p in range(1, math.ceil(most))), _taken(0)).alias("taken"), _position(0, slopes).alias("position"))
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def training_documents(documents: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST,

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadgrove.llm import fingerprint, language_id, mixing, packing, quality, secrets, simhash, suffix, topk, toxicity
+from threadgrove.queries.base import hash_sql
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -16,6 +17,46 @@ def query(fn):
     return fn
 
 
+SQL["op1_exact_top_k"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
+SQL["op7_curriculum_mix"] = f"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         {hash_sql("mix", "coalesce(doc_id::VARCHAR, '')", "coalesce(source, '')")} AS h FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, source_size * 2.0::DOUBLE AS cap FROM sources),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+    - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighted),
+goals AS (
+  SELECT source, source_size, rank, round(least(cap, coalesce(
+    (SELECT arg_min(level, [cap / weight, rank]) FROM levels WHERE level <= cap / weight) * weight, cap)), 6) AS target FROM levels),
+placed AS (
+  SELECT s.doc_id, s.size, g.source_size, g.target, floor(g.target)::BIGINT AS goal,
+         [0.0::DOUBLE, 0.5, -0.5][g.rank % 3 + 1] AS slope,
+         (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size)::BIGINT AS first
+  FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
+taken AS (
+  SELECT *, least(greatest(goal - first, 0), size) AS once, least(greatest(goal - first - source_size, 0), size) AS twice FROM placed),
+shares AS (SELECT *, least((first::DOUBLE + once / 2.0::DOUBLE) / nullif(target, 0), 1.0::DOUBLE) AS u FROM taken)
+SELECT doc_id, size, source_size, target, (once + twice)::BIGINT AS taken,
+       CASE WHEN once > 0 THEN round(CASE WHEN slope = 0 THEN u
+         ELSE (sqrt((1.0 - slope) * (1.0 - slope) + slope * u * 4) - (1.0 - slope)) / (slope * 2) END, 9) END AS position
+FROM shares"""
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
