@@ -66,7 +66,8 @@ def preview(col, size: int = PREVIEW) -> Column:
 def fraction_of(col) -> Column:
     """`…_frac0.1` gives 0.1; anything that does not split into two parts gives 0."""
     parts = F.split(_c(col), "_frac")
-    return F.when(F.size(parts) == 2, F.get(parts, F.lit(1)).try_cast("double")).otherwise(F.lit(0.0))
+    found = F.when(F.size(parts) == 2, F.get(parts, F.lit(1)).try_cast("double"))
+    return F.when(_c(col).isNotNull(), F.coalesce(found, F.lit(0.0)))
 
 
 def threshold_of_path(col) -> Column:

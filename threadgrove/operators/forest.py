@@ -93,20 +93,23 @@ def grow_forest(nodes: DataFrame, threshold: float, sim=vectors.cosine) -> tuple
 # ---- per-forest and overall figures -------------------------------------------------------------
 
 def similarity_distribution(edges: DataFrame, by: tuple[str, ...] = ("post_id",)) -> DataFrame:
-    """Count, mean, population std, range and quantiles of the known similarities."""
-    valid = edges.filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
-    basic = [F.count(F.lit(1)).alias("count"), F.avg("similarity").alias("mean"),
+    """Count, mean, population std, range and quantiles of the known similarities.
+
+    A post whose edges are all without a usable similarity has a row with count 0 and null figures.
+    """
+    known = edges.withColumn("similarity", F.when(~F.isnan("similarity"), F.col("similarity")))
+    basic = [F.count("similarity").alias("count"), F.avg("similarity").alias("mean"),
              F.stddev_pop("similarity").alias("std"), F.min("similarity").alias("min"),
              F.max("similarity").alias("max")]
-    plain = valid.groupBy(*by).agg(*basic)
-    quantiles = exact_quantiles(valid, "similarity", QUARTILES, -1.0, 1.0, list(by))
-    return plain.join(quantiles, list(by)) if by else beside(plain, quantiles)
+    plain = known.groupBy(*by).agg(*basic)
+    quantiles = exact_quantiles(known, "similarity", QUARTILES, -1.0, 1.0, list(by))
+    return plain.join(quantiles, list(by), "left") if by else beside(plain, quantiles)
 
 
 def similarity_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Posts in all, posts with a usable edge, number of usable edges."""
     posts = nodes.filter(F.col("parent_id").isNull()).select(F.count(F.lit(1)).alias("total_posts"))
-    valid = edges.filter(F.col("similarity").isNotNull())
+    valid = edges.filter(F.col("similarity").isNotNull() & ~F.isnan("similarity"))
     pairs = valid.groupBy("post_id").agg(F.count(F.lit(1)).alias("_n"))
     return pairs.agg(F.count(F.lit(1)).alias("posts_with_valid_similarities"),
                      F.coalesce(F.sum("_n"), F.lit(0)).alias("total_similarity_pairs")).select(
@@ -115,7 +118,7 @@ def similarity_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def similarity_variability(distribution: DataFrame) -> DataFrame:
     """Spread of the per-post means and standard deviations."""
-    return distribution.agg(
+    return distribution.filter(F.col("count") > 0).agg(
         F.count(F.lit(1)).alias("posts"),
         F.min("mean").alias("min_mean"), F.max("mean").alias("max_mean"), F.stddev_pop("mean").alias("std_mean"),
         F.min("std").alias("min_std"), F.max("std").alias("max_std"), F.stddev_pop("std").alias("std_std"))
@@ -207,15 +210,18 @@ def size_distribution(trees: DataFrame, by: tuple[str, ...] = ("post_id",)) -> D
     Equal sizes are counted first; a group has at most sqrt(2 * nodes) different sizes, which bounds
     what the weighted percentile holds.
     """
-    sizes = trees.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("_n"))
+    counted = trees.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("_n"))
     n = F.sum("_n")
     mean = F.sum(F.col("size") * F.col("_n")) / n
-    squares = F.sum((F.col("size") * F.col("size") * F.col("_n")).cast("double")) / n
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    centre = F.sum(F.col("size") * F.col("_n")).over(group) / F.sum("_n").over(group)
+    sizes = counted.withColumn("_off", F.col("size").cast("double") - centre)
+    variance = F.sum(F.col("_off") * F.col("_off") * F.col("_n")) / n
     quant = F.percentile("size", [0.5, 0.25, 0.75, 0.9, 0.95], F.col("_n"))
     out = sizes.groupBy(*by).agg(
         F.sum(F.col("size") * F.col("_n")).alias("total_nodes"), n.alias("subtree_count"),
         mean.alias("avg_size"), F.max("size").alias("max_size"), F.min("size").alias("min_size"),
-        F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0))).alias("std_size"), quant.alias("_q"),
+        F.sqrt(variance).alias("std_size"), quant.alias("_q"),
         F.coalesce(F.sum(F.when(F.col("size") <= 3, F.col("_n"))), F.lit(0)).alias("small_trees"),
         F.coalesce(F.sum(F.when(F.col("size").between(4, 10), F.col("_n"))), F.lit(0)).alias("medium_trees"),
         F.coalesce(F.sum(F.when(F.col("size") > 10, F.col("_n"))), F.lit(0)).alias("large_trees"))

@@ -55,8 +55,10 @@ def _hits(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> Data
             c = c.sort_by("candidate_id")  # so that the first of equal similarities has the smallest id
             sims = _sims(q, c)
             qi, ci = np.asarray(q["query_id"]), np.asarray(c["candidate_id"])
-            _, codes = np.unique(np.array(q["label"].to_pylist() + c["label"].to_pylist(), object).astype(str), return_inverse=True)
-            same = codes[:len(qi), None] == codes[None, len(qi):]
+            names = q["label"].to_pylist() + c["label"].to_pylist()
+            numbers = {n: i for i, n in enumerate(dict.fromkeys(names))}
+            codes, named = np.array([numbers[n] for n in names]), np.array([n is not None for n in names])
+            same = (codes[:len(qi), None] == codes[None, len(qi):]) & named[:len(qi), None]  # a missing label equals none
             low = np.partition(sims, -k, axis=1)[:, -k:].min(axis=1) if k < len(ci) else np.full(len(qi), -np.inf)
             rows, cols = np.nonzero(sims >= low[:, None])
             order = np.lexsort((cols, -sims[rows, cols], rows))
@@ -102,8 +104,9 @@ def rank_candidates(queries: DataFrame, candidates: DataFrame, k: int = 10, id_c
 
 def precision_at_k(ranked: DataFrame, queries: int | Column, ks: tuple[int, ...] = (1, 3, 5, 10),
                    candidates: int | Column | None = None) -> DataFrame:
-    """Mean precision per k over all queries; k is clipped to the number of candidates."""
-    size = F.lit(max(ks)) if candidates is None else (candidates if isinstance(candidates, Column) else F.lit(candidates))
+    """Mean precision per k over all queries; k is clipped to the number of candidates. `ranked` has max(ks) ranks."""
+    # a query's last rank is the number of candidates where these are fewer than the ranks asked for
+    size = ranked.select(F.max("rank").alias("n")).scalar() if candidates is None else (candidates if isinstance(candidates, Column) else F.lit(candidates))
     each = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     rows = ranked.select("same", "rank", each).filter((F.col("rank") <= F.col("k")) & F.col("same"))
     total = queries if isinstance(queries, Column) else F.lit(queries)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# The HOT_KEYS largest keys may be split. The next one holds at most 1/HOT_KEYS of all rows, and the list
-# of split keys has a fixed size bound, so it may be broadcast.
-HOT_KEYS = 1000
+# The HOT_KEYS largest keys are split by salts; their list has a fixed size bound, so it may be broadcast. A key
+# beyond them holds less than 1/HOT_KEYS of all rows and is left to the engine's own split of skewed joins.
+HOT_KEYS = 100_000
 HOT_ROWS = 100_000
 
 
@@ -26,7 +26,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     hot = counts.filter(F.col("_n") > size).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(
         *keys, F.ceil(F.col("_n") / size).cast("bigint").alias("_salts"))
     rest = [c for c, t in left.dtypes
-            if c not in keys and not t.startswith(("array", "map", "struct", "binary"))]
+            if c not in keys and "map<" not in t]
     salt_count = F.coalesce("_salts", F.lit(1).cast("bigint"))
     salted = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*(rest or keys)), salt_count)).drop("_salts")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from threadgrove.operators import skew
 from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
@@ -81,10 +80,7 @@ def jump_to_roots(links: DataFrame, keys: list[str], node: str, parent: str, ter
             F.col("_dist").alias("_more"), F.col("_done").alias("_end"),
             *([F.col("_path").alias("_above")] if path else []))
         here = active.drop("_done")
-        # with no more open nodes than a hot key needs, no pointer can be shared by too many of them
-        joined = (here.join(target, [*keys, "_ptr"]) if open_now <= skew.HOT_ROWS
-                  else lookup(here, target, [*keys, "_ptr"]))
-        moved = joined.select(
+        moved = lookup(here, target, [*keys, "_ptr"]).select(
             *keys, "_node", F.col("_next").alias("_ptr"), (F.col("_dist") + F.col("_more")).alias("_dist"),
             F.col("_end").alias("_done"),
             *([F.concat("_above", "_path").alias("_path")] if path else []), *carry)

@@ -71,14 +71,16 @@ def variant_sweep(scored: DataFrame, variants=None) -> DataFrame:
     the rule for "nothing passes" is applied to the sums.
     """
     chosen = [(s, effective_threshold(s, t) if s != "tiered" else float(t)) for s, t in (variants or DEFAULT_VARIANTS)]
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(t).alias("threshold")) for s, t in chosen]))
-    rows = scored.select(F.col("consistency_score").alias("_s"), each.alias("_v")).select("_s", "_v.*")
+    each = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_variant"), F.lit(s).alias("strategy"), F.lit(t).alias("threshold")) for i, (s, t) in enumerate(chosen)]))
+    known = F.when(~F.isnan("consistency_score"), F.col("consistency_score"))  # a NaN score passes nowhere
+    rows = scored.select(known.alias("_s"), each.alias("_v")).select("_s", "_v.*")
     s = F.col("_s")
     tier = (F.when((s >= 0.4) & (s < 0.6), 0.5).when((s >= 0.6) & (s < 0.8), 0.7)
             .when((s >= 0.8) & (s <= 1.0), 0.9).otherwise(0.0))
     passed = F.when(F.col("strategy") == "tiered", tier > 0).otherwise(s >= F.col("threshold"))
     weight = F.when(F.col("strategy") == "tiered", tier).when(F.col("strategy") == "linear", s).otherwise(F.lit(1.0))
-    sums = rows.groupBy("strategy", "threshold").agg(
+    sums = rows.groupBy("_variant", "strategy", "threshold").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(passed).alias("_passed"),
         F.count_if(passed & (weight > 0)).alias("_kept"), F.sum(F.when(passed, weight)).alias("_sum"),
         F.count_if(weight > 0).alias("_all_kept"), F.sum(weight).alias("_all_sum"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -32,17 +31,15 @@ def builder(master: str | None = None, cores: int | None = None) -> SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's `spark.checkpoint.dir`.
 
-    Only a local-mode session without the setting gets a folder of its own. A cluster session must
-    name a folder every executor can reach, otherwise a lost executor would lose the table.
+    Where it is unset, a local session uses its warehouse folder. A cluster session must name a folder every
+    executor can reach, otherwise a lost executor would lose the table.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="threadgrove-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/threadgrove"
 
 
 def stored(df: DataFrame, observation: Observation | None = None, **metrics) -> DataFrame:
