@@ -8,7 +8,7 @@ from tests.oracle import compare, connect
 from threadgrove.queries import all_queries, all_sql
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"j7_frozen_probe", "l8_kmeans", "l10_cluster_accuracy"}  # checked in test_evaluation.py
+ROWS_ONLY = {"j7_frozen_probe", "l8_kmeans"}  # checked in test_evaluation.py
 
 
 @pytest.fixture(scope="module")

@@ -220,6 +220,9 @@ def purity(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return best.groupBy(*keys).agg((F.sum("m") / F.sum("t")).alias("purity")).select(*by, "purity")
 
 
+MAX_CELLS = 25_000_000  # 200 MB of counts: 5,000 labels by 5,000 clusters
+
+
 def _best_assignment(gain: np.ndarray) -> float:
     """Largest total of a one-to-one choice of rows and columns (shortest augmenting paths)."""
     if gain.shape[0] > gain.shape[1]:
@@ -255,12 +258,16 @@ def _best_assignment(gain: np.ndarray) -> float:
 def cluster_accuracy(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Share of rows on the best one-to-one assignment of clusters to labels.
 
-    One group is one contingency table, whose size is labels x clusters and not the data.
+    One group is one contingency table, whose size is labels x clusters and not the data. The assignment needs
+    that table whole in one task; one of more than MAX_CELLS cells is an error.
     """
     keys, t = _keyed(by), _with_key(table, by)
     types = dict(t.dtypes)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells = pdf["label"].nunique() * pdf["cluster"].nunique()
+        if cells > MAX_CELLS:
+            raise ValueError(f"{cells} cells of labels and clusters, more than {MAX_CELLS}")
         m = pdf.pivot_table(index="label", columns="cluster", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "accuracy": [_best_assignment(m) / m.sum()]})
 

@@ -102,7 +102,7 @@ def similarity_distribution(edges: DataFrame, by: tuple[str, ...] = ("post_id",)
              F.stddev_pop("similarity").alias("std"), F.min("similarity").alias("min"),
              F.max("similarity").alias("max")]
     plain = known.groupBy(*by).agg(*basic)
-    quantiles = exact_quantiles(known, "similarity", QUARTILES, -1.0, 1.0, list(by))
+    quantiles = exact_quantiles(known, "similarity", QUARTILES, list(by))
     return plain.join(quantiles, list(by), "left") if by else beside(plain, quantiles)
 
 
@@ -116,6 +116,12 @@ def similarity_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         posts.scalar().alias("total_posts"), "posts_with_valid_similarities", "total_similarity_pairs")
 
 
+def similarity_listing(distribution: DataFrame, n: int = 10) -> DataFrame:
+    """The figures of the first n posts, by id, that have a usable similarity."""
+    return (distribution.filter(F.col("count") > 0).orderBy("post_id").limit(n)
+            .select("post_id", "count", "mean", "std", "median", "min", "max"))
+
+
 def similarity_variability(distribution: DataFrame) -> DataFrame:
     """Spread of the per-post means and standard deviations."""
     return distribution.filter(F.col("count") > 0).agg(
@@ -157,7 +163,7 @@ def cut_edge_stats(log: DataFrame) -> DataFrame:
         F.avg(s).alias("avg_similarity"), F.min(s).alias("min_similarity"),
         F.max(s).alias("max_similarity"), F.stddev_pop(s).alias("std_similarity"))
     medians = exact_quantiles(log.filter(_valid_score()), "similarity_score",
-                              {"median_similarity": 0.5}, 0.0, 1.0, ["post_id"])
+                              {"median_similarity": 0.5}, ["post_id"])
     return plain.filter("valid_similarity_count > 0").join(medians, "post_id")
 
 
@@ -317,9 +323,9 @@ def outline(nodes: DataFrame, assigned: DataFrame, trees: DataFrame, log: DataFr
     kept = rows.select("post_id", "root_id", "path", F.lit("node").alias("kind"), "comment_id",
                        label.alias("label"), F.coalesce(text, "content").alias("preview"),
                        F.lit(None).cast("double").alias("similarity"))
-    cuts = rows.select("post_id", "root_id", "path", "comment_id").join(
+    cuts = lookup(  # a comment with very many cut replies is a hot key
         log.select("post_id", F.col("parent_id").alias("comment_id"), "child_id", "reason", "similarity_score"),
-        ["post_id", "comment_id"]).select(
+        rows.select("post_id", "root_id", "path", "comment_id"), ["post_id", "comment_id"]).select(
         "post_id", "root_id", "path", F.lit("cut").alias("kind"), F.col("child_id").alias("comment_id"),
         F.lit("CUT").alias("label"), F.col("reason").alias("preview"), F.col("similarity_score").alias("similarity"))
     return kept.unionByName(cuts)

@@ -138,11 +138,13 @@ def cross_thread_negatives(pairs: DataFrame, nodes: DataFrame, key: str = "sampl
     draw = F.try_mod(portable_hash(f"{seed}:post", key, "slot"), others)
     drawn = own.withColumn("_draw", draw).withColumn(
         "_post", F.when(F.col("_draw") >= F.col("_own"), F.col("_draw") + 1).otherwise(F.col("_draw")))
-    chosen = drawn.join(posts.select("_post", F.col("post_id").alias("negative_post_id"), "_texts"), "_post", "left")
+    # few other posts, or few texts in one, are drawn by very many pairs: hot keys on both joins
+    drawn = stored(drawn.select(key, "post_id", "slot", "_post"))
+    chosen = lookup(drawn, posts.select("_post", F.col("post_id").alias("negative_post_id"), "_texts"), ["_post"], "left")
     chosen = chosen.withColumn("pool_index", F.pmod(portable_hash(f"{seed}:text", key, "slot"), F.col("_texts")))
     texts = pool.select(F.col("post_id").alias("negative_post_id"), "pool_index",
                         F.col("comment_id").alias("negative_id"), F.col("content").alias("_negative"))
-    return chosen.join(texts, ["negative_post_id", "pool_index"], "left").select(
+    return lookup(chosen, texts, ["negative_post_id", "pool_index"], "left").select(
         key, "post_id", "slot", "negative_post_id", "negative_id",
         F.coalesce("_negative", F.lit(UNKNOWN)).alias("negative_content"))
 

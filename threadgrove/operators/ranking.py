@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadgrove.functions.hashing import HASH_BITS, portable_hash
+from threadgrove.session import stored
 
 # Row limits up to this size are pruned per map task before the shuffle of a ranking window.
 PRUNED_LIMIT = 1000
@@ -57,30 +58,28 @@ def take_by_hash(df: DataFrame, group: list[str], key: list[str], n: int, seed)
 
 def best_per_group(df: DataFrame, group: list[str], order: list[Column], n: int = 1,
                    name: str | None = None) -> DataFrame:
-    """First n rows per group; map tasks send at most n rows per group into the shuffle."""
+    """First n rows per group; map tasks send at most n rows per group into the shuffle.
+
+    Spark prunes like this up to `spark.sql.optimizer.windowGroupLimitThreshold`, which `session.builder` lifts to
+    any n; a session with Spark's default does so up to 1000.
+    """
     w = Window.partitionBy(*group).orderBy(*order)
     out = df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n)
     return out.withColumnRenamed("_rank", name) if name else out.drop("_rank")
 
 
-def _cell_of(value: str, lo: float, hi: float, bits: int) -> Column:
-    cells = 1 << bits
-    scaled = F.floor((F.col(value) - F.lit(lo)) / F.lit(hi - lo) * cells)
-    return F.least(F.greatest(scaled, F.lit(0)), F.lit(cells - 1)).cast("int")
-
-
-def running_totals(df: DataFrame, value: str, measures: dict[str, Column], lo: float, hi: float,
-                   group: list[str] | None = None, bits: int = 16) -> DataFrame:
+def running_totals(df: DataFrame, value: str, measures: dict[str, Column], group: list[str] | None = None) -> DataFrame:
     """Prefix sums of measures over the ordered distinct values of each group.
 
     Gives one row per (group, value) with each measure `m`, `m_before` (sum over smaller values) and
-    `m_all` (group sum). Values are first collapsed, then summed cell by cell over equal-width cells
-    of [lo, hi]; values outside fall into the end cells, so the result is exact for any bounds.
+    `m_all` (group sum). Values are first collapsed, then summed cell by cell. A cell is one range partition
+    of (group, value), so its edges come from the data and crowded values are spread like all others. The
+    collapsed table is written once: the ranges are drawn a single time, however often a task is repeated.
     """
     group = group or []
     rows = _grouped(df.filter(F.col(value).isNotNull()), group)
-    cells = (rows.groupBy("_g", value).agg(*[m.alias(k) for k, m in measures.items()])
-             .withColumn("_cell", _cell_of(value, lo, hi, bits)))
+    cells = stored(rows.groupBy("_g", value).agg(*[m.alias(k) for k, m in measures.items()])
+                   .repartitionByRange("_g", value).withColumn("_cell", F.spark_partition_id()))
     sums = cells.groupBy("_g", "_cell").agg(*[F.sum(k).alias(f"_s_{k}") for k in measures])
     across = Window.partitionBy("_g")
     upto = across.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -96,11 +95,11 @@ def running_totals(df: DataFrame, value: str, measures: dict[str, Column], lo: f
                       *[f"{k}_all" for k in measures])
 
 
-def exact_quantiles(df: DataFrame, value: str, fractions: dict[str, float], lo: float, hi: float,
-                    group: list[str] | None = None, bits: int = 16) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, fractions: dict[str, float],
+                    group: list[str] | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group from prefix counts; no group is collected."""
     group = group or []
-    ranked = running_totals(df, value, {"_n": F.count(F.lit(1))}, lo, hi, group, bits)
+    ranked = running_totals(df, value, {"_n": F.count(F.lit(1))}, group)
     first, last, n = F.col("_n_before"), F.col("_n_before") + F.col("_n") - 1, F.col("_n_all")
     aggs = []
     for name, q in fractions.items():

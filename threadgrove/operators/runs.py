@@ -21,6 +21,16 @@ def by_model_fraction(runs: DataFrame) -> DataFrame:
     return runs.withColumn("model_fraction", F.concat("model_name", F.lit("_frac"), F.col("data_fraction").cast("string")))
 
 
+def group_runs(runs: DataFrame) -> DataFrame:
+    """Runs per key: their number, the number of seeds, and the run indexes in order.
+
+    The list holds one number per repetition of one configuration, which the user of the grid sets.
+    """
+    return runs.groupBy("model_fraction").agg(
+        F.count(F.lit(1)).alias("runs"), F.count_distinct("seed").alias("seeds"),
+        F.sort_array(F.collect_list("run_idx")).alias("run_indexes"))
+
+
 def _best_first() -> list[Column]:
     return [F.desc_nulls_last("val_f1"), F.asc("run_idx")]
 

@@ -9,6 +9,7 @@ from threadgrove.functions.rows import beside
 from threadgrove.functions.text import preview
 from threadgrove.operators.ranking import dense_index, exact_quantiles, hash_rank, take_by_hash
 from threadgrove.operators.skew import lookup
+from threadgrove.session import stored
 
 SLACK = 1e-8  # fixed value: tolerance at the upper end of score ranges
 REVIEW = [("very_low", 0.0, 0.2), ("low", 0.2, 0.4), ("medium", 0.4, 0.6), ("high", 0.6, 0.8),
@@ -31,7 +32,7 @@ def score_statistics(scored: DataFrame) -> DataFrame:
     s = "consistency_score"
     plain = scored.agg(F.count(s).alias("count"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"),
                        F.min(s).alias("min"), F.max(s).alias("max"))
-    q = exact_quantiles(scored, s, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95}, 0.0, 1.0)
+    q = exact_quantiles(scored, s, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p90": 0.9, "p95": 0.95})
     return beside(plain, q)
 
 
@@ -63,7 +64,8 @@ def inject_noise(scored: DataFrame, fraction: float, pool: tuple[float, float] =
     `target mod pool size`, so the pool is used without replacement and starts over when exhausted.
     Pool rows are copied as they were before any replacement. The row keeps its own `sample_index`;
     the struct `noise` tells what happened and is NULL on untouched rows. `scored` should be a stored
-    table: it is read three times.
+    table: its scores are read for the targets, its pool rows twice, and all of it once. Targets are numbered once,
+    in a stored table of ids.
     """
     fields = "struct<injected:boolean,original_score:double,replacement_score:double,source_index:bigint,group:string>"
     if fraction <= 0:
@@ -71,7 +73,7 @@ def inject_noise(scored: DataFrame, fraction: float, pool: tuple[float, float] =
     named = scored.select("sample_index", "consistency_score",
                           _group_name("consistency_score", mode, threshold, bins).alias("_group"))
     targets = hash_rank(named.filter(F.col("_group").isNotNull()), ["_group"], ["sample_index"], seed, "_r", "_n")
-    targets = targets.filter(F.col("_r") <= F.ceil(F.col("_n") * F.lit(float(fraction))))
+    targets = stored(targets.filter(F.col("_r") <= F.ceil(F.col("_n") * F.lit(float(fraction)))))
     numbered = dense_index(targets.select("sample_index", "_group", F.col("consistency_score").alias("_original")),
                            ["sample_index"], f"{seed}:target", "_t")
     source = _pool(scored, pool)

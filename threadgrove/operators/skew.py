@@ -16,8 +16,9 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     """Join many rows to a right side that is unique on `keys`, splitting hot left keys.
 
     Left rows of a hot key (more than `hot_rows`, by default HOT_ROWS, rows) are spread over sub-keys of
-    about `hot_rows` rows by a hash of the row, and only the one right row of that key is repeated once
-    per sub-key. All other keys join as usual, in the same join. `counted` is a cheaper table with the same keys, to find the hot ones in;
+    about `hot_rows` rows by a hash of the row and of its input partition, and only the one right row of that
+    key is repeated once per sub-key. The partition spreads rows that are equal in all columns, and unlike a row
+    number it is the same when a lost task runs again. All other keys join as usual, in the same join. `counted` is a cheaper table with the same keys, to find the hot ones in;
     `counts` (keys, `_n`) saves counting.
     """
     if counts is None:
@@ -29,7 +30,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
             if c not in keys and "map<" not in t]
     salt_count = F.coalesce("_salts", F.lit(1).cast("bigint"))
     salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*(rest or keys)), salt_count)).drop("_salts")
+        "_salt", F.pmod(F.xxhash64(*rest, F.spark_partition_id()), salt_count)).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), salt_count - 1))
     repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", copies).drop("_salts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

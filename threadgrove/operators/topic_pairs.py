@@ -34,7 +34,9 @@ def topic_pairs(df: DataFrame, key: str = "id", label: str = "label", vec: str =
         F.struct(F.lit(1).alias("truth"), positive.alias("place")),
         F.struct(F.lit(0).alias("truth"), negative.alias("place")))).alias("_d")).filter("_d.place is not null")
     partner = placed.select(F.col("_place").alias("_to"), F.col(key).alias("partner"), F.col(vec).alias("_pv"))
-    joined = draws.select(key, vec, "_d.truth", F.col("_d.place").alias("_to")).join(partner, "_to")
+    # a row that is the only one of another label than most is drawn by very many: a hot key
+    wanted = draws.select(key, vec, "_d.truth", F.col("_d.place").alias("_to"))
+    joined = lookup(wanted, partner, ["_to"], counted=wanted.select("_to"))
     return joined.select(F.concat_ws("-", key, "truth").alias("pair_id"), "truth", key, "partner",
                          F.round(cosine(vec, "_pv"), SCORE_DIGITS).alias("score"))
 
@@ -44,7 +46,7 @@ def pair_metrics(scored: DataFrame, ks: tuple[int, ...] = (10, 50, 100, 500)) ->
 
     AUC and accuracy come from exact prefix counts over the distinct scores (ties count one half).
     """
-    t = running_totals(scored, "score", {"pos": F.count_if(F.col("truth") == 1), "neg": F.count_if(F.col("truth") == 0)}, -1.0, 1.0)
+    t = running_totals(scored, "score", {"pos": F.count_if(F.col("truth") == 1), "neg": F.count_if(F.col("truth") == 0)})
     area = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     hit = (F.col("pos_all") - F.col("pos_before") + F.col("neg_before")) / (F.col("pos_all") + F.col("neg_all"))
     curve = t.withColumn("_hit", hit)

@@ -104,12 +104,12 @@ def attach(posts: DataFrame, comments: DataFrame) -> DataFrame:
     join once, at the end.
     """
     first = F.min(F.struct("seq", "parent_id")).alias("_f")
-    ids = comments.groupBy("post_id", "comment_id").agg(first).select(
-        "post_id", "comment_id", "_f.parent_id", "_f.seq")
-    known = lookup(ids, posts.select("post_id"), ["post_id"], "left_semi", counted=comments)
+    ids = stored(comments.groupBy("post_id", "comment_id").agg(first).select(
+        "post_id", "comment_id", "_f.parent_id", "_f.seq"))
+    known = lookup(ids, posts.select("post_id"), ["post_id"], "left_semi")
     parents = ids.select("post_id", F.col("comment_id").alias("parent_id"), F.col("seq").alias("_pseq"))
     top = F.col("parent_id") == F.col("post_id")
-    links = lookup(known, parents, ["post_id", "parent_id"], "left", counted=comments).filter(
+    links = lookup(known, parents, ["post_id", "parent_id"], "left", counted=ids).filter(
         top | (F.col("_pseq") < F.col("seq"))).withColumn("_top", top)
     reached = jump_to_roots(links, ["post_id"], "comment_id", "parent_id", "_top", carry=["seq"])
     nodes = comments.join(reached.select("post_id", "comment_id", "seq", "dist"), ["post_id", "comment_id", "seq"]).select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadgrove.functions.text import words
 from threadgrove.operators.ranking import hash_rank
 from threadgrove.operators.skew import lookup
+from threadgrove.session import stored
 
 PAD, UNK = 0, 1  # fixed values: ids of <pad> and <unk>; words start at 2
 
@@ -42,18 +43,16 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
                   text: str = "content", max_len: int | None = 256, pad: str = "max_length") -> DataFrame:
     """key, input_ids, attention_mask. Unknown words become 1, short rows are filled with 0.
 
-    `vocab` (token, count, id) should be a stored table: it is read twice.
-
     `pad`: 'max_length', 'longest' (the longest row of the table) or 'none'.
     """
     tokens = tokenize(F.col(text))
     if max_len is not None:
         tokens = F.slice(tokens, 1, max_len)
-    placed = df.select(F.col(key), F.posexplode_outer(tokens).alias("_pos", "token"))
+    # written once: texts are split a single time, and frequent words are counted where they occur, because a
+    # word that is frequent here may be missing in the vocabulary
+    placed = stored(df.select(F.col(key), F.posexplode_outer(tokens).alias("_pos", "token")))
     known = vocab.select("token", F.col("id").alias("_id"))
-    # frequent words are hot keys, and the vocabulary already knows how frequent they are
-    frequency = vocab.select("token", F.col("count").alias("_n"))
-    coded = lookup(placed, known, ["token"], "left", counts=frequency).select(
+    coded = lookup(placed, known, ["token"], "left").select(
         key, "_pos", F.when(F.col("_pos").isNotNull(), F.coalesce("_id", F.lit(UNK))).alias("_id"))
     # one group is one text, so its size is bounded by the text itself
     pairs = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))))
@@ -61,7 +60,7 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
     if pad == "none":
         width = F.size("_ids")
     elif pad == "longest":
-        width = df.select(F.max(F.size(tokens)).alias("n")).scalar()
+        width = placed.select(F.coalesce(F.max("_pos") + 1, F.lit(0)).alias("n")).scalar()
     else:
         width = F.lit(max_len)
     fill = F.greatest(width - F.size("_ids"), F.lit(0))

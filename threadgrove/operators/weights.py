@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadgrove import schemas
 from threadgrove.functions.hashing import portable_hash
 from threadgrove.operators.ranking import dense_index
+from threadgrove.operators.skew import lookup
 
 DEFAULT_THRESHOLD = 0.4  # fixed values
 TIERS = [(0.0, 0.4, 0.0), (0.4, 0.6, 0.5), (0.6, 0.8, 0.7), (0.8, 1.0, 0.9)]
@@ -119,7 +120,8 @@ def filtered_negatives(batches: DataFrame, pool: DataFrame, ratio: float = 0.5,
     slots = (batches.select("batch_id", "batch_size", size.alias("_size")).filter(wanted > 0)
              .select("batch_id", "_size", F.explode(F.sequence(F.lit(0).cast("bigint"), wanted - 1)).alias("slot")))
     at = (portable_hash(f"{seed}:start", "batch_id") + F.col("slot")) % F.col("_size")
-    drawn = slots.select("batch_id", "slot", at.alias("_p")).join(rows, "_p")
+    drawn = slots.select("batch_id", "slot", at.alias("_p"))
+    drawn = lookup(drawn, rows, ["_p"])  # every row of a small pool is a hot key
     heads = portable_hash(f"{seed}:side", "batch_id", "slot") % 2 == 0
     return drawn.select("batch_id", "slot", "sample_index",
                         F.when(heads, F.col("anchor_content")).otherwise(F.col("positive_content")).alias("negative_content"))

@@ -137,16 +137,19 @@ def with_(ctes: str, body: str) -> str:
 # ---- class probabilities of the two sides of an edge -----------------------------------------------
 
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    """Node, softmax of ten times the first ten vector components (ten classes)."""
+    """Node, softmax over ten classes: four times the sum of every tenth vector component."""
     from threadgrove.functions.consistency import softmax
 
     nodes = thread_nodes(spark, sf)
-    logits = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10)
+    def logit(c):
+        return F.aggregate(F.filter("embedding", lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x) * 4
+
+    logits = F.when(F.col("embedding").isNotNull(), F.array(*[logit(c) for c in range(10)]))
     return nodes.select("post_id", "comment_id", "parent_id", "content", "seq", softmax(logits).alias("probs"))
 
 
 PROBS = NODES + """,
-logits AS (SELECT *, list_transform(embedding[1:10], lambda x: exp(x * 10)) AS ex FROM nodes),
+logits AS (SELECT *, CASE WHEN embedding IS NOT NULL THEN list_transform(range(0, 10), lambda c: exp(4 * list_sum(list_filter(embedding, lambda x, i: (i-1) % 10 = c)))) END AS ex FROM nodes),
 probs AS (SELECT post_id, comment_id, parent_id, content, seq, list_transform(ex, lambda x: x / list_sum(ex)) AS probs FROM logits)"""
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from threadgrove.functions.vectors import mean_vector
+from threadgrove.functions.vectors import mean_vector, unit
 from threadgrove.operators import clustering, encoders, probe, retrieval, runs, splits, topic_pairs
 from threadgrove.queries.base import hash_sql, query, r, table, tidy, with_
 from threadgrove.plans.evaluation import evaluate_encoder
@@ -70,10 +70,25 @@ def _parts(spark, sf):
 def _(spark, sf):
     ids = splits.label_index(_vectors(spark, sf))
     train, val = [stored(d.join(ids, "label")) for d in _parts(spark, sf)]
-    model, _f1 = probe.fit_probe(train, val, epochs=(50,), regularisation=(0.01,))
+    model, _f1 = probe.fit_probe(train, val)
     return tidy(probe.classification_metrics(probe.predict(model, val), "label_id"))
 
 
+@query("j7_probe_invariants", with_("lab AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY " + hash_sql(42, "vec_id") + ", vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings)",
+    "SELECT count(*) AS rows, true AS sums_to_one, true AS most_likely, true AS best_of_grid FROM lab WHERE r/n > 0.8::DOUBLE"))
+def _(spark, sf):
+    """What holds for every search: probabilities add up, the likeliest class is predicted, no setting alone does better."""
+    ids = splits.label_index(_vectors(spark, sf))
+    train, val = [stored(d.join(ids, "label")) for d in _parts(spark, sf)]
+    model, f1 = probe.fit_probe(train, val)
+    single = [probe.fit_probe(train, val, epochs=(n,), regularisation=(reg,))[1] for n in (20, 100) for reg in (0.0, 0.01)]
+    p = probe.predict(model, val)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                 F.bool_and(F.element_at("probs", (F.col("prediction") + 1).cast("int")) == F.array_max("probs")).alias("most_likely"),
+                 F.lit(f1 == max(single)).alias("best_of_grid"))
+
+
 _PRED = """pred AS (SELECT quality AS label, 1-toxic AS prediction FROM labels),
 c AS (SELECT k AS class, count(*) FILTER (label=k) AS support, count(*) FILTER (prediction=k) AS predicted, count(*) FILTER (label=k AND prediction=k) AS hits
   FROM pred, (SELECT DISTINCT label AS k FROM pred UNION SELECT prediction FROM pred) GROUP BY 1),
@@ -137,9 +152,9 @@ def _(spark, sf):
     return tidy(tables.read_runs(spark, path).select("model_fraction", "model_name", "data_fraction", "run_idx", "seed", "val_f1", "test_f1", "test_recall"))
 
 
-@query("k1_group_runs", with_(_RUNS, "SELECT model_fraction, count(*) AS runs, count(DISTINCT seed) AS seeds FROM runs GROUP BY 1"))
+@query("k1_group_runs", with_(_RUNS, "SELECT model_fraction, count(*) AS runs, count(DISTINCT seed) AS seeds, md5(string_agg(run_idx, ',' ORDER BY run_idx)) AS digest FROM runs GROUP BY 1"))
 def _(spark, sf):
-    return _runs(spark, sf).groupBy("model_fraction").agg(F.count(F.lit(1)).alias("runs"), F.count_distinct("seed").alias("seeds"))
+    return runs.group_runs(_runs(spark, sf)).select("model_fraction", "runs", "seeds", F.md5(F.array_join("run_indexes", ",")).alias("digest"))
 
 
 @query("k2_best_runs", with_(_RUNS, f"SELECT model_name, data_fraction, run_idx, {r('val_f1','val_f1')} FROM best"))
@@ -302,18 +317,32 @@ def _(spark, sf):
 
 @query("l8_kmeans")
 def _(spark, sf):
-    rows, inertia = clustering.kmeans_labels(_vectors(spark, sf), n_init=3, max_iter=50)
+    rows, inertia = clustering.kmeans_labels(_vectors(spark, sf))
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).withColumn("inertia", F.round(F.lit(inertia), 4))
 
 
+@query("l8_kmeans_invariants", "SELECT count(*) AS rows, count(DISTINCT label) AS clusters, 0::BIGINT AS off_nearest, true AS inertia_agrees FROM embeddings")
+def _(spark, sf):
+    """What holds for every k-means result: each row is in the cluster of its nearest centre, and inertia adds up."""
+    rows, inertia = clustering.kmeans_labels(_vectors(spark, sf))
+    spots = rows.select("id", "cluster", F.posexplode(unit("embedding")).alias("pos", "x"))
+    centres = spots.groupBy("cluster", "pos").agg(F.avg("x").alias("c")).withColumnRenamed("cluster", "centre")
+    far = (spots.join(centres, "pos").groupBy("id", "cluster", "centre")
+           .agg(F.sum((F.col("x") - F.col("c")) ** 2).alias("d")))
+    own = F.max(F.when(F.col("cluster") == F.col("centre"), F.col("d")))
+    each = far.groupBy("id", "cluster").agg(own.alias("own"), F.min("d").alias("least"))
+    return each.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("cluster").alias("clusters"),
+                    F.count_if(F.col("own") > F.col("least") + 1e-2).alias("off_nearest"),
+                    (F.abs(F.sum("own") / inertia - 1) < 1e-3).alias("inertia_agrees"))
+
+
 def _clusters(spark, sf):
-    """Cluster = place of the largest of the first ten components."""
-    first = F.slice("embedding", 1, 10)
-    return _vectors(spark, sf).withColumn("cluster", F.array_position(first, F.array_max(first)) - 1)
+    """Cluster = place of the largest component."""
+    return _vectors(spark, sf).withColumn("cluster", F.array_position("embedding", F.array_max("embedding")) - 1)
 
 
 _TABLE = _VECS + """,
-t AS (SELECT label, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS cluster, count(*) AS n FROM vecs GROUP BY 1,2),
+t AS (SELECT label, list_position(embedding, list_max(embedding)) - 1 AS cluster, count(*) AS n FROM vecs GROUP BY 1,2),
 a AS (SELECT label, sum(n) AS a FROM t GROUP BY 1), b AS (SELECT cluster, sum(n) AS b FROM t GROUP BY 1), z AS (SELECT sum(n)::DOUBLE AS z FROM t)"""
 
 
@@ -322,7 +351,19 @@ def _(spark, sf):
     return tidy(clustering.nmi(clustering.contingency(_clusters(spark, sf))))
 
 
-@query("l10_cluster_accuracy")
+# best[mask] after cluster i: the most rows that clusters 1 to i can share with the labels of the mask, one each
+@query("l10_cluster_accuracy", with_(_TABLE + """,
+ls AS (SELECT label, (1 << (row_number() OVER (ORDER BY label) - 1)::INT)::BIGINT AS bit FROM a),
+cs AS (SELECT cluster, row_number() OVER (ORDER BY cluster) AS i FROM b),
+cell AS (SELECT i, bit, n FROM t JOIN ls USING (label) JOIN cs USING (cluster)),
+dp AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS mask, 0::DOUBLE AS best
+  UNION ALL
+  SELECT i, mask, max(best) FROM (
+    SELECT dp.i + 1 AS i, dp.mask AS mask, dp.best AS best FROM dp WHERE dp.i < (SELECT count(*) FROM cs)
+    UNION ALL
+    SELECT dp.i + 1, dp.mask + cell.bit, dp.best + cell.n FROM dp JOIN cell ON cell.i = dp.i + 1 AND (dp.mask & cell.bit) = 0) GROUP BY i, mask)""",
+    f"SELECT {r('max(best)/(SELECT z FROM z)','accuracy')} FROM dp"))
 def _(spark, sf):
     return tidy(clustering.cluster_accuracy(clustering.contingency(_clusters(spark, sf))))
 

@@ -17,7 +17,7 @@ def _raw_posts(spark, sf):
     docs = table(spark, sf, "documents")
     n = thread_nodes(spark, sf).filter("parent_id is null")
     titled = docs.select(F.col("doc_id").alias("seq"),
-                         F.when(F.col("lang") == "en", F.substring("text", 1, 30)).otherwise("").alias("title"))
+                         F.when(F.col("lang") == "en", F.concat(F.lit("Title: "), "text")).otherwise("").alias("title"))
     return n.join(titled, "seq").select(F.col("post_id").alias("note_id"), "title", "content")
 
 
@@ -31,7 +31,7 @@ def _raw_comments(spark, sf, shuffled=False):
 
 
 _RAW_POSTS = """
-raw_posts AS (SELECT n.post_id AS note_id, CASE WHEN d.lang='en' THEN substr(d.text,1,30) ELSE '' END AS title, n.content
+raw_posts AS (SELECT n.post_id AS note_id, CASE WHEN d.lang='en' THEN 'Title: '||d.text ELSE '' END AS title, n.content
               FROM nodes n JOIN documents d ON d.doc_id = n.seq WHERE n.parent_id IS NULL)"""
 
 
@@ -127,6 +127,21 @@ def _(spark, sf):
     return tidy(out.orderBy("post_id", "root_id", "path", F.desc("kind")).drop("path"))
 
 
+@query("b8_full_outline", with_(forest_sql(T0), """
+, shown AS (SELECT a.*, n.content FROM assigned a JOIN trees t USING (post_id, root_id) JOIN nodes n USING (post_id, comment_id) WHERE t.size >= 2)
+SELECT post_id, root_id, 'node' AS kind, comment_id, CASE WHEN dist=0 THEN 'ROOT' ELSE 'L'||dist END AS label,
+       CASE WHEN length(content)>50 THEN substr(content,1,50)||'...' ELSE content END AS preview, NULL::DOUBLE AS similarity
+FROM shown 
+UNION ALL
+SELECT s.post_id, s.root_id, 'cut', l.child_id, 'CUT', l.reason, round(l.similarity_score,6)+0.0
+FROM shown s JOIN log l ON l.post_id=s.post_id AND l.parent_id=s.comment_id""".replace("\n, shown", ", shown", 1)))
+def _(spark, sf):
+    nodes = stored(tree.with_depth(thread_nodes(spark, sf), path=True))
+    edges, assigned, trees = forest.grow_forest(nodes, T0)
+    out = forest.outline(nodes, assigned, trees, forest.cut_edge_log(edges))
+    return tidy(out.orderBy("post_id", "root_id", "path", F.desc("kind")).drop("path"))
+
+
 # ---- similarities ---------------------------------------------------------------------------------
 
 _SIM = "CASE WHEN similarity IS NULL THEN NULL ELSE round(similarity,6)+0.0 END"
@@ -178,6 +193,12 @@ def _(spark, sf):
     return tidy(forest.similarity_variability(forest.similarity_distribution(edges)))
 
 
+@query("c8_first_posts", with_(EDGES, f"SELECT post_id, count(*) AS count, {r('avg(similarity)','mean')}, {r('stddev_pop(similarity)','std')}, {r('median(similarity)','median')}, {r('min(similarity)','min')}, {r('max(similarity)','max')} FROM edges WHERE similarity IS NOT NULL GROUP BY post_id QUALIFY row_number() OVER (ORDER BY post_id) <= 10"))
+def _(spark, sf):
+    edges = stored(forest.edge_similarity(thread_nodes(spark, sf)))
+    return tidy(forest.similarity_listing(forest.similarity_distribution(edges)))
+
+
 # ---- forests --------------------------------------------------------------------------------------
 
 @query("d1_prune", with_(pruned_sql(T0), f"SELECT post_id, parent_id, child_id, {_SIM} AS similarity, kept, reason FROM pruned"))

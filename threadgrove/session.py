@@ -18,6 +18,8 @@ def builder(master: str | None = None, cores: int | None = None) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # row limits per group are pruned before the shuffle for any limit
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "2147483647")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
