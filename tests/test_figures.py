@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from threadgrove.functions.text import fraction_of
 from threadgrove.operators import skew
 from threadgrove.operators.forest import similarity_distribution, similarity_summary, similarity_variability, size_distribution
-from threadgrove.operators.retrieval import precision_at_k, rank_candidates
+from threadgrove.operators.retrieval import _hits, _sides, precision_at_k, rank_candidates
 from threadgrove.plans.rounds import variant_sweep
 
 
@@ -49,3 +49,17 @@ def test_thousands_of_hot_keys_are_split(spark):
     right = spark.range(0, 2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     out = skew.lookup(left, right, ["k"], hot_rows=2)
     assert out.count() == 12000 and out.filter("v <> 2 * k").count() == 0
+
+
+def test_string_ids_and_bounded_hits(spark):
+    """Ids may be strings; what leaves the tasks does not grow with the candidates."""
+    def rows(name, n):
+        return spark.range(n).select(F.concat(F.lit(name), "id").alias("id"), (F.col("id") % 2).cast("string").alias("label"),
+                                     F.array(F.cos("id"), F.sin("id")).alias("embedding"))
+
+    q = rows("q", 20)
+    ranked = rank_candidates(q, rows("c", 50), 3, block=7, stripes=4)
+    assert ranked.schema["candidate_id"].dataType.simpleString() == "string" and ranked.count() == 60
+    assert ranked.filter("rank = 1 and substr(query_id, 2) != substr(candidate_id, 2)").count() == 0
+    sizes = [_hits(*_sides(q, rows("c", n), "id", "label", "embedding"), 3, 7, 4).count() for n in (400, 4000)]
+    assert sizes[0] == sizes[1] == 20 * 4 * (3 + 1)

@@ -1,9 +1,9 @@
-"""Exact ranked retrieval in blocks: every query against every candidate, only short lists leave a block.
+"""Exact ranked retrieval: every query against every candidate, only short lists leave a task.
 
-Queries and candidates are cut into hash blocks of a fixed size; one task multiplies one query block
-with one candidate block. What is shuffled are the vectors (once per opposite block) and at most k rows
-per query and block. Labels play no part in the blocking, so a label with a third of the rows is no hot
-spot, and no group grows with the data.
+Queries are cut into hash blocks of a fixed size, candidates into a number of stripes set by the cluster. One
+task streams one stripe past one query block and keeps a running list of the k best, so it holds one block, one
+batch of candidates and k rows a query, and what leaves it grows with queries x stripes x k, not with the
+candidates. Labels play no part in the cutting, so a label with a third of the rows is no hot spot.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from threadgrove.functions.rows import beside
 from threadgrove.functions.vectors import unit_rows
@@ -20,86 +21,122 @@ from threadgrove.session import stored
 DIGITS = 12  # similarities are compared after rounding, so that equal vectors tie in every block
 
 
-def _sims(q: pa.Table, c: pa.Table) -> np.ndarray:
-    return np.round(unit_rows(q["embedding"]) @ unit_rows(c["embedding"]).T, DIGITS)
+def _cells(queries: DataFrame, candidates: DataFrame, block: int, stripes: int | None) -> DataFrame:
+    """Both sides as one table, sorted inside (query block, stripe): first the queries, then the candidates by id.
 
-
-def _blocks(df: DataFrame, key: str, block: int) -> tuple[Column, Column]:
-    """(block of a row, number of blocks) for blocks of about `block` rows."""
-    rows = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    count = F.greatest(F.ceil(rows / F.lit(block)), F.lit(1)).cast("int")
-    return F.pmod(F.xxhash64(key), count).cast("int"), count
-
-
-def _cells(queries: DataFrame, candidates: DataFrame, block: int):
-    """Both sides, repeated once per block of the other side and grouped by (query block, candidate block)."""
-    qb, qn = _blocks(queries, "query_id", block)
-    cb, cn = _blocks(candidates, "candidate_id", block)
-    def each(n):
-        return F.explode(F.sequence(F.lit(0), n - 1))
-
-    left = queries.withColumn("_q", qb).withColumn("_c", each(cn))
-    right = candidates.withColumn("_c", cb).withColumn("_q", each(qn))
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c"))
-
-
-_HITS = "query_id bigint, candidate_id bigint, similarity double, same boolean, kind string"
-
-
-def _hits(queries: DataFrame, candidates: DataFrame, k: int, block: int) -> DataFrame:
-    """Per query and block: the k best candidates ('top') and the best one of the same label ('match')."""
-
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        parts = []
-        if q.num_rows and c.num_rows:
-            c = c.sort_by("candidate_id")  # so that the first of equal similarities has the smallest id
-            sims = _sims(q, c)
-            qi, ci = np.asarray(q["query_id"]), np.asarray(c["candidate_id"])
-            names = q["label"].to_pylist() + c["label"].to_pylist()
-            numbers = {n: i for i, n in enumerate(dict.fromkeys(names))}
-            codes, named = np.array([numbers[n] for n in names]), np.array([n is not None for n in names])
-            same = (codes[:len(qi), None] == codes[None, len(qi):]) & named[:len(qi), None]  # a missing label equals none
-            low = np.partition(sims, -k, axis=1)[:, -k:].min(axis=1) if k < len(ci) else np.full(len(qi), -np.inf)
+    A query is repeated once per stripe, a candidate once per query block. Queries have a null `candidate_id`.
+    """
+    count = queries.sparkSession.sparkContext.defaultParallelism if stripes is None else stripes
+    rows = queries.select(F.count(F.lit(1)).alias("n")).scalar()
+    blocks = F.greatest(F.ceil(rows / F.lit(block)), F.lit(1)).cast("int")
+    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+    right = candidates.withColumn("_c", F.pmod(F.xxhash64("candidate_id"), F.lit(count)).cast("int")).withColumn(
+        "_q", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    both = left.unionByName(right, allowMissingColumns=True)
+    return both.repartition("_q", "_c").sortWithinPartitions("_q", "_c", F.asc_nulls_first("candidate_id"))
+
+
+def _stream(batches, block: int, start, advance, finish):
+    """Run `state = start(queries)`, `advance(state, candidates)` per slice and `finish(state)` over each cell."""
+    cell, held, state = None, [], None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        keys = np.stack([np.asarray(t["_q"]), np.asarray(t["_c"]), np.asarray(t["candidate_id"].is_valid())])
+        edges = np.flatnonzero((np.diff(keys.astype(np.int64), axis=1) != 0).any(axis=0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, t.num_rows]):
+            if lo == hi:
+                continue
+            part, here = t.slice(lo, hi - lo), (int(keys[0, lo]), int(keys[1, lo]))
+            if here != cell:
+                if state is not None:
+                    yield from finish(state)
+                cell, held, state = here, [], None
+            if not keys[2, lo]:
+                held.append(part)
+                continue
+            if held:  # the first candidates of a cell that has queries
+                state, held = start(pa.concat_tables(held)), []
+            if state is not None:
+                for at in range(0, part.num_rows, block):
+                    advance(state, part.slice(at, block))
+    if state is not None:
+        yield from finish(state)
+
+
+def _hits(queries: DataFrame, candidates: DataFrame, k: int, block: int, stripes: int | None = None) -> DataFrame:
+    """Per query and stripe: the k best candidates ('top') and the best one of the same label ('match')."""
+    ids = {c: d.schema[c].dataType for d, c in ((queries, "query_id"), (candidates, "candidate_id"))}
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in ids.items()) + ", similarity double, same boolean, kind string"
+
+    def best(sims, names, same, n):
+        """The n largest similarities a row, earlier columns first among equal ones."""
+        if sims.shape[1] > n:
+            low = np.partition(sims, -n, axis=1)[:, -n:].min(axis=1)
             rows, cols = np.nonzero(sims >= low[:, None])
             order = np.lexsort((cols, -sims[rows, cols], rows))
             rows, cols = rows[order], cols[order]
-            first = np.searchsorted(rows, np.arange(len(qi)))
-            keep = np.arange(len(rows)) - first[rows] < k
-            parts.append(("top", rows[keep], cols[keep]))
-            best = np.where(same, sims, -np.inf).argmax(axis=1)
-            some = np.flatnonzero(same.any(axis=1))
-            parts.append(("match", some, best[some]))
-        hit = [(kind, qi[r], ci[x], sims[r, x], same[r, x]) for kind, r, x in parts]
-        def column(i, kind):
-            return pa.array(np.concatenate([h[i] for h in hit]) if hit else [], kind)
-
-        return pa.table({"query_id": column(1, pa.int64()), "candidate_id": column(2, pa.int64()),
-                         "similarity": column(3, pa.float64()), "same": column(4, pa.bool_()),
-                         "kind": pa.array([h[0] for h in hit for _ in h[1]], pa.string())})
-
-    return _cells(queries, candidates, block).applyInArrow(cell, _HITS)
+            keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(sims)))[rows] < n
+            cols = cols[keep].reshape(len(sims), n)
+            sims, names, same = [np.take_along_axis(x, cols, axis=1) for x in (sims, names, same)]
+        return sims, names, same
+
+    def start(q):
+        labels = q["label"].to_pylist()
+        numbers = {n: i for i, n in enumerate(dict.fromkeys(x for x in labels if x is not None))}
+        n, kind = q.num_rows, object
+        return {"unit": unit_rows(q["embedding"]), "ids": q["query_id"], "numbers": numbers,
+                "label": np.array([numbers.get(x, -1) for x in labels])[:, None],  # a missing label equals none
+                "top": (np.empty((n, 0)), np.empty((n, 0), kind), np.empty((n, 0), bool)),
+                "match": (np.full((n, 1), -np.inf), np.full((n, 1), None, kind), np.zeros((n, 1), bool))}
+
+    def advance(state, c):
+        sims = np.round(state["unit"] @ unit_rows(c["embedding"]).T, DIGITS)
+        names = np.broadcast_to(np.array(c["candidate_id"].to_pylist(), object), sims.shape)
+        same = state["label"] == np.array([state["numbers"].get(x, -2) for x in c["label"].to_pylist()])
+        # candidates come in the order of their ids, so what is held already wins ties
+        held, fresh = state["top"], best(sims, names, same, k)
+        state["top"] = best(*[np.hstack(x) for x in zip(held, fresh)], k)
+        fresh = best(np.where(same, sims, -np.inf), names, same, 1)
+        state["match"] = best(*[np.hstack(x) for x in zip(state["match"], fresh)], 1)
+
+    def finish(state):
+        for kind in ("top", "match"):
+            sims, names, same = state[kind]
+            rows, cols = np.nonzero(np.ones_like(same) if kind == "top" else same)
+            yield pa.RecordBatch.from_arrays([
+                pa.concat_arrays(state["ids"].chunks).take(pa.array(rows)),
+                pa.array(names[rows, cols].tolist(), to_arrow_type(ids["candidate_id"])),
+                pa.array(sims[rows, cols], pa.float64()), pa.array(same[rows, cols], pa.bool_()),
+                pa.array([kind] * len(rows), pa.string())], ["query_id", "candidate_id", "similarity", "same", "kind"])
+
+    def run(batches):
+        yield from _stream(batches, block, start, advance, finish)
+
+    return _cells(queries, candidates, block, stripes).mapInArrow(run, schema)
 
 
 def _sides(queries: DataFrame, candidates: DataFrame, id_col: str, label: str, vec: str):
     def side(df, name):
+        key = F.col(id_col) if dict(df.dtypes)[id_col] == "string" else F.col(id_col).cast("bigint")
         return df.filter(F.col(vec).isNotNull()).select(
-            F.col(id_col).cast("bigint").alias(name), F.col(label).cast("string").alias("label"),
-            F.col(vec).alias("embedding"))
+            key.alias(name), F.col(label).cast("string").alias("label"), F.col(vec).alias("embedding"))
 
     return side(queries, "query_id"), side(candidates, "candidate_id")
 
 
-
-
 def _merge(hits: DataFrame, kind: str, k: int) -> DataFrame:
     rows = hits.filter(F.col("kind") == kind).drop("kind")
     return best_per_group(rows, ["query_id"], [F.desc("similarity"), F.asc("candidate_id")], k, "rank")
 
 
 def rank_candidates(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "id", label: str = "label",
-                    vec: str = "embedding", block: int = 2048) -> DataFrame:
-    """The k most similar candidates of every query, best first; ties go to the smaller candidate id."""
-    return _merge(_hits(*_sides(queries, candidates, id_col, label, vec), k, block), "top", k)
+                    vec: str = "embedding", block: int = 2048, stripes: int | None = None) -> DataFrame:
+    """The k most similar candidates of every query, best first; ties go to the smaller candidate id.
+
+    Ids are numbers or strings. `stripes` is the number of candidate parts, by default the cores of the cluster.
+    """
+    return _merge(_hits(*_sides(queries, candidates, id_col, label, vec), k, block, stripes), "top", k)
 
 
 def precision_at_k(ranked: DataFrame, queries: int | Column, ks: tuple[int, ...] = (1, 3, 5, 10),
@@ -117,7 +154,8 @@ def precision_at_k(ranked: DataFrame, queries: int | Column, ks: tuple[int, ...]
         (F.coalesce("_hits", F.lit(0)) / F.least("k", size) / total).alias("precision"))
 
 
-def reciprocal_ranks(queries: DataFrame, candidates: DataFrame, hits: DataFrame, k: int, block: int) -> DataFrame:
+def reciprocal_ranks(queries: DataFrame, candidates: DataFrame, hits: DataFrame, k: int, block: int,
+                     stripes: int | None = None) -> DataFrame:
     """1 / rank of the first same-label candidate per query; 0 without one.
 
     When that candidate is among the k best, its rank is known. Only for the other queries a second
@@ -127,18 +165,26 @@ def reciprocal_ranks(queries: DataFrame, candidates: DataFrame, hits: DataFrame,
     known = _merge(hits, "top", k).filter("same").groupBy("query_id").agg(F.min("rank").alias("_rank"))
     state = stored(queries.join(best, "query_id", "left").join(known, "query_id", "left"))
 
-    def ahead(q: pa.Table, c: pa.Table) -> pa.Table:
-        ids, counts = [], []
-        if q.num_rows and c.num_rows:
-            sims = _sims(q, c)
-            sim, own = np.asarray(q["_sim"])[:, None], np.asarray(q["_id"])[:, None]
-            ci = np.asarray(c["candidate_id"])[None, :]
-            before = ((sims > sim) | ((sims == sim) & (ci < own))) & (ci != own)
-            ids, counts = q["query_id"].to_pylist(), before.sum(axis=1).tolist()
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "ahead": pa.array(counts, pa.int64())})
+    ids = state.schema["query_id"].dataType.simpleString()
+
+    def start(q):
+        return {"unit": unit_rows(q["embedding"]), "ids": pa.concat_arrays(q["query_id"].chunks), "sim": np.asarray(q["_sim"])[:, None],
+                "own": np.array(q["_id"].to_pylist(), object)[:, None], "ahead": np.zeros(q.num_rows, np.int64)}
+
+    def advance(cell, c):
+        sims = np.round(cell["unit"] @ unit_rows(c["embedding"]).T, DIGITS)
+        names = np.array(c["candidate_id"].to_pylist(), object)[None, :]
+        before = (sims > cell["sim"]) | ((sims == cell["sim"]) & (names < cell["own"]))
+        cell["ahead"] += (before & (names != cell["own"])).sum(axis=1)
+
+    def finish(cell):
+        yield pa.RecordBatch.from_arrays([cell["ids"], pa.array(cell["ahead"])], ["query_id", "ahead"])
+
+    def run(batches):
+        yield from _stream(batches, block, start, advance, finish)
 
     open_ = state.filter("_rank is null and _id is not null").select("query_id", "embedding", "_id", "_sim")
-    counted = _cells(open_, candidates, block).applyInArrow(ahead, "query_id bigint, ahead bigint")
+    counted = _cells(open_, candidates, block, stripes).mapInArrow(run, f"query_id {ids}, ahead bigint")
     ranks = counted.groupBy("query_id").agg((F.sum("ahead") + 1).alias("_far"))
     rank = F.coalesce(F.col("_rank").cast("bigint"), F.col("_far"))
     return state.join(ranks, "query_id", "left").select(
@@ -146,15 +192,15 @@ def reciprocal_ranks(queries: DataFrame, candidates: DataFrame, hits: DataFrame,
 
 
 def evaluate(queries: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), id_col: str = "id",
-             label: str = "label", vec: str = "embedding", block: int = 2048) -> DataFrame:
+             label: str = "label", vec: str = "embedding", block: int = 2048, stripes: int | None = None) -> DataFrame:
     """One row: mean precision per k, mean reciprocal rank, number of queries."""
     q, c = _sides(queries, candidates, id_col, label, vec)
     k = max(ks)
-    hits = stored(_hits(q, c, k, block))
+    hits = stored(_hits(q, c, k, block, stripes))
     total, size = [d.select(F.count(F.lit(1)).alias("n")).scalar() for d in (q, c)]
     precision = precision_at_k(_merge(hits, "top", k), total, ks, size)
     wide = precision.agg(
         *[F.max(F.when(F.col("k") == x, F.col("precision"))).alias(f"precision_at_{x}") for x in ks])
-    mrr = reciprocal_ranks(q, c, hits, k, block).agg(
+    mrr = reciprocal_ranks(q, c, hits, k, block, stripes).agg(
         F.avg("reciprocal_rank").alias("mrr"), F.count(F.lit(1)).alias("sample_count"))
     return beside(wide, mrr)
