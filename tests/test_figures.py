@@ -6,7 +6,8 @@ from threadgrove.functions.text import fraction_of
 from threadgrove.operators import skew
 from threadgrove.operators.forest import similarity_distribution, similarity_summary, similarity_variability, size_distribution
 from threadgrove.operators.retrieval import _hits, _sides, precision_at_k, rank_candidates
-from threadgrove.plans.rounds import variant_sweep
+from threadgrove.plans.rounds import run_rounds, variant_sweep
+from threadgrove.sources.tables import normalise_pairs, unreadable_pairs
 
 
 def test_missing_labels_match_nothing_and_k_is_clipped(spark):
@@ -63,3 +64,25 @@ def test_string_ids_and_bounded_hits(spark):
     assert ranked.filter("rank = 1 and substr(query_id, 2) != substr(candidate_id, 2)").count() == 0
     sizes = [_hits(*_sides(q, rows("c", n), "id", "label", "embedding"), 3, 7, 4).count() for n in (400, 4000)]
     assert sizes[0] == sizes[1] == 20 * 4 * (3 + 1)
+
+
+def test_noise_copy_leaves_the_round_alone_and_noise_is_carried(spark, tmp_path):
+    rows = [(i, f"a{i}", f"b{i}", [1.0, 0.0], [1.0, 0.0] if i < 8 else [0.0, 1.0]) for i in range(12)]
+    pairs = spark.createDataFrame(rows, "sample_index long, anchor_content string, positive_content string, "
+                                        "anchor_probs array<double>, positive_probs array<double>")
+    common = {"strategy": "threshold", "threshold": 0.5, "method": "simple_dot_product"}
+    noise = {"fraction": 0.5, "pool": (0.0, 0.1), "mode": "all_above_threshold"}
+    run_rounds(pairs, str(tmp_path), [{**common, "noise_copy": noise}, {**common, "noise": noise}])
+    last = run_rounds(None, str(tmp_path), [common], start=3, spark=spark)
+    out = spark.read.parquet(str(tmp_path)).groupBy("round", "variant").agg(
+        F.count("noise.source_index").alias("n"), F.count(F.lit(1)).alias("rows"))
+    got = {(r["round"], r.variant): (r.n, r["rows"]) for r in out.collect()}
+    assert got == {(1, "main"): (0, 12), (1, "noise_eval"): (4, 12), (2, "main"): (4, 12), (3, "main"): (4, 12)}
+    assert last.filter("size(training_rounds) = 3 and consistency_score < 0.5").count() == 8
+
+
+def test_node_center_pairs_pass_normalisation(spark):
+    rows = spark.createDataFrame([(0, "p", "r", "text", 3, "node_center"), (1, "p", None, "text", 3, "node_center")],
+                                 "sample_index long, post_id string, root_id string, anchor_content string, subtree_size long, pair_type string")
+    assert [r.sample_index for r in normalise_pairs(rows).collect()] == [0]
+    assert unreadable_pairs(rows).first().asDict() == {"pairs": 2, "dropped": 1}

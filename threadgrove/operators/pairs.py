@@ -65,7 +65,8 @@ def node_center_pairs(nodes: DataFrame, assigned: DataFrame, trees: DataFrame, m
     rows = _in_large_subtrees(_cleaned(nodes, min_length, stop_list), assigned, trees, max(min_size, 3))
     rows = cap(rows, ["post_id", "root_id"], ["post_id", "comment_id"], per_subtree, seed)
     return rows.select("post_id", "root_id", F.col("comment_id").alias("node_id"),
-                       F.col("_text").alias("anchor_content"), F.col("size").alias("subtree_size"))
+                       F.col("_text").alias("anchor_content"), F.col("size").alias("subtree_size"),
+                       F.lit("node_center").alias("pair_type"))
 
 
 def center_members(nodes: DataFrame, assigned: DataFrame, trees: DataFrame, min_size: int = 3,
@@ -160,8 +161,8 @@ def batch_rows(df: DataFrame, size: int, key: list[str], seed: int = 42) -> Data
 def to_batches(df: DataFrame, size: int, key: list[str], seed: int = 42) -> DataFrame:
     """One row per batch with arrays of texts, post ids and indices; a group has `size` rows at most.
 
-    Understands parent/child pairs (`positive_content`), pairs with a list (`positive_content_list`)
-    and single texts (`content`).
+    Understands parent/child pairs (`positive_content`), pairs with a list (`positive_content_list`),
+    node/centre pairs that name their centre by (`post_id`, `root_id`), and single texts (`content`).
     """
     rows = batch_rows(df, size, key, seed)
     anchor = "anchor_content" if "anchor_content" in df.columns else "content"
@@ -175,6 +176,8 @@ def to_batches(df: DataFrame, size: int, key: list[str], seed: int = 42) -> Data
         fields["negative_texts"] = F.transform("negatives", lambda x: text_or(x))
     if "post_id" in df.columns:
         fields["post_ids"] = F.col("post_id")
+    if "root_id" in df.columns:
+        fields["root_ids"] = F.col("root_id")
     if "sample_index" in df.columns:
         fields["sample_indices"] = F.col("sample_index")
     items = F.sort_array(F.collect_list(F.struct("position", *[c.alias(k) for k, c in fields.items()])))

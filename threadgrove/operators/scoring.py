@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadgrove.functions.consistency import consistency
@@ -27,6 +29,41 @@ def score_pairs(pairs: DataFrame, method: str = "confidence_weighted_dot_product
     return pairs.withColumn("consistency_score", consistency("anchor_probs", "positive_probs", method))
 
 
+def attach_probabilities(pairs: DataFrame, classify: Callable[[DataFrame], DataFrame], anchor: str = "anchor_content",
+                         positive: str = "positive_content") -> DataFrame:
+    """Add `anchor_probs` and `positive_probs`, the classes of both texts of every pair.
+
+    `classify` gets the distinct texts as (text_key, content) and adds `probs`; a text that occurs in very many
+    pairs is classified once and its rows are split. A missing text has no probabilities.
+    """
+    names = [c for c in pairs.columns if c not in ("anchor_probs", "positive_probs")]
+    keyed = stored(pairs.select(*names, *[F.md5(c).alias(k) for c, k in ((anchor, "_a"), (positive, "_b"))]))
+    side = F.explode(F.array(*[F.struct(F.col(k).alias("text_key"), F.col(c).alias("content"))
+                               for c, k in ((anchor, "_a"), (positive, "_b"))]))
+    texts = (keyed.select(side.alias("_t")).select("_t.*").filter("text_key is not null")
+             .groupBy("text_key").agg(F.min("content").alias("content")))
+    probs = stored(classify(texts).select("text_key", "probs"))
+    out = keyed
+    for key, name in (("_a", "anchor_probs"), ("_b", "positive_probs")):
+        out = lookup(out, probs.select(F.col("text_key").alias(key), F.col("probs").alias(name)), [key], "left",
+                     counted=keyed.select(key))
+    return out.drop("_a", "_b")
+
+
+def node_center_scores(pairs: DataFrame, node_probs: DataFrame, center_probs: DataFrame,
+                       method: str = "confidence_weighted_dot_product") -> DataFrame:
+    """Scored node/centre pairs, one row per pair of `node_center_pairs`; none is lost.
+
+    `node_probs`: post_id, node_id, probs. `center_probs`: post_id, root_id, probs, one row per subtree, so a centre
+    is classified once however many nodes it has. A node or centre without probabilities scores 0.
+    """
+    nodes = node_probs.select("post_id", "node_id", F.col("probs").alias("anchor_probs"))
+    centers = center_probs.select("post_id", "root_id", F.col("probs").alias("positive_probs"))
+    both = lookup(pairs.join(nodes, ["post_id", "node_id"], "left"), centers, ["post_id", "root_id"], "left",
+                  counted=pairs.select("post_id", "root_id"))
+    return score_pairs(both, method)
+
+
 def score_statistics(scored: DataFrame) -> DataFrame:
     """Count, mean, population std, range and exact quantiles of the scores."""
     s = "consistency_score"

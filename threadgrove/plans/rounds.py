@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadgrove.operators.scoring import inject_noise, score_pairs
+from threadgrove.operators.scoring import attach_probabilities, inject_noise, score_pairs
 from threadgrove.operators.weights import append_history, effective_threshold, weights
 from threadgrove.session import stored
 
@@ -28,7 +28,12 @@ def curation_round(pairs: DataFrame, round_num: int, strategy: str = "linear", t
     noise injection read them several times.
     """
     scored = stored(score_pairs(pairs, method))
+    again = "noise" in scored.columns  # rows replaced in an earlier round stay replaced
+    if again:
+        scored = scored.withColumnRenamed("noise", "_noise_before")
     scored = inject_noise(scored, **(noise or {"fraction": 0.0}))  # always with the column `noise`
+    if again:
+        scored = scored.withColumn("noise", F.coalesce("noise", "_noise_before")).drop("_noise_before")
     if noise:
         scored = stored(scored)
     weighted = weights(carry_history(scored, previous), strategy, threshold)
@@ -47,17 +52,27 @@ def read_round(spark, path: str, round_num: int, variant: str = "main") -> DataF
             .drop("round", "variant"))
 
 
-def run_rounds(pairs: DataFrame, path: str, settings: list[dict], variant: str = "main") -> DataFrame:
-    """Run rounds 1, 2, … one after the other and return the last one.
+def run_rounds(pairs: DataFrame | None, path: str, settings: list[dict], variant: str = "main", start: int = 1,
+               spark: SparkSession | None = None) -> DataFrame:
+    """Run rounds `start`, `start` + 1, … one after the other and return the last one.
 
-    Every round reads the history of the one before from its partition and writes its own.
-    `settings` holds the arguments of `curation_round` per round.
+    The first round works on `pairs`, every later one on the table the round before wrote, with its texts, noise
+    and history. A run that starts later resumes from the written round `start` - 1 and takes no pairs (but `spark`).
+    `settings` holds the arguments of `curation_round` per round, and may hold `classify`, the classifier of that
+    round for `attach_probabilities`, and `noise_copy`: arguments of `inject_noise` for a copy that is only written
+    for evaluation, as variant 'noise_eval', while the round itself stays without that noise.
     """
-    spark, previous = pairs.sparkSession, None
-    for n, chosen in enumerate(settings, start=1):
-        write_round(curation_round(pairs, n, previous=previous, **chosen), path, n, variant)
-        previous = read_round(spark, path, n, variant)
-    return previous
+    spark = spark or pairs.sparkSession
+    table = pairs if start == 1 else read_round(spark, path, start - 1, variant)
+    for n, chosen in enumerate(settings, start=start):
+        given = {k: v for k, v in chosen.items() if k not in ("classify", "noise_copy")}
+        if "classify" in chosen:
+            table = stored(attach_probabilities(table, chosen["classify"]))
+        write_round(curation_round(table, n, **given), path, n, variant)
+        if "noise_copy" in chosen:
+            write_round(curation_round(table, n, **{**given, "noise": chosen["noise_copy"]}), path, n, "noise_eval")
+        table = read_round(spark, path, n, variant)
+    return table
 
 
 # fixed values: the variants compared by default

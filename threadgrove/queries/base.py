@@ -136,20 +136,41 @@ def with_(ctes: str, body: str) -> str:
 
 # ---- class probabilities of the two sides of an edge -----------------------------------------------
 
-def probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    """Node, softmax over ten classes: four times the sum of every tenth vector component."""
+def class_probs(vec: str) -> Column:
+    """Softmax over ten classes: four times the sum of every tenth vector component."""
     from threadgrove.functions.consistency import softmax
 
-    nodes = thread_nodes(spark, sf)
     def logit(c):
-        return F.aggregate(F.filter("embedding", lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x) * 4
+        return F.aggregate(F.filter(vec, lambda x, i: i % 10 == c), F.lit(0.0), lambda a, x: a + x) * 4
+
+    return softmax(F.when(F.col(vec).isNotNull(), F.array(*[logit(c) for c in range(10)])))
+
+
+def class_exp_sql(vec: str) -> str:
+    return f"CASE WHEN {vec} IS NOT NULL THEN list_transform(range(0, 10), lambda c: exp(4 * list_sum(list_filter({vec}, lambda x, i: (i-1) % 10 = c)))) END"
+
+
+def text_classes(texts: DataFrame) -> DataFrame:
+    """A classifier of texts with five classes: softmax of ten times the share of each vowel."""
+    from threadgrove.functions.consistency import softmax
+
+    size = F.length("content")
+    share = [(size - F.length(F.regexp_replace("content", v, ""))) * 10.0 / F.greatest(size, F.lit(1)) for v in "aeiou"]
+    return texts.withColumn("probs", softmax(F.array(*share)))
+
 
-    logits = F.when(F.col("embedding").isNotNull(), F.array(*[logit(c) for c in range(10)]))
-    return nodes.select("post_id", "comment_id", "parent_id", "content", "seq", softmax(logits).alias("probs"))
+def text_exp_sql(col: str) -> str:
+    return f"list_transform(['a','e','i','o','u'], lambda v: exp((length({col})-length(replace({col},v,'')))*10.0::DOUBLE/greatest(length({col}),1)))"
+
+
+def probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes with the class probabilities of their vectors."""
+    return thread_nodes(spark, sf).select("post_id", "comment_id", "parent_id", "content", "seq",
+                                          class_probs("embedding").alias("probs"))
 
 
-PROBS = NODES + """,
-logits AS (SELECT *, CASE WHEN embedding IS NOT NULL THEN list_transform(range(0, 10), lambda c: exp(4 * list_sum(list_filter(embedding, lambda x, i: (i-1) % 10 = c)))) END AS ex FROM nodes),
+PROBS = NODES + f""",
+logits AS (SELECT *, {class_exp_sql('embedding')} AS ex FROM nodes),
 probs AS (SELECT post_id, comment_id, parent_id, content, seq, list_transform(ex, lambda x: x / list_sum(ex)) AS probs FROM logits)"""
 
 

@@ -10,7 +10,7 @@ from threadgrove.functions import vectors
 from threadgrove.functions.consistency import METHODS, consistency
 from threadgrove.operators import infonce, pairs as pair_ops, scoring, weights
 from threadgrove.plans import rounds
-from threadgrove.queries.base import EDGES, PAIRS, PROBS, hash_sql, pairs_with_probs, probabilities, query, r, table, thread_nodes, tidy, with_
+from threadgrove.queries.base import EDGES, PAIRS, PROBS, hash_sql, pairs_with_probs, probabilities, query, r, table, text_classes, text_exp_sql, thread_nodes, tidy, with_
 from threadgrove.session import shared_dir, stored
 
 _ENTROPY = "-list_sum(list_transform({p}, lambda x: (x+1e-8)*ln(x+1e-8)))"
@@ -313,6 +313,31 @@ def _(spark, sf):
                            F.col("training_rounds")["round_2"].alias("trained_2"), F.col("noise.source_index").alias("noise_source_index"), "last_trained_round"))
 
 
+_TEXT_SCORED = PAIRS + f""",
+tex AS (SELECT *, {text_exp_sql('anchor_content')} AS ea, {text_exp_sql('positive_content')} AS eb FROM pairs),
+tsc AS (SELECT *, list_sum(list_transform(range(1, 6), lambda i: ea[i]/list_sum(ea)*eb[i]/list_sum(eb))) AS ts FROM tex)"""
+
+
+@query("g7_scores_from_texts", with_(_TEXT_SCORED, f"SELECT sample_index, {r('ts','consistency_score')} FROM tsc"))
+def _(spark, sf):
+    """Both texts of every pair are classified, each distinct text once."""
+    given = pairs_with_probs(spark, sf).drop("anchor_probs", "positive_probs")
+    return tidy(scoring.score_pairs(scoring.attach_probabilities(given, text_classes), "simple_dot_product").select("sample_index", "consistency_score"))
+
+
+@query("m1_resumed_rounds", with_(_TEXT_SCORED.replace("AS ts FROM tex)", "AS ts FROM tex), cut AS (SELECT 0.2005::DOUBLE AS c)"), f"""SELECT variant, sample_index, {r('ts','consistency_score')}, true AS trained_1, ts >= c AS trained_2, 2::BIGINT AS rounds
+  FROM tsc, cut, (VALUES ('main'), ('noise_eval')) AS v(variant)"""))
+def _(spark, sf):
+    """Round 1 on vectors; the run is resumed at round 2 with a classifier of texts and a noise copy from an empty pool."""
+    path = f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    rounds.run_rounds(pairs_with_probs(spark, sf), path, [{"strategy": "threshold", "threshold": 0.0, "method": "cosine_similarity"}])
+    rounds.run_rounds(None, path, [{"strategy": "threshold", "threshold": 0.2005, "method": "simple_dot_product", "classify": text_classes,
+                                    "noise_copy": {"fraction": 0.2, "pool": (2.0, 3.0)}}], start=2, spark=spark)
+    out = spark.read.parquet(path).filter("round = 2")
+    return tidy(out.select("variant", "sample_index", "consistency_score", F.col("training_rounds")["round_1"].alias("trained_1"),
+                           F.col("training_rounds")["round_2"].alias("trained_2"), F.size("training_rounds").alias("rounds")))
+
+
 @query("m2_variant_sweep", with_(scored_sql("simple_dot_product") + """,
 v AS (SELECT * FROM (VALUES ('linear',0.0::DOUBLE),('linear',0.1::DOUBLE),('threshold',0.1::DOUBLE),('threshold',0.3::DOUBLE),('threshold',1.0::DOUBLE),('tiered',0.0::DOUBLE)) t(strategy, threshold)),
 x AS (SELECT strategy, threshold, s, max(s) OVER (PARTITION BY strategy, threshold) AS top FROM scored, v),

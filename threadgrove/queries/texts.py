@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from threadgrove.functions import text
 from threadgrove.functions.hashing import portable_hash
-from threadgrove.operators import forest, pairs, vocabulary
-from threadgrove.queries.base import NODES, forest_sql, hash_sql, query, r, table, thread_nodes, tidy, with_
+from threadgrove.operators import forest, pairs, scoring, vocabulary
+from threadgrove.queries.base import NODES, class_exp_sql, class_probs, forest_sql, hash_sql, query, r, table, thread_nodes, tidy, with_
 from threadgrove.session import stored
+from threadgrove.sources.tables import normalise_pairs
 
 T1 = -0.05
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -120,12 +121,35 @@ def _(spark, sf):
     return tidy(pairs.parent_child_pairs(*_grown(spark, sf), min_size=4).select("post_id", "parent_id", "child_id", "similarity"))
 
 
-@query("f2_node_center_pairs", with_(_CLEAN + _BIG.format(n=3), "SELECT post_id, root_id, comment_id AS node_id, txt AS anchor_content, size AS subtree_size FROM big"))
+@query("f2_node_center_pairs", with_(_CLEAN + _BIG.format(n=3), "SELECT post_id, root_id, comment_id AS node_id, txt AS anchor_content, size AS subtree_size, 'node_center' AS pair_type FROM big"))
 def _(spark, sf):
     nodes, _e, assigned, trees = _grown(spark, sf)
     return pairs.node_center_pairs(nodes, assigned, trees)
 
 
+_DOT = "list_sum(list_transform(range(1, 11), lambda i: pa[i]*pb[i]))"
+
+
+@query("f2_node_center_scores", with_(_CLEAN + _BIG.format(n=3) + f""",
+v AS (SELECT post_id, root_id, unnest(embedding) AS x, generate_subscripts(embedding,1)-1 AS pos FROM big WHERE embedding IS NOT NULL),
+cen AS (SELECT post_id, root_id, list(x ORDER BY pos) AS c FROM (SELECT post_id, root_id, pos, avg(x) AS x FROM v GROUP BY ALL) GROUP BY ALL),
+ex AS (SELECT b.post_id, b.root_id, b.comment_id, b.size, {class_exp_sql('b.embedding')} AS ea, {class_exp_sql('cen.c')} AS eb FROM big b LEFT JOIN cen USING (post_id, root_id)),
+pr AS (SELECT *, list_transform(ea, lambda x: x/list_sum(ea)) AS pa, list_transform(eb, lambda x: x/list_sum(eb)) AS pb FROM ex)""",
+    f"SELECT post_id, root_id, comment_id AS node_id, size AS subtree_size, 'dataset2' AS dataset_type, {r(f'CASE WHEN pa IS NULL OR pb IS NULL THEN 0 ELSE {_DOT} END','consistency_score')} FROM pr"))
+def _(spark, sf):
+    """From threads to scores: node/centre pairs, normalised by key, each centre classified once."""
+    nodes, _e, assigned, trees = _grown(spark, sf)
+    members = stored(pairs.center_members(nodes, assigned, trees))
+    rows = pairs.with_sample_index(pairs.node_center_pairs(nodes, assigned, trees), ["post_id", "node_id"])
+    named = rows.select("sample_index", "node_id")
+    kept = stored(normalise_pairs(rows).join(named, "sample_index"))
+    node_probs = nodes.select("post_id", F.col("comment_id").alias("node_id"), class_probs("embedding").alias("probs"))
+    centers = pairs.center_vectors(nodes, members)
+    center_probs = centers.select("post_id", "root_id", class_probs("center").alias("probs"))
+    out = scoring.node_center_scores(kept, node_probs, center_probs, "simple_dot_product")
+    return tidy(out.select("post_id", "root_id", "node_id", "subtree_size", "dataset_type", "consistency_score"))
+
+
 @query("f2_center_text_chunks", with_(_CLEAN + _BIG.format(n=3) + f""",
 k AS (SELECT *, (row_number() OVER (PARTITION BY post_id, root_id ORDER BY {hash_sql(42,'post_id','comment_id')}, comment_id) - 1)//3 AS chunk FROM big)""",
     "SELECT post_id, root_id, chunk, count(*) AS texts, md5(string_agg(txt, '|' ORDER BY seq)) AS digest FROM k GROUP BY 1,2,3"))

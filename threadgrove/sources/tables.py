@@ -77,7 +77,8 @@ def normalise_pairs(df: DataFrame) -> DataFrame:
 
     The type follows `pair_type`: parent/child pairs are dataset1, node/centre pairs dataset2 (their
     text list is joined by blanks), single texts are simcse (anchor = positive). Without the column
-    the layout decides. Rows without both texts are dropped.
+    the layout decides. Rows without both texts are dropped; `unreadable_pairs` counts them. Node/centre pairs that
+    name their centre by key have (post_id, root_id) instead of a positive text and keep these columns.
     """
     kind = F.col("pair_type") if "pair_type" in df.columns else F.lit(None).cast("string")
     anchor, positive, texts = _first_of(df, ANCHOR_NAMES), _first_of(df, POSITIVE_NAMES), _first_of(df, LIST_NAMES)
@@ -89,15 +90,26 @@ def normalise_pairs(df: DataFrame) -> DataFrame:
                  .when(F.lit("content" in df.columns) & single.isNotNull(), "simcse").otherwise("unknown"))
     dtype = (F.when(kind == "parent_child", "dataset1").when(kind == "node_center", "dataset2")
              .when(kind == "simcse_single_text", "simcse").when(kind == "enhanced_pair", "dataset1").otherwise(by_layout))
+    by_key = "root_id" in df.columns
+    if by_key:
+        size = F.coalesce(size, F.col("subtree_size").cast("bigint"))
+    center = F.lit(by_key) & (dtype == "dataset2") & (F.col("root_id") if by_key else F.lit(None)).isNotNull()
     both = df.select(
+        *(["post_id", "root_id"] if by_key else []), center.alias("_center"),
         F.col("sample_index").cast("bigint").alias("sample_index"), dtype.alias("dataset_type"),
         F.when(dtype == "simcse", single).otherwise(anchor).alias("anchor_content"),
         F.when(dtype == "simcse", single).when(dtype == "dataset2", joined).otherwise(positive).alias("positive_content"),
         F.when(dtype == "dataset2", size).alias("subtree_size"))
     blank = r"(?U)\A\s*\z"
-    return both.filter(F.col("anchor_content").isNotNull() & F.col("positive_content").isNotNull()
-                       & ~((F.col("dataset_type") == "dataset2") & F.col("positive_content").rlike(blank))
-                       & ~((F.col("dataset_type") == "simcse") & (F.col("anchor_content") == "")))
+    text = F.col("positive_content").isNotNull() & ~((F.col("dataset_type") == "dataset2") & F.col("positive_content").rlike(blank))
+    return both.filter(F.col("anchor_content").isNotNull() & (F.col("_center") | text)
+                       & ~((F.col("dataset_type") == "simcse") & (F.col("anchor_content") == ""))).drop("_center")
+
+
+def unreadable_pairs(df: DataFrame) -> DataFrame:
+    """One row: pairs in all, and those that `normalise_pairs` drops."""
+    kept = normalise_pairs(df).select(F.count(F.lit(1)).alias("n")).scalar()
+    return df.agg(F.count(F.lit(1)).alias("pairs")).select("pairs", (F.col("pairs") - kept).alias("dropped"))
 
 
 def write_pairs(df: DataFrame, path: str, strategy: str, threshold: float) -> None:
