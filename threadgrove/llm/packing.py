@@ -37,6 +37,8 @@ SENTENCE_ENDS = (".", "!", "?")
 MARKS = ".,!?;:*#$%&"
 SHORTEST = 512
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+# Words that no normalisation changes and no rule splits.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Numbers(dict):
@@ -51,13 +53,21 @@ class Numbers(dict):
 class Pieces:
     """Token ids of pieces of text between which this kind of tokenizer always separates tokens: at blanks, and between a letter
     a-z and the run of marks that ends a word. So the ids of a text are the ids of its pieces in a row, and each distinct
-    word is tokenised once. A-Z are lowered first, as the tokenizer does, unless the text may hold a special token."""
+    word is tokenised once. A-Z are lowered first, as the tokenizer does, unless the text may hold a special token.
+    Plain words go to the merges of the tokenizer directly, all others through its rules. A tokenizer without
+    lower case and ends of words is an error: its texts could not be cut like this."""
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        if '"Lowercase"' not in str(self.tokenizer.normalizer.__getstate__()) or not self.tokenizer.model.end_of_word_suffix:
+            raise ValueError(f"{path}: not a lower-case tokenizer with ends of words")
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(256)) if PLAIN.fullmatch(c)}
+        self.merge = self.tokenizer.model.tokenize
         self.reset()
 
     def reset(self) -> None:
@@ -74,7 +84,13 @@ class Pieces:
             word = piece.rstrip(MARKS)
             # after anything but a letter a-z, marks may belong to the token before them
             parts.append((word, piece[len(word):]) if "a" <= word[-1:] <= "z" else (piece, ""))
-        asked = [w for w in dict.fromkeys(chain.from_iterable(parts)) if w not in words]
+        asked = []
+        for word in dict.fromkeys(chain.from_iterable(parts)):
+            if word not in words:
+                if PLAIN.fullmatch(word):
+                    words[word] = tuple([t.id for t in self.merge(word.translate(self.letters))])
+                else:
+                    asked.append(word)
         for a in range(0, len(asked), LEARNED):
             some = asked[a:a + LEARNED]
             for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
