@@ -1,12 +1,16 @@
 """Literal cases of rules that the given tables do not reach."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from threadgrove.functions.text import fraction_of
-from threadgrove.operators import skew
+from threadgrove.operators import clustering, skew, splits, topic_pairs, vocabulary
 from threadgrove.operators.forest import similarity_distribution, similarity_summary, similarity_variability, size_distribution
 from threadgrove.operators.retrieval import _hits, _sides, precision_at_k, rank_candidates
 from threadgrove.plans.rounds import run_rounds, variant_sweep
+from threadgrove.session import stored
+from threadgrove.sources import embedding_store
 from threadgrove.sources.tables import normalise_pairs, unreadable_pairs
 
 
@@ -86,3 +90,54 @@ def test_node_center_pairs_pass_normalisation(spark):
                                  "sample_index long, post_id string, root_id string, anchor_content string, subtree_size long, pair_type string")
     assert [r.sample_index for r in normalise_pairs(rows).collect()] == [0]
     assert unreadable_pairs(rows).first().asDict() == {"pairs": 2, "dropped": 1}
+
+
+@pytest.mark.parametrize("part", [100_000, 7])
+def test_many_labels_of_wide_vectors(spark, monkeypatch, part):
+    """1000 labels of 256-d vectors, one of them large and one missing, against all pairs; also cut into parts."""
+    monkeypatch.setattr(clustering, "GROUP_ROWS", part)
+    rng = np.random.default_rng(3)
+    label = np.concatenate([np.repeat(np.arange(1000), 2), np.full(300, 5)])
+    x = rng.normal(size=(len(label), 256))
+    rows = [(f"l{g}" if g else None, v.tolist()) for g, v in zip(label, x)]
+    df = spark.createDataFrame(rows, "label string, embedding array<double>").repartition(5)
+    got = {r.label: r for r in clustering.intra_class(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(got) == 1000
+    for g in (0, 1, 5, 999):
+        s = (u[label == g] @ u[label == g].T)[np.triu_indices((label == g).sum(), 1)]
+        r = got[f"l{g}" if g else None]
+        assert (r.size, r.intra_similarity) == (int((label == g).sum()), pytest.approx(s.mean()))
+        assert r.intra_std == pytest.approx(s.std(), abs=1e-7)
+    means = {r.label: r.mean for r in clustering.pair_means(df.withColumnRenamed("embedding", "_u"), "label").collect()}
+    assert len(means) == 1000
+    whole = clustering.class_separation(df).first()
+    assert whole.num_classes == 1000 and whole.intra_class_similarity == pytest.approx(np.mean([r.intra_similarity for r in got.values()]))
+
+
+def test_rows_are_padded_to_the_longest_of_their_batch(spark):
+    df = spark.createDataFrame([(1, 0, "a b c"), (2, 0, "a"), (3, 1, ""), (4, 1, "a b"), (5, None, "a")], "id long, b long, content string")
+    coded = vocabulary.encode_tokens(df, vocabulary.vocabulary(df), "id", max_len=None, pad="longest", batch="b").collect()
+    assert {x.id: (len(x.input_ids), sum(x.attention_mask)) for x in coded} == {1: (3, 3), 2: (3, 1), 3: (2, 0), 4: (2, 2), 5: (1, 1)}
+
+
+def test_labels_are_numbered_in_order(spark):
+    df = spark.createDataFrame([(x,) for x in [None, *[f"{i % 500:03d}" for i in range(1500)]]], "label string").repartition(7)
+    got = {x.label: x.label_id for x in splits.label_index(df).collect()}
+    assert got == {f"{i:03d}": i for i in range(500)}
+
+
+def test_topic_pairs_leave_rows_without_a_label_out(spark):
+    df = spark.createDataFrame([(i, None if i < 5 else i % 3, [1.0, float(i)]) for i in range(35)], "id long, label long, embedding array<double>")
+    pairs = topic_pairs.topic_pairs(df).collect()
+    assert len(pairs) == 60 and all(x.id >= 5 and x.partner >= 5 and (x.id % 3 == x.partner % 3) == bool(x.truth) for x in pairs)
+
+
+def test_two_vectors_of_one_text_do_not_double_rows(spark, tmp_path):
+    texts = spark.createDataFrame([("x",), ("y",), ("x",)], "content string")
+    make = lambda: (lambda t: np.ones((len(t), 2), np.float32))
+    path = str(tmp_path / "store")
+    embedding_store.add_embeddings(texts, path, "e", make).collect()
+    again = embedding_store.read_store(spark, path).select("encoder", "text_key", "embedding")
+    stored(again).write.mode("append").partitionBy("encoder").parquet(path)
+    assert embedding_store.add_embeddings(texts, path, "e", make).count() == 3

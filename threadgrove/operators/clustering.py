@@ -15,7 +15,8 @@ from threadgrove.functions.vectors import dot_expr, mean_vector, unit, unit_rows
 from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
-GRAMS_HELD = 64  # groups whose d x d matrix a task holds before it hands them on
+GROUP_ROWS = 100_000  # rows of one group that one task adds up
+NORMS_HELD = 10_000  # finished groups that a task holds before it hands them on
 
 
 def _sum_vector(vec: str) -> Column:
@@ -27,32 +28,69 @@ def pair_moments(df: DataFrame, group: str, vec: str = "_u") -> DataFrame:
 
     No pair is formed. With S the sum of the vectors and G the sum of their outer products, the dot
     products over ordered pairs sum to |S|^2 and their squares to |G|^2; the diagonal is subtracted.
-    Tasks add up G in numpy and hand on one row per (group, matrix row).
+    Rows meet by group, so a task holds one d x d matrix however many groups there are, and hands on |G| alone. Fewer
+    than d rows are multiplied the other way, which gives the same |G|. A group of more than GROUP_ROWS rows is
+    cut into parts; only parts hand on matrices, one row per (group, matrix row).
     """
+    rows = df.filter(F.col(vec).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(vec).alias("v"))
+    large = stored(rows.groupBy(F.col("g").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("bigint").alias("_parts"))
+                   .filter("_parts > 1"))
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    part = F.pmod(F.xxhash64("v", F.spark_partition_id()), parts)
+    dealt = rows.join(large, F.col("g").eqNullSafe(F.col("_g")), "left").select("g", part.alias("p"), (parts == 1).alias("whole"), "v")
 
     def grams(batches):
-        held: dict = {}
-
-        def rows():
-            for g, m in held.items():
-                yield pa.RecordBatch.from_pydict({
-                    "g": pa.array([g] * len(m), pa.string()), "i": pa.array(range(len(m)), pa.int32()),
-                    "row": pa.array(list(m), pa.list_(pa.float64()))})
-            held.clear()
+        open_key, few, gram, norms = None, [], None, {}
+
+        def add(x):
+            nonlocal few, gram
+            few.append(x)
+            if sum(map(len, few)) >= x.shape[1]:
+                x = np.concatenate(few)
+                gram, few = x.T @ x + (0 if gram is None else gram), []
+
+        def close():
+            """Ends the open group: its |G| is noted, or the matrix of a part is returned."""
+            nonlocal few, gram
+            x, full, (g, _, whole) = np.concatenate(few) if few else None, gram, open_key
+            few, gram = [], None
+            if whole and full is None:
+                norms[g] = float(np.linalg.norm(x @ x.T))
+                return
+            full = (0 if full is None else full) + (0 if x is None else x.T @ x)
+            if whole:
+                norms[g] = float(np.linalg.norm(full))
+                return
+            yield pa.RecordBatch.from_pydict({
+                "g": pa.array([g] * len(full), pa.string()), "i": pa.array(range(len(full)), pa.int32()),
+                "row": pa.array(list(full), pa.list_(pa.float64()))})
+
+        def noted():
+            yield pa.RecordBatch.from_pydict({
+                "g": pa.array(list(norms), pa.string()), "i": pa.array([0] * len(norms), pa.int32()),
+                "row": pa.array([[n] for n in norms.values()], pa.list_(pa.float64()))})
+            norms.clear()
 
         for batch in batches:
-            names = np.asarray(batch.column(0).to_pylist(), object)
-            v = batch.column(1)
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 1))
-            for g in set(names.tolist()):
-                part = x[names == g]
-                held[g] = held.get(g, 0) + part.T @ part
-                if len(held) >= GRAMS_HELD:
-                    yield from rows()
-        yield from rows()
-
-    rows = df.filter(F.col(vec).isNotNull()).select(F.col(group).cast("string").alias("g"), F.col(vec).alias("v"))
-    summed = rows.mapInArrow(grams, "g string, i int, row array<double>").groupBy("g", "i").agg(_sum_vector("row").alias("r"))
+            if not len(batch):
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("g", "p", "whole"))))
+            v = batch.column("v")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+            starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(starts, starts[1:]):
+                if open_key is not None and keys[a] != open_key:
+                    yield from close()
+                open_key = keys[a]
+                add(x[a:b])
+            if len(norms) >= NORMS_HELD:
+                yield from noted()
+        if open_key is not None:
+            yield from close()
+        yield from noted()
+
+    grouped = dealt.repartition("g", "p").sortWithinPartitions("g", "p")
+    summed = grouped.mapInArrow(grams, "g string, i int, row array<double>").groupBy("g", "i").agg(_sum_vector("row").alias("r"))
     own = dot_expr("v", "v")
     basic = rows.groupBy("g").agg(F.count(F.lit(1)).alias("size"), _sum_vector("v").alias("_s"),
                                   F.sum(own).alias("_own"), F.sum(own * own).alias("_own2"))
@@ -70,6 +108,14 @@ def pair_moments(df: DataFrame, group: str, vec: str = "_u") -> DataFrame:
         F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))).alias("std"))
 
 
+def pair_means(df: DataFrame, group: str, vec: str = "_u") -> DataFrame:
+    """n and mean of the dot products over all unordered pairs, per group; needs the vector sums only."""
+    sums = df.filter(F.col(vec).isNotNull()).groupBy(F.col(group).cast("string").alias(group)).agg(
+        F.count(F.lit(1)).alias("size"), _sum_vector(vec).alias("_s"), F.sum(dot_expr(vec, vec)).alias("_own"))
+    pairs = F.col("size") * (F.col("size") - 1)
+    return sums.select(group, "size", F.try_divide(dot_expr("_s", "_s") - F.col("_own"), pairs).alias("mean"))
+
+
 def intra_class(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """Per class with at least two rows: size, mean and std of the cosine over its pairs, in linear time."""
     moments = pair_moments(df.withColumn("_u", unit(vec)), label)
@@ -109,10 +155,13 @@ def intra_class_range(df: DataFrame, key: str = "id", label: str = "label", vec:
     return found.groupBy(label).agg(F.min("lo").alias("intra_min"), F.max("hi").alias("intra_max"))
 
 
+def _centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
+    return mean_vector(df, [label], vec).select(F.lit("all").alias("_g"), unit("center").alias("_u"))
+
+
 def inter_class_centroids(df: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
     """Mean and std of the cosine between class centroids (means of the raw vectors)."""
-    centers = mean_vector(df, [label], vec).select(F.lit("all").alias("_g"), unit("center").alias("_u"))
-    return pair_moments(centers, "_g").select(
+    return pair_moments(_centroids(df, label, vec), "_g").select(
         F.col("size").alias("num_classes"), F.coalesce("mean", F.lit(0.0)).alias("inter_similarity"),
         F.coalesce("std", F.lit(0.0)).alias("inter_std"))
 
@@ -132,10 +181,11 @@ def inter_class_exact(df: DataFrame, label: str = "label", vec: str = "embedding
 
 
 def class_separation(df: DataFrame, label: str = "label", vec: str = "embedding", centroids: bool = True) -> DataFrame:
-    """One row: mean intra-class and inter-class similarity and their difference."""
-    intra = intra_class(df, label, vec).agg(
-        F.coalesce(F.avg("intra_similarity"), F.lit(0.0)).alias("intra_class_similarity"))
-    inter = (inter_class_centroids if centroids else inter_class_exact)(df, label, vec)
+    """One row: mean intra-class and inter-class similarity and their difference. No deviation is computed."""
+    intra = pair_means(df.withColumn("_u", unit(vec)), label).filter("size >= 2").agg(
+        F.coalesce(F.avg("mean"), F.lit(0.0)).alias("intra_class_similarity"))
+    inter = inter_class_exact(df, label, vec) if not centroids else pair_means(_centroids(df, label, vec), "_g").select(
+        F.col("size").alias("num_classes"), F.coalesce("mean", F.lit(0.0)).alias("inter_similarity"))
     return beside(intra, inter).select(
         "intra_class_similarity", F.col("inter_similarity").alias("inter_class_similarity"),
         (F.col("intra_class_similarity") - F.col("inter_similarity")).alias("margin"), "num_classes")

@@ -151,8 +151,11 @@ def cross_thread_negatives(pairs: DataFrame, nodes: DataFrame, key: str = "sampl
 
 
 def batch_rows(df: DataFrame, size: int, key: list[str], seed: int = 42) -> DataFrame:
-    """Seeded shuffle into batches: batch_id, position in the batch, number of rows in the batch."""
-    ranked = hash_rank(df, [], key, seed, "_r", "_all")
+    """Seeded shuffle into batches: batch_id, position in the batch, number of rows in the batch.
+
+    `df` is written once: ranks need its key for the counts and again for the rows.
+    """
+    ranked = hash_rank(stored(df), [], key, seed, "_r", "_all")
     batch = F.floor((F.col("_r") - 1) / size).cast("bigint")
     return ranked.select(*df.columns, batch.alias("batch_id"), ((F.col("_r") - 1) - batch * size).alias("position"),
                          F.least(F.lit(size), F.col("_all") - batch * size).cast("bigint").alias("batch_size"))

@@ -111,8 +111,8 @@ def inject_noise(scored: DataFrame, fraction: float, pool: tuple[float, float] =
                           _group_name("consistency_score", mode, threshold, bins).alias("_group"))
     targets = hash_rank(named.filter(F.col("_group").isNotNull()), ["_group"], ["sample_index"], seed, "_r", "_n")
     targets = stored(targets.filter(F.col("_r") <= F.ceil(F.col("_n") * F.lit(float(fraction)))))
-    numbered = dense_index(targets.select("sample_index", "_group", F.col("consistency_score").alias("_original")),
-                           ["sample_index"], f"{seed}:target", "_t")
+    numbered = stored(dense_index(targets.select("sample_index", "_group", F.col("consistency_score").alias("_original")),
+                                  ["sample_index"], f"{seed}:target", "_t"))
     source = _pool(scored, pool)
     size = source.select(F.count(F.lit(1)).alias("n")).scalar()
     rows = dense_index(source.select(F.col("sample_index").alias("_source"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from threadgrove.operators.ranking import hash_rank
+from threadgrove.operators.ranking import hash_rank, running_totals
 
 
 def exclude_labels(df: DataFrame, labels: list, label: str = "label") -> DataFrame:
@@ -64,7 +64,6 @@ def take_fraction(df: DataFrame, fraction: float, key: str = "id", label: str =
 
 
 def label_index(df: DataFrame, label: str = "label") -> DataFrame:
-    """label, label_id: sorted distinct labels numbered from 0."""
-    w = Window.partitionBy(F.lit(0)).orderBy(label)  # over the distinct labels only
-    return df.select(label).distinct().filter(F.col(label).isNotNull()).withColumn(
-        "label_id", (F.row_number().over(w) - 1).cast("bigint"))
+    """label, label_id: sorted distinct labels numbered from 0, range by range."""
+    smaller = running_totals(df.select(label).distinct(), label, {"_one": F.count(F.lit(1))})
+    return smaller.select(label, F.col("_one_before").cast("bigint").alias("label_id"))

@@ -18,14 +18,14 @@ def topic_pairs(df: DataFrame, key: str = "id", label: str = "label", vec: str =
 
     Rows get a dense place ordered by (label, hash). A partner is a hashed place inside the own label's
     range, or outside it, so both draws are one equi-join. Rows alone in their label have no positive,
-    rows of the only label no negative.
+    rows of the only label no negative. Rows without a label take no part.
     """
+    df = df.filter(F.col(label).isNotNull())
     ranked = hash_rank(df.select(key, label, vec), [label], [key], seed, "_r", "_n")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(F.lit(0)).orderBy(label).rowsBetween(Window.unboundedPreceding, -1)  # over the labels
-    starts = sizes.select(label, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_start"))
+    sizes = running_totals(df, label, {"_c": F.count(F.lit(1))})
+    starts = sizes.select(label, F.col("_c_before").alias("_start"))
     total = df.select(F.count(F.lit(1)).alias("n")).scalar()
-    placed = lookup(ranked, starts, [label], counts=sizes.withColumnRenamed("_c", "_n")).withColumn("_place", F.col("_start") + F.col("_r") - 1)
+    placed = lookup(ranked, starts, [label], counts=sizes.select(label, F.col("_c").alias("_n"))).withColumn("_place", F.col("_start") + F.col("_r") - 1)
     step = F.try_mod(portable_hash(f"{seed}:positive", key), F.col("_n") - 1) + 1
     positive = F.col("_start") + F.pmod(F.col("_r") - 1 + step, F.col("_n"))
     far = F.try_mod(portable_hash(f"{seed}:negative", key), total - F.col("_n"))

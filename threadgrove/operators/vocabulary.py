@@ -20,10 +20,10 @@ def vocabulary(df: DataFrame, tokenize: Callable[[Column], Column] = words, min_
 
     Words are counted with map-side combining. Ids are dense without a global sort: the number of
     more frequent words comes from the table of distinct counts (at most sqrt(2 * words) rows), the
-    place among equally frequent words from `hash_rank`.
+    place among equally frequent words from `hash_rank`. The counts are written once, the texts are read once.
     """
-    counts = (df.select(F.explode(tokenize(F.col(text))).alias("token")).groupBy("token")
-              .agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_freq))
+    counts = stored(df.select(F.explode(tokenize(F.col(text))).alias("token")).groupBy("token")
+                    .agg(F.count(F.lit(1)).alias("count")).filter(F.col("count") >= min_freq))
     per_count = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_n"))
     w = (Window.partitionBy(F.lit(0)).orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1))
     above = per_count.select("count", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_above"))
@@ -40,27 +40,30 @@ def special_tokens(vocab: DataFrame) -> DataFrame:
 
 
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[[Column], Column] = words,
-                  text: str = "content", max_len: int | None = 256, pad: str = "max_length") -> DataFrame:
+                  text: str = "content", max_len: int | None = 256, pad: str = "max_length",
+                  batch: str | None = None) -> DataFrame:
     """key, input_ids, attention_mask. Unknown words become 1, short rows are filled with 0.
 
-    `pad`: 'max_length', 'longest' (the longest row of the table) or 'none'.
+    `pad`: 'max_length', 'longest' or 'none'. The longest row is that of the same batch, if `batch` names the
+    column of batches (no batch is a batch too), else that of the table.
     """
     tokens = tokenize(F.col(text))
     if max_len is not None:
         tokens = F.slice(tokens, 1, max_len)
     # written once: texts are split a single time, and frequent words are counted where they occur, because a
     # word that is frequent here may be missing in the vocabulary
-    placed = stored(df.select(F.col(key), F.posexplode_outer(tokens).alias("_pos", "token")))
+    placed = stored(df.select(F.col(key), F.struct(*[batch] if batch else [F.lit(0)]).alias("_b"), F.posexplode_outer(tokens).alias("_pos", "token")))
     known = vocab.select("token", F.col("id").alias("_id"))
     coded = lookup(placed, known, ["token"], "left").select(
-        key, "_pos", F.when(F.col("_pos").isNotNull(), F.coalesce("_id", F.lit(UNK))).alias("_id"))
+        key, "_b", "_pos", F.when(F.col("_pos").isNotNull(), F.coalesce("_id", F.lit(UNK))).alias("_id"))
     # one group is one text, so its size is bounded by the text itself
     pairs = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))))
-    rows = coded.groupBy(key).agg(F.transform(pairs, lambda p: p["_id"]).alias("_ids"))
+    rows = coded.groupBy(key, "_b").agg(F.transform(pairs, lambda p: p["_id"]).alias("_ids"))
     if pad == "none":
         width = F.size("_ids")
     elif pad == "longest":
-        width = placed.select(F.coalesce(F.max("_pos") + 1, F.lit(0)).alias("n")).scalar()
+        widths = placed.groupBy("_b").agg(F.coalesce(F.max("_pos") + 1, F.lit(0)).alias("_width"))
+        rows, width = rows.join(widths, "_b"), F.col("_width")
     else:
         width = F.lit(max_len)
     fill = F.greatest(width - F.size("_ids"), F.lit(0))

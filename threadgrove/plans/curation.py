@@ -28,4 +28,4 @@ def threads_to_pairs(posts: DataFrame, comments: DataFrame, embeddings: DataFram
         found, key = pairs.single_texts(nodes, assigned, trees, **options), ["post_id", "comment_id"]
     else:
         raise ValueError(f"unknown pair strategy: {strategy}")
-    return pairs.with_sample_index(found, key)
+    return pairs.with_sample_index(stored(found), key)

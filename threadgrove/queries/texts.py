@@ -84,6 +84,19 @@ def _(spark, sf):
                              F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("used")))
 
 
+@query("e6_encode_tokens_by_batch", with_(_TOKENS + """,
+lists AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS p FROM lists),
+ids AS (SELECT doc_id, list(coalesce(v.id,1) ORDER BY p) AS ids FROM placed LEFT JOIN vocab v USING (token) GROUP BY 1),
+w AS (SELECT doc_id // 16 AS b, max(coalesce(len(ids),0)) AS w FROM lists LEFT JOIN ids USING (doc_id) GROUP BY 1)""",
+    """SELECT l.doc_id, md5(array_to_string(list_concat(coalesce(ids,[]), list_resize([]::BIGINT[], w.w - coalesce(len(ids),0), 0)), ',')) AS ids,
+  w.w::BIGINT AS width FROM lists l LEFT JOIN ids USING (doc_id) JOIN w ON w.b = l.doc_id // 16"""))
+def _(spark, sf):
+    docs = table(spark, sf, "documents").withColumn("batch", F.floor(F.col("doc_id") / 16))
+    coded = vocabulary.encode_tokens(docs, stored(_vocab(spark, sf)), "doc_id", text="text", max_len=None, pad="longest", batch="batch")
+    return tidy(coded.select("doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids"), F.size("input_ids").cast("bigint").alias("width")))
+
+
 @query("e7_fraction_of_key", f"""SELECT o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.5 ELSE 0.0 END)::DOUBLE AS fraction,
   (CASE o_orderstatus WHEN 'F' THEN 0.75 END)::DOUBLE AS threshold FROM orders""")
 def _(spark, sf):

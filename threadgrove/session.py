@@ -49,10 +49,11 @@ def stored(df: DataFrame, observation: Observation | None = None, **metrics) ->
 
     Used where a plan would otherwise be evaluated several times or grow without end. The written
     table survives executor loss, is columnar and carries sizes for the join planner. Metrics, if
-    any, are collected during the same write.
+    any, are collected during the same write. All tables of an application share one folder, which can be removed
+    when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/threadgrove-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/threadgrove-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     if observation is not None:
         df = df.observe(observation, *[c.alias(k) for k, c in metrics.items()])
     df.write.parquet(path)

@@ -54,12 +54,13 @@ def add_embeddings(texts: DataFrame, path: str, encoder: str, make_model: Callab
     """Vectors for all texts: compute and append the missing ones, then join the store by text key.
 
     The store is partitioned by encoder, so only one encoder's files are read. Equal texts are
-    embedded once, and rows of a very frequent text are spread when they join its vector.
+    embedded once, and rows of a very frequent text are spread when they join its vector. Of several vectors of one
+    text, as parallel appends may leave them, the smallest counts, so no row is doubled.
     """
     spark = texts.sparkSession
     todo = missing_texts(texts, read_store(spark, path), encoder, col)
     new = embed(todo, make_model, batch_size=batch_size).select(F.lit(encoder).alias("encoder"), "text_key", "embedding")
     new = stored(new)  # the store must not be read and appended to in one job
     new.write.mode("append").partitionBy("encoder").parquet(path)
-    have = read_store(spark, path).filter(F.col("encoder") == encoder).select("text_key", "embedding")
+    have = read_store(spark, path).filter(F.col("encoder") == encoder).groupBy("text_key").agg(F.min("embedding").alias("embedding"))
     return lookup(texts.withColumn("text_key", text_key(col)), have, ["text_key"]).drop("text_key")
