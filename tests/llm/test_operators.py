@@ -153,6 +153,20 @@ def test_packing_of_nothing(nothing):
     assert packing.pack_documents(nothing, TOKENIZER).count() == 0
 
 
+def test_pieces_give_the_ids_of_whole_texts():
+    pieces = packing.Pieces(TOKENIZER, 2)
+    rng = np.random.default_rng(5)
+    signs = list("aabcdezßéöÿÉÖ\u0301ªµ×÷ﬁIİσΣ09.,!?;:*#$%&'-  \n\t\u00a0\u3000") + ["<|endoftext|>", "don't", "naïve?!"]
+    for _ in range(400):
+        text = "".join(rng.choice(signs, rng.integers(0, 30)))
+        assert pieces.stream([text])[0].tolist() == [*pieces.tokenizer.encode(text, add_special_tokens=False).ids, 2], repr(text)
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        packing.Pieces(public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def test_cuts_are_cheapest():
     r = random.Random(4)
     for _ in range(60):
