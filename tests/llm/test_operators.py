@@ -333,6 +333,19 @@ def test_nearest_examples_are_exact(monkeypatch):
         assert [c for c, _ in got] == pytest.approx([-c for c, _ in want], abs=1e-6)
 
 
+def test_all_terms_of_the_examples_count(spark):
+    """Plain prose has neighbours and evidence too, and a text with an example's own rare words finds that example first."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ne"]) for _ in range(3))
+    rows = [(i, " ".join([word() for _ in range(40)] + [f"only{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwx'[i // 100]}"] + ["idiot", "scum"] * (i % 4 == 0))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = toxicity.toxicity_index(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id bigint, toxic int"))
+    assert {t for i, text in rows if not brute.held_out(i, 4, 2) for t in toxicity.term_counts(text)} == set(index.terms) and (index.scale > 0).all()
+    out = toxicity.score_toxicity(df, index).collect()
+    assert all(len(x.evidence) == toxicity.NEAREST for x in out)
+    assert all(x.evidence[0] == x.doc_id for x in out if not x.held_out)
+
+
 def test_simhash(spark, docs, nameless, nothing):
     got = {x.doc_id: x for x in simhash.near_duplicates(docs).collect()}
     fps = {x.doc_id: brute.simhash(x.text) for x in docs.collect()}

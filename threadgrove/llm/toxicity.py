@@ -1,10 +1,11 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in a block-max inverted index.
-
-Terms are whole words and word beginnings of 4 and 5 letters. The term list holds those whose share among toxic
-and clean examples differs clearly (`clear_terms`); TF-IDF vectors are taken over it. The index keeps, for every
-term and block of 256 examples, the weights and their maximum. A document visits blocks in falling order of the
-bound from these maxima and stops once the bound is below its k-th best cosine, so the k nearest are exact.
-Index and term list come from a bounded sample (`SAMPLE` examples, `TERMS` terms); every document is scored whole.
+"""Toxicity by the nearest labelled examples under exact cosine, found in a block-max inverted index.
+
+Terms are whole words and word beginnings of 4 and 5 letters. TF-IDF vectors are taken over all terms of the
+examples; the idf of a term is multiplied by its clearness (`clearness`), at least 1, so no term is without weight.
+The index keeps sparse postings by term and block of 256 examples, with the largest weight of each such cell. What
+the commonest terms (`COMMON`, at most) add to the cosines is one matrix product for a batch of documents; with the
+maxima of the other terms it bounds each block, and a document visits the blocks whose bound reaches its k-th best
+cosine so far, so the k nearest are exact. The examples are a bounded sample (`SAMPLE`); every document is scored whole.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -23,8 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 from threadgrove.llm.common import crc_rest, labelled_sample, texts
 
 SAMPLE = 4096
-TERMS = 1024
 BLOCK = 256
+COMMON = 1024
+BATCH = 128
 NEAREST = 16
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -42,62 +45,101 @@ def term_counts(text: str) -> Counter:
     return out
 
 
-def clear_terms(rows: list[Counter], y: np.ndarray, most: int = TERMS, least: float = 4.0, smooth: float = 0.5) -> list[str]:
-    """Terms whose log odds between the two classes are at least `least` standard errors from 0, clearest first."""
-    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+def clearness(a: np.ndarray, b: np.ndarray, n1: int, n0: int, smooth: float = 0.5) -> np.ndarray:
+    """By how many standard errors the log odds of terms in `a` of `n1` toxic and `b` of `n0` clean examples are from 0."""
+    a, b, n1, n0 = a + smooth, b + smooth, n1 + 2 * smooth, n0 + 2 * smooth
+    odds = np.log(a / (n1 - a)) - np.log(b / (n0 - b))
+    return np.abs(odds) / np.sqrt(1 / a + 1 / b + 1 / (n1 - a) + 1 / (n0 - b))
+
+
+def clear_terms(rows: list[Counter], y: np.ndarray) -> list[str]:
+    """All terms of the examples, the clearest first."""
     with_term = Counter(), Counter()
     for r, label in zip(rows, y):
         with_term[int(label)].update(r.keys())
-    found = []
-    for term in set(with_term[1]) | set(with_term[0]):
-        a, b = with_term[1][term] + smooth, with_term[0][term] + smooth
-        if a + b >= 3 + 2 * smooth:
-            odds = np.log(a / (n1 - a + 2 * smooth)) - np.log(b / (n0 - b + 2 * smooth))
-            z = odds / np.sqrt(1 / a + 1 / b + 1 / (n1 - a + 2 * smooth) + 1 / (n0 - b + 2 * smooth))
-            if abs(z) >= least:
-                found.append((-abs(z), term))
-    return [term for _, term in sorted(found)[:most]]
+    terms = sorted(set(with_term[1]) | set(with_term[0]))
+    a, b = (np.array([with_term[c][t] for t in terms], float) for c in (1, 0))
+    z = clearness(a, b, int(y.sum()), int(len(y) - y.sum()))
+    return [terms[i] for i in np.argsort(-z, kind="stable")]
+
+
+def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges first[i] … last[i] - 1, one after the other, and the sizes of the ranges."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n), n
 
 
 @dataclass
 class Index:
-    """Examples in blocks: `weights[block, term, place]`, `largest[term, block]`, with their labels and ids."""
+    """Postings (place, weight) by term and place. Cell c, a term in a block, has postings cells[c] … cells[c + 1] - 1 and
+    the largest weight largest[c]; term t has cells cells_of[t] … cells_of[t + 1] - 1. Labels and ids are by place."""
 
     terms: dict[str, int]
-    idf: np.ndarray
-    weights: np.ndarray
+    scale: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+    cells: np.ndarray
+    block: np.ndarray
     largest: np.ndarray
+    cells_of: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     prior: float
     plain: float
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers, ascending, and the unit TF-IDF vector over them."""
-        at = np.array(sorted(counts), np.int64)
-        v = (1 + np.log([counts[i] for i in at])) * self.idf[at] if len(at) else np.zeros(0)
-        return at, (v / np.linalg.norm(v)).astype(np.float64) if len(at) else v
+        """Term numbers, ascending, and the unit vector over them."""
+        at, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(at)
+        at = at[order]
+        v = (1 + np.log(n[order])) * self.scale[at]
+        return at, v / np.linalg.norm(v) if len(at) else v
+
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per term its row in the matrix of the commonest terms, -1 for the others; the matrix, weights by place."""
+        size = self.cells[self.cells_of[1:]] - self.cells[self.cells_of[:-1]]
+        chosen = np.argsort(-size, kind="stable")[:COMMON]
+        row, matrix = np.full(len(size), -1), np.zeros((len(chosen), len(self.ids)), np.float32)
+        row[chosen] = np.arange(len(chosen))
+        posting, n = ranges(self.cells[self.cells_of[chosen]], self.cells[self.cells_of[chosen + 1]])
+        matrix[np.repeat(np.arange(len(chosen)), n), self.place[posting]] = self.weight[posting]
+        return row, matrix
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> Iterator[list[tuple[float, int]]]:
+        """For each vector the k examples with the largest cosine (ties to the earlier example), cosines above 0 only."""
+        row, matrix = self.common
+        first = np.arange(0, len(self.ids), BLOCK)
+        for start in range(0, len(vectors), BATCH):
+            batch = vectors[start:start + BATCH]
+            left = np.zeros((len(batch), len(matrix)), np.float32)
+            for i, (at, v) in enumerate(batch):
+                is_common = row[at] >= 0
+                left[i, row[at[is_common]]] = v[is_common]
+            for (at, v), cosines in zip(batch, left @ matrix):
+                rare = row[at] < 0
+                cell, n = ranges(self.cells_of[at[rare]], self.cells_of[at[rare] + 1])
+                if len(cell):
+                    v, block = np.repeat(v[rare], n), self.block[cell]
+                    bounds = np.bincount(block, v * self.largest[cell], len(first)) + np.maximum.reduceat(cosines, first)
+                    least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+                    used = (bounds >= least - 1e-6)[block]
+                    posting, n = ranges(self.cells[cell[used]], self.cells[cell[used] + 1])
+                    cosines = cosines + np.bincount(self.place[posting], np.repeat(v[used], n) * self.weight[posting], len(cosines))
+                least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
+                found = np.flatnonzero((cosines > 0) & (cosines >= least))
+                yield [(float(cosines[i]), int(i)) for i in found[np.argsort(-cosines[found], kind="stable")[:k]]]
 
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
-        """The k examples with the largest cosine (ties to the earlier example), cosines above 0 only."""
-        bounds = v @ self.largest[at]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] < -best[-1][0] - 1e-9:
-                break
-            cosines = v @ self.weights[block, at]
-            found = np.flatnonzero(cosines > 0) if len(best) < k else np.flatnonzero(cosines >= -best[-1][0])
-            if len(found):
-                best = sorted(best + [(-float(cosines[i]), int(block) * BLOCK + int(i)) for i in found])[:k]
-        return [(-c, i) for c, i in best]
-
-    def score(self, counts: dict[int, int], k: int = NEAREST) -> tuple[float, list[tuple[float, int]]]:
-        """Votes of the nearest examples, weighted by cosine squared, with one vote's weight of the prior."""
-        if not counts:
-            return self.plain, []
-        found = self.nearest(*self.vector(counts), k)
-        votes = sum(c * c for c, _ in found)
-        return (sum(c * c * self.labels[i] for c, i in found) + self.prior) / (votes + 1), found
+        return next(self.all_nearest([(at, v)], k))
+
+    def scores(self, rows: list[dict[int, int]], k: int = NEAREST) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Votes of the nearest examples, weighted by cosine squared, with one vote's weight of the prior; per row."""
+        nearest = self.all_nearest([self.vector(r) for r in rows if r], k)
+        for r in rows:
+            found = next(nearest) if r else []
+            votes = sum(c * c for c, _ in found)
+            yield ((sum(c * c * self.labels[i] for c, i in found) + self.prior) / (votes + 1) if r else self.plain), found
 
 
 def build(ids: list[int], rows: list[Counter], y: np.ndarray) -> Index:
@@ -105,18 +147,24 @@ def build(ids: list[int], rows: list[Counter], y: np.ndarray) -> Index:
     chosen = clear_terms(rows, y) if len(y) and 0 < y.sum() < len(y) else []
     terms = {t: i for i, t in enumerate(chosen)}
     held = [{terms[t]: n for t, n in r.items() if t in terms} for r in rows]
-    df = np.bincount([i for h in held for i in h], minlength=len(terms)) if terms else np.zeros(0)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     blank = np.array([not h for h in held], bool)
     plain = float((y[blank].sum() + prior) / (blank.sum() + 1)) if len(y) else prior
     used = [i for i, h in enumerate(held) if h]
+    a, b = (np.bincount([t for i in used if y[i] == c for t in held[i]], minlength=len(terms)).astype(float) for c in (1, 0))
+    idf = np.log((len(y) + 1) / (a + b + 1)) + 1
+    index = Index(terms, idf * np.maximum(1.0, clearness(a, b, int(y.sum()), int(len(y) - y.sum()))), *[np.zeros(0)] * 6,
+                  y[used].astype(float), np.array([ids[i] for i in used], np.int64), prior, plain)
+    vectors = [index.vector(held[i]) for i in used]
+    term = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in vectors]])
+    place = np.repeat(np.arange(len(used)), [len(at) for at, _ in vectors])
+    order = np.argsort(term, kind="stable")
+    term, place, weight = term[order], place[order], np.concatenate([np.zeros(0), *[v for _, v in vectors]])[order]
     blocks = max(1, -(-len(used) // BLOCK))
-    index = Index(terms, np.log((len(y) + 1) / (df + 1)) + 1, np.zeros((blocks, len(terms), BLOCK), np.float32),
-                  np.zeros((len(terms), blocks)), y[used].astype(float), np.array([ids[i] for i in used], np.int64), prior, plain)
-    for place, i in enumerate(used):
-        at, v = index.vector(held[i])
-        index.weights[place // BLOCK, at, place % BLOCK] = v
-    index.largest = index.weights.max(axis=2).T.astype(float) if len(terms) else index.largest
+    cell, cells = np.unique(term * blocks + place // BLOCK, return_index=True)
+    index.place, index.weight, index.block = place.astype(np.int32), weight.astype(np.float32), (cell % blocks).astype(np.int32)
+    index.cells, index.cells_of = np.append(cells, len(term)), np.searchsorted(cell // blocks, np.arange(len(terms) + 1))
+    index.largest = np.maximum.reduceat(index.weight, cells) if len(cells) else np.zeros(0)
     return index
 
 
@@ -136,7 +184,7 @@ def train(sample: DataFrame) -> Index:
 
 
 class TermsOf(dict):
-    """White-space-free pieces of lower-case text and the listed terms in them; filled as pieces come up."""
+    """White-space-free pieces of lower-case text and the examples' terms in them; filled as pieces come up."""
 
     def __init__(self, terms: dict[str, int]):
         self.terms = terms
@@ -148,7 +196,7 @@ class TermsOf(dict):
 
 
 class Scorer:
-    """Scores texts one after the other and remembers which pieces carry terms of the list."""
+    """Scores texts and remembers the terms of their pieces."""
 
     REMEMBERED = 250_000
 
@@ -160,8 +208,9 @@ class Scorer:
             self.known.clear()
         return Counter(chain.from_iterable(filter(None, map(self.known.__getitem__, text.lower().split()))))
 
-    def __call__(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        return self.index.score(self.counts(text))
+    def __call__(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        for start in range(0, len(texts), BATCH):
+            yield from self.index.scores([self.counts(t) for t in texts[start:start + BATCH]])
 
 
 def toxicity_index(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
@@ -172,15 +221,15 @@ def toxicity_index(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
 def score_toxicity(documents: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) for every row of `documents`.
 
-    Only the text is an input. A text without listed terms, so also a null or empty one, gets the share of toxic
-    examples among such texts. Rows are scored one by one, so repeated rows, null ids and extra columns do not
+    Only the text is an input. A text without a term of the examples, so also a null or empty one, gets the share of
+    toxic examples among such texts. Rows are scored one by one, so repeated rows, null ids and extra columns do not
     matter; an empty table gives an empty result.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(index)
         for b in batches:
-            found = [of(t) for t in texts(b.column("text"))]
+            found = list(of(texts(b.column("text"))))
             s = np.array([f[0] for f in found], float)
             near = pa.array([[int(index.ids[i]) for _, i in f[1]] for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -198,6 +247,6 @@ def reject_toxic(documents: DataFrame, index: Index, threshold: float = 0.3) ->
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(index)
         for b in batches:
-            yield b.filter(pa.array([of(t)[0] < threshold for t in texts(b.column("text"))], pa.bool_()))
+            yield b.filter(pa.array([s < threshold for s, _ in of(texts(b.column("text")))], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
