@@ -237,6 +237,17 @@ def test_secrets(spark, docs, nothing):
     assert secrets.mask_secrets(docs, dictionary, model).count() == docs.count()
 
 
+def test_few_secrets_among_many_findings(spark):
+    """Four secrets among 3,000 findings, more than fit in the sample: the forest still learns and finds them."""
+    r = random.Random(13)
+    rows = [(i, 0, [float(i % 750 == 0), r.random(), r.random()], int(i % 750 == 0)) for i in range(3000)]
+    found = spark.createDataFrame(rows, "doc_id bigint, start bigint, features array<double>, label int")
+    model = secrets.train(found, sample=60)
+    assert not isinstance(model, float)
+    assert all((x.score >= 0.5) == (x.label == 1) for x in secrets.probability(found, model).collect())
+    assert secrets.train(found.filter("label = 0")) == 0.0 and secrets.train(found.filter("label = 1")) == 1.0
+
+
 def test_secret_mask_positions(spark):
     text = "\U0001f600 a" + "b" * 11 + "1 é " + "c" * 11 + "2 end"
     df = spark.createDataFrame([(1, text, len(text))], "doc_id bigint, text string, n_chars bigint")

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadgrove.functions.hashing import HASH_BITS, portable_hash
 
+LEAST = 32
+
 
 def crc_rest(divisor: int) -> Column:
     """crc32 of doc_id as text, modulo `divisor`. A null doc_id counts as empty text, so its rest is 0."""
@@ -26,6 +28,27 @@ def bounded_sample(df: DataFrame, key: str, limit: int, seed: str) -> DataFrame:
     return df.filter(portable_hash(seed, key) < int(share * (1 << HASH_BITS)))
 
 
+def class_shares(sizes: dict, limit: int) -> dict:
+    """The share of each class to draw: of every class up to limit / classes rows (`LEAST` at least), the rest of
+    `limit` in proportion to what is left of the classes."""
+    sure = {c: min(n, max(LEAST, limit // len(sizes))) for c, n in sizes.items()}
+    left, rest = sum(sizes.values()) - sum(sure.values()), max(0, limit - sum(sure.values()))
+    share = min(1.0, rest / left) if left else 0.0
+    return {c: (sure[c] + share * (n - sure[c])) / n for c, n in sizes.items()}
+
+
+def stratified_sample(df: DataFrame, key: str, by: str, limit: int, seed: str) -> tuple[DataFrame, dict]:
+    """About `limit` rows of `df`, drawn as in `bounded_sample` with a share for each class, and the rows of each class
+    in `df`. `by` has no nulls. A column `weight` tells how many rows of its class a row stands for."""
+    sizes = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+    if not sizes:
+        return df.withColumn("weight", F.lit(1.0)), sizes
+    shares = class_shares(sizes, limit)
+    share = F.create_map(*[x for c in sizes for x in (F.lit(c), F.lit(float(shares[c])))])[F.col(by)]
+    drawn = df.filter(portable_hash(seed, key) < F.floor(share * (1 << HASH_BITS)))
+    return drawn.withColumn("weight", 1.0 / share), sizes
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, trained: Column, limit: int,
                     seed: str) -> DataFrame:
     """doc_id, text, label of about `limit` labelled documents among those that satisfy `trained`.
