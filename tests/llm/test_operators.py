@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from threadgrove.llm import fingerprint, language_id, mixing, packing, quality, secrets, simhash, suffix, topk, toxicity
+from threadgrove.llm import common, fingerprint, language_id, mixing, packing, quality, secrets, simhash, suffix, topk, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string, _row string, _h string, fp string, band string"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -357,6 +357,29 @@ def test_all_terms_of_the_examples_count(spark):
     assert all(x.evidence[0] == x.doc_id for x in out if not x.held_out)
 
 
+def test_rare_classes_stay_in_the_samples(spark):
+    """A language, toxic texts and bad texts in 8 of 3,000 documents, more than fit in the sample, are still told apart."""
+    r = random.Random(14)
+    rare = {i for i in range(3000) if i % 375 == 1}
+    words = lambda parts: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(30))
+    rows = [(i, words(["lu", "ly", "lo"] if i in rare else ["ka", "ko", "ki"]) + " idiot scum" * (i in rare), "bb" if i in rare else "aa") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = language_id.train(df, sample=64)
+    assert filters.languages == ["aa", "bb"] and filters.common == "aa"
+    assert {x.doc_id for x in language_id.identify_languages(df, filters).collect() if x.lang_pred == "bb"} == rare
+    known = spark.createDataFrame([(i, int(i not in rare), int(i in rare)) for i in range(3000)], "doc_id bigint, quality int, toxic int")
+    index = toxicity.toxicity_index(df, known, sample=64)
+    assert 0 < index.prior < 0.05 and {x.doc_id for x in toxicity.score_toxicity(df, index).collect() if x.predicted} == rare
+    scores = {x.doc_id: x.score for x in quality.score_quality(df, known, sample=64).collect()}
+    assert max(scores[i] for i in rare) < min(scores[i] for i in scores if i not in rare)
+
+
+def test_shares_of_classes():
+    shares = common.class_shares({"a": 10_000_000, "b": 500, "c": 3}, 8192)
+    assert shares["b"] == shares["c"] == 1.0 and sum(shares[c] * n for c, n in {"a": 10_000_000, "b": 500, "c": 3}.items()) == pytest.approx(8192)
+    assert set(common.class_shares({"a": 5, "b": 4000}, 8192).values()) == {1.0}
+
+
 def test_simhash(spark, docs, nameless, nothing):
     got = {x.doc_id: x for x in simhash.near_duplicates(docs).collect()}
     fps = {x.doc_id: brute.simhash(x.text) for x in docs.collect()}

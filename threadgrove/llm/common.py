@@ -51,14 +51,15 @@ def stratified_sample(df: DataFrame, key: str, by: str, limit: int, seed: str) -
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, trained: Column, limit: int,
                     seed: str) -> DataFrame:
-    """doc_id, text, label of about `limit` labelled documents among those that satisfy `trained`.
+    """doc_id, text, label, weight of about `limit` labelled documents among those that satisfy `trained`, up to
+    limit / labels from each label; `weight` is how many labelled documents a row stands for.
 
     Null labels and null ids are left out; of several labels of one document the largest counts. The labels
     are sampled first, so only the bounded sample meets the texts, as a broadcast.
     """
     known = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & trained)
              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label")))
-    picked = bounded_sample(known, "doc_id", limit, seed)
+    picked, _ = stratified_sample(known.filter(F.col("label").isNotNull()), "doc_id", "label", limit, seed)
     return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 

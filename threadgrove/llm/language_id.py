@@ -3,7 +3,7 @@
 A bit-sliced Bloom filter holds, in every slot, one bit per language. Looking up an n-gram ands its slots: the
 result is the mask of all languages that contain it. Per language, the n-grams with its bit are counted, the
 count is corrected by the filter's false-positive share for that language, and the largest count decides.
-The filter is fitted on a bounded sample (`SAMPLE` documents) and has a fixed number of slots.
+The filter is fitted on a bounded sample (`SAMPLE` documents, a share for each language) and has a fixed number of slots.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadgrove.llm.common import bounded_sample, crc_rest, groups_of, texts
+from threadgrove.llm.common import crc_rest, groups_of, stratified_sample, texts
 
 SAMPLE = 8192
 SLOT_BITS = 20
@@ -119,14 +119,15 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, sample: int = SAMPLE, least_share: float = 0.01, least_part: float = 0.25) -> Filters:
-    """Filters from about `sample` documents with a language whose crc32 rest modulo 5 is not 0.
+    """Filters from about `sample` documents with a language whose crc32 rest modulo 5 is not 0, up to sample / languages
+    of them from each language, so rare languages are learned from as many documents as common ones.
 
     A language contains an n-gram if at least `least_share` of its sampled documents (and two, where it has more
     than one) hold it, and at least `least_part` of the share in the language that uses it most, so that passages
     in another language do not leak into the filter. At most 2^SLOT_BITS slots come to the driver.
     """
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_rest(5) != 0)).select("doc_id", "lang", "text")
-    picked = bounded_sample(known, "doc_id", sample, "language")
+    picked, all_sizes = stratified_sample(known, "doc_id", "lang", sample, "language")
     sizes = {r[0]: r[1] for r in picked.groupBy("lang").count().collect()}
     names = sorted(sizes)
     if not names:
@@ -145,7 +146,7 @@ def train(documents: DataFrame, sample: int = SAMPLE, least_share: float = 0.01,
     bits = np.zeros((-(-len(names) // WORD_BITS), 1 << SLOT_BITS), np.int64)
     bits[table.column("word").to_numpy(), table.column("slot").to_numpy()] = table.column("mask").to_numpy()
     full = [((bits[i // WORD_BITS] >> i % WORD_BITS) & 1).mean() for i in range(len(names))]
-    return Filters(names, max(names, key=lambda n: (sizes[n], n)), bits, np.minimum(np.array(full) ** LOOKUPS, 0.999))
+    return Filters(names, max(names, key=lambda n: (all_sizes[n], n)), bits, np.minimum(np.array(full) ** LOOKUPS, 0.999))
 
 
 def identify_languages(documents: DataFrame, filters: Filters) -> DataFrame:

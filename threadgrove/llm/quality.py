@@ -2,7 +2,8 @@
 
 n-gram indicators are scaled by the log-count ratios of the two classes; a linear hinge-loss model over them is
 fitted by dual coordinate descent, and a logistic curve fitted on a kept-back fifth turns margins into scores.
-The fit sees a bounded sample (`SAMPLE` documents) in one task; scoring reads every whole text.
+The fit sees a bounded sample (`SAMPLE` documents, up to half of it from either label) in one task, and the curve
+weights the labels by their true sizes; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -68,15 +69,16 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
     return w, bias
 
 
-def fit_logistic(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+def fit_logistic(margins: np.ndarray, y: np.ndarray, steps: int = 100, weights: np.ndarray | None = None) -> tuple[float, float]:
     """Slope (not negative) and shift of the logistic curve from margins to probabilities, by Newton's method."""
-    pos, neg = (y > 0).sum(), (y <= 0).sum()
+    n = np.ones(len(y)) if weights is None else weights
+    pos, neg = n[y > 0].sum(), n[y <= 0].sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, float(np.log((pos + 1) / (neg + 1)))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30)))
-        g = np.array([((p - target) * margins).sum() + 1e-3 * a, (p - target).sum()])
-        s = p * (1 - p) + 1e-9
+        g = np.array([(n * (p - target) * margins).sum() + 1e-3 * a, (n * (p - target)).sum()])
+        s = n * (p * (1 - p) + 1e-9)
         h = np.array([[(s * margins * margins).sum() + 1e-3, (s * margins).sum()], [(s * margins).sum(), s.sum() + 1e-6]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
@@ -85,15 +87,18 @@ def fit_logistic(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[
     return max(float(a), 0.0), float(b)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+def fit(texts: list[np.ndarray], labels: np.ndarray, stands_for: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights per slot and shift, such that score = logistic(sum of a text's weights / sqrt(slots) + shift).
 
-    With one class only, or none, the weights are 0 and the shift gives the smoothed share of label 1.
+    `stands_for`: how many labelled documents each text stands for, 1 if not given. The margin does not depend on the
+    sizes of the classes, the curve does. With one class only, or none, the weights are 0 and the shift gives the smoothed
+    share of label 1.
     """
     y = np.where(np.asarray(labels) == 1, 1.0, -1.0)
+    share = np.ones(len(y)) if stands_for is None else stands_for * len(y) / stands_for.sum()
     if len(set(y)) < 2:
-        share = ((y > 0).sum() + 1) / (len(y) + 2)
-        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+        ones = ((y > 0).sum() + 1) / (len(y) + 2)
+        return np.zeros(1 << BITS, np.float32), float(np.log(ones / (1 - ones)))
     rows = [gram_slots(t) for t in texts]
     kept = np.arange(len(y)) % FOLDS == 0 if len(y) >= 50 else np.ones(len(y), bool)
     train = np.flatnonzero(~kept) if len(y) >= 50 and len(set(y[~kept])) == 2 else np.arange(len(y))
@@ -101,24 +106,24 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]
     values = [ratios[r] / np.sqrt(max(1, len(r))) for r in rows]
     w, bias = dual_coordinate_descent([rows[i] for i in train], [values[i] for i in train], y[train])
     margins = np.array([w[rows[i]] @ values[i] + bias for i in np.flatnonzero(kept)])
-    slope, shift = fit_logistic(margins, y[kept])
+    slope, shift = fit_logistic(margins, y[kept], weights=share[kept])
     return (slope * w * ratios).astype(np.float32), slope * bias + shift
 
 
 def train(sample: DataFrame) -> tuple[np.ndarray, float]:
-    """The model from a bounded sample (doc_id, text, label); one task fits it, 0.5 MB come back."""
+    """The model from a bounded sample (doc_id, text, label, weight); one task fits it, 0.5 MB come back."""
 
     def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
             at, data = utf8(b.column("text"))
-            ids, labels = b.column("doc_id").to_pylist(), b.column("label").to_pylist()
-            rows += [(ids[i], data[at[i]:at[i + 1]].tobytes(), labels[i]) for i in range(len(ids))]
+            ids, labels, n = (b.column(c).to_pylist() for c in ("doc_id", "label", "weight"))
+            rows += [(ids[i], data[at[i]:at[i + 1]].tobytes(), labels[i], n[i]) for i in range(len(ids))]
         rows.sort()
-        weights, shift = fit([np.frombuffer(r[1], np.uint8) for r in rows], np.array([r[2] for r in rows]))
+        weights, shift = fit([np.frombuffer(r[1], np.uint8) for r in rows], np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([shift])], ["weights", "shift"])
 
-    row = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(fit_all, "weights binary, shift double").first()
+    row = sample.select("doc_id", "text", "label", "weight").repartition(1).mapInArrow(fit_all, "weights binary, shift double").first()
     return (np.frombuffer(bytes(row[0]), np.float32), row[1]) if row else (np.zeros(1 << BITS, np.float32), 0.0)
 
 

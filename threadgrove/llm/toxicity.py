@@ -5,7 +5,9 @@ examples; the idf of a term is multiplied by its clearness (`clearness`), at lea
 The index keeps sparse postings by term and block of 256 examples, with the largest weight of each such cell. What
 the commonest terms (`COMMON`, at most) add to the cosines is one matrix product for a batch of documents; with the
 maxima of the other terms it bounds each block, and a document visits the blocks whose bound reaches its k-th best
-cosine so far, so the k nearest are exact. The examples are a bounded sample (`SAMPLE`); every document is scored whole.
+cosine so far, so the k nearest are exact. The examples are a bounded sample (`SAMPLE`, up to
+half of it from either label); places among the nearest, prior and idf
+follow the true sizes of the labels. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -72,7 +74,8 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 @dataclass
 class Index:
     """Postings (place, weight) by term and place. Cell c, a term in a block, has postings cells[c] … cells[c + 1] - 1 and
-    the largest weight largest[c]; term t has cells cells_of[t] … cells_of[t + 1] - 1. Labels and ids are by place."""
+    the largest weight largest[c]; term t has cells cells_of[t] … cells_of[t + 1] - 1. Labels, ids and how many labelled
+    documents an example stands for, the smallest number as 1, are by place."""
 
     terms: dict[str, int]
     scale: np.ndarray
@@ -84,6 +87,7 @@ class Index:
     cells_of: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
+    stands_for: np.ndarray
     prior: float
     plain: float
 
@@ -134,27 +138,35 @@ class Index:
         return next(self.all_nearest([(at, v)], k))
 
     def scores(self, rows: list[dict[int, int]], k: int = NEAREST) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        """Votes of the nearest examples, weighted by cosine squared, with one vote's weight of the prior; per row."""
+        """Votes of the nearest k, weighted by cosine squared, with one vote's weight of the prior; per row. An example
+        takes as many of the k places as it stands for, the last one what is left of them."""
         nearest = self.all_nearest([self.vector(r) for r in rows if r], k)
         for r in rows:
-            found = next(nearest) if r else []
-            votes = sum(c * c for c, _ in found)
-            yield ((sum(c * c * self.labels[i] for c, i in found) + self.prior) / (votes + 1) if r else self.plain), found
-
-
-def build(ids: list[int], rows: list[Counter], y: np.ndarray) -> Index:
-    """The index over examples in the order given. One class or no example gives no terms, so the prior for all."""
+            found, toxic, votes, places = next(nearest) if r else [], self.prior, 1.0, float(k)
+            for used, (c, i) in enumerate(found):
+                if places <= 0:
+                    found = found[:used]
+                    break
+                vote = c * c * min(places, self.stands_for[i])
+                toxic, votes, places = toxic + vote * self.labels[i], votes + vote, places - self.stands_for[i]
+            yield (toxic / votes if r else self.plain), found
+
+
+def build(ids: list[int], rows: list[Counter], y: np.ndarray, stands_for: np.ndarray | None = None) -> Index:
+    """The index over examples in the order given, each of which stands for so many labelled ones, 1 if not given. One class or no example gives no terms, so the prior for all."""
     chosen = clear_terms(rows, y) if len(y) and 0 < y.sum() < len(y) else []
     terms = {t: i for i, t in enumerate(chosen)}
     held = [{terms[t]: n for t, n in r.items() if t in terms} for r in rows]
-    prior = float((y.sum() + 0.5) / (len(y) + 1))
+    n = np.ones(len(y)) if stands_for is None or not len(y) else stands_for * len(y) / stands_for.sum()
+    prior = float((n @ y + 0.5) / (len(y) + 1))
     blank = np.array([not h for h in held], bool)
-    plain = float((y[blank].sum() + prior) / (blank.sum() + 1)) if len(y) else prior
+    plain = float((n[blank] @ y[blank] + prior) / (n[blank].sum() + 1)) if len(y) else prior
     used = [i for i, h in enumerate(held) if h]
     a, b = (np.bincount([t for i in used if y[i] == c for t in held[i]], minlength=len(terms)).astype(float) for c in (1, 0))
-    idf = np.log((len(y) + 1) / (a + b + 1)) + 1
+    of = {c: n[y == c].mean() if (y == c).any() else 0.0 for c in (1, 0)}
+    idf = np.log((len(y) + 1) / (a * of[1] + b * of[0] + 1)) + 1
     index = Index(terms, idf * np.maximum(1.0, clearness(a, b, int(y.sum()), int(len(y) - y.sum()))), *[np.zeros(0)] * 6,
-                  y[used].astype(float), np.array([ids[i] for i in used], np.int64), prior, plain)
+                  y[used].astype(float), np.array([ids[i] for i in used], np.int64), n[used] / n.min(initial=1.0), prior, plain)
     vectors = [index.vector(held[i]) for i in used]
     term = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in vectors]])
     place = np.repeat(np.arange(len(used)), [len(at) for at, _ in vectors])
@@ -174,12 +186,12 @@ def train(sample: DataFrame) -> Index:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
-            rows += [(i, term_counts(t), y) for i, t, y in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), b.column("label").to_pylist())]
+            rows += [(i, term_counts(t), y, n) for i, t, y, n in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), b.column("label").to_pylist(), b.column("weight").to_pylist())]
         rows.sort(key=lambda r: r[0])
-        index = build([r[0] for r in rows], [r[1] for r in rows], np.array([int(r[2] == 1) for r in rows]))
+        index = build([r[0] for r in rows], [r[1] for r in rows], np.array([int(r[2] == 1) for r in rows]), np.array([r[3] for r in rows]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index.__dict__)], pa.binary())], ["index"])
 
-    row = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(count, "index binary").first()
+    row = sample.select("doc_id", "text", "label", "weight").repartition(1).mapInArrow(count, "index binary").first()
     return Index(**pickle.loads(bytes(row[0]))) if row else build([], [], np.zeros(0, int))
 
 
