@@ -172,3 +172,72 @@ def test_all_metrics_of_two_encoders(spark):
     got = {x.encoder: x for x in compare_encoders({"good": (good, good), "bad": (bad, bad)}, ks=(1, 3)).collect()}
     assert got["good"].acc == 1.0 and got["good"].nmi == pytest.approx(1.0) and got["good"].mrr == 1.0
     assert got["good"].margin > got["bad"].margin and got["good"].ari > got["bad"].ari
+
+
+def clustered(spark, n, seed, start=0, groups=12, dim=16):
+    centres = np.random.default_rng(99).normal(size=(groups, dim))
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, groups, n)
+    x = (centres[y] + 0.03 * rng.normal(size=(n, dim))).astype("float32")
+    return spark.createDataFrame([(start + i, int(y[i]) % 3, x[i].tolist()) for i in range(n)], VEC), x.astype(float), y % 3
+
+
+def test_bounds_rule_out_most_cells(spark):
+    """On clustered vectors few pairs of a query and a cell meet, and the ranking is that of all pairs."""
+    q, qx, _ = clustered(spark, 300, 1)
+    c, cx, _ = clustered(spark, 900, 2, start=1000)
+    sides = retrieval._sides(q, c, "id", "label", "embedding")
+    found = retrieval.search(*sides, k=5, block=100)
+    met, whole = found.visits()
+    assert found.cells.groups > 3 and met < 0.25 * whole
+    order = np.argsort(-np.round(unit(qx) @ unit(cx).T, retrieval.DIGITS), axis=1, kind="stable")[:, :5]
+    top = retrieval._merge(found.hits, "top", 5).orderBy("query_id", "rank").toPandas()
+    assert top.candidate_id.to_numpy().reshape(300, 5).tolist() == (order + 1000).tolist()
+
+
+@pytest.mark.parametrize("pivots", [1, 4, 1024])
+def test_retrieval_of_zero_equal_and_unlabelled_vectors(spark, pivots):
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.zeros((3, 4)), np.ones((9, 4)), -np.ones((2, 4)), rng.normal(size=(20, 4))])
+    rows = [(int(i), None if i % 7 == 0 else int(i % 4), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VEC)
+    sims = np.round(unit(np.where(x.any(axis=1, keepdims=True), x, 1e-300)) @ unit(np.where(x.any(axis=1, keepdims=True), x, 1e-300)).T, 12)
+    sims[~x.any(axis=1)] = sims[:, ~x.any(axis=1)] = 0
+    order = np.argsort(-sims, axis=1, kind="stable")
+    top = retrieval.rank_candidates(df, df, 6, block=5, pivots=pivots).orderBy("query_id", "rank").toPandas()
+    assert top.candidate_id.to_numpy().reshape(len(x), 6).tolist() == order[:, :6].tolist()
+    same = [[rows[a][1] is not None and rows[a][1] == rows[b][1] for b in o] for a, o in enumerate(order)]
+    want = np.mean([1 / (s.index(True) + 1) if True in s else 0 for s in same])
+    assert retrieval.evaluate(df, df, ks=(1,), block=5, pivots=pivots).first().mrr == pytest.approx(want)
+
+
+def test_no_candidates(spark):
+    q, _, _ = cloud(spark, 5)
+    assert retrieval.rank_candidates(q, q.limit(0), 3).count() == 0
+    assert retrieval.evaluate(q, q.limit(0), ks=(1,)).first().mrr == 0.0
+
+
+def test_class_extremes_skip_most_blocks(spark):
+    df, x, y = clustered(spark, 1200, 3, groups=36)
+    found, visited, pairs = clustering.class_range_search(df, block=20)
+    assert visited.count() < 0.3 * pairs.count()
+    got = {r._l: (r.lo, r.hi) for r in found.groupBy("_l").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
+    for k in range(3):
+        s = (unit(x[y == k]) @ unit(x[y == k]).T)[np.triu_indices((y == k).sum(), 1)]
+        assert got[k] == pytest.approx((s.min(), s.max()))
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 5)])
+def test_auction_equals_all_permutations(spark, shape):
+    """Several tables at once by the auction, against the best of all permutations."""
+    rng = np.random.default_rng(sum(shape))
+    tables = [rng.integers(0, 12, shape) * (rng.random(shape) < 0.7) for _ in range(4)]
+    rows = [(str(t), f"l{i}", f"c{j}", int(g[i, j])) for t, g in enumerate(tables) for i in range(shape[0]) for j in range(shape[1])]
+    df = spark.createDataFrame(rows, "enc string, label string, cluster string, n long")
+    got = {x.enc: x.accuracy for x in clustering.cluster_accuracy(df, ("enc",), dense=0).collect()}
+    for t, g in enumerate(tables):
+        if g.sum():
+            a = g if g.shape[0] <= g.shape[1] else g.T
+            best = max(sum(a[i, p[i]] for i in range(a.shape[0])) for p in itertools.permutations(range(a.shape[1]), a.shape[0]))
+            assert got[str(t)] == pytest.approx(best / g.sum())
+

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadgrove.functions.rows import beside
 from threadgrove.functions.vectors import dot_expr, mean_vector, unit, unit_rows
+from threadgrove.operators.assignment import assignment
+from threadgrove.operators.cells import HELD_BYTES, placed, sample_pivots
 from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
@@ -123,36 +125,98 @@ def intra_class(df: DataFrame, label: str = "label", vec: str = "embedding") ->
                                               F.col("std").alias("intra_std"))
 
 
-def intra_class_range(df: DataFrame, key: str = "id", label: str = "label", vec: str = "embedding",
-                      block: int = 2048) -> DataFrame:
-    """Smallest and largest cosine inside each class.
+CLASS_PIVOTS = 256
+NEAR = 1e-9  # what a bound is widened by, far above the rounding
+
+
+def _class_blocks(df: DataFrame, key: str, label: str, vec: str, block: int | None, pivots: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Rows by block, the blocks, and the pivots. A block is a part of a cell of a class, `block` rows or about that many.
 
-    A class is cut into hash blocks of a fixed size; one task compares two blocks and hands on one row,
-    so a large class becomes many tasks and no pair is emitted.
+    A class of n rows has about n / block cells, around the first pivots of one list of `pivots` at most; a larger cell is cut into parts.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    rows = lookup(df.filter(F.col(vec).isNotNull()).select(label, F.col(key).alias("_k"), F.col(vec).alias("_v")), sizes, [label])
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    own = F.pmod(F.xxhash64("_k"), blocks).cast("int")
-    first = rows.select(F.col(label).alias("_l"), "_k", "_v", own.alias("_x"), F.explode(F.sequence(own, blocks - 1)).alias("_y"))
-    second = rows.select(F.col(label).alias("_l"), "_k", "_v", F.explode(F.sequence(F.lit(0), own)).alias("_x"), own.alias("_y"))
-    cells = first.groupBy("_l", "_x", "_y").cogroup(second.select(*[F.col(c).alias(f"{c}2") for c in second.columns])
-                                                     .groupBy("_l2", "_x2", "_y2"))
-    kind = dict(df.dtypes)[label]
-
-    def extremes(a: pa.Table, b: pa.Table) -> pa.Table:
-        lo, hi, name = [], [], []
-        if a.num_rows and b.num_rows:
-            sims = unit_rows(a["_v"]) @ unit_rows(b["_v2"]).T
-            if a["_x"][0] == a["_y"][0]:  # a block with itself: leave out every row paired with itself
-                sims = sims[np.asarray(a["_k"])[:, None] != np.asarray(b["_k2"])[None, :]]
-            if sims.size:
-                lo, hi, name = [float(sims.min())], [float(sims.max())], [a["_l"][0].as_py()]
-        return pa.table({label: pa.array(name, a.schema.field("_l").type), "lo": pa.array(lo, pa.float64()),
-                         "hi": pa.array(hi, pa.float64())})
-
-    found = cells.applyInArrow(extremes, f"`{label}` {kind}, lo double, hi double")
-    return found.groupBy(label).agg(F.min("lo").alias("intra_min"), F.max("hi").alias("intra_max"))
+    rows = df.filter(F.col(vec).isNotNull()).select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.col(vec).alias("embedding"))
+    rows = stored(rows)
+    chosen = sample_pivots(rows, "_k", pivots)
+    block = block or max(1024, HELD_BYTES // (8 * max(1, chosen.shape[1])))
+    most = F.least(F.lit(max(1, len(chosen))), F.ceil(F.col("_n") / block)).cast("int").alias("_most")
+    sizes = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
+    near = stored(placed(lookup(rows, sizes.select("_l", most), ["_l"], counts=sizes), chosen, "_most"))
+    cells = near.groupBy("_l", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"))
+    parts = F.ceil(F.col("n") / block).cast("int")
+    cells = stored(cells.select("_l", "cell", "angle", "n", parts.alias("parts")))
+    part = F.pmod(F.xxhash64("_k"), F.col("parts")).cast("int")
+    dealt = lookup(near, cells.select("_l", "cell", "parts"), ["_l", "cell"], counts=cells.select("_l", "cell", F.col("n").alias("_n")))
+    blocks = cells.select("_l", "cell", "angle", "n", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.select("_l", "cell", part.alias("part"), "_k", "embedding"), blocks, chosen
+
+
+def _block_pairs(blocks: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Pairs of blocks of a class, each with itself too, with bounds of the cosines between them."""
+    here, there = [blocks.select("_l", *[F.col(c).alias(f"{c}{i}") for c in ("cell", "part", "angle", "n")]) for i in (1, 2)]
+    ordered = F.struct("cell1", "part1") <= F.struct("cell2", "part2")
+    alone = (F.col("cell1") == F.col("cell2")) & (F.col("part1") == F.col("part2")) & (F.col("n1") < 2)
+    pairs = here.join(there, "_l").filter(ordered & ~alone).select("_l", "cell1", "part1", "cell2", "part2", "angle1", "angle2")
+    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0)) if len(pivots) else np.zeros((0, 0))
+
+    def bound(batches):
+        for b in batches:
+            x, y, rx, ry = [np.asarray(b.column(c)) for c in ("cell1", "cell2", "angle1", "angle2")]
+            zero = (x >= len(pivots)) | (y >= len(pivots))
+            if len(pivots):
+                theta, r = between[np.minimum(x, len(pivots) - 1), np.minimum(y, len(pivots) - 1)], rx + ry + 2e-7
+                low, high = np.cos(np.minimum(theta + r, np.pi)), np.cos(np.maximum(theta - r, 0))
+            else:
+                low = high = np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(zero, 0.0, low)), pa.array(np.where(zero, 0.0, high))], [*b.schema.names, "low", "high"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    return pairs.mapInArrow(bound, f"{kinds}, low double, high double")
+
+
+def _extremes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """_l, lo, hi: smallest and largest cosine over the given pairs of blocks, one row a pair; one task holds two blocks."""
+    ids = ["_l", "cell1", "part1", "cell2", "part2"]
+    sides = [pairs.select(*ids, F.col(f"cell{i}").alias("cell"), F.col(f"part{i}").alias("part"))
+             .join(rows, ["_l", "cell", "part"]).select(*ids, "_k", "embedding") for i in (1, 2)]
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        sims = unit_rows(a["embedding"]) @ unit_rows(b["embedding2"]).T if a.num_rows and b.num_rows else np.empty((0, 0))
+        if sims.size and (a["cell1"][0], a["part1"][0]) == (a["cell2"][0], a["part2"][0]):  # a block with itself: no row with itself
+            sims = sims[np.asarray(a["_k"])[:, None] != np.asarray(b["_k2"])[None, :]]
+        n = 1 if sims.size else 0
+        return pa.table({"_l": a["_l"].slice(0, n), "lo": pa.array([float(sims.min())] * n if n else [], pa.float64()),
+                         "hi": pa.array([float(sims.max())] * n if n else [], pa.float64())})
+
+    kind = rows.schema["_l"].dataType.simpleString()
+    other = sides[1].select(*[F.col(c).alias(f"{c}2") for c in sides[1].columns])  # two sides of one table need names of their own
+    return sides[0].groupBy(*ids).cogroup(other.groupBy(*[f"{c}2" for c in ids])).applyInArrow(compare, f"_l {kind}, lo double, hi double")
+
+
+def class_range_search(df: DataFrame, key: str = "id", label: str = "label", vec: str = "embedding", block: int | None = None,
+                       pivots: int = CLASS_PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, visited, pairs): extremes by pair of blocks, the pairs that were compared, and all pairs.
+
+    Branch and bound in two waves. The first compares, for each class, the pair of blocks that may hold the largest cosine and the one that may hold the
+    smallest. Only pairs whose bounds can beat what was found then are compared in the second.
+    """
+    rows, blocks, chosen = _class_blocks(df, key, label, vec, block, pivots)
+    pairs = stored(_block_pairs(blocks, chosen))
+    ids = [F.col(c) for c in ("cell1", "part1", "cell2", "part2")]
+    top = pairs.groupBy("_l").agg(F.max(F.struct("high", *ids)).alias("h"), F.min(F.struct("low", *ids)).alias("l"))
+    first = top.select("_l", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("cell1", "part1", "cell2", "part2")]) for s in "hl"]))).alias("p")).select("_l", "p.*")
+    one = stored(_extremes(rows, first))
+    best = one.groupBy("_l").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
+    may = F.col("_lo").isNull() | (F.col("high") + NEAR >= F.col("_hi")) | (F.col("low") - NEAR <= F.col("_lo"))
+    rest = pairs.join(best, "_l", "left").filter(may).join(first, ["_l", "cell1", "part1", "cell2", "part2"], "left_anti")
+    second = stored(rest.select("_l", "cell1", "part1", "cell2", "part2"))
+    return one.unionByName(_extremes(rows, second)), first.unionByName(second), pairs
+
+
+def intra_class_range(df: DataFrame, key: str = "id", label: str = "label", vec: str = "embedding",
+                      block: int | None = None, pivots: int = CLASS_PIVOTS) -> DataFrame:
+    """Smallest and largest cosine inside each class with two rows or more; keys are unique. See `class_range_search`."""
+    found, _, _ = class_range_search(df, key, label, vec, block, pivots)
+    return found.groupBy(F.col("_l").alias(label)).agg(F.min("lo").alias("intra_min"), F.max("hi").alias("intra_max"))
 
 
 def _centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
@@ -270,7 +334,7 @@ def purity(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return best.groupBy(*keys).agg((F.sum("m") / F.sum("t")).alias("purity")).select(*by, "purity")
 
 
-MAX_CELLS = 25_000_000  # 200 MB of counts: 5,000 labels by 5,000 clusters
+DENSE_CELLS = 1 << 22  # 32 MB of counts: tables up to this are solved in one task each, larger ones by an auction
 
 
 def _best_assignment(gain: np.ndarray) -> float:
@@ -305,21 +369,28 @@ def _best_assignment(gain: np.ndarray) -> float:
     return float(sum(gain[r, c] for c, r in enumerate(owner) if r >= 0))
 
 
-def cluster_accuracy(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Share of rows on the best one-to-one assignment of clusters to labels.
+def cluster_accuracy(table: DataFrame, by: tuple[str, ...] = (), dense: int = DENSE_CELLS) -> DataFrame:
+    """Share of rows on the best one-to-one assignment of clusters to labels, exact for any table.
 
-    One group is one contingency table, whose size is labels x clusters and not the data. The assignment needs
-    that table whole in one task; one of more than MAX_CELLS cells is an error.
+    One key is one contingency table. Tables of up to `dense` labels x clusters are solved in one task each; the cells of
+    larger ones go to an auction (`operators.assignment`), all keys together.
     """
-    keys, t = _keyed(by), _with_key(table, by)
+    keys = _keyed(by)
+    t = stored(_with_key(table, by).filter("n > 0"))
     types = dict(t.dtypes)
+    sizes = stored(t.groupBy(*keys).agg((F.count_distinct("label") * F.count_distinct("cluster")).alias("_cells"), F.sum("n").alias("_all")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = pdf["label"].nunique() * pdf["cluster"].nunique()
-        if cells > MAX_CELLS:
-            raise ValueError(f"{cells} cells of labels and clusters, more than {MAX_CELLS}")
         m = pdf.pivot_table(index="label", columns="cluster", values="n", aggfunc="sum", fill_value=0).to_numpy(float)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "accuracy": [_best_assignment(m) / m.sum()]})
-
-    out = t.groupBy(*keys).applyInPandas(solve, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", accuracy double")
-    return out.select(*by, "accuracy")
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "best": [_best_assignment(m)]})
+
+    def cells(large: bool) -> DataFrame:
+        wanted = F.col("_cells") > dense
+        return t.join(sizes.filter(wanted if large else ~wanted).select(*keys), keys)
+
+    best = cells(False).groupBy(*keys).applyInPandas(solve, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", best double")
+    if not sizes.filter(F.col("_cells") > dense).isEmpty():
+        named = cells(True).select(*[F.struct(*keys, F.col(c).alias("name")).alias(side) for c, side in (("label", "row"), ("cluster", "column"))], "n")
+        chosen = assignment(named).groupBy(*[F.col(f"row.{k}").alias(k) for k in keys]).agg(F.sum("n").cast("double").alias("best"))
+        best = best.unionByName(chosen)
+    return best.join(sizes, keys).select(*by, (F.col("best") / F.col("_all")).alias("accuracy"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from threadgrove.functions import vectors
 from threadgrove.functions.rows import beside
@@ -265,14 +265,78 @@ def summary_labels(distribution: DataFrame) -> DataFrame:
         share.alias("dominant_percentage"), level.alias("fragmentation_level"))
 
 
+def path_minima(edges: DataFrame) -> list[DataFrame]:
+    """Lifting table of the reply edges: level j has, for every comment with 2^j ancestors, the 2^j-th of them (`up`) and the smallest
+    similarity on the way (`least`).
+
+    A missing similarity never cuts, so it counts as infinite; NaN always cuts. Each level is the one before joined with itself
+    and holds only comments that deep, so the table has about log2(depth) levels. Comments above which a cycle lies never run out; levels
+    end when nothing else is left.
+    """
+    s = F.col("similarity")
+    weight = F.when(s.isNull(), F.lit(float("inf"))).when(F.isnan(s), F.lit(float("-inf"))).otherwise(s)
+    levels, rows = [], None
+    level = edges.select("post_id", F.col("child_id").alias("comment_id"), F.col("parent_id").alias("up"), weight.alias("least"))
+    while True:
+        seen = Observation()
+        level = stored(level, seen, n=F.count(F.lit(1)))
+        n = seen.get["n"]
+        if levels and n in (0, rows):
+            return levels
+        levels.append(level)
+        rows = n
+        above = level.select("post_id", F.col("comment_id").alias("up"), F.col("up").alias("_next"), F.col("least").alias("_more"))
+        level = lookup(level, above, ["post_id", "up"]).select("post_id", "comment_id", F.col("_next").alias("up"), F.least("least", "_more").alias("least"))
+
+
+def roots_by_threshold(nodes: DataFrame, levels: list[DataFrame], thresholds: list[float]) -> DataFrame:
+    """post_id, comment_id, root_id, dist, first, last: the subtree root of a comment for the thresholds first … last (places in the
+    ascending list) that share it.
+
+    A descent through the lifting table: from the highest level on, the thresholds up to `least` move on by 2^j comments, the
+    others stay. A row is split only where thresholds part, so there are as many rows as a comment has different roots, however many
+    thresholds are asked for. Comments whose way up leaves the table or is a cycle have no root.
+    """
+    marks = F.array(*[F.lit(float(t)) for t in thresholds])
+    passed = lambda least: F.size(F.filter(marks, lambda t: t <= least))
+    comments = nodes.filter(F.col("parent_id").isNotNull())
+    here = comments.select("post_id", "comment_id", F.col("comment_id").alias("root_id"), F.lit(0).cast("bigint").alias("dist"),
+                           F.lit(0).alias("first"), F.lit(len(thresholds) - 1).alias("last"))
+    for j in reversed(range(len(levels))):
+        step = levels[j].select("post_id", F.col("comment_id").alias("root_id"), "up", "least")
+        met = lookup(here, step, ["post_id", "root_id"], "left").withColumn("_p", F.when(F.col("up").isNull(), 0).otherwise(passed(F.col("least"))))
+        moved = F.struct(F.col("up").alias("root_id"), (F.col("dist") + (1 << j)).alias("dist"), F.col("first"), F.least(F.col("last"), F.col("_p") - 1).alias("last"))
+        stays = F.struct("root_id", "dist", F.greatest("first", "_p").alias("first"), "last")
+        pieces = F.array_compact(F.array(F.when(F.col("first") < F.col("_p"), moved), F.when(F.col("last") >= F.col("_p"), stays)))
+        here = stored(met.select("post_id", "comment_id", F.inline(pieces)))
+    # a root answers the post itself, or its own edge is cut
+    tops = comments.filter(F.col("parent_id") == F.col("post_id")).select("post_id", F.col("comment_id").alias("root_id"), F.lit(0).alias("_p"))
+    below = levels[0].select("post_id", F.col("comment_id").alias("root_id"), passed(F.col("least")).alias("_p"))
+    ended = lookup(here, tops.unionByName(below), ["post_id", "root_id"])
+    return ended.withColumn("first", F.greatest("first", "_p")).filter(F.col("first") <= F.col("last")).drop("_p")
+
+
 def threshold_sweep(nodes: DataFrame, thresholds=(0.3, 0.5, 0.7, 0.9), sim=vectors.cosine) -> DataFrame:
-    """Forest figures per post for several thresholds; similarities are computed once."""
-    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
-    edges = edge_similarity(nodes, sim)
-    swept = stored(prune(edges.select("*", each)))
-    spread = nodes.select("post_id", "comment_id", "parent_id", each)
-    trees = subtrees(assign_roots(spread, swept, ("threshold",)), ("threshold",))
-    return forest_stats(trees, swept, ("threshold",))
+    """Forest figures per post for any number of thresholds.
+
+    Similarities and the lifting table are computed once; a further threshold costs no join, only its rows in the figures.
+    """
+    marks = sorted({float(t) for t in thresholds})
+    edges = stored(edge_similarity(nodes, sim))
+    roots = roots_by_threshold(nodes, path_minima(edges), marks)
+    # few pieces per root: one for each pair of thresholds at most
+    pieces = roots.groupBy("post_id", "root_id", "first", "last").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("depth"))
+    held = pieces.groupBy("post_id", "root_id").agg(F.collect_list(F.struct("first", "last", "n", "depth")).alias("_in"))
+
+    def figures(i: Column) -> Column:
+        inside = F.filter("_in", lambda x: i.between(x["first"], x["last"]))
+        return F.struct(F.element_at(F.array(*[F.lit(t) for t in marks]), i + 1).alias("threshold"),
+                        F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("size"),
+                        F.array_max(F.transform(inside, lambda x: x["depth"])).alias("depth"))
+
+    trees = held.select("post_id", "root_id", F.inline(F.transform(F.sequence(F.lit(0), F.lit(len(marks) - 1)), figures))).filter("size > 0")
+    each = F.explode(F.array(*[F.lit(t) for t in marks])).alias("threshold")
+    return forest_stats(trees, prune(edges.select("*", each)), ("threshold",))
 
 
 def sample_by_size(trees: DataFrame, n: int = 1, seed: int = 42) -> DataFrame:

@@ -1,119 +1,259 @@
-"""Exact ranked retrieval: every query against every candidate, only short lists leave a task.
-
-Queries are cut into hash blocks of a fixed size, candidates into a number of stripes set by the cluster. One
-task streams one stripe past one query block and keeps a running list of the k best, so it holds one block, one
-batch of candidates and k rows a query, and what leaves it grows with queries x stripes x k, not with the
-candidates. Labels play no part in the cutting, so a label with a third of the rows is no hot spot.
+"""Exact ranked retrieval: bounds decide which candidates a query has to meet.
+
+Candidates lie in cells around pivots (`operators.cells`). A first wave sends each query to the cells with the best bounds
+that hold k candidates; its k-th best cosine then rules out every cell whose bound is below, and the second wave sends the query to
+the rest. So the result is exact, and vectors in clusters meet few cells. A task holds one group of cells, sized by memory, and
+streams queries past it; candidates are copied only for parts of the queries as large as the cluster needs for
+its cores, and a query goes once to each group that has a cell for it. Labels play no part in the
+cutting, so a label with a third of the rows is no hot spot, and a crowded cell is cut into parts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from threadgrove.functions.rows import beside
 from threadgrove.functions.vectors import unit_rows
+from threadgrove.operators.cells import PIVOTS, Cells, make_cells
 from threadgrove.operators.ranking import best_per_group
+from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
-DIGITS = 12  # similarities are compared after rounding, so that equal vectors tie in every block
+DIGITS = 12  # similarities are compared after rounding, so that equal vectors tie everywhere
+NEAR = 1e-9  # what a bound is widened by, far above the rounding
+BATCH = 1024  # queries that meet a cell together
+
+Choose = Callable[[np.ndarray, np.ndarray, pa.RecordBatch], np.ndarray]
+
+
+def _units(b) -> np.ndarray:
+    return unit_rows(pa.chunked_array([b.column("embedding")]) if isinstance(b, pa.RecordBatch) else b["embedding"])
+
+
+def first_cells(cells: Cells, high: np.ndarray, k: int) -> np.ndarray:
+    """Per row the cells with the best bounds that together hold k candidates (all, if there are fewer)."""
+    order = np.argsort(-high, axis=1, kind="stable")
+    sizes = cells.size[order]
+    needed = (np.cumsum(sizes, axis=1) - sizes < k) & (sizes > 0)
+    out = np.zeros(high.shape, bool)
+    np.put_along_axis(out, order, needed, axis=1)
+    return out
 
 
-def _cells(queries: DataFrame, candidates: DataFrame, block: int, stripes: int | None) -> DataFrame:
-    """Both sides as one table, sorted inside (query block, stripe): first the queries, then the candidates by id.
+def deal(queries: DataFrame, cells: Cells, choose: Choose, whole: bool = False) -> DataFrame:
+    """One row per query and group that has a cell for it: the query's columns, `_g`, `_cells` (those chosen in it).
 
-    A query is repeated once per stripe, a candidate once per query block. Queries have a null `candidate_id`.
+    `choose(low, high, batch)` gives rows x cells. With `whole`, `_whole` counts the candidates of the cells whose lower bound is above the
+    query's `_sim`, on the first of its rows; such cells are not visited.
     """
-    count = queries.sparkSession.sparkContext.defaultParallelism if stripes is None else stripes
-    rows = queries.select(F.count(F.lit(1)).alias("n")).scalar()
-    blocks = F.greatest(F.ceil(rows / F.lit(block)), F.lit(1)).cast("int")
-    left = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), blocks).cast("int")).withColumn(
-        "_c", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    right = candidates.withColumn("_c", F.pmod(F.xxhash64("candidate_id"), F.lit(count)).cast("int")).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    both = left.unionByName(right, allowMissingColumns=True)
-    return both.repartition("_q", "_c").sortWithinPartitions("_q", "_c", F.asc_nulls_first("candidate_id"))
-
-
-def _stream(batches, block: int, start, advance, finish):
-    """Run `state = start(queries)`, `advance(state, candidates)` per slice and `finish(state)` over each cell."""
-    cell, held, state = None, [], None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        keys = np.stack([np.asarray(t["_q"]), np.asarray(t["_c"]), np.asarray(t["candidate_id"].is_valid())])
-        edges = np.flatnonzero((np.diff(keys.astype(np.int64), axis=1) != 0).any(axis=0)) + 1
-        for lo, hi in zip([0, *edges], [*edges, t.num_rows]):
-            if lo == hi:
-                continue
-            part, here = t.slice(lo, hi - lo), (int(keys[0, lo]), int(keys[1, lo]))
-            if here != cell:
-                if state is not None:
+    first, parts, size = cells.first, cells.parts, cells.size
+    names = queries.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, BATCH):
+                b = big.slice(at, BATCH)
+                low, high = cells_.bounds(_units(b))
+                needed = choose(low, high, b)
+                above = np.zeros(b.num_rows, np.int64)
+                if whole:
+                    sure = (low - NEAR > np.asarray(b.column("_sim"))[:, None]) & (size > 0)
+                    above, needed = sure @ size, needed & ~sure
+                row, cell = np.nonzero(needed & (size > 0))
+                # a cell in parts stands for each of its groups
+                copies = parts[cell]
+                row, cell, group = np.repeat(row, copies), np.repeat(cell, copies), np.repeat(first[cell], copies) + (
+                    np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies))
+                order = np.lexsort((cell, group, row))
+                row, cell, group = row[order], cell[order], group[order]
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(group) != 0)])[:len(row)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(row)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                lead = np.concatenate([[True], np.diff(row[new]) != 0])[:len(new)]
+                held = b.take(pa.array(row[new]))
+                yield pa.RecordBatch.from_arrays(
+                    [*held.columns, pa.array(group[new].astype(np.int32)), lists, pa.array(np.where(lead, above[row[new]], 0))],
+                    [*names, "_g", "_cells", "_whole"])
+
+    cells_ = Cells(None, cells.pivots, size, cells.radius, first, parts)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
+    return queries.mapInArrow(run, f"{fields}, _g int, _cells array<int>, _whole bigint")
+
+
+@dataclass
+class Group:
+    """The candidates of a group, by cell; `rank` is their place in the order of ids."""
+
+    unit: np.ndarray
+    ids: list
+    rank: np.ndarray
+    labels: list
+    cells: dict[int, slice]
+
+
+def meet(dealt: DataFrame, cells: Cells, salts: int, schema: str, start: Callable, visit: Callable, finish: Callable) -> DataFrame:
+    """Bring dealt queries and the candidates of their groups together.
+
+    For a batch of queries `state = start(queries, group)`, `visit(state, rows, cell)` for every cell that some of its rows chose, then the
+    batches of `finish(state)`. Queries of a group are spread over `salts` tasks, each with the group's candidates.
+    """
+    right = cells.grouped("candidate_id").select("_g", "candidate_id", "cell", "label", "embedding").withColumn(
+        "_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = dealt.withColumn("_s", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_q", F.col("candidate_id").isNull())
+    sorted_ = both.repartition("_g", "_s").sortWithinPartitions("_g", "_s", "_q", "cell", "candidate_id")
+
+    def load(t: pa.Table) -> Group:
+        ids = t["candidate_id"].to_pylist()
+        rank = np.empty(len(ids), np.int64)
+        rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        cell = np.asarray(t["cell"])
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+        return Group(_units(t), ids, rank, t["label"].to_pylist(), {int(cell[a]): slice(a, b) for a, b in zip(edges, edges[1:])})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, group = None, [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("_g", "_s", "_q")])
+            edges = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if a == b:
+                    continue
+                part = pa.Table.from_batches([batch.slice(a, b - a)])
+                if (keys[0, a], keys[1, a]) != here:
+                    here, held, group = (keys[0, a], keys[1, a]), [], None
+                if not keys[2, a]:
+                    held.append(part)
+                    continue
+                if held:
+                    group, held = load(pa.concat_tables(held)), []
+                if group is None:
+                    continue
+                for at in range(0, part.num_rows, BATCH):
+                    q = part.slice(at, BATCH).combine_chunks()
+                    chosen = q["_cells"].combine_chunks()
+                    row = np.repeat(np.arange(len(q)), np.asarray(chosen.value_lengths()))
+                    cell = np.asarray(chosen.flatten())
+                    order = np.lexsort((row, cell))
+                    row, cell = row[order], cell[order]
+                    state = start(q, group)
+                    ends = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [len(cell)]])
+                    for x, y in zip(ends, ends[1:]):
+                        if x < y and int(cell[x]) in group.cells:
+                            visit(state, row[x:y], group.cells[int(cell[x])])
                     yield from finish(state)
-                cell, held, state = here, [], None
-            if not keys[2, lo]:
-                held.append(part)
-                continue
-            if held:  # the first candidates of a cell that has queries
-                state, held = start(pa.concat_tables(held)), []
-            if state is not None:
-                for at in range(0, part.num_rows, block):
-                    advance(state, part.slice(at, block))
-    if state is not None:
-        yield from finish(state)
-
-
-def _hits(queries: DataFrame, candidates: DataFrame, k: int, block: int, stripes: int | None = None) -> DataFrame:
-    """Per query and stripe: the k best candidates ('top') and the best one of the same label ('match')."""
-    ids = {c: d.schema[c].dataType for d, c in ((queries, "query_id"), (candidates, "candidate_id"))}
-    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in ids.items()) + ", similarity double, same boolean, kind string"
-
-    def best(sims, names, same, n):
-        """The n largest similarities a row, earlier columns first among equal ones."""
-        if sims.shape[1] > n:
-            low = np.partition(sims, -n, axis=1)[:, -n:].min(axis=1)
-            rows, cols = np.nonzero(sims >= low[:, None])
-            order = np.lexsort((cols, -sims[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(sims)))[rows] < n
-            cols = cols[keep].reshape(len(sims), n)
-            sims, names, same = [np.take_along_axis(x, cols, axis=1) for x in (sims, names, same)]
-        return sims, names, same
-
-    def start(q):
+
+    return sorted_.mapInArrow(run, schema)
+
+
+def _best(sims: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n largest similarities of each row, smaller ranks first among equal ones."""
+    low = np.partition(sims, -n, axis=1)[:, -n]
+    rows, cols = np.nonzero(sims >= low[:, None])
+    order = np.lexsort((rank[rows, cols], -sims[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(sims)))[rows] < n
+    return cols[keep].reshape(len(sims), n)
+
+
+def _search(dealt: DataFrame, cells: Cells, salts: int, k: int) -> DataFrame:
+    """Per query and group: the k best candidates ('top') and the best one of the same label ('match')."""
+    kinds = {"query_id": dealt.schema["query_id"].dataType, "candidate_id": cells.rows.schema["candidate_id"].dataType}
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in kinds.items()) + ", similarity double, same boolean, kind string"
+    arrow = to_arrow_type(kinds["candidate_id"])
+
+    def start(q: pa.Table, group: Group) -> dict:
         labels = q["label"].to_pylist()
         numbers = {n: i for i, n in enumerate(dict.fromkeys(x for x in labels if x is not None))}
-        n, kind = q.num_rows, object
-        return {"unit": unit_rows(q["embedding"]), "ids": q["query_id"], "numbers": numbers,
-                "label": np.array([numbers.get(x, -1) for x in labels])[:, None],  # a missing label equals none
-                "top": (np.empty((n, 0)), np.empty((n, 0), kind), np.empty((n, 0), bool)),
-                "match": (np.full((n, 1), -np.inf), np.full((n, 1), None, kind), np.zeros((n, 1), bool))}
-
-    def advance(state, c):
-        sims = np.round(state["unit"] @ unit_rows(c["embedding"]).T, DIGITS)
-        names = np.broadcast_to(np.array(c["candidate_id"].to_pylist(), object), sims.shape)
-        same = state["label"] == np.array([state["numbers"].get(x, -2) for x in c["label"].to_pylist()])
-        # candidates come in the order of their ids, so what is held already wins ties
-        held, fresh = state["top"], best(sims, names, same, k)
-        state["top"] = best(*[np.hstack(x) for x in zip(held, fresh)], k)
-        fresh = best(np.where(same, sims, -np.inf), names, same, 1)
-        state["match"] = best(*[np.hstack(x) for x in zip(state["match"], fresh)], 1)
-
-    def finish(state):
+        n = len(q)
+        return {"unit": _units(q), "ids": q["query_id"].combine_chunks(), "group": group,
+                "label": np.array([numbers.get(x, -1) for x in labels]),  # a missing label equals none
+                "of": np.array([numbers.get(x, -2) for x in group.labels]),
+                "top": (np.full((n, k), -np.inf), np.full((n, k), -1)), "match": (np.full((n, 1), -np.inf), np.full((n, 1), -1))}
+
+    def visit(state: dict, row: np.ndarray, at: slice) -> None:
+        group = state["group"]
+        sims = np.round(state["unit"][row] @ group.unit[at].T, DIGITS)
+        place = np.broadcast_to(np.arange(at.start, at.stop), sims.shape)
+        same = state["label"][row][:, None] == state["of"][at]
+        for kind, found, n in (("top", sims, k), ("match", np.where(same, sims, -np.inf), 1)):
+            held, where = state[kind]
+            best = found.max(axis=1)
+            # rows that get nothing new from this cell are done
+            new = np.flatnonzero((best >= held[row, -1]) & (best > -np.inf))
+            if not len(new):
+                continue
+            at_ = row[new]
+            both, spots = np.hstack([held[at_], found[new]]), np.hstack([where[at_], place[new]])
+            cols = _best(both, np.where(spots >= 0, group.rank[spots], -1), n)
+            held[at_], where[at_] = np.take_along_axis(both, cols, 1), np.take_along_axis(spots, cols, 1)
+
+    def finish(state: dict) -> Iterator[pa.RecordBatch]:
+        group = state["group"]
         for kind in ("top", "match"):
-            sims, names, same = state[kind]
-            rows, cols = np.nonzero(np.ones_like(same) if kind == "top" else same)
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays(state["ids"].chunks).take(pa.array(rows)),
-                pa.array(names[rows, cols].tolist(), to_arrow_type(ids["candidate_id"])),
-                pa.array(sims[rows, cols], pa.float64()), pa.array(same[rows, cols], pa.bool_()),
-                pa.array([kind] * len(rows), pa.string())], ["query_id", "candidate_id", "similarity", "same", "kind"])
+            sims, spots = state[kind]
+            row, col = np.nonzero(sims > -np.inf)
+            spot = spots[row, col]
+            yield pa.RecordBatch.from_arrays(
+                [state["ids"].take(pa.array(row)), pa.array([group.ids[i] for i in spot], arrow), pa.array(sims[row, col], pa.float64()),
+                 pa.array(state["label"][row] == state["of"][spot], pa.bool_()), pa.array([kind] * len(row), pa.string())],
+                ["query_id", "candidate_id", "similarity", "same", "kind"])
+
+    return meet(dealt, cells, salts, schema, start, visit, finish)
+
+
+def _merge(hits: DataFrame, kind: str, k: int) -> DataFrame:
+    rows = hits.filter(F.col("kind") == kind).drop("kind")
+    return best_per_group(rows, ["query_id"], [F.desc("similarity"), F.asc("candidate_id")], k, "rank")
+
 
-    def run(batches):
-        yield from _stream(batches, block, start, advance, finish)
+@dataclass
+class Search:
+    """Both waves: their hits, and what they cost. Queries and candidates as from `_sides`."""
 
-    return _cells(queries, candidates, block, stripes).mapInArrow(run, schema)
+    queries: DataFrame
+    n_queries: int
+    cells: Cells
+    salts: int
+    hits: DataFrame
+    waves: tuple[DataFrame, DataFrame]
+
+    def visits(self) -> tuple[int, int]:
+        """Pairs of a query and a cell that met, and how many there are in all."""
+        met = sum(w.agg(F.coalesce(F.sum(F.size("_cells")), F.lit(0))).first()[0] for w in self.waves)
+        whole = self.n_queries * int(np.where(self.cells.size > 0, self.cells.parts, 0).sum())
+        return met, whole
+
+
+def search(queries: DataFrame, candidates: DataFrame, k: int, block: int | None = None, pivots: int = PIVOTS) -> Search:
+    """The hits of both waves; `block` is how many candidates a task holds."""
+    counted = Observation(), Observation()
+    queries, candidates = [stored(d, o, n=F.count(F.lit(1))) for d, o in zip((queries, candidates), counted)]
+    tasks, n, m = queries.sparkSession.sparkContext.defaultParallelism, *[o.get["n"] for o in counted]
+    # groups times query parts make up the tasks; what is copied is least if both sides are cut in proportion to their sizes
+    groups = int(np.clip(np.sqrt(tasks * m / max(1, n)), 1, tasks))
+    cells = make_cells(candidates, "candidate_id", block, pivots, groups, m)
+    salts = max(1, -(-tasks // max(1, cells.groups)))
+
+    def first(low, high, b):
+        return first_cells(cells_, high, k)
+
+    def second(low, high, b):
+        floor = np.nan_to_num(np.asarray(b.column("_floor")).astype(float), nan=-np.inf)
+        return (high + NEAR >= floor[:, None]) & ~first_cells(cells_, high, k)
+
+    cells_ = Cells(None, cells.pivots, cells.size, cells.radius, cells.first, cells.parts)
+    near = deal(queries, cells, first)
+    one = stored(_search(near, cells, salts, k))
+    floors = _merge(one, "top", k).filter(F.col("rank") == k).select("query_id", F.col("similarity").alias("_floor"))
+    far = deal(queries.join(floors, "query_id", "left"), cells, second)
+    two = stored(_search(far, cells, salts, k))
+    return Search(queries, n, cells, salts, one.unionByName(two), (near, far))
 
 
 def _sides(queries: DataFrame, candidates: DataFrame, id_col: str, label: str, vec: str):
@@ -125,18 +265,13 @@ def _sides(queries: DataFrame, candidates: DataFrame, id_col: str, label: str, v
     return side(queries, "query_id"), side(candidates, "candidate_id")
 
 
-def _merge(hits: DataFrame, kind: str, k: int) -> DataFrame:
-    rows = hits.filter(F.col("kind") == kind).drop("kind")
-    return best_per_group(rows, ["query_id"], [F.desc("similarity"), F.asc("candidate_id")], k, "rank")
-
-
 def rank_candidates(queries: DataFrame, candidates: DataFrame, k: int = 10, id_col: str = "id", label: str = "label",
-                    vec: str = "embedding", block: int = 2048, stripes: int | None = None) -> DataFrame:
+                    vec: str = "embedding", block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """The k most similar candidates of every query, best first; ties go to the smaller candidate id.
 
-    Ids are numbers or strings. `stripes` is the number of candidate parts, by default the cores of the cluster.
+    Ids are numbers or strings, unique on either side. `block` is how many candidates a task holds, by default as many as fit in 64 MB.
     """
-    return _merge(_hits(*_sides(queries, candidates, id_col, label, vec), k, block, stripes), "top", k)
+    return _merge(search(*_sides(queries, candidates, id_col, label, vec), k, block, pivots).hits, "top", k)
 
 
 def precision_at_k(ranked: DataFrame, queries: int | Column, ks: tuple[int, ...] = (1, 3, 5, 10),
@@ -151,56 +286,106 @@ def precision_at_k(ranked: DataFrame, queries: int | Column, ks: tuple[int, ...]
     wanted = ranked.sparkSession.createDataFrame([(k,) for k in ks], "k int")
     return wanted.join(hits, "k", "left").select(
         F.col("k").cast("bigint").alias("k"),
-        (F.coalesce("_hits", F.lit(0)) / F.least("k", size) / total).alias("precision"))
+        F.coalesce(F.try_divide(F.try_divide(F.coalesce("_hits", F.lit(0)), F.least("k", size)), total), F.lit(0.0)).alias("precision"))
 
 
-def reciprocal_ranks(queries: DataFrame, candidates: DataFrame, hits: DataFrame, k: int, block: int,
-                     stripes: int | None = None) -> DataFrame:
-    """1 / rank of the first same-label candidate per query; 0 without one.
+def _best_matches(open_: DataFrame, found: Search) -> DataFrame:
+    """query_id, _id, _sim of the best candidate of the same label, for queries whose label some candidate has.
 
-    When that candidate is among the k best, its rank is known. Only for the other queries a second
-    pass counts the candidates ahead of it.
+    Only cells with that label are visited: first the one with the best bound, unless a match is known already (`_seen`), then those
+    whose bound reaches the match found.
     """
-    best = _merge(hits, "match", 1).select("query_id", F.col("candidate_id").alias("_id"), F.col("similarity").alias("_sim"))
-    known = _merge(hits, "top", k).filter("same").groupBy("query_id").agg(F.min("rank").alias("_rank"))
-    state = stored(queries.join(best, "query_id", "left").join(known, "query_id", "left"))
+    cells = found.cells
+    # a label is in as many cells as there are, so its list is bounded
+    where = cells.rows.filter("label is not null").groupBy("label").agg(F.collect_set("cell").alias("_in"))
+    known = stored(lookup(open_, where, ["label"]))
+    cells_ = Cells(None, cells.pivots, cells.size, cells.radius, cells.first, cells.parts)
 
-    ids = state.schema["query_id"].dataType.simpleString()
+    def inside(b, high):
+        lists = b.column("_in")
+        out = np.zeros(high.shape, bool)
+        out[np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = True
+        return out
 
-    def start(q):
-        return {"unit": unit_rows(q["embedding"]), "ids": pa.concat_arrays(q["query_id"].chunks), "sim": np.asarray(q["_sim"])[:, None],
-                "own": np.array(q["_id"].to_pylist(), object)[:, None], "ahead": np.zeros(q.num_rows, np.int64)}
+    def one(low, high, b):
+        best = np.where(inside(b, high), high, -3.0).argmax(axis=1)
+        return np.arange(high.shape[1]) == best[:, None]
 
-    def advance(cell, c):
-        sims = np.round(cell["unit"] @ unit_rows(c["embedding"]).T, DIGITS)
-        names = np.array(c["candidate_id"].to_pylist(), object)[None, :]
-        before = (sims > cell["sim"]) | ((sims == cell["sim"]) & (names < cell["own"]))
-        cell["ahead"] += (before & (names != cell["own"])).sum(axis=1)
+    def reaching(low, high, b):
+        return inside(b, high) & (high + NEAR >= np.asarray(b.column("_seen")).astype(float)[:, None])
 
-    def finish(cell):
-        yield pa.RecordBatch.from_arrays([cell["ids"], pa.array(cell["ahead"])], ["query_id", "ahead"])
+    near = _search(deal(known.filter("_seen is null"), cells_, one), cells, found.salts, 1)
+    seen = _merge(near, "match", 1).select("query_id", F.col("similarity").alias("_new"))
+    wider = known.join(seen, "query_id", "left").withColumn("_seen", F.coalesce("_seen", "_new")).drop("_new")
+    hits = _search(deal(stored(wider), cells_, reaching), cells, found.salts, 1)
+    return _merge(hits, "match", 1).select("query_id", F.col("candidate_id").alias("_id"), F.col("similarity").alias("_sim"))
 
-    def run(batches):
-        yield from _stream(batches, block, start, advance, finish)
 
-    open_ = state.filter("_rank is null and _id is not null").select("query_id", "embedding", "_id", "_sim")
-    counted = _cells(open_, candidates, block, stripes).mapInArrow(run, f"query_id {ids}, ahead bigint")
-    ranks = counted.groupBy("query_id").agg((F.sum("ahead") + 1).alias("_far"))
+def reciprocal_ranks(found: Search, k: int) -> DataFrame:
+    """1 / rank of the first same-label candidate per query; 0 without one.
+
+    When that candidate is among the k best, its rank is known. For the other queries it is searched for in the cells that have the label; then
+    the candidates ahead of it are counted: cells whose lower bound is above it count whole, those whose upper bound is below not at all, and
+    only the cells between are visited.
+    """
+    cells = found.cells
+    known = _merge(found.hits, "top", k).filter("same").groupBy("query_id").agg(F.min("rank").alias("_rank"))
+    seen = _merge(found.hits, "match", 1).select("query_id", F.col("similarity").alias("_seen"))
+    state = stored(found.queries.join(known, "query_id", "left").join(seen, "query_id", "left"))
+    open_ = state.filter("_rank is null").select("query_id", "label", "embedding", "_seen")
+    if open_.isEmpty():
+        far = state.select("query_id", F.lit(None).cast("bigint").alias("_far"))
+    else:
+        best = stored(_best_matches(open_, found))
+        far = _ranks_by_count(open_.select("query_id", "embedding").join(best, "query_id"), cells, found.salts)
     rank = F.coalesce(F.col("_rank").cast("bigint"), F.col("_far"))
-    return state.join(ranks, "query_id", "left").select(
+    return state.join(far, "query_id", "left").select(
         "query_id", F.coalesce(F.try_divide(F.lit(1.0), rank), F.lit(0.0)).alias("reciprocal_rank"))
 
 
+def _ranks_by_count(queries: DataFrame, cells: Cells, salts: int) -> DataFrame:
+    """query_id, _far: the rank of candidate `_id`, whose similarity is `_sim`."""
+
+    def start(q: pa.Table, group: Group) -> dict:
+        own = q["_id"].to_pylist()
+        ordered = sorted(group.ids)
+        # places of the own ids in the order of the group's ids, where they are or would be
+        return {"unit": _units(q), "ids": q["query_id"].combine_chunks(), "group": group, "sim": np.asarray(q["_sim"]),
+                "place": np.array([_bisect(ordered, x) for x in own]), "ahead": np.asarray(q["_whole"]).copy()}
+
+    def visit(state: dict, row: np.ndarray, at: slice) -> None:
+        group = state["group"]
+        sims, own = np.round(state["unit"][row] @ group.unit[at].T, DIGITS), state["sim"][row][:, None]
+        before = (sims > own) | ((sims == own) & (group.rank[at] < state["place"][row][:, None]))
+        state["ahead"][row] += before.sum(axis=1)
+
+    def finish(state: dict) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([state["ids"], pa.array(state["ahead"])], ["query_id", "ahead"])
+
+    def between(low, high, b):
+        return high + NEAR >= np.asarray(b.column("_sim"))[:, None]
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    dealt = deal(queries, cells, between, whole=True)
+    counted = meet(dealt, cells, salts, f"query_id {kind}, ahead bigint", start, visit, finish)
+    return counted.groupBy("query_id").agg((F.sum("ahead") + 1).alias("_far"))
+
+
+def _bisect(ordered: list, x) -> int:
+    from bisect import bisect_left
+
+    return bisect_left(ordered, x)
+
+
 def evaluate(queries: DataFrame, candidates: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), id_col: str = "id",
-             label: str = "label", vec: str = "embedding", block: int = 2048, stripes: int | None = None) -> DataFrame:
+             label: str = "label", vec: str = "embedding", block: int | None = None, pivots: int = PIVOTS) -> DataFrame:
     """One row: mean precision per k, mean reciprocal rank, number of queries."""
     q, c = _sides(queries, candidates, id_col, label, vec)
     k = max(ks)
-    hits = stored(_hits(q, c, k, block, stripes))
-    total, size = [d.select(F.count(F.lit(1)).alias("n")).scalar() for d in (q, c)]
-    precision = precision_at_k(_merge(hits, "top", k), total, ks, size)
-    wide = precision.agg(
+    found = search(q, c, k, block, pivots)
+    total, size = found.n_queries, int(found.cells.size.sum())
+    wide = precision_at_k(_merge(found.hits, "top", k), total, ks, size).agg(
         *[F.max(F.when(F.col("k") == x, F.col("precision"))).alias(f"precision_at_{x}") for x in ks])
-    mrr = reciprocal_ranks(q, c, hits, k, block, stripes).agg(
+    mrr = reciprocal_ranks(found, k).agg(
         F.avg("reciprocal_rank").alias("mrr"), F.count(F.lit(1)).alias("sample_count"))
     return beside(wide, mrr)
