@@ -132,13 +132,13 @@ NEAR = 1e-9  # what a bound is widened by, far above the rounding
 def _class_blocks(df: DataFrame, key: str, label: str, vec: str, block: int | None, pivots: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """Rows by block, the blocks, and the pivots. A block is a part of a cell of a class, `block` rows or about that many.
 
-    A class of n rows has about n / block cells, around the first pivots of one list of `pivots` at most; a larger cell is cut into parts.
+    A class of n rows has about 4 n / block cells, around the first pivots of one list of `pivots` at most; a larger cell is cut into parts.
     """
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(label).alias("_l"), F.col(key).alias("_k"), F.col(vec).alias("embedding"))
     rows = stored(rows)
     chosen = sample_pivots(rows, "_k", pivots)
     block = block or max(1024, HELD_BYTES // (8 * max(1, chosen.shape[1])))
-    most = F.least(F.lit(max(1, len(chosen))), F.ceil(F.col("_n") / block)).cast("int").alias("_most")
+    most = F.least(F.lit(max(1, len(chosen))), F.ceil(F.col("_n") * 4 / block)).cast("int").alias("_most")
     sizes = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
     near = stored(placed(lookup(rows, sizes.select("_l", most), ["_l"], counts=sizes), chosen, "_most"))
     cells = near.groupBy("_l", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"))
@@ -151,7 +151,7 @@ def _class_blocks(df: DataFrame, key: str, label: str, vec: str, block: int | No
 
 
 def _block_pairs(blocks: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Pairs of blocks of a class, each with itself too, with bounds of the cosines between them."""
+    """Pairs of blocks of a class, each with itself too, with bounds of the cosines between them and that of their pivots."""
     here, there = [blocks.select("_l", *[F.col(c).alias(f"{c}{i}") for c in ("cell", "part", "angle", "n")]) for i in (1, 2)]
     ordered = F.struct("cell1", "part1") <= F.struct("cell2", "part2")
     alone = (F.col("cell1") == F.col("cell2")) & (F.col("part1") == F.col("part2")) & (F.col("n1") < 2)
@@ -164,13 +164,13 @@ def _block_pairs(blocks: DataFrame, pivots: np.ndarray) -> DataFrame:
             zero = (x >= len(pivots)) | (y >= len(pivots))
             if len(pivots):
                 theta, r = between[np.minimum(x, len(pivots) - 1), np.minimum(y, len(pivots) - 1)], rx + ry + 2e-7
-                low, high = np.cos(np.minimum(theta + r, np.pi)), np.cos(np.maximum(theta - r, 0))
+                low, mid, high = np.cos(np.minimum(theta + r, np.pi)), np.cos(theta), np.cos(np.maximum(theta - r, 0))
             else:
-                low = high = np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(zero, 0.0, low)), pa.array(np.where(zero, 0.0, high))], [*b.schema.names, "low", "high"])
+                low = mid = high = np.zeros(b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(np.where(zero, 0.0, x)) for x in (low, mid, high)]], [*b.schema.names, "low", "mid", "high"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInArrow(bound, f"{kinds}, low double, high double")
+    return pairs.mapInArrow(bound, f"{kinds}, low double, mid double, high double")
 
 
 def _extremes(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -196,13 +196,12 @@ def class_range_search(df: DataFrame, key: str = "id", label: str = "label", vec
                        pivots: int = CLASS_PIVOTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(found, visited, pairs): extremes by pair of blocks, the pairs that were compared, and all pairs.
 
-    Branch and bound in two waves. The first compares, for each class, the pair of blocks that may hold the largest cosine and the one that may hold the
-    smallest. Only pairs whose bounds can beat what was found then are compared in the second.
+    Branch and bound in two waves. The first compares, for each class, the pair of blocks with the nearest pivots and the one with the farthest. Only pairs whose bounds can beat what was found then are compared in the second.
     """
     rows, blocks, chosen = _class_blocks(df, key, label, vec, block, pivots)
     pairs = stored(_block_pairs(blocks, chosen))
     ids = [F.col(c) for c in ("cell1", "part1", "cell2", "part2")]
-    top = pairs.groupBy("_l").agg(F.max(F.struct("high", *ids)).alias("h"), F.min(F.struct("low", *ids)).alias("l"))
+    top = pairs.groupBy("_l").agg(F.max(F.struct("mid", *ids)).alias("h"), F.min(F.struct("mid", *ids)).alias("l"))
     first = top.select("_l", F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("cell1", "part1", "cell2", "part2")]) for s in "hl"]))).alias("p")).select("_l", "p.*")
     one = stored(_extremes(rows, first))
     best = one.groupBy("_l").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"))
