@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,7 +181,27 @@ def build(ids: list[int], rows: list[Counter], y: np.ndarray, stands_for: np.nda
     return index
 
 
-def train(sample: DataFrame) -> Index:
+@dataclass
+class PackedIndex:
+    """An index as compressed bytes: the driver passes these on, tasks open them once."""
+
+    data: bytes
+
+    @classmethod
+    def of(cls, index: Index) -> PackedIndex:
+        return cls(zlib.compress(pickle.dumps(index.__dict__), 6))
+
+    def open(self) -> Index:
+        return Index(**pickle.loads(zlib.decompress(self.data)))
+
+    def __getattr__(self, name: str):
+        """Parts of the index, for a look at it; opens it each time."""
+        if name.startswith("_") or name == "data":
+            raise AttributeError(name)
+        return getattr(self.open(), name)
+
+
+def train(sample: DataFrame) -> PackedIndex:
     """The index from a bounded sample. The sample's term counts are small: they go to one task, the index to all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,10 +210,10 @@ def train(sample: DataFrame) -> Index:
             rows += [(i, term_counts(t), y, n) for i, t, y, n in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), b.column("label").to_pylist(), b.column("weight").to_pylist())]
         rows.sort(key=lambda r: r[0])
         index = build([r[0] for r in rows], [r[1] for r in rows], np.array([int(r[2] == 1) for r in rows]), np.array([r[3] for r in rows]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index.__dict__)], pa.binary())], ["index"])
+        yield pa.RecordBatch.from_arrays([pa.array([PackedIndex.of(index).data], pa.binary())], ["index"])
 
     row = sample.select("doc_id", "text", "label", "weight").repartition(1).mapInArrow(count, "index binary").first()
-    return Index(**pickle.loads(bytes(row[0]))) if row else build([], [], np.zeros(0, int))
+    return PackedIndex(bytes(row[0])) if row else PackedIndex.of(build([], [], np.zeros(0, int)))
 
 
 class TermsOf(dict):
@@ -212,8 +233,9 @@ class Scorer:
 
     REMEMBERED = 250_000
 
-    def __init__(self, index: Index):
-        self.index, self.known = index, TermsOf(index.terms)
+    def __init__(self, index: Index | PackedIndex):
+        self.index = index.open() if isinstance(index, PackedIndex) else index
+        self.known = TermsOf(self.index.terms)
 
     def counts(self, text: str) -> dict[int, int]:
         if len(self.known) > self.REMEMBERED:
@@ -225,12 +247,12 @@ class Scorer:
             yield from self.index.scores([self.counts(t) for t in texts[start:start + BATCH]])
 
 
-def toxicity_index(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
+def toxicity_index(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> PackedIndex:
     """Learns from `labels.toxic` of documents whose crc32 rest modulo 4 is not 2."""
     return train(labelled_sample(documents, labels, "toxic", crc_rest(4) != 2, sample, "toxic"))
 
 
-def score_toxicity(documents: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(documents: DataFrame, index: Index | PackedIndex, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids of the nearest examples) for every row of `documents`.
 
     Only the text is an input. A text without a term of the examples, so also a null or empty one, gets the share of
@@ -243,7 +265,7 @@ def score_toxicity(documents: DataFrame, index: Index, threshold: float = 0.3) -
         for b in batches:
             found = list(of(texts(b.column("text"))))
             s = np.array([f[0] for f in found], float)
-            near = pa.array([[int(index.ids[i]) for _, i in f[1]] for f in found], pa.list_(pa.int64()))
+            near = pa.array([[int(of.index.ids[i]) for _, i in f[1]] for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), near],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -253,7 +275,7 @@ def score_toxicity(documents: DataFrame, index: Index, threshold: float = 0.3) -
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
 
 
-def reject_toxic(documents: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
+def reject_toxic(documents: DataFrame, index: Index | PackedIndex, threshold: float = 0.3) -> DataFrame:
     """The rows of `documents`, all columns, whose score is below `threshold`. The text column is named text."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
