@@ -384,6 +384,35 @@ def test_all_terms_of_the_examples_count(spark):
     assert all(x.evidence[0] == x.doc_id for x in out if not x.held_out)
 
 
+@pytest.mark.parametrize("clean_weight", [1, 16, 256])
+def test_scores_do_not_hang_on_what_an_example_stands_for(clean_weight):
+    """Votes are by label, not by places: more toxic neighbours never score less, and one clean neighbour outvotes nothing."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice(["ka", "lo", "mi", "ne"]) for _ in range(3))
+    texts = [" ".join([word() for _ in range(20)] + ["idiot", "scum"] * (i % 2)) for i in range(300)]
+    y = np.array([i % 2 for i in range(300)])
+    index = toxicity.build(list(range(300)), [toxicity.term_counts(t) for t in texts], y, np.where(y == 1, 1.0, clean_weight))
+    scores = [s for s, _ in toxicity.Scorer(index)([" ".join([word() for _ in range(20)] + ["idiot", "scum"] * (i % 2)) for i in range(100)])]
+    assert min(scores[1::2]) >= 0.3 > max(scores[::2])
+    doc, c = np.repeat(np.arange(17), 16), np.full(17 * 16, 0.5)
+    toxic, clean = np.flatnonzero(index.labels == 1)[:16], np.flatnonzero(index.labels == 0)[:16]
+    place = np.concatenate([np.concatenate([toxic[:n], clean[n:]]) for n in range(17)])
+    margins = index.margins(doc, c, place, 17)
+    assert (np.diff(margins) > 0).all() and index.examples.slope > 0
+    assert margins == pytest.approx(-margins[::-1]) and margins[15] == pytest.approx(np.log((15 + 0.5) / (1 + 0.5)))
+    packed = toxicity.PackedIndex.of(index).open()
+    assert (packed.scale == index.scale).all() and (packed.weight == index.weight).all() and packed.examples.slope == index.examples.slope
+
+
+def test_calibration_is_the_optimum():
+    rng = np.random.default_rng(16)
+    x, y, w = rng.normal(size=300), rng.integers(0, 2, 300).astype(float), rng.random(300) + 0.1
+    x += y
+    slope, offset = toxicity.calibration(x, y, w)
+    loss = lambda a, b: w @ np.logaddexp(0, np.where(y == 1, -1, 1) * (a * x + b))
+    assert all(loss(slope, offset) <= loss(slope + a, offset + b) + 1e-6 for a in (-0.01, 0, 0.01) for b in (-0.01, 0, 0.01))
+
+
 def test_rare_classes_stay_in_the_samples(spark):
     """A language, toxic texts and bad texts in 8 of 3,000 documents, more than fit in the sample, are still told apart."""
     r = random.Random(14)

@@ -5,9 +5,13 @@ examples; the idf of a term is multiplied by its clearness (`clearness`), at lea
 The index keeps sparse postings by term and block of 256 examples, with the largest weight of each such cell. What
 the commonest terms (`COMMON`, at most) add to the cosines is one matrix product for a batch of documents; with the
 maxima of the other terms it bounds each block, and a document visits the blocks whose bound reaches its k-th best
-cosine so far, so the k nearest are exact. The examples are a bounded sample (`SAMPLE`, up to
-half of it from either label); places among the nearest, prior and idf
-follow the true sizes of the labels. Every document is scored whole.
+cosine so far, so the k nearest are exact.
+
+The nearest vote with their squared cosine; the votes of a label are divided by its share of the examples, so the log of
+toxic over clean votes, the margin, does not depend on how many documents an example stands for. Two numbers fitted on
+the margins of the examples themselves, each without its own vote and weighted to the true sizes of the labels, turn
+margins into scores. The examples are a bounded sample (`SAMPLE`, up to half of it from either label); prior and idf
+follow the true sizes too. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -15,11 +19,10 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
-from itertools import chain
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -73,126 +76,189 @@ def ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
-class Index:
-    """Postings (place, weight) by term and place. Cell c, a term in a block, has postings cells[c] … cells[c + 1] - 1 and
-    the largest weight largest[c]; term t has cells cells_of[t] … cells_of[t + 1] - 1. Labels, ids and how many labelled
-    documents an example stands for, the smallest number as 1, are by place."""
-
-    terms: dict[str, int]
-    scale: np.ndarray
+class Examples:
+    """What an index is made of. Term t has the next `size[t]` postings: at `place`, `times` times. Labels, ids and the
+    number of labelled documents an example stands for (1 on average) are by place. `seen` are the toxic and the clean
+    examples, those without a term included, `of` what one of either stands for. A score is the logistic function of
+    slope * margin + offset; texts without a term get `plain`, all texts `prior` if there are no terms."""
+
+    terms: list[str]
+    size: np.ndarray
     place: np.ndarray
-    weight: np.ndarray
-    cells: np.ndarray
-    block: np.ndarray
-    largest: np.ndarray
-    cells_of: np.ndarray
+    times: np.ndarray
     labels: np.ndarray
     ids: np.ndarray
     stands_for: np.ndarray
+    seen: tuple[int, int]
+    of: tuple[float, float]
     prior: float
     plain: float
+    slope: float = 1.0
+    offset: float = 0.0
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """Whole numbers, not negative, in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+class Index:
+    """Cell c, a term in a block, has postings cells[c] … cells[c + 1] - 1 and the largest weight largest[c]; term t has
+    cells cells_of[t] … cells_of[t + 1] - 1."""
+
+    def __init__(self, examples: Examples):
+        self.examples = e = examples
+        self.terms = {t: i for i, t in enumerate(e.terms)}
+        self.labels, self.ids, self.prior, self.plain = e.labels, e.ids, e.prior, e.plain
+        self.places, self.blocks = len(e.ids), max(1, -(-len(e.ids) // BLOCK))
+        term, place = np.repeat(np.arange(len(e.terms)), e.size), e.place.astype(np.int64)
+        a, b = (np.bincount(term[e.labels[place] == c], minlength=len(e.terms)).astype(float) for c in (1, 0))
+        idf = np.log((sum(e.seen) + 1) / (a * e.of[0] + b * e.of[1] + 1)) + 1
+        self.scale = idf * np.maximum(1.0, clearness(a, b, *e.seen))
+        weight = (1 + np.log(e.times.astype(float))) * self.scale[term]
+        self.place = e.place.astype(np.int32)
+        self.weight = (weight / np.sqrt(np.bincount(place, weight ** 2, self.places))[place]).astype(np.float32)
+        cell, first = np.unique(term * self.blocks + place // BLOCK, return_index=True)
+        self.block = (cell % self.blocks).astype(np.int32)
+        self.cells, self.cells_of = np.append(first, len(term)), np.searchsorted(cell // self.blocks, np.arange(len(e.terms) + 1))
+        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        chosen = np.argsort(-e.size.astype(np.int64), kind="stable")[:COMMON]
+        self.row = np.full(len(e.terms), -1)
+        self.row[chosen] = np.arange(len(chosen))
+        self.matrix = np.zeros((len(chosen), self.places), np.float32)
+        common = self.row[term] >= 0
+        self.matrix[self.row[term[common]], place[common]] = self.weight[common]
+
+    def weigh(self, owner: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+        """Unit vectors of n documents: the weights of terms `at` that document `owner` holds so many times."""
+        v = (1 + np.log(times)) * self.scale[at]
+        return v / np.sqrt(np.bincount(owner, v ** 2, n))[owner]
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and the unit vector over them."""
-        at, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
-        order = np.argsort(at)
-        at = at[order]
-        v = (1 + np.log(n[order])) * self.scale[at]
-        return at, v / np.linalg.norm(v) if len(at) else v
-
-    @cached_property
-    def common(self) -> tuple[np.ndarray, np.ndarray]:
-        """Per term its row in the matrix of the commonest terms, -1 for the others; the matrix, weights by place."""
-        size = self.cells[self.cells_of[1:]] - self.cells[self.cells_of[:-1]]
-        chosen = np.argsort(-size, kind="stable")[:COMMON]
-        row, matrix = np.full(len(size), -1), np.zeros((len(chosen), len(self.ids)), np.float32)
-        row[chosen] = np.arange(len(chosen))
-        posting, n = ranges(self.cells[self.cells_of[chosen]], self.cells[self.cells_of[chosen + 1]])
-        matrix[np.repeat(np.arange(len(chosen)), n), self.place[posting]] = self.weight[posting]
-        return row, matrix
-
-    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> Iterator[list[tuple[float, int]]]:
-        """For each vector the k examples with the largest cosine (ties to the earlier example), cosines above 0 only."""
-        row, matrix = self.common
-        first = np.arange(0, len(self.ids), BLOCK)
-        for start in range(0, len(vectors), BATCH):
-            batch = vectors[start:start + BATCH]
-            left = np.zeros((len(batch), len(matrix)), np.float32)
-            for i, (at, v) in enumerate(batch):
-                is_common = row[at] >= 0
-                left[i, row[at[is_common]]] = v[is_common]
-            for (at, v), cosines in zip(batch, left @ matrix):
-                rare = row[at] < 0
-                cell, n = ranges(self.cells_of[at[rare]], self.cells_of[at[rare] + 1])
-                if len(cell):
-                    v, block = np.repeat(v[rare], n), self.block[cell]
-                    bounds = np.bincount(block, v * self.largest[cell], len(first)) + np.maximum.reduceat(cosines, first)
-                    least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
-                    used = (bounds >= least - 1e-6)[block]
-                    posting, n = ranges(self.cells[cell[used]], self.cells[cell[used] + 1])
-                    cosines = cosines + np.bincount(self.place[posting], np.repeat(v[used], n) * self.weight[posting], len(cosines))
-                least = np.partition(cosines, -k)[-k] if len(cosines) > k else 0.0
-                found = np.flatnonzero((cosines > 0) & (cosines >= least))
-                yield [(float(cosines[i]), int(i)) for i in found[np.argsort(-cosines[found], kind="stable")[:k]]]
+        at = np.array(sorted(counts), np.int64)
+        return at, self.weigh(np.zeros(len(at), np.int64), at, np.array([counts[t] for t in at.tolist()], float), 1)
+
+    def all_nearest(self, owner: np.ndarray, at: np.ndarray, v: np.ndarray, n: int, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For n documents, given as in `weigh`, the k examples with the largest cosine (ties to the earlier example),
+        cosines above 0 only: documents, ascending, cosines, descending, and places."""
+        if not self.places:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        kth = lambda c: np.partition(c, -k, axis=1)[:, -k] if self.places > k else np.zeros(n)
+        row = self.row[at]
+        common, left = row >= 0, np.zeros((n, len(self.matrix)), np.float32)
+        left[owner[common], row[common]] = v[common]
+        cosines = left @ self.matrix
+        at, v, owner = at[~common], v[~common].astype(np.float32), owner[~common]
+        cell, m = ranges(self.cells_of[at], self.cells_of[at + 1])
+        if len(cell):
+            v, owner = np.repeat(v, m), np.repeat(owner, m)
+            block = owner * self.blocks + self.block[cell]
+            bounds = np.bincount(block, v * self.largest[cell], n * self.blocks).reshape(n, self.blocks)
+            bounds += np.maximum.reduceat(cosines, np.arange(0, self.places, BLOCK), axis=1)
+            used = (bounds >= kth(cosines)[:, None] - 1e-5).ravel()[block]
+            cell, v, owner = cell[used], v[used], owner[used]
+            posting, m = ranges(self.cells[cell], self.cells[cell + 1])
+            spot = np.repeat(owner * self.places, m) + self.place[posting]
+            cosines += np.bincount(spot, np.repeat(v, m) * self.weight[posting], n * self.places).reshape(n, self.places)
+        doc, place = np.nonzero((cosines > 0) & (cosines >= kth(cosines)[:, None]))
+        c = cosines[doc, place].astype(float)
+        order = np.lexsort((place, -c, doc))
+        doc, c, place = doc[order], c[order], place[order]
+        first = np.arange(len(doc)) - np.searchsorted(doc, doc) < k
+        return doc[first], c[first], place[first]
 
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
-        return next(self.all_nearest([(at, v)], k))
-
-    def scores(self, rows: list[dict[int, int]], k: int = NEAREST) -> Iterator[tuple[float, list[tuple[float, int]]]]:
-        """Votes of the nearest k, weighted by cosine squared, with one vote's weight of the prior; per row. An example
-        takes as many of the k places as it stands for, the last one what is left of them."""
-        nearest = self.all_nearest([self.vector(r) for r in rows if r], k)
-        for r in rows:
-            found, toxic, votes, places = next(nearest) if r else [], self.prior, 1.0, float(k)
-            for used, (c, i) in enumerate(found):
-                if places <= 0:
-                    found = found[:used]
-                    break
-                vote = c * c * min(places, self.stands_for[i])
-                toxic, votes, places = toxic + vote * self.labels[i], votes + vote, places - self.stands_for[i]
-            yield (toxic / votes if r else self.plain), found
+        _, c, place = self.all_nearest(np.zeros(len(at), np.int64), at, v, 1, k)
+        return list(zip(c.tolist(), place.tolist()))
+
+    def margins(self, doc: np.ndarray, c: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+        """Log of toxic over clean votes of n documents; a document none votes for has 0."""
+        share = self.labels.mean() if self.places else 0.5
+        toxic, clean = (np.bincount(doc, c * c * (self.labels[place] == y), n) / max(s, 1e-9) for y, s in ((1, share), (0, 1 - share)))
+        least = (toxic + clean) / (2 * NEAREST) + 1e-12
+        return np.log((toxic + least) / (clean + least))
+
+    def scores(self, owner: np.ndarray, at: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of n documents, given as in `weigh`, and their nearest: documents, ascending, and ids."""
+        if not len(self.terms):
+            return np.full(n, self.prior), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        doc, c, place = self.all_nearest(owner, at, self.weigh(owner, at, times, n), n)
+        s = 1 / (1 + np.exp(-np.clip(self.examples.slope * self.margins(doc, c, place, n) + self.examples.offset, -30, 30)))
+        return np.where(np.bincount(owner, minlength=n) > 0, s, self.plain), doc, self.ids[place]
+
+    def own_margins(self) -> np.ndarray:
+        """The margin of every example by the others."""
+        e = self.examples
+        order = np.argsort(e.place, kind="stable")
+        term, owner, times = np.repeat(np.arange(len(e.terms)), e.size)[order], e.place[order].astype(np.int64), e.times[order].astype(float)
+        out = [np.zeros(0)]
+        for start in range(0, self.places, BATCH):
+            n = min(BATCH, self.places - start)
+            a, b = np.searchsorted(owner, [start, start + n])
+            mine = owner[a:b] - start
+            doc, c, place = self.all_nearest(mine, term[a:b], self.weigh(mine, term[a:b], times[a:b], n), n, NEAREST + 1)
+            other = place != doc + start
+            doc, c, place = doc[other], c[other], place[other]
+            other = np.arange(len(doc)) - np.searchsorted(doc, doc) < NEAREST
+            out.append(self.margins(doc[other], c[other], place[other], n))
+        return np.concatenate(out)
+
+
+def calibration(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, steps: int = 100) -> tuple[float, float]:
+    """Slope, above 0, and offset of the weighted logistic regression of labels on margins, by damped Newton steps."""
+    x, held = np.stack([margins, np.ones(len(margins))], 1), np.array([ridge, 0.0])
+    loss = lambda w: float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)) + held @ (w - start) ** 2 / 2)
+    start = w = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + held * (w - start)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(held + 1e-9), slope)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return max(float(w[0]), 1e-3), float(w[1])
 
 
 def build(ids: list[int], rows: list[Counter], y: np.ndarray, stands_for: np.ndarray | None = None) -> Index:
     """The index over examples in the order given, each of which stands for so many labelled ones, 1 if not given. One class or no example gives no terms, so the prior for all."""
     chosen = clear_terms(rows, y) if len(y) and 0 < y.sum() < len(y) else []
-    terms = {t: i for i, t in enumerate(chosen)}
-    held = [{terms[t]: n for t, n in r.items() if t in terms} for r in rows]
+    number = {t: i for i, t in enumerate(chosen)}
+    held = [{number[t]: n for t, n in r.items() if t in number} for r in rows]
     n = np.ones(len(y)) if stands_for is None or not len(y) else stands_for * len(y) / stands_for.sum()
     prior = float((n @ y + 0.5) / (len(y) + 1))
     blank = np.array([not h for h in held], bool)
     plain = float((n[blank] @ y[blank] + prior) / (n[blank].sum() + 1)) if len(y) else prior
     used = [i for i, h in enumerate(held) if h]
-    a, b = (np.bincount([t for i in used if y[i] == c for t in held[i]], minlength=len(terms)).astype(float) for c in (1, 0))
-    of = {c: n[y == c].mean() if (y == c).any() else 0.0 for c in (1, 0)}
-    idf = np.log((len(y) + 1) / (a * of[1] + b * of[0] + 1)) + 1
-    index = Index(terms, idf * np.maximum(1.0, clearness(a, b, int(y.sum()), int(len(y) - y.sum()))), *[np.zeros(0)] * 6,
-                  y[used].astype(float), np.array([ids[i] for i in used], np.int64), n[used] / n.min(initial=1.0), prior, plain)
-    vectors = [index.vector(held[i]) for i in used]
-    term = np.concatenate([np.zeros(0, np.int64), *[at for at, _ in vectors]])
-    place = np.repeat(np.arange(len(used)), [len(at) for at, _ in vectors])
+    term = np.array([t for i in used for t in held[i]], np.int64)
+    place = np.repeat(np.arange(len(used)), [len(held[i]) for i in used])
+    times = np.array([c for i in used for c in held[i].values()], np.int64)
     order = np.argsort(term, kind="stable")
-    term, place, weight = term[order], place[order], np.concatenate([np.zeros(0), *[v for _, v in vectors]])[order]
-    blocks = max(1, -(-len(used) // BLOCK))
-    cell, cells = np.unique(term * blocks + place // BLOCK, return_index=True)
-    index.place, index.weight, index.block = place.astype(np.int32), weight.astype(np.float32), (cell % blocks).astype(np.int32)
-    index.cells, index.cells_of = np.append(cells, len(term)), np.searchsorted(cell // blocks, np.arange(len(terms) + 1))
-    index.largest = np.maximum.reduceat(index.weight, cells) if len(cells) else np.zeros(0)
+    examples = Examples(chosen, narrow(np.bincount(term, minlength=len(chosen))), narrow(place[order]), narrow(times[order]), y[used].astype(float),
+                        np.array([ids[i] for i in used], np.int64), n[used], (int(y.sum()), int(len(y) - y.sum())),
+                        tuple(n[y == c].mean() if (y == c).any() else 0.0 for c in (1, 0)), prior, plain)
+    index = Index(examples)
+    if 0 < index.labels.sum() < len(used):
+        examples.slope, examples.offset = calibration(index.own_margins(), index.labels, examples.stands_for)
     return index
 
 
 @dataclass
 class PackedIndex:
-    """An index as compressed bytes: the driver passes these on, tasks open them once."""
+    """The examples of an index as compressed bytes: the driver passes these on, tasks make the index once."""
 
     data: bytes
 
     @classmethod
     def of(cls, index: Index) -> PackedIndex:
-        return cls(zlib.compress(pickle.dumps(index.__dict__), 6))
+        held = {f.name: getattr(index.examples, f.name) for f in fields(Examples)}
+        return cls(zlib.compress(pickle.dumps(held | {"terms": "\n".join(held["terms"])}), 6))
 
     def open(self) -> Index:
-        return Index(**pickle.loads(zlib.decompress(self.data)))
+        held = pickle.loads(zlib.decompress(self.data))
+        return Index(Examples(**held | {"terms": held["terms"].split("\n") if held["terms"] else []}))
 
     def __getattr__(self, name: str):
         """Parts of the index, for a look at it; opens it each time."""
@@ -216,35 +282,53 @@ def train(sample: DataFrame) -> PackedIndex:
     return PackedIndex(bytes(row[0])) if row else PackedIndex.of(build([], [], np.zeros(0, int)))
 
 
-class TermsOf(dict):
-    """White-space-free pieces of lower-case text and the examples' terms in them; filled as pieces come up."""
+class Numbers(dict):
+    """Numbers for pieces in the order in which they come up; `new` lists those not looked at yet."""
 
-    def __init__(self, terms: dict[str, int]):
-        self.terms = terms
+    def __init__(self):
+        self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        found = tuple(self.terms[t] for word in LETTERS.findall(piece) for t in word_terms(word) if t in self.terms)
-        self[piece] = found
-        return found
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
 
 
 class Scorer:
-    """Scores texts and remembers the terms of their pieces."""
+    """Scores texts and remembers the examples' terms in their white-space-free, lower-case pieces."""
 
     REMEMBERED = 250_000
 
     def __init__(self, index: Index | PackedIndex):
         self.index = index.open() if isinstance(index, PackedIndex) else index
-        self.known = TermsOf(self.index.terms)
-
-    def counts(self, text: str) -> dict[int, int]:
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        return Counter(chain.from_iterable(filter(None, map(self.known.__getitem__, text.lower().split()))))
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        self.reset()
+
+    def reset(self) -> None:
+        self.number, self.held, self.ends = Numbers(), array("i"), array("q", [0])
+
+    def counts(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, ascending, their terms, ascending, and how often they hold them."""
+        if len(self.number) > self.REMEMBERED:
+            self.reset()
+        split = [text.lower().split() for text in batch]
+        sizes = [len(s) for s in split]
+        at = np.fromiter((n for s in split for n in map(self.number.__getitem__, s)), np.int64, sum(sizes))
+        known = self.index.terms
+        for piece in self.number.new:
+            self.held.extend([known[t] for word in LETTERS.findall(piece) for t in word_terms(word) if t in known])
+            self.ends.append(len(self.held))
+        self.number.new = []
+        held, ends = np.array(self.held, np.int64), np.array(self.ends)
+        spot, n = ranges(ends[at], ends[at + 1])
+        key, times = np.unique(np.repeat(np.repeat(np.arange(len(batch)), sizes), n) * max(1, len(known)) + held[spot], return_counts=True)
+        return key // max(1, len(known)), key % max(1, len(known)), times.astype(float)
+
+    def __call__(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray]]:
+        """Score and ids of the nearest examples of each text."""
         for start in range(0, len(texts), BATCH):
-            yield from self.index.scores([self.counts(t) for t in texts[start:start + BATCH]])
+            batch = texts[start:start + BATCH]
+            scores, doc, ids = self.index.scores(*self.counts(batch), len(batch))
+            yield from zip(scores.tolist(), np.split(ids, np.searchsorted(doc, np.arange(1, len(batch)))))
 
 
 def toxicity_index(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> PackedIndex:
@@ -265,7 +349,7 @@ def score_toxicity(documents: DataFrame, index: Index | PackedIndex, threshold:
         for b in batches:
             found = list(of(texts(b.column("text"))))
             s = np.array([f[0] for f in found], float)
-            near = pa.array([[int(of.index.ids[i]) for _, i in f[1]] for f in found], pa.list_(pa.int64()))
+            near = pa.array([f[1] for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32)), near],
                 ["doc_id", "held_out", "score", "predicted", "evidence"])
@@ -276,7 +360,11 @@ def score_toxicity(documents: DataFrame, index: Index | PackedIndex, threshold:
 
 
 def reject_toxic(documents: DataFrame, index: Index | PackedIndex, threshold: float = 0.3) -> DataFrame:
-    """The rows of `documents`, all columns, whose score is below `threshold`. The text column is named text."""
+    """The rows of `documents`, all columns, whose score is below `threshold`. The text column is named text.
+
+    Null and empty texts score as in `score_toxicity`. Rows are judged one by one: repeated rows stay or go together,
+    null ids and further columns are kept, an empty table gives an empty result.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(index)
