@@ -104,11 +104,11 @@ def held_out(doc_id: int, divisor: int, rest: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % divisor == rest
 
 
-def top(vectors: dict[int, list[float]], queries: list[int], k: int = 10) -> set[tuple[int, int, int, int]]:
-    whole = {i: [math.floor(1024 * x) for x in v] for i, v in vectors.items() if v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = set()
-    for q in queries:
-        if q in whole:
-            scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:k]
-            out |= {(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)}
+def top(vectors: list[tuple[int, list[float]]], k: int = 10, every: int = 100) -> list[tuple[int, int, int, int]]:
+    """(query_id, rank, vec_id, score) of every row whose id is divisible by `every` against all rows of other ids."""
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q in sorted({i for i, _ in whole if i % every == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, w in whole if j == q for i, v in whole if i != q)[:k]
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
     return out

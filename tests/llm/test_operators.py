@@ -57,12 +57,15 @@ def test_top_k(spark):
     r = random.Random(1)
     rows = [(i, [r.choice([-0.5, 0.0, 0.25, r.random()]) for _ in range(6)], "x") for i in range(600)]
     rows += [(600 + i, rows[i][1], "x") for i in range(30)] + [(700, None, "x"), (800, [1.0, None], "x"), (900, [float("nan")] * 6, "x"), (None, [1.0] * 6, "x"), (1000, [0.0] * 6, "x"), (1100, [1.0], "x")]
-    df = spark.createDataFrame([*rows, rows[100], rows[3]], "vec_id bigint, embedding array<double>, score string")
-    got = {tuple(x) for x in topk.top_k(df, F.col("vec_id") % 100 == 0, tile_rows=64, query_rows=4).select("query_id", "rank", "vec_id", "score").collect()}
-    vectors = {i: (v + [0.0] * (6 - len(v)) if v is not None else None) for i, v, _ in rows if i is not None}
-    assert got == brute.top(vectors, [i for i in vectors if i % 100 == 0])
+    # repeated rows, ids with several vectors, a query row many times, a candidate more than k times
+    rows += [rows[100], rows[3], rows[200], rows[200], (300, [0.9] * 6, "x"), (5, [0.9] * 6, "x"), *[(7, [0.8] * 6, "x")] * 15]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, score string")
+    got = [tuple(x) for x in topk.top_k(df, F.col("vec_id") % 100 == 0, tile_rows=64, query_rows=4).select("query_id", "rank", "vec_id", "score").collect()]
+    assert sorted(got) == brute.top([(i, v + [0.0] * (6 - len(v)) if v is not None else None) for i, v, _ in rows])
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(1, [1e9, 0.0]), (100, [1.0, 1.0])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 100)
     few = topk.top_k(df.filter("vec_id < 4"), F.col("vec_id") == 0)
-    assert few.count() == 3 and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+    assert sorted(x.vec_id for x in few.collect()) == [1, 2, 3, 3] and topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
 def test_top_k_stops_early():

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadgrove.session import stored
+
 K = 10
 SCALE = 1024
 LIST = 4096
@@ -21,7 +23,7 @@ FIRST_DEPTH = 64
 
 
 def whole_numbers(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * component) of a vector; null if it or a component is null, not finite or out of range."""
+    """floor(scale * component) of a vector; null if it or a component is null or not finite."""
     wide = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     return F.when(usable, wide.cast("array<bigint>"))
@@ -54,13 +56,14 @@ class Lists:
                 until = n
             new = np.flatnonzero(met & ~seen)
             seen[new] = True
+            new = new[self.ids[new] != own]
             scores = self.vectors[new] @ query
             if len(best) == k:
                 good = scores >= -best[-1][0]
                 new, scores = new[good], scores[good]
             if len(new):
-                top = np.lexsort((self.ids[new], -scores))[:k + 1]
-                best = sorted(best + [(-int(scores[i]), int(self.ids[new[i]])) for i in top if self.ids[new[i]] != own])[:k]
+                top = np.lexsort((self.ids[new], -scores))[:k]
+                best = sorted(best + [(-int(scores[i]), int(self.ids[new[i]])) for i in top])[:k]
             depth, step = until, step * 2
             last = np.where(down, self.sorted[depth - 1, used], self.sorted[n - depth, used])
             # a row not met yet scores at most the bound; at equality it could still win by its smaller id
@@ -71,24 +74,32 @@ class Lists:
 
 def top_k(vectors: DataFrame, query: Column, k: int = K, scale: int = SCALE, id_column: str = "vec_id",
           vector_column: str = "embedding", tile_rows: int = TILE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: for every row that satisfies `query`, its k best other rows.
+    """query_id, rank, vec_id, score: for every id with a row that satisfies `query`, its k best rows of other ids.
 
     Components become floor(scale * x); the score is their inner product in whole numbers; ties go to the smaller id. Rows
     whose id or vector is null, or whose vector holds a null, NaN or infinity, take no part; shorter vectors count as filled up
-    with zeros. Rows that repeat an id count once, as the smallest vector. With fewer than k others all come out;
-    an empty table gives an empty result. Further columns are not read. Sums must stay below 2^53.
+    with zeros. Rows that repeat an id are candidates each, equal ones too; the lists of several query rows of one id are
+    merged, so a candidate comes once for every such row. With fewer than k others all come out;
+    an empty table gives an empty result. Further columns are not read. Components whose scores could reach 2^53 are an
+    error: they would not be exact. Equal rows are counted before they are dealt (more than k of them add nothing), so a
+    vector with a third of the rows is one row of one tile.
     """
     usable = vectors.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), whole_numbers(F.col(vector_column), scale).alias("v"),
                                                                  query.alias("asks"))
-    rows = usable.filter(F.col("v").isNotNull()).groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("asks", F.lit(False))).alias("q"), F.max(F.size("v")).alias("d")).first()
+    asks = F.coalesce(F.col("asks"), F.lit(False))
+    rows = stored(usable.filter(F.col("v").isNotNull()).groupBy("id", "v").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"),
+                                                                               F.least(F.count_if(asks), F.lit(k)).cast("int").alias("asked")))
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("asked") > 0).alias("q"), F.max(F.size("v")).alias("d"), F.max(most).alias("most")).first()
+    if (facts["d"] or 0) * (facts["most"] or 0.0) ** 2 >= 2.0 ** 53:
+        raise ValueError(f"components up to {facts['most']:g} in {facts['d']} dimensions: scores may exceed 2^53")
     least = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiles, blocks, width = max(least, -(-facts["n"] // tile_rows)), max(1, -(-facts["q"] // query_rows)), facts["d"] or 1
 
-    dealt = lambda number, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(number)).cast("int")
+    dealt = lambda number, seed: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("v")), F.lit(number)).cast("int")
     every = lambda number: F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
-    candidates = rows.select(dealt(tiles, 1).alias("tile"), every(blocks).alias("block"), "id", "v")
-    asked = rows.filter("asks").select(every(tiles).alias("tile"), dealt(blocks, 2).alias("block"), "id", "v")
+    candidates = rows.select(dealt(tiles, 1).alias("tile"), every(blocks).alias("block"), "id", "v", "n")
+    asked = rows.filter("asked > 0").select(every(tiles).alias("tile"), dealt(blocks, 2).alias("block"), "id", "v", F.col("asked").alias("n"))
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, lists = table.column("id").to_numpy(), table.column("v").combine_chunks()
@@ -100,7 +111,7 @@ def top_k(vectors: DataFrame, query: Column, k: int = K, scale: int = SCALE, id_
             for i in range(len(ids)):
                 out[i, :ends[i + 1] - ends[i]] = flat[ends[i]:ends[i + 1]]
         order = np.argsort(ids, kind="stable")
-        return ids[order], out[order]
+        return np.repeat(ids[order], table.column("n").to_numpy()[order]), np.repeat(out[order], table.column("n").to_numpy()[order], axis=0)
 
     def search(asking: pa.Table, held: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
