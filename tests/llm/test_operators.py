@@ -152,6 +152,29 @@ def test_packing(request, which):
     assert got == want and not open_docs
 
 
+@pytest.mark.parametrize("ids", ["outlier", "clustered", "null", "equal", "mixed", "negative"])
+def test_ranges_are_even(spark, ids):
+    """No range holds much more than its bytes, whatever the ids are, and ranges grow with the id."""
+    of = {"outlier": lambda i: 10 ** 15 if i == 0 else i, "clustered": lambda i: i % 7 * 10 ** 12 + i // 7, "null": lambda i: None, "equal": lambda i: 5,
+          "mixed": lambda i: None if i % 3 == 0 else 77 if i % 3 == 1 else i, "negative": lambda i: -i * 10 ** 9}[ids]
+    df = spark.createDataFrame([(of(i), f"{i} " + "word " * 20) for i in range(4000)], "doc_id bigint, text string")
+    dealt, number = packing._ranges(df, 20_000)
+    rows = dealt.withColumn("n", F.octet_length("text") + 1).collect()
+    held = Counter()
+    for x in rows:
+        held[x["_range"]] += x["n"]
+    assert len(rows) == 4000 and set(held) <= set(range(number)) and 15 <= number <= 30 and max(held.values()) < 45_000
+    order = sorted((x["doc_id"] is not None, x["doc_id"] or 0, x["_range"]) for x in rows)
+    last = {}
+    for known, d, r in order:
+        last[(known, d)] = max(last.get((known, d), 0), r)
+    least = {}
+    for known, d, r in reversed(order):
+        least[(known, d)] = r
+    keys = sorted(last)
+    assert all(last[a] <= least[b] for a, b in zip(keys, keys[1:]))
+
+
 def test_packing_of_nothing(nothing):
     assert packing.pack_documents(nothing, TOKENIZER).count() == 0
 

@@ -12,14 +12,14 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from threadgrove.llm.common import groups_of, texts
 
@@ -30,7 +30,8 @@ INNER_COST = 96
 GAP = 256
 BLOCK_CHARS = 1 << 20
 RANGE_BYTES = 32 << 20
-CELLS = 1 << 16
+SEGMENTS = 1 << 10
+SPLIT = 1 << 6
 REMEMBERED = 500_000
 LEARNED = 20_000
 SENTENCE_ENDS = (".", "!", "?")
@@ -233,24 +234,54 @@ class Packer:
         return (names, out, packed) if out else None
 
 
+def _edges(documents: DataFrame) -> list[int]:
+    """Bounds of segments of doc_id: its approximate quantiles, so crowded stretches have many; an id that fills whole
+    segments has one of its own. Without ids, one segment."""
+    facts = documents.agg(F.percentile_approx("doc_id", [i / SEGMENTS for i in range(SEGMENTS + 1)]).alias("marks"), F.min("doc_id").alias("low"),
+                          F.max("doc_id").alias("high")).first()
+    marks = Counter(int(m) for m in facts["marks"] or [])
+    if facts["low"] is None:
+        return [0, 1]
+    return sorted({int(facts["low"]), int(facts["high"]) + 1, *marks, *(m + 1 for m, n in marks.items() if n > 1)})
+
+
+def _cell(edges: list[int]) -> Column:
+    """Number of the cell of a doc_id, growing with it: SPLIT equal widths in every segment. Null is cell -1."""
+    groups = [edges[i:i + 32] for i in range(0, len(edges) - 1, 32)]
+    whole = lambda values: F.array(*[F.lit(int(v)) for v in values])
+    upto = lambda values, x: F.size(F.filter(values, lambda e: e <= x))
+    x = F.col("doc_id").cast("bigint")
+    group = upto(whole(g[0] for g in groups), x) - 1
+    segment = group * 32 + upto(F.get(F.array(*[whole(g) for g in groups]), group), x) - 1
+    low, high = (F.get(whole(edges), segment + i).cast("double") for i in (0, 1))
+    inside = F.least(F.greatest(F.floor((x - low) / (high - low) * SPLIT), F.lit(0)), F.lit(SPLIT - 1))
+    return F.coalesce((segment * SPLIT + inside).cast("int"), F.lit(-1))
+
+
 def _ranges(documents: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
     """`documents` with `_range`, growing with doc_id, of about `range_bytes` of text each, and the number of ranges.
 
-    Sizes are summed in CELLS equal-width cells of doc_id, so the table that comes to the driver and goes back as a
-    broadcast has at most CELLS rows. The cuts depend on the data only. Rows without an id are in the first range.
+    Sizes are summed in cells of doc_id whose edges come from the data, so the table that comes to the driver and goes
+    back as a broadcast has some SEGMENTS * SPLIT rows at most, and an outlying id moves no other row. A cell of a single id, or the
+    cell of rows without one, is dealt over as many ranges as its bytes call for, by a hash of the text.
     """
-    facts = documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, high = (facts["low"], facts["high"]) if facts["low"] is not None else (0, 0)
-    width = F.lit(float(high - low + 1))
-    cell = F.coalesce(F.least(F.floor((F.col("doc_id") - low) / width * CELLS), F.lit(CELLS - 1)).cast("int"), F.lit(0))
-    sized = documents.withColumn("_cell", cell)
-    sizes = sized.groupBy("_cell").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).toArrow()
-    order = np.argsort(sizes.column("_cell").to_numpy())
-    cells, n = sizes.column("_cell").to_numpy()[order], sizes.column("n").to_numpy()[order]
-    ranges = (np.cumsum(n) - n) // range_bytes if len(n) else np.zeros(0, np.int64)
-    _, ranges = np.unique(ranges, return_inverse=True)
-    table = documents.sparkSession.createDataFrame(pa.table({"_cell": pa.array(cells, pa.int32()), "_range": pa.array(ranges, pa.int32())}))
-    return sized.join(F.broadcast(table), "_cell").drop("_cell"), int(ranges.max()) + 1 if len(ranges) else 1
+    sized = documents.withColumn("_cell", _cell(_edges(documents)))
+    sizes = sized.groupBy("_cell").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"),
+                                       F.coalesce(F.min("doc_id") == F.max("doc_id"), F.lit(True)).alias("single")).orderBy("_cell").toArrow()
+    cells, n, single = (sizes.column(c).to_numpy() for c in ("_cell", "n", "single"))
+    ends = np.cumsum(n)
+    first = (ends - n) // range_bytes
+    parts = np.where(single, (ends - 1) // range_bytes - first + 1, 1) if len(n) else first
+    used = np.unique(ranges_of(first, parts))
+    table = documents.sparkSession.createDataFrame(pa.table({"_cell": pa.array(cells, pa.int32()), "_first": pa.array(np.searchsorted(used, first), pa.int32()),
+                                                             "_parts": pa.array(parts, pa.int32())}))
+    dealt = F.col("_first") + F.pmod(F.xxhash64(F.lit("range"), F.col("text")), F.col("_parts")).cast("int")
+    return sized.join(F.broadcast(table), "_cell").withColumn("_range", dealt).drop("_cell", "_first", "_parts"), max(1, len(used))
+
+
+def ranges_of(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first[i] … first[i] + n[i] - 1 of all i in a row."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
 
 
 def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -258,8 +289,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = CAPACIT
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit) of every piece.
 
     `tokenizer` is the path of a tokenizers file that all executors can read. Null texts count as empty: they are one
-    end id. Documents go in order of doc_id, those without one first, equal ids by text; repeated rows are
-    packed again. A document longer than a sequence goes over several. Columns but doc_id and text are not read;
+    end id. Documents go in order of doc_id, those without one first, equal ids by text; more than about `range_bytes` of
+    one id go to several ranges by a hash of the text, each in order of the text. Repeated rows are packed again. A document longer than a sequence goes over several. Columns but doc_id and text are not read;
     an empty table gives an empty result. Only the last sequence of a range may be padded by the end of data.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
