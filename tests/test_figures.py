@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from threadgrove.functions.text import fraction_of
 from threadgrove.operators import clustering, skew, splits, topic_pairs, vocabulary
 from threadgrove.operators.forest import similarity_distribution, similarity_summary, similarity_variability, size_distribution
-from threadgrove.operators.retrieval import _hits, _sides, precision_at_k, rank_candidates
-from threadgrove.plans.rounds import run_rounds, variant_sweep
+from threadgrove.operators.retrieval import _sides, precision_at_k, rank_candidates, search
+from threadgrove.operators.scoring import inject_noise
+from threadgrove.plans.rounds import noise_sweep, run_rounds, variant_sweep
 from threadgrove.session import stored
 from threadgrove.sources import embedding_store
 from threadgrove.sources.tables import normalise_pairs, unreadable_pairs
@@ -26,7 +27,20 @@ def test_missing_labels_match_nothing_and_k_is_clipped(spark):
 def test_variants_stay_apart_and_nan_passes_nowhere(spark):
     scored = spark.createDataFrame([(0.5,), (float("nan"),), (0.1,)], "consistency_score double")
     out = variant_sweep(scored, [("linear", 0.0), ("linear", 0.0), ("threshold", 0.3)]).collect()
-    assert sorted((r.strategy, r.total, r.kept) for r in out) == [("linear", 3, 2), ("linear", 3, 2), ("threshold", 3, 1)]
+    assert sorted((r.variant, r.strategy, r.total, r.kept) for r in out) == [(0, "linear", 3, 2), (1, "linear", 3, 2), (2, "threshold", 3, 1)]
+
+
+@pytest.mark.parametrize("pool", [(0.0, 0.1), (0.0, 0.003), (2.0, 3.0)])
+def test_noise_sweep_gives_the_figures_of_every_injection(spark, pool):
+    scores = np.random.default_rng(3).random(400).round(4).tolist() + [None, 0.001, 0.002]
+    rows = [(i, s, f"a{i}", f"b{i}", [1.0], [1.0]) for i, s in enumerate(scores)]
+    scored = spark.createDataFrame(rows, "sample_index long, consistency_score double, anchor_content string, positive_content string, anchor_probs array<double>, positive_probs array<double>")
+    fractions = (0.0, 0.05, 0.3, 1.0)
+    got = {r.fraction: r for r in noise_sweep(scored, fractions, pool=pool, mode="all_above_threshold").collect()}
+    for f in fractions:
+        want = inject_noise(scored, f, pool=pool, mode="all_above_threshold").select("consistency_score", "noise").collect()
+        assert (got[f].total, got[f].replaced) == (len(want), sum(r.noise is not None for r in want))
+        assert got[f].mean_score == pytest.approx(np.mean([r.consistency_score for r in want if r.consistency_score is not None]))
 
 
 def test_sizes_of_billions(spark):
@@ -63,11 +77,12 @@ def test_string_ids_and_bounded_hits(spark):
                                      F.array(F.cos("id"), F.sin("id")).alias("embedding"))
 
     q = rows("q", 20)
-    ranked = rank_candidates(q, rows("c", 50), 3, block=7, stripes=4)
+    ranked = rank_candidates(q, rows("c", 50), 3, block=7)
     assert ranked.schema["candidate_id"].dataType.simpleString() == "string" and ranked.count() == 60
     assert ranked.filter("rank = 1 and substr(query_id, 2) != substr(candidate_id, 2)").count() == 0
-    sizes = [_hits(*_sides(q, rows("c", n), "id", "label", "embedding"), 3, 7, 4).count() for n in (400, 4000)]
-    assert sizes[0] == sizes[1] == 20 * 4 * (3 + 1)
+    for n in (400, 4000):
+        found = search(*_sides(q, rows("c", n), "id", "label", "embedding"), 3)
+        assert found.hits.count() <= 20 * (3 + 1) * found.cells.groups * len(found.waves)
 
 
 def test_noise_copy_leaves_the_round_alone_and_noise_is_carried(spark, tmp_path):
@@ -121,6 +136,36 @@ def test_rows_are_padded_to_the_longest_of_their_batch(spark):
     assert {x.id: (len(x.input_ids), sum(x.attention_mask)) for x in coded} == {1: (3, 3), 2: (3, 1), 3: (2, 0), 4: (2, 2), 5: (1, 1)}
 
 
+def test_rows_with_one_key_keep_their_own_tokens(spark):
+    df = spark.createDataFrame([(1, "a b c"), (1, "c c"), (None, None), (None, "b"), (2, "x a")], "id long, content string").repartition(2)
+    vocab = vocabulary.vocabulary(df.filter("id = 1"))
+    at = {x.token: x.id for x in vocab.collect()}
+    coded = vocabulary.encode_tokens(df, vocab, "id", pad="none").collect()
+    assert sorted(((x.id or 0, x.input_ids) for x in coded)) == sorted(
+        [(1, [at["a"], at["b"], at["c"]]), (1, [at["c"], at["c"]]), (0, []), (0, [at["b"]]), (2, [1, at["a"]])])
+    assert vocabulary.encode_tokens(df.filter("id = 3"), vocab, "id", pad="longest").collect() == []
+
+
+def test_parts_hold_few_tokens_and_each_word_once(spark):
+    df = spark.createDataFrame([(i, ["w", "v", f"u{i % 3}", None]) for i in range(50)] + [(50, ["w"] * 100), (51, [])], "id long, tokens array<string>").coalesce(1)
+    parts = vocabulary.dictionary_parts(df, "tokens", part_tokens=40).collect()
+    assert all(len(p.words) == len(set(p.words)) and (sum(r.n for r in p.rows) <= 40 or len([r for r in p.rows if r.n]) == 1) for p in parts)
+    back = {r.id: [p.words[c] for c in r.codes] for p in parts for r in p.rows}
+    assert back == {r.id: r.tokens for r in df.collect()} and len({p.part for p in parts}) == len(parts)
+
+
+def test_only_wanted_vectors_leave_the_store(spark):
+    store = spark.createDataFrame([("e", f"{i:04d}", [float(i)]) for i in range(5000)], "encoder string, text_key string, embedding array<float>")
+    wanted = stored(spark.createDataFrame([(f"{i:04d}",) for i in range(10)], "text_key string"))
+    found = embedding_store.wanted_vectors(stored(store), wanted, "e")
+    assert sorted(r.embedding[0] for r in found.collect()) == list(range(10))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = plan.index("encoder")
+    assert "BroadcastHashJoin" in plan[:scan] and "LeftSemi" in plan
+    before_join = plan[plan.index("LeftSemi"):]
+    assert "embedding" not in "".join(line for line in before_join.splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_labels_are_numbered_in_order(spark):
     df = spark.createDataFrame([(x,) for x in [None, *[f"{i % 500:03d}" for i in range(1500)]]], "label string").repartition(7)
     got = {x.label: x.label_id for x in splits.label_index(df).collect()}

@@ -73,7 +73,8 @@ def score_statistics(scored: DataFrame) -> DataFrame:
     return beside(plain, q)
 
 
-def _group_name(score: str, mode: str, threshold: float, bins) -> Column:
+def noise_group(score: str, mode: str, threshold: float, bins) -> Column:
+    """Name of the group of targets a score belongs to, null if none."""
     s = F.col(score)
     if mode == "all_above_threshold":
         return F.when(s >= threshold, F.lit(f">={threshold:.2f}"))
@@ -85,7 +86,8 @@ def _group_name(score: str, mode: str, threshold: float, bins) -> Column:
     return name
 
 
-def _pool(scored: DataFrame, pool: tuple[float, float]) -> DataFrame:
+def noise_pool(scored: DataFrame, pool: tuple[float, float]) -> DataFrame:
+    """The low-scoring pairs that replace others."""
     return scored.filter(F.col("consistency_score").between(pool[0], pool[1] + SLACK))
 
 
@@ -108,12 +110,12 @@ def inject_noise(scored: DataFrame, fraction: float, pool: tuple[float, float] =
     if fraction <= 0:
         return scored.withColumn("noise", F.lit(None).cast(fields))
     named = scored.select("sample_index", "consistency_score",
-                          _group_name("consistency_score", mode, threshold, bins).alias("_group"))
+                          noise_group("consistency_score", mode, threshold, bins).alias("_group"))
     targets = hash_rank(named.filter(F.col("_group").isNotNull()), ["_group"], ["sample_index"], seed, "_r", "_n")
     targets = stored(targets.filter(F.col("_r") <= F.ceil(F.col("_n") * F.lit(float(fraction)))))
     numbered = stored(dense_index(targets.select("sample_index", "_group", F.col("consistency_score").alias("_original")),
                                   ["sample_index"], f"{seed}:target", "_t"))
-    source = _pool(scored, pool)
+    source = noise_pool(scored, pool)
     size = source.select(F.count(F.lit(1)).alias("n")).scalar()
     rows = dense_index(source.select(F.col("sample_index").alias("_source"),
                                      *[F.col(c).alias(f"_new_{c}") for c in CONTENT]),
@@ -138,7 +140,7 @@ def noise_breakdown(noisy: DataFrame) -> DataFrame:
 def noise_status(scored: DataFrame, noisy: DataFrame, fraction: float, pool: tuple[float, float] = (0.0, 0.01),
                  mode: str = "by_bins", bins=None) -> DataFrame:
     """One row: what the injection did, or why it did nothing."""
-    available = _pool(scored, pool).select(F.count(F.lit(1)).alias("n")).scalar()
+    available = noise_pool(scored, pool).select(F.count(F.lit(1)).alias("n")).scalar()
     done = noisy.agg(F.count_if(F.col("noise").isNotNull()).alias("total_replaced"))
     no_groups = F.lit(mode != "all_above_threshold" and bins is not None and len(bins) == 0)
     status = (F.when(F.lit(fraction <= 0), F.lit("skipped_fraction_0"))

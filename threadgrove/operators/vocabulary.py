@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from threadgrove.functions.text import words
 from threadgrove.operators.ranking import hash_rank
-from threadgrove.operators.skew import lookup
 from threadgrove.session import stored
 
 PAD, UNK = 0, 1  # fixed values: ids of <pad> and <unk>; words start at 2
+PART_TOKENS = 1 << 20
 
 
 def vocabulary(df: DataFrame, tokenize: Callable[[Column], Column] = words, min_freq: int = 1,
@@ -39,30 +42,82 @@ def special_tokens(vocab: DataFrame) -> DataFrame:
     return reserved.unionByName(vocab)
 
 
+def dictionary_parts(rows: DataFrame, tokens: str, part_tokens: int = PART_TOKENS) -> DataFrame:
+    """part, rows, words: consecutive rows with about `part_tokens` tokens together, in one row.
+
+    `words` are the distinct tokens of the part, `rows` the other columns with `codes`, the places of a row's tokens
+    among the words, and their number `n`. A row with more tokens is a part of its own. `tokens` must not be null.
+    """
+    kept = [f for f in rows.schema.fields if f.name != tokens]
+    names = [f.name for f in kept]
+    row = T.StructType([*kept, T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("n", T.IntegerType())])
+    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("rows", T.ArrayType(row)),
+                           T.StructField("words", T.ArrayType(T.StringType()))])
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, total = [], 0
+        for b in batches:
+            first = 0
+            for i, n in enumerate(pc.list_value_length(b.column(tokens)).to_pylist()):
+                if total and total + n > part_tokens:
+                    held.append(b.slice(first, i - first))
+                    yield pa.Table.from_batches(held)
+                    held, total, first = [], 0, i
+                total += n
+            held.append(b.slice(first))
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for part in slices(batches):
+            part = part.combine_chunks()
+            if not part.num_rows:
+                continue
+            lists = part.column(tokens).chunk(0)
+            coded = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
+            sizes = pc.list_value_length(lists).cast(pa.int32())
+            ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes)])
+            codes = pa.ListArray.from_arrays(ends, coded.indices)
+            fields = pa.StructArray.from_arrays([*[part.column(c).chunk(0) for c in names], codes, sizes], [*names, "codes", "n"])
+            words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), fields), words],
+                                             ["part", "rows", "words"])
+            number += 1
+
+    return rows.mapInArrow(encode, schema)
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[[Column], Column] = words,
                   text: str = "content", max_len: int | None = 256, pad: str = "max_length",
                   batch: str | None = None) -> DataFrame:
-    """key, input_ids, attention_mask. Unknown words become 1, short rows are filled with 0.
+    """key, input_ids, attention_mask of every row. Unknown words become 1, short rows are filled with 0.
 
     `pad`: 'max_length', 'longest' or 'none'. The longest row is that of the same batch, if `batch` names the
-    column of batches (no batch is a batch too), else that of the table.
+    column of batches (no batch is a batch too), else that of the table. Rows with one key stay apart, a null or blank text
+    has no tokens, and `vocab` holds a token once.
+
+    No token is a row: texts are coded by the dictionary of their part, written once, and only the distinct words of a
+    part meet the vocabulary. A word is in a part once, so no word is a hot key, however frequent.
     """
     tokens = tokenize(F.col(text))
     if max_len is not None:
         tokens = F.slice(tokens, 1, max_len)
-    # written once: texts are split a single time, and frequent words are counted where they occur, because a
-    # word that is frequent here may be missing in the vocabulary
-    placed = stored(df.select(F.col(key), F.struct(*[batch] if batch else [F.lit(0)]).alias("_b"), F.posexplode_outer(tokens).alias("_pos", "token")))
-    known = vocab.select("token", F.col("id").alias("_id"))
-    coded = lookup(placed, known, ["token"], "left").select(
-        key, "_b", "_pos", F.when(F.col("_pos").isNotNull(), F.coalesce("_id", F.lit(UNK))).alias("_id"))
-    # one group is one text, so its size is bounded by the text itself
-    pairs = F.sort_array(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id"))))
-    rows = coded.groupBy(key, "_b").agg(F.transform(pairs, lambda p: p["_id"]).alias("_ids"))
+    rows = df.select(F.col(key).alias("k"), F.struct(*[F.col(batch)] if batch else [F.lit(0)]).alias("b"),
+                     F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
+    parts = stored(dictionary_parts(rows, "tokens"))
+    known = vocab.select("token", F.col("id").cast("bigint").alias("_id"))
+    met = parts.select("part", F.posexplode("words").alias("_place", "token")).join(known, "token", "left")
+    # one group is the dictionary of one part, bounded by `part_tokens`
+    ids = met.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("_place", F.coalesce("_id", F.lit(UNK)).alias("_id")))).alias("_ids"))
+    ids = ids.select("part", F.col("_ids._id").alias("_ids"))
+    coded = parts.select("part", "rows").join(ids, "part", "left").select(F.explode(F.transform("rows", lambda r: F.struct(
+        r["k"].alias("k"), r["b"].alias("b"), F.transform(r["codes"], lambda c: F.get("_ids", c)).alias("ids")))).alias("r"))
+    rows = coded.select(F.col("r.k").alias(key), F.col("r.b").alias("_b"), F.col("r.ids").alias("_ids"))
     if pad == "none":
         width = F.size("_ids")
     elif pad == "longest":
-        widths = placed.groupBy("_b").agg(F.coalesce(F.max("_pos") + 1, F.lit(0)).alias("_width"))
+        widths = parts.select(F.explode("rows").alias("r")).groupBy(F.col("r.b").alias("_b")).agg(F.max("r.n").alias("_width"))
         rows, width = rows.join(widths, "_b"), F.col("_width")
     else:
         width = F.lit(max_len)

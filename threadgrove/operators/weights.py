@@ -24,7 +24,8 @@ def effective_threshold(strategy: str, threshold) -> float:
     return t if inside else DEFAULT_THRESHOLD
 
 
-def _tier(value: Column, pick) -> Column:
+def by_tier(value: Column, pick) -> Column:
+    """`pick` of (number, weight) of the tier that holds the value, `pick(None)` outside all tiers."""
     out = F.lit(pick(None))
     for i, (lo, hi, w) in enumerate(TIERS):
         inside = (value >= lo) & ((value <= hi) if hi == 1.0 else (value < hi))
@@ -39,7 +40,7 @@ def weights(scored: DataFrame, strategy: str = "linear", threshold=0.3) -> DataF
     """
     s = F.col("consistency_score")
     if strategy == "tiered":
-        return scored.withColumn("sample_weight", _tier(s, lambda t: t[1] if t else 0.0))
+        return scored.withColumn("sample_weight", by_tier(s, lambda t: t[1] if t else 0.0))
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown weighting strategy: {strategy}")
     t = effective_threshold(strategy, threshold)
@@ -51,7 +52,7 @@ def weights(scored: DataFrame, strategy: str = "linear", threshold=0.3) -> DataF
 
 def tier_counts(scored: DataFrame) -> DataFrame:
     """Pairs per tier with their share of all pairs; scores outside [0, 1] are tier 0."""
-    tier = _tier(F.col("consistency_score"), lambda t: t[0] if t else 0)
+    tier = by_tier(F.col("consistency_score"), lambda t: t[0] if t else 0)
     n = scored.select(F.count(F.lit(1)).alias("n")).scalar()
     return scored.groupBy(tier.cast("bigint").alias("tier")).agg(F.count(F.lit(1)).alias("count")).withColumn(
         "percentage", F.col("count") * 100.0 / n)

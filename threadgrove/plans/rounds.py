@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadgrove.operators.scoring import attach_probabilities, inject_noise, score_pairs
-from threadgrove.operators.weights import append_history, effective_threshold, weights
+from threadgrove.functions.rows import beside
+from threadgrove.operators.ranking import dense_index, hash_rank
+from threadgrove.operators.scoring import attach_probabilities, inject_noise, noise_group, noise_pool, score_pairs
+from threadgrove.operators.weights import append_history, by_tier, effective_threshold, weights
 from threadgrove.session import stored
 
 HISTORY = ["training_rounds", "filter_history", "last_trained_round"]
@@ -80,7 +82,8 @@ DEFAULT_VARIANTS = [("linear", 0.0), ("threshold", 0.3), ("threshold", 0.5), ("t
 
 
 def variant_sweep(scored: DataFrame, variants=None) -> DataFrame:
-    """Kept pairs and weight figures for several (strategy, threshold) settings in one pass.
+    """Kept pairs and weight figures for several (strategy, threshold) settings in one pass, with `variant`, the
+    number of the setting: two settings may come to the same threshold.
 
     Every scored pair is expanded to the short list of settings and reduced by partial aggregation;
     the rule for "nothing passes" is applied to the sums.
@@ -91,8 +94,7 @@ def variant_sweep(scored: DataFrame, variants=None) -> DataFrame:
     known = F.when(~F.isnan("consistency_score"), F.col("consistency_score"))  # a NaN score passes nowhere
     rows = scored.select(known.alias("_s"), each.alias("_v")).select("_s", "_v.*")
     s = F.col("_s")
-    tier = (F.when((s >= 0.4) & (s < 0.6), 0.5).when((s >= 0.6) & (s < 0.8), 0.7)
-            .when((s >= 0.8) & (s <= 1.0), 0.9).otherwise(0.0))
+    tier = by_tier(s, lambda t: t[1] if t else 0.0)
     passed = F.when(F.col("strategy") == "tiered", tier > 0).otherwise(s >= F.col("threshold"))
     weight = F.when(F.col("strategy") == "tiered", tier).when(F.col("strategy") == "linear", s).otherwise(F.lit(1.0))
     sums = rows.groupBy("_variant", "strategy", "threshold").agg(
@@ -102,18 +104,40 @@ def variant_sweep(scored: DataFrame, variants=None) -> DataFrame:
     fallback = (F.col("_passed") == 0) & (F.col("strategy") != "tiered")
     kept = F.when(fallback, F.col("_all_kept")).otherwise(F.col("_kept"))
     mass = F.when(fallback, F.col("_all_sum")).otherwise(F.coalesce("_sum", F.lit(0.0)))
-    return sums.select("strategy", "threshold", "total", kept.alias("kept"),
+    return sums.select(F.col("_variant").alias("variant"), "strategy", "threshold", "total", kept.alias("kept"),
                        (kept / F.col("total")).alias("keep_ratio"), (mass / F.col("total")).alias("mean_weight"),
                        F.try_divide(mass, kept).alias("mean_kept_weight"))
 
 
-def noise_sweep(scored: DataFrame, fractions, **noise) -> DataFrame:
-    """Mean score and replaced pairs for several noise fractions."""
-    out = None
-    for f in fractions:
-        noisy = inject_noise(scored, f, **noise)
-        row = noisy.agg(F.lit(float(f)).alias("fraction"), F.count(F.lit(1)).alias("total"),
-                        F.count_if(F.col("noise").isNotNull()).alias("replaced"),
-                        F.avg("consistency_score").alias("mean_score"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def noise_sweep(scored: DataFrame, fractions, pool: tuple[float, float] = (0.0, 0.01), threshold: float = 0.4,
+                mode: str = "by_bins", bins=None, seed: int = 42) -> DataFrame:
+    """fraction, total, replaced, mean_score of `inject_noise` for several fractions, without injecting.
+
+    The targets of every fraction are a prefix of one ranking, and the pool rows that they take are whole rounds of the
+    pool and a prefix of it. So one ranking of the targets, one of the pool and a sum per fraction over
+    either give all rows; their number does not grow with the fractions.
+    """
+    s, chosen = F.col("consistency_score"), [float(f) for f in fractions]
+    named = scored.select("sample_index", "consistency_score", noise_group("consistency_score", mode, threshold, bins).alias("_group"))
+    ranked = hash_rank(named.filter(F.col("_group").isNotNull()), ["_group"], ["sample_index"], seed, "_r", "_n")
+    others = named.filter(F.col("_group").isNull()).withColumns({"_r": F.lit(None).cast("bigint"), "_n": F.lit(None).cast("bigint")})
+    hit = [F.coalesce(F.col("_r") <= F.ceil(F.col("_n") * F.lit(f)), F.lit(False)) for f in chosen]
+    targets = stored(ranked.unionByName(others).agg(
+        F.count(F.lit(1)).alias("total"), F.array(*[F.count_if(h) for h in hit]).alias("replaced"),
+        F.array(*[F.count(F.when(~h, s)) for h in hit]).alias("untouched"),
+        F.array(*[F.coalesce(F.sum(F.when(~h, s)), F.lit(0.0)) for h in hit]).alias("untouched_sum"),
+        F.count(s).alias("scores"), F.sum(s).alias("score_sum")))
+    rows = dense_index(noise_pool(scored, pool).select(F.col("sample_index").alias("_source"), s), ["_source"], f"{seed}:pool", "_p")
+    size = noise_pool(scored, pool).select(F.count(F.lit(1)).alias("n")).scalar()
+    placed = rows.withColumns({"_replaced": targets.select("replaced").scalar(), "_size": size})
+    taken = placed.withColumn("_rest", F.transform("_replaced", lambda k: F.try_mod(k, F.col("_size")))).agg(
+        F.count(F.lit(1)).alias("pool"), F.sum(s).alias("pool_sum"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("_p") < F.get("_rest", F.lit(i)), s)), F.lit(0.0)) for i in range(len(chosen))]).alias("prefix"))
+    each = beside(targets, taken).select("total", "scores", "score_sum", "pool", "pool_sum", F.posexplode(F.arrays_zip(
+        F.array(*[F.lit(f) for f in chosen]).alias("fraction"), "replaced", "untouched", "untouched_sum", "prefix")).alias("_i", "_v"))
+    v = F.col("_v")
+    drawn = F.floor(F.try_divide(v["replaced"], F.col("pool"))) * F.col("pool_sum") + v["prefix"]
+    mean = F.when(F.col("pool") == 0, F.try_divide("score_sum", "scores")).when(v["replaced"] == 0, F.try_divide("score_sum", "scores")).otherwise(
+        (v["untouched_sum"] + drawn) / (v["untouched"] + v["replaced"]))
+    return each.select(v["fraction"].alias("fraction"), "total", F.when(F.col("pool") == 0, F.lit(0)).otherwise(v["replaced"]).alias("replaced"),
+                       mean.alias("mean_score"))

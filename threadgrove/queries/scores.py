@@ -345,7 +345,7 @@ w AS (SELECT strategy, threshold, CASE WHEN strategy='tiered' THEN """ + _TIER_W
     f"SELECT strategy, threshold, count(*) AS total, count(*) FILTER (w>0) AS kept, {r('count(*) FILTER (w>0)/count(*)','keep_ratio')}, {r('sum(w)/count(*)','mean_weight')}, {r('sum(w)/nullif(count(*) FILTER (w>0),0)','mean_kept_weight')} FROM w GROUP BY 1,2"))
 def _(spark, sf):
     return tidy(rounds.variant_sweep(_scored(spark, sf, "simple_dot_product"),
-                                     [("linear", 0.0), ("linear", 0.1), ("threshold", 0.1), ("threshold", 0.3), ("threshold", 1.0), ("tiered", 0.0)]))
+                                     [("linear", 0.0), ("linear", 0.1), ("threshold", 0.1), ("threshold", 0.3), ("threshold", 1.0), ("tiered", 0.0)]).drop("variant"))
 
 
 @query("m2_noise_sweep", with_(scored_sql("cosine_similarity") + noise_ctes(0.1, sfx="_a") + noise_ctes(0.3, sfx="_b"),

@@ -49,18 +49,27 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+def wanted_vectors(store: DataFrame, wanted: DataFrame, encoder: str) -> DataFrame:
+    """text_key, embedding of the wanted keys, one vector each."""
+    mine = store.filter(F.col("encoder") == encoder).join(wanted.select("text_key"), "text_key", "left_semi")
+    return mine.groupBy("text_key").agg(F.min("embedding").alias("embedding"))
+
+
 def add_embeddings(texts: DataFrame, path: str, encoder: str, make_model: Callable, col: str = "content",
                    batch_size: int = 64) -> DataFrame:
     """Vectors for all texts: compute and append the missing ones, then join the store by text key.
 
     The store is partitioned by encoder, so only one encoder's files are read. Equal texts are
     embedded once, and rows of a very frequent text are spread when they join its vector. Of several vectors of one
-    text, as parallel appends may leave them, the smallest counts, so no row is doubled.
+    text, as parallel appends may leave them, the smallest counts, so no row is doubled. The store meets the keys of
+    the wanted texts, a written table of known size, before anything else: few keys are broadcast to its scan, and
+    vectors of other texts go no further.
     """
     spark = texts.sparkSession
+    wanted = stored(texts.select(text_key(col).alias("text_key")).distinct())
     todo = missing_texts(texts, read_store(spark, path), encoder, col)
     new = embed(todo, make_model, batch_size=batch_size).select(F.lit(encoder).alias("encoder"), "text_key", "embedding")
     new = stored(new)  # the store must not be read and appended to in one job
     new.write.mode("append").partitionBy("encoder").parquet(path)
-    have = read_store(spark, path).filter(F.col("encoder") == encoder).groupBy("text_key").agg(F.min("embedding").alias("embedding"))
+    have = wanted_vectors(read_store(spark, path), wanted, encoder)
     return lookup(texts.withColumn("text_key", text_key(col)), have, ["text_key"]).drop("text_key")
