@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from threadgrove.llm.common import utf8
-from threadgrove.session import stored
+from threadgrove.session import shared_dir, stored
 
 LENGTH = 200
 # A difference cover of 12 residues modulo 133, each difference once.
@@ -191,7 +191,7 @@ def _compare(named: DataFrame) -> DataFrame:
 
 
 def _chunks(documents: DataFrame) -> DataFrame:
-    """chunk, ids, sizes, data: documents packed in reading order, as a bucketed table in the warehouse.
+    """chunk, ids, sizes, data: documents packed in reading order, as a bucketed table whose files are in the shared folder.
 
     Bucketed by chunk, it meets the bits that come back for its chunks without being shuffled.
     """
@@ -226,7 +226,8 @@ def _chunks(documents: DataFrame) -> DataFrame:
     name = f"threadgrove_chunks_{uuid.uuid4().hex}"
     packed = documents.select("doc_id", "text").mapInArrow(pack, f"chunk bigint, ids array<{id_type}>, sizes array<bigint>, data binary")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.option("compression", "zstd").bucketBy(buckets, "chunk").saveAsTable(name)
+    path = f"{shared_dir(spark)}/threadgrove-{spark.sparkContext.applicationId}/{name}"
+    packed.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
