@@ -301,6 +301,16 @@ def test_few_secrets_among_many_findings(spark):
     assert secrets.train(found.filter("label = 0")) == 0.0 and secrets.train(found.filter("label = 1")) == 1.0
 
 
+def test_secrets_learn_from_all_rows(spark):
+    """Every document counts for the dictionary and every finding for the forest, beyond any sample's size."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" common")).alias("text"))
+    assert len(secrets.dictionary_of(docs)) == 6001
+    assert secrets.dictionary_of(docs, most=1) == {"common"}
+    rows = spark.range(30000).select(F.array((F.col("id") % 750 == 0).cast("double"), F.rand(3)).alias("features"), (F.col("id") % 750 == 0).cast("int").alias("label"))
+    model = secrets.train(rows)
+    assert model.trees[0].toDebugString and all(sum(t._call_java("rootNode").impurityStats().stats()) > 20_000 for t in model.trees)
+
+
 def test_secret_mask_positions(spark):
     text = "\U0001f600 a" + "b" * 11 + "1 é " + "c" * 11 + "2 end"
     df = spark.createDataFrame([(1, text, len(text))], "doc_id bigint, text string, n_chars bigint")
