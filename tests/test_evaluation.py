@@ -241,3 +241,22 @@ def test_auction_equals_all_permutations(spark, shape):
             best = max(sum(a[i, p[i]] for i in range(a.shape[0])) for p in itertools.permutations(range(a.shape[1]), a.shape[0]))
             assert got[str(t)] == pytest.approx(best / g.sum())
 
+
+
+def test_kmeans_runs_share_their_passes(spark, monkeypatch):
+    """The best of three runs is that of pyspark.ml with the same seeds; an iteration is one pass for all runs."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from threadgrove.session import stored
+
+    r = np.random.default_rng(8)
+    df = stored(spark.createDataFrame([(i, i % 4, r.normal(size=6).tolist()) for i in range(600)], "id bigint, label bigint, embedding array<double>").coalesce(1))
+    fits = [KMeans(k=4, maxIter=300, seed=42 + i, tol=1e-4).fit(df.select(array_to_vector("embedding").alias("features"))).summary for i in range(3)]
+    passes, step = [], clustering._lloyd_step
+    monkeypatch.setattr(clustering, "_lloyd_step", lambda *a: passes.append(1) or step(*a))
+    rows, inertia = clustering.kmeans_labels(df, n_init=3, normalize=False)
+    best = min(fits, key=lambda s: s.trainingCost)
+    assert len(passes) <= max(s.numIter for s in fits) + 1
+    assert abs(inertia / best.trainingCost - 1) < 1e-6
+    assert sorted(x[1] for x in rows.groupBy("cluster").count().collect()) == sorted(best.clusterSizes)
