@@ -30,24 +30,30 @@ def score_pairs(pairs: DataFrame, method: str = "confidence_weighted_dot_product
 
 
 def attach_probabilities(pairs: DataFrame, classify: Callable[[DataFrame], DataFrame], anchor: str = "anchor_content",
-                         positive: str = "positive_content") -> DataFrame:
+                         positive: str = "positive_content", key: str | None = None) -> DataFrame:
     """Add `anchor_probs` and `positive_probs`, the classes of both texts of every pair.
 
     `classify` gets the distinct texts as (text_key, content) and adds `probs`; a text that occurs in very many
-    pairs is classified once and its rows are split. A missing text has no probabilities.
+    pairs is classified once and its rows are split. A missing text has no probabilities. The probabilities are looked up by
+    row number, so that the texts are shuffled once more for both. `key` names a column without nulls and unique in `pairs`, which
+    must be a written table then; without it, `pairs` are written with row numbers.
     """
     names = [c for c in pairs.columns if c not in ("anchor_probs", "positive_probs")]
-    keyed = stored(pairs.select(*names, *[F.md5(c).alias(k) for c, k in ((anchor, "_a"), (positive, "_b"))]))
+    row = key or "_row"
+    keyed = pairs.select(*names, *[F.md5(c).alias(k) for c, k in ((anchor, "_a"), (positive, "_b"))])
+    if key is None:
+        keyed = stored(keyed.withColumn("_row", F.monotonically_increasing_id()))
     side = F.explode(F.array(*[F.struct(F.col(k).alias("text_key"), F.col(c).alias("content"))
                                for c, k in ((anchor, "_a"), (positive, "_b"))]))
     texts = (keyed.select(side.alias("_t")).select("_t.*").filter("text_key is not null")
              .groupBy("text_key").agg(F.min("content").alias("content")))
     probs = stored(classify(texts).select("text_key", "probs"))
-    out = keyed
-    for key, name in (("_a", "anchor_probs"), ("_b", "positive_probs")):
-        out = lookup(out, probs.select(F.col("text_key").alias(key), F.col("probs").alias(name)), [key], "left",
-                     counted=keyed.select(key))
-    return out.drop("_a", "_b")
+    ids = stored(keyed.select(row, "_a", "_b"))
+    found = ids
+    for k, name in (("_a", "anchor_probs"), ("_b", "positive_probs")):
+        found = lookup(found, probs.select(F.col("text_key").alias(k), F.col("probs").alias(name)), [k], "left", counted=ids.select(k))
+    out = keyed.drop("_a", "_b").join(found.drop("_a", "_b"), row, "left")
+    return out.select(*names, "anchor_probs", "positive_probs")
 
 
 def node_center_scores(pairs: DataFrame, node_probs: DataFrame, center_probs: DataFrame,

@@ -18,8 +18,9 @@ def threads_to_pairs(posts: DataFrame, comments: DataFrame, embeddings: DataFram
     the comments that have one. Texts travel once, after the tree is known.
     """
     nodes = tree.attach(tree.post_nodes(tree.require_unique_posts(posts)), tree.resolve_parents(comments))
-    nodes = stored(nodes.join(embeddings, ["post_id", "comment_id"], "left"))
-    edges, assigned, trees = forest.grow_forest(nodes, threshold)
+    nodes = stored(nodes)
+    vectors = stored(nodes.drop("content").join(embeddings, ["post_id", "comment_id"], "left"))
+    edges, assigned, trees = forest.grow_forest(vectors, threshold)
     if strategy == "comment_reply":
         found, key = pairs.parent_child_pairs(nodes, edges, assigned, trees, **options), ["post_id", "child_id"]
     elif strategy == "node_center":

@@ -23,21 +23,21 @@ def carry_history(scored: DataFrame, previous: DataFrame | None) -> DataFrame:
 
 def curation_round(pairs: DataFrame, round_num: int, strategy: str = "linear", threshold: float = 0.3,
                    method: str = "confidence_weighted_dot_product", noise: dict | None = None,
-                   previous: DataFrame | None = None) -> DataFrame:
+                   previous: DataFrame | None = None, written: bool = False) -> DataFrame:
     """Score, optionally inject noise, weight, and record the round.
 
-    `noise` holds the arguments of `inject_noise`. The scores are stored once, because weighting and
-    noise injection read them several times.
+    `noise` holds the arguments of `inject_noise`. Weighting and noise injection read the scores several times, so
+    the scored pairs are stored once, unless `pairs` is a `written` table: a score is then worked out again where it
+    is read, without the texts.
     """
-    scored = stored(score_pairs(pairs, method))
+    scored = score_pairs(pairs, method)
+    scored = scored if written else stored(scored)
     again = "noise" in scored.columns  # rows replaced in an earlier round stay replaced
     if again:
         scored = scored.withColumnRenamed("noise", "_noise_before")
     scored = inject_noise(scored, **(noise or {"fraction": 0.0}))  # always with the column `noise`
     if again:
         scored = scored.withColumn("noise", F.coalesce("noise", "_noise_before")).drop("_noise_before")
-    if noise:
-        scored = stored(scored)
     weighted = weights(carry_history(scored, previous), strategy, threshold)
     return append_history(weighted, round_num, strategy, threshold)
 
@@ -45,7 +45,7 @@ def curation_round(pairs: DataFrame, round_num: int, strategy: str = "linear", t
 def write_round(df: DataFrame, path: str, round_num: int, variant: str = "main") -> None:
     """Write one (round, variant) partition; running it again replaces only that partition."""
     (df.withColumn("round", F.lit(round_num)).withColumn("variant", F.lit(variant)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("round", "variant").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("round", "variant").parquet(path))
 
 
 def read_round(spark, path: str, round_num: int, variant: str = "main") -> DataFrame:
@@ -69,10 +69,12 @@ def run_rounds(pairs: DataFrame | None, path: str, settings: list[dict], variant
     for n, chosen in enumerate(settings, start=start):
         given = {k: v for k, v in chosen.items() if k not in ("classify", "noise_copy")}
         if "classify" in chosen:
-            table = stored(attach_probabilities(table, chosen["classify"]))
-        write_round(curation_round(table, n, **given), path, n, variant)
+            table = stored(attach_probabilities(table, chosen["classify"], key="sample_index" if n > 1 else None))
+        elif n == 1:
+            table = stored(table)
+        write_round(curation_round(table, n, **given, written=True), path, n, variant)
         if "noise_copy" in chosen:
-            write_round(curation_round(table, n, **{**given, "noise": chosen["noise_copy"]}), path, n, "noise_eval")
+            write_round(curation_round(table, n, **{**given, "noise": chosen["noise_copy"]}, written=True), path, n, "noise_eval")
         table = read_round(spark, path, n, variant)
     return table
 

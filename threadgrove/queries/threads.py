@@ -15,14 +15,14 @@ T0 = 0.05  # fixture vectors are nearly orthogonal; this cuts roughly half of th
 
 def _raw_posts(spark, sf):
     docs = table(spark, sf, "documents")
-    n = thread_nodes(spark, sf).filter("parent_id is null")
+    n = thread_nodes(spark, sf, vectors=False).filter("parent_id is null")
     titled = docs.select(F.col("doc_id").alias("seq"),
                          F.when(F.col("lang") == "en", F.concat(F.lit("Title: "), "text")).otherwise("").alias("title"))
     return n.join(titled, "seq").select(F.col("post_id").alias("note_id"), "title", "content")
 
 
 def _raw_comments(spark, sf, shuffled=False):
-    n = thread_nodes(spark, sf).filter("parent_id is not null")
+    n = thread_nodes(spark, sf, vectors=False).filter("parent_id is not null")
     top = F.col("parent_id") == F.col("post_id")
     seq = portable_hash("arrival", "comment_id") if shuffled else F.col("seq")
     return n.select("comment_id", F.col("post_id").alias("note_id"),
