@@ -186,3 +186,64 @@ def test_cluster_sessions_must_name_a_shared_folder(monkeypatch):
         session.shared_dir(Session())
     Session.conf["spark.checkpoint.dir"] = "hdfs:///x/"
     assert session.shared_dir(Session()) == "hdfs:///x"
+
+
+def test_rounds_on_written_tables_store_nothing_more(spark, monkeypatch):
+    """A written table is scored where it is read; the result is that of the stored scores."""
+    from threadgrove.plans import rounds
+    from threadgrove.session import stored
+
+    rows = [(i, f"a{i}", f"b{i}", [1 - p, p], [1.0, 0.0]) for i, p in enumerate(x / 40 for x in range(41))]
+    df = stored(spark.createDataFrame(rows, "sample_index bigint, anchor_content string, positive_content string, anchor_probs array<double>, positive_probs array<double>"))
+    given = {"strategy": "threshold", "threshold": 0.5, "method": "simple_dot_product", "noise": {"fraction": 0.3}}
+    plain = rounds.curation_round(df, 2, **given).select("sample_index", "anchor_content", "consistency_score", "sample_weight", "noise").orderBy("sample_index").collect()
+    calls = []
+    monkeypatch.setattr(rounds, "stored", lambda x: calls.append(x) or stored(x))
+    again = rounds.curation_round(df, 2, **given, written=True).select("sample_index", "anchor_content", "consistency_score", "sample_weight", "noise").orderBy("sample_index").collect()
+    assert not calls and again == plain and any(x.noise for x in plain)
+
+
+def test_probabilities_by_key(spark):
+    """With a key or without: equal rows, equal and missing texts get the same classes."""
+    from threadgrove.operators.scoring import attach_probabilities
+    from threadgrove.queries.base import text_classes
+    from threadgrove.session import stored
+
+    df = stored(spark.createDataFrame([(1, "aa", "ee"), (2, "aa", None), (3, None, "aa"), (4, "ee", "aa")], "id bigint, anchor_content string, positive_content string"))
+    keyed, numbered = [{x.id: x for x in attach_probabilities(df, text_classes, key=k).collect()} for k in ("id", None)]
+    assert keyed == numbered and keyed[2].positive_probs is None and keyed[1].anchor_probs == keyed[4].positive_probs
+    twice = attach_probabilities(df.unionAll(df), text_classes)
+    assert twice.count() == 8 and twice.columns == [*df.columns, "anchor_probs", "positive_probs"]
+
+
+def test_stored_tables_are_zstd(spark):
+    import pyarrow.parquet as pq
+    from pathlib import Path
+
+    from threadgrove.session import stored
+
+    file = stored(spark.range(10).coalesce(1)).inputFiles()[0].removeprefix("file://")
+    assert Path(file).exists() and pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_centre_chunks_read_written_members(spark):
+    """Texts are not made again for the counts and the rows of the ranks."""
+    from pyspark.sql import functions as F
+    from threadgrove.operators import pairs
+
+    members = spark.range(10).select(F.lit("p").alias("post_id"), F.lit("r").alias("root_id"), F.col("id").alias("seq"),
+                                     F.concat(F.lit("c"), "id").alias("node_id"), F.soundex(F.concat(F.lit("t"), "id")).alias("content"))
+    chunks = pairs.center_text_chunks(members, 3)
+    assert "soundex" not in chunks._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(len(x.positive_content_list) for x in chunks.collect()) == [1, 3, 3, 3]
+
+
+def test_digest_of_padded_ids(spark):
+    import hashlib
+
+    from threadgrove.queries.texts import _digest, _used
+
+    rows = [([5, 6, 0, 0], [1, 1, 0, 0]), ([5, 6], [1, 1]), ([0, 0], [0, 0]), ([], []), ([5, 7], [1, 0]), ([0, 5], [1, 1])]
+    df = spark.createDataFrame(rows, "i array<bigint>, m array<bigint>").coalesce(1)
+    got = df.select("i", "m", _digest("i", "m").alias("d"), _used("m").alias("u")).collect()
+    assert all(x.d == hashlib.md5(",".join(map(str, x.i)).encode()).hexdigest() and x.u == sum(x.m) for x in got)

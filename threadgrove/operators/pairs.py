@@ -78,8 +78,11 @@ def center_members(nodes: DataFrame, assigned: DataFrame, trees: DataFrame, min_
 
 
 def center_text_chunks(members: DataFrame, per_chunk: int = 1000, seed: int = 42) -> DataFrame:
-    """Centre texts as arrays of at most `per_chunk` texts, however large the subtree is."""
-    ranked = hash_rank(members, ["post_id", "root_id"], ["post_id", "node_id"], seed, "_r")
+    """Centre texts as arrays of at most `per_chunk` texts, however large the subtree is.
+
+    `members` is written once: ranks need its key for the counts and again for the rows.
+    """
+    ranked = hash_rank(stored(members), ["post_id", "root_id"], ["post_id", "node_id"], seed, "_r")
     chunk = F.floor((F.col("_r") - 1) / per_chunk).cast("bigint")
     listed = F.sort_array(F.collect_list(F.struct("seq", "node_id", "content")))
     return ranked.groupBy("post_id", "root_id", chunk.alias("chunk")).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
 from threadgrove.functions import text
 from threadgrove.functions.hashing import portable_hash
@@ -70,6 +70,22 @@ def _(spark, sf):
     return vocabulary.special_tokens(_vocab(spark, sf))
 
 
+def _digest(ids: str, mask: str) -> Column:
+    """md5 of the comma-joined ids. A tail of fill that is all zeros is written as such, not number by number."""
+    n, zero = F.size(ids), F.array_position(mask, F.lit(0).cast("bigint"))
+    used = F.when(zero > 0, zero - 1).otherwise(n).cast("int")
+    head, tail = F.slice(ids, F.lit(1), used), F.slice(ids, used + 1, n - used)
+    plain = (F.array_min(tail) == 0) & (F.array_max(tail) == 0)
+    fill = F.when(plain, F.concat(F.repeat(F.lit("0,"), n - used - 1), F.lit("0"))).otherwise(F.array_join(tail, ","))
+    return F.md5(F.concat_ws(",", F.when(used > 0, F.array_join(head, ",")), F.when(n > used, fill)))
+
+
+def _used(mask: str) -> Column:
+    """How many ones the mask begins with."""
+    zero = F.array_position(mask, F.lit(0).cast("bigint"))
+    return F.when(zero > 0, zero - 1).otherwise(F.size(mask)).cast("bigint")
+
+
 @query("e6_encode_tokens", with_(_TOKENS + """,
 lists AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\\s\\x0b]+'), lambda w: w <> '') AS ws FROM documents),
 placed AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS p FROM lists),
@@ -80,8 +96,7 @@ w AS (SELECT max(len(ids)) AS w FROM ids)""",
 def _(spark, sf):
     coded = vocabulary.encode_tokens(table(spark, sf, "documents"), stored(_vocab(spark, sf)), "doc_id", text="text",
                                      max_len=None, pad="longest")
-    return tidy(coded.select("doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids"),
-                             F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("used")))
+    return tidy(coded.select("doc_id", _digest("input_ids", "attention_mask").alias("ids"), _used("attention_mask").alias("used")))
 
 
 @query("e6_encode_tokens_by_batch", with_(_TOKENS + """,
@@ -94,7 +109,7 @@ w AS (SELECT doc_id // 16 AS b, max(coalesce(len(ids),0)) AS w FROM lists LEFT J
 def _(spark, sf):
     docs = table(spark, sf, "documents").withColumn("batch", F.floor(F.col("doc_id") / 16))
     coded = vocabulary.encode_tokens(docs, stored(_vocab(spark, sf)), "doc_id", text="text", max_len=None, pad="longest", batch="batch")
-    return tidy(coded.select("doc_id", F.md5(F.array_join("input_ids", ",")).alias("ids"), F.size("input_ids").cast("bigint").alias("width")))
+    return tidy(coded.select("doc_id", _digest("input_ids", "attention_mask").alias("ids"), F.size("input_ids").cast("bigint").alias("width")))
 
 
 @query("e7_fraction_of_key", f"""SELECT o_orderkey, (CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 0.5 ELSE 0.0 END)::DOUBLE AS fraction,
@@ -153,9 +168,9 @@ def _(spark, sf):
     """From threads to scores: node/centre pairs, normalised by key, each centre classified once."""
     nodes, _e, assigned, trees = _grown(spark, sf)
     members = stored(pairs.center_members(nodes, assigned, trees))
-    rows = pairs.with_sample_index(pairs.node_center_pairs(nodes, assigned, trees), ["post_id", "node_id"])
+    rows = stored(pairs.with_sample_index(stored(pairs.node_center_pairs(nodes, assigned, trees)), ["post_id", "node_id"]))
     named = rows.select("sample_index", "node_id")
-    kept = stored(normalise_pairs(rows).join(named, "sample_index"))
+    kept = normalise_pairs(rows).join(named, "sample_index")
     node_probs = nodes.select("post_id", F.col("comment_id").alias("node_id"), class_probs("embedding").alias("probs"))
     centers = pairs.center_vectors(nodes, members)
     center_probs = centers.select("post_id", "root_id", class_probs("center").alias("probs"))
