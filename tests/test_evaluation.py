@@ -260,3 +260,16 @@ def test_kmeans_runs_share_their_passes(spark, monkeypatch):
     assert len(passes) <= max(s.numIter for s in fits) + 1
     assert abs(inertia / best.trainingCost - 1) < 1e-6
     assert sorted(x[1] for x in rows.groupBy("cluster").count().collect()) == sorted(best.clusterSizes)
+
+
+def test_dealt_queries_come_in_slices_without_what_chose_their_cells(spark, monkeypatch):
+    """Few rows are handed on together, the lists of a label's cells not at all; the figures stay."""
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, str(i % 5), r.normal(size=6).tolist()) for i in range(300)], "id bigint, label string, embedding array<double>")
+    q, c = df.filter("id < 150"), df.filter("id >= 150")
+    plain = retrieval.evaluate(q, c, (1, 3), block=16).first()
+    schemas, meet = [], retrieval.meet
+    monkeypatch.setattr(retrieval, "DEALT_ROWS", 7)
+    monkeypatch.setattr(retrieval, "meet", lambda dealt, *a: schemas.append(dealt.columns) or meet(dealt, *a))
+    assert retrieval.evaluate(q, c, (1, 3), block=16).first() == plain
+    assert schemas and not any(set(s) & {"_in", "_floor", "_seen"} for s in schemas)
