@@ -4,15 +4,16 @@ An item's windows are its stretches of WINDOW words; a shorter item is one windo
 where all its words follow each other there, so all its shingles occur and one necessary token, its prefix, is enough to
 find it: of the window's shingles the one that is rarest in all documents. The steps:
 
-1. Occurrences of all item shingles are counted over all documents. A window with a shingle that no document has is dropped.
-2. Documents meet the remaining windows on their prefix tokens only.
+1. Documents are read once: places where an item shingle may stand are stored with the words around them.
+2. Occurrences of all item shingles are counted over these places. A window with a shingle that no document has is dropped; the
+   places meet the remaining windows on their prefix tokens only.
 3. Length and positional bounds: the token's place in the window fixes where the window would start and end, which must
    lie inside the document.
 4. The words at that place are compared with the window's, word by word.
 
 Before a shuffle or join, each task keeps only the positions whose shingle hash hits a bitmap of the tokens asked for (at most
 2^MOST_BITS bits), with the few words around them, so what leaves the scan follows the overlap with the
-items, not the text. Neither documents nor items go through the driver; the bitmap does.
+items, not the text. Where such stretches would hold more words than the text, its words are stored once. Neither documents nor items go through the driver; the bitmap does.
 """
 
 from __future__ import annotations
@@ -26,18 +27,15 @@ from threadgrove.session import stored
 
 WINDOW = 10
 SHINGLE = 4
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST_BITS, MOST_BITS, BITS_A_TOKEN = 16, 24, 256
 
 
 def words(text: Column) -> Column:
     """Runs of digits, letters and non-ASCII characters; A-Z become lower case, other letters stay. Null has none."""
     plain = F.octet_length(text) == F.char_length(text)
-    lower = lambda w: F.when(F.octet_length(w) == F.char_length(w), F.lower(w)).otherwise(
-        F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
-    found = F.when(plain, F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).otherwise(
-        F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lower))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    lower = F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.coalesce(F.array_remove(F.split(lower, BETWEEN), ""), F.array().cast("array<string>"))
 
 
 def starts(size: Column, width: int | Column) -> Column:
@@ -82,21 +80,55 @@ class Bitmap:
         slot = hashed.bitwiseAND(F.lit((1 << self.bits) - 1))
         return F.getbit(F.get(self.longs, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-
     def hits(self, of: Column, size: int) -> Column:
         """(at, token) of every position whose shingle of `size` words may be a token."""
         hashes = F.transform(starts(F.size(of), size), lambda i: shingle(of, i, size))
         return F.array_compact(F.transform(hashes, lambda h, i: F.when(self.has(h), F.struct(i.alias("at"), h.alias("token")))))
 
 
-def occurrence_counts(texts: DataFrame, item_tokens: DataFrame) -> DataFrame:
-    """token, n: how often each token occurs in all texts; tokens that never occur are left out."""
+def around(of: Column, place: Column, size: Column, context: int) -> tuple[Column, Column]:
+    """The first word of a stretch with `context` words on either side of a shingle, and the words of the stretch."""
+    first = F.greatest(F.lit(0), place - context)
+    return first, F.slice(of, first + 1, place - first + size + context)
+
+
+def hits(documents: DataFrame, item_tokens: DataFrame, context: int) -> DataFrame:
+    """doc_id, row (a number for every row), n_words, hits (array of at, token, size, words), words, in one scan of the texts.
+
+    A hit is a place whose shingle may be one of `item_tokens`; its words are those around it. Of a row whose hits would hold more words
+    than its text, `words` are all words and hits have none.
+    """
+    kind = "array<struct<at:int,token:bigint,size:int,words:array<string>>>"
     bitmap = Bitmap(item_tokens)
-    hits = bound(words(F.col("text")), lambda w: F.concat(*[bitmap.hits(w, k) for k in bitmap.sizes]))
-    counts = texts.select(F.explode(hits).alias("x")).groupBy(F.col("x.token").alias("token")).agg(F.count(F.lit(1)).alias("n"))
+
+    def sized(k: int):
+        return lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"), F.lit(k).alias("size"))
+
+    def found(w: Column) -> Column:
+        places = [F.transform(bitmap.hits(w, k), sized(k)) for k in bitmap.sizes]
+        return bound(F.concat(F.array().cast("array<struct<at:int,token:bigint,size:int>>"), *places), lambda h: stretches(w, h))
+
+    def stretches(w: Column, h: Column) -> Column:
+        dense = F.size(h) * (2 * context + max(bitmap.sizes, default=0)) > F.size(w)
+        held = F.transform(h, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"), x["size"].alias("size"),
+                                                 F.when(~dense, around(w, x["at"], x["size"], context)[1]).alias("words")))
+        return F.struct(F.size(w).alias("n_words"), held.cast(kind).alias("hits"), F.when(dense, w).alias("words"))
+
+    rows = documents.select("doc_id", bound(words(F.col("text")), found).alias("x"))
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("row"), "x.n_words", "x.hits", "x.words")
+
+
+def token_counts(found: DataFrame, item_tokens: DataFrame) -> DataFrame:
+    """token, n: how often each token is among the hits; tokens that never are are left out."""
+    counts = found.select(F.explode("hits.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(item_tokens.select("token").distinct(), "token", "left_semi")
 
 
+def occurrence_counts(texts: DataFrame, item_tokens: DataFrame) -> DataFrame:
+    """token, n: how often each token occurs in all texts; tokens that never occur are left out."""
+    return token_counts(hits(texts, item_tokens, 0), item_tokens)
+
+
 def prefixes(item_tokens: DataFrame, counts: DataFrame) -> DataFrame:
     """The rarest token of each window all of whose tokens occur; ties go to the smaller hash, then offset."""
     known = item_tokens.join(counts, "token", "left")
@@ -123,27 +155,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     items = stored(item_windows(benchmark, window))
     item_tokens = stored(tokens(items.select("window").distinct()))
-    counts = occurrence_counts(documents, item_tokens) if not item_tokens.isEmpty() else item_tokens.select("token", F.lit(0).alias("n"))
-    prefix = stored(prefixes(item_tokens, counts))
-    none = F.array().cast("array<struct<at:int,token:bigint,size:int,first:int,words:array<string>>>")
-    if not prefix.isEmpty():
-        bitmap = Bitmap(prefix)
-        context = window - min(bitmap.sizes)
-
-        def around(w: Column, size: int):
-            first = lambda x: F.greatest(F.lit(0), x["at"] - context)
-            return lambda x: F.struct(
-                x["at"].alias("at"), x["token"].alias("token"), F.lit(size).alias("size"), first(x).alias("first"),
-                F.slice(w, first(x) + 1, x["at"] - first(x) + size + context).alias("words"))
-
-        def found(w: Column) -> Column:
-            parts = [F.transform(bitmap.hits(w, k), around(w, k)) for k in bitmap.sizes]
-            return F.struct(F.size(w).alias("n_words"), F.concat(none, *parts).alias("found"))
-    else:
-        found = lambda w: F.struct(F.size(w).alias("n_words"), none.alias("found"))
-    kept = stored(documents.select("doc_id", bound(words(F.col("text")), found).alias("x"))
-                  .select("doc_id", F.monotonically_increasing_id().alias("row"), "x.n_words", "x.found"))
-    places = stored(contained(kept.select("row", "n_words", F.inline("found")), prefix))
+    context = window - item_tokens.agg(F.coalesce(F.min("size"), F.lit(window))).first()[0]
+    kept = stored(hits(documents, item_tokens, context))
+    prefix = stored(prefixes(item_tokens, token_counts(kept, item_tokens)))
+    asked = Bitmap(prefix)
+    met = kept.select("row", "n_words", "words", F.explode(F.filter("hits", lambda x: asked.has(x["token"]))).alias("x"))
+    first, whole = around(F.col("words"), F.col("x.at"), F.col("x.size"), context)
+    places = stored(contained(met.select("row", "n_words", "x.at", "x.token", "x.size", first.alias("first"), F.coalesce("x.words", whole).alias("words")), prefix))
     longest = places.groupBy("row", "start").agg(F.max("length").alias("length"))
     # one list per row, as long as its text at most
     spans = longest.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
