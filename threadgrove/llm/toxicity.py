@@ -20,20 +20,22 @@ import pickle
 import re
 import zlib
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadgrove.llm.common import crc_rest, labelled_sample, texts
+from threadgrove.llm.common import crc_rest, groups_of, labelled_sample, texts
 
 SAMPLE = 4096
 BLOCK = 256
 COMMON = 1024
 BATCH = 128
+POSTINGS_HELD = 1 << 19  # postings, and characters below, that a batch is worked on at once; a larger text is worked on alone
+CHARS_HELD = 1 << 20
 NEAREST = 16
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,13 +60,34 @@ def clearness(a: np.ndarray, b: np.ndarray, n1: int, n0: int, smooth: float = 0.
     return np.abs(odds) / np.sqrt(1 / a + 1 / b + 1 / (n1 - a) + 1 / (n0 - b))
 
 
-def clear_terms(rows: list[Counter], y: np.ndarray) -> list[str]:
+class Counted:
+    """Terms of examples as numbers: example i has the terms term[ends[i]] … term[ends[i + 1] - 1], `times` as often.
+    A term is held once, not once per example."""
+
+    def __init__(self, rows: Iterable[Counter] = ()):
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.term, self.times, self.ends = array("i"), array("i"), array("q", [0])
+        for r in rows:
+            self.add(r)
+
+    def add(self, row: Counter) -> None:
+        self.term.extend(map(self.number.__getitem__, row))
+        self.times.extend(row.values())
+        self.ends.append(len(self.term))
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Examples, terms and times, by example."""
+        owner = np.repeat(np.arange(len(self.ends) - 1, dtype=np.int32), np.diff(self.ends))
+        return owner, np.array(self.term, np.int32), np.array(self.times, np.int32)
+
+
+def clear_terms(rows: Counted, y: np.ndarray) -> list[str]:
     """All terms of the examples, the clearest first."""
-    with_term = Counter(), Counter()
-    for r, label in zip(rows, y):
-        with_term[int(label)].update(r.keys())
-    terms = sorted(set(with_term[1]) | set(with_term[0]))
-    a, b = (np.array([with_term[c][t] for t in terms], float) for c in (1, 0))
+    owner, term, _ = rows.arrays()
+    terms = sorted(rows.number)
+    at = np.array([rows.number[t] for t in terms], np.int64)
+    a, b = (np.bincount(term[y[owner] == c], minlength=len(terms))[at].astype(float) for c in (1, 0))
     z = clearness(a, b, int(y.sum()), int(len(y) - y.sum()))
     return [terms[i] for i in np.argsort(-z, kind="stable")]
 
@@ -111,16 +134,21 @@ class Index:
         self.terms = {t: i for i, t in enumerate(e.terms)}
         self.labels, self.ids, self.prior, self.plain = e.labels, e.ids, e.prior, e.plain
         self.places, self.blocks = len(e.ids), max(1, -(-len(e.ids) // BLOCK))
-        term, place = np.repeat(np.arange(len(e.terms)), e.size), e.place.astype(np.int64)
+        term, place = np.repeat(np.arange(len(e.terms), dtype=np.int32), e.size), e.place.astype(np.int32)
         a, b = (np.bincount(term[e.labels[place] == c], minlength=len(e.terms)).astype(float) for c in (1, 0))
         idf = np.log((sum(e.seen) + 1) / (a * e.of[0] + b * e.of[1] + 1)) + 1
         self.scale = idf * np.maximum(1.0, clearness(a, b, *e.seen))
-        weight = (1 + np.log(e.times.astype(float))) * self.scale[term]
-        self.place = e.place.astype(np.int32)
-        self.weight = (weight / np.sqrt(np.bincount(place, weight ** 2, self.places))[place]).astype(np.float32)
-        cell, first = np.unique(term * self.blocks + place // BLOCK, return_index=True)
-        self.block = (cell % self.blocks).astype(np.int32)
-        self.cells, self.cells_of = np.append(first, len(term)), np.searchsorted(cell // self.blocks, np.arange(len(e.terms) + 1))
+        square, self.place, self.weight = np.zeros(self.places), place, np.zeros(len(term), np.float32)
+        parts = [slice(i, i + POSTINGS_HELD) for i in range(0, len(term), POSTINGS_HELD)]
+        weight = lambda s: (1 + np.log(e.times[s].astype(float))) * self.scale[term[s]]
+        for s in parts:
+            np.add.at(square, place[s], weight(s) ** 2)
+        for s in parts:
+            self.weight[s] = weight(s) / np.sqrt(square)[place[s]]
+        block = place // BLOCK
+        first = np.flatnonzero(np.append(np.ones(min(1, len(term)), bool), (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+        self.block = block[first]
+        self.cells, self.cells_of = np.append(first, len(term)).astype(np.int32), np.searchsorted(term[first], np.arange(len(e.terms) + 1, dtype=np.int32)).astype(np.int32)
         self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         chosen = np.argsort(-e.size.astype(np.int64), kind="stable")[:COMMON]
         self.row = np.full(len(e.terms), -1)
@@ -144,23 +172,18 @@ class Index:
         cosines above 0 only: documents, ascending, cosines, descending, and places."""
         if not self.places:
             return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-        kth = lambda c: np.partition(c, -k, axis=1)[:, -k] if self.places > k else np.zeros(n)
+        kth = lambda c: np.partition(c, -k, axis=1)[:, -k] if self.places > k else np.zeros(len(c))
         row = self.row[at]
         common, left = row >= 0, np.zeros((n, len(self.matrix)), np.float32)
         left[owner[common], row[common]] = v[common]
         cosines = left @ self.matrix
         at, v, owner = at[~common], v[~common].astype(np.float32), owner[~common]
-        cell, m = ranges(self.cells_of[at], self.cells_of[at + 1])
-        if len(cell):
-            v, owner = np.repeat(v, m), np.repeat(owner, m)
-            block = owner * self.blocks + self.block[cell]
-            bounds = np.bincount(block, v * self.largest[cell], n * self.blocks).reshape(n, self.blocks)
-            bounds += np.maximum.reduceat(cosines, np.arange(0, self.places, BLOCK), axis=1)
-            used = (bounds >= kth(cosines)[:, None] - 1e-5).ravel()[block]
-            cell, v, owner = cell[used], v[used], owner[used]
-            posting, m = ranges(self.cells[cell], self.cells[cell + 1])
-            spot = np.repeat(owner * self.places, m) + self.place[posting]
-            cosines += np.bincount(spot, np.repeat(v, m) * self.weight[posting], n * self.places).reshape(n, self.places)
+        order = np.argsort(owner, kind="stable")
+        at, v, owner = at[order], v[order], owner[order]
+        postings = np.bincount(owner, self.examples.size[at], n)
+        for first, last in groups_of(postings, POSTINGS_HELD) if len(at) else ():
+            a, b = np.searchsorted(owner, [first, last])
+            self.add_rare(cosines[first:last], owner[a:b] - first, at[a:b], v[a:b], kth)
         doc, place = np.nonzero((cosines > 0) & (cosines >= kth(cosines)[:, None]))
         c = cosines[doc, place].astype(float)
         order = np.lexsort((place, -c, doc))
@@ -168,6 +191,22 @@ class Index:
         first = np.arange(len(doc)) - np.searchsorted(doc, doc) < k
         return doc[first], c[first], place[first]
 
+    def add_rare(self, cosines: np.ndarray, owner: np.ndarray, at: np.ndarray, v: np.ndarray, kth: Callable) -> None:
+        """Adds to the cosines of some documents what their terms `at` with weights `v` give, in the blocks that can reach the k best."""
+        n = len(cosines)
+        cell, m = ranges(self.cells_of[at], self.cells_of[at + 1])
+        if not len(cell):
+            return
+        v, owner = np.repeat(v, m), np.repeat(owner, m)
+        block = owner * self.blocks + self.block[cell]
+        bounds = np.bincount(block, v * self.largest[cell], n * self.blocks).reshape(n, self.blocks)
+        bounds += np.maximum.reduceat(cosines, np.arange(0, self.places, BLOCK), axis=1)
+        used = (bounds >= kth(cosines)[:, None] - 1e-5).ravel()[block]
+        cell, v, owner = cell[used], v[used], owner[used]
+        posting, m = ranges(self.cells[cell], self.cells[cell + 1])
+        spot = np.repeat(owner * self.places, m) + self.place[posting]
+        cosines += np.bincount(spot, np.repeat(v, m) * self.weight[posting], n * self.places).reshape(n, self.places)
+
     def nearest(self, at: np.ndarray, v: np.ndarray, k: int = NEAREST) -> list[tuple[float, int]]:
         _, c, place = self.all_nearest(np.zeros(len(at), np.int64), at, v, 1, k)
         return list(zip(c.tolist(), place.tolist()))
@@ -190,14 +229,15 @@ class Index:
     def own_margins(self) -> np.ndarray:
         """The margin of every example by the others."""
         e = self.examples
-        order = np.argsort(e.place, kind="stable")
-        term, owner, times = np.repeat(np.arange(len(e.terms)), e.size)[order], e.place[order].astype(np.int64), e.times[order].astype(float)
+        order = np.argsort(e.place, kind="stable").astype(np.int32)
+        term, times = np.repeat(np.arange(len(e.terms), dtype=np.int32), e.size)[order], e.times[order]
+        owner, ends = e.place[order], np.append(0, np.cumsum(np.bincount(e.place, minlength=self.places)))
         out = [np.zeros(0)]
         for start in range(0, self.places, BATCH):
             n = min(BATCH, self.places - start)
-            a, b = np.searchsorted(owner, [start, start + n])
-            mine = owner[a:b] - start
-            doc, c, place = self.all_nearest(mine, term[a:b], self.weigh(mine, term[a:b], times[a:b], n), n, NEAREST + 1)
+            a, b = ends[[start, start + n]]
+            mine = owner[a:b].astype(np.int64) - start
+            doc, c, place = self.all_nearest(mine, term[a:b], self.weigh(mine, term[a:b], times[a:b].astype(float), n), n, NEAREST + 1)
             other = place != doc + start
             doc, c, place = doc[other], c[other], place[other]
             other = np.arange(len(doc)) - np.searchsorted(doc, doc) < NEAREST
@@ -222,23 +262,27 @@ def calibration(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: f
     return max(float(w[0]), 1e-3), float(w[1])
 
 
-def build(ids: list[int], rows: list[Counter], y: np.ndarray, stands_for: np.ndarray | None = None) -> Index:
+def build(ids: list[int], rows: list[Counter] | Counted, y: np.ndarray, stands_for: np.ndarray | None = None) -> Index:
     """The index over examples in the order given, each of which stands for so many labelled ones, 1 if not given. One class or no example gives no terms, so the prior for all."""
+    rows = rows if isinstance(rows, Counted) else Counted(rows)
     chosen = clear_terms(rows, y) if len(y) and 0 < y.sum() < len(y) else []
     number = {t: i for i, t in enumerate(chosen)}
-    held = [{number[t]: n for t, n in r.items() if t in number} for r in rows]
+    owner, term, times = rows.arrays()
+    term = np.array([number.get(t, -1) for t in rows.number], np.int32)[term]
+    held = term >= 0
+    owner, term, times = owner[held], term[held], times[held]
     n = np.ones(len(y)) if stands_for is None or not len(y) else stands_for * len(y) / stands_for.sum()
     prior = float((n @ y + 0.5) / (len(y) + 1))
-    blank = np.array([not h for h in held], bool)
+    blank = np.bincount(owner, minlength=len(y)) == 0
     plain = float((n[blank] @ y[blank] + prior) / (n[blank].sum() + 1)) if len(y) else prior
-    used = [i for i, h in enumerate(held) if h]
-    term = np.array([t for i in used for t in held[i]], np.int64)
-    place = np.repeat(np.arange(len(used)), [len(held[i]) for i in used])
-    times = np.array([c for i in used for c in held[i].values()], np.int64)
-    order = np.argsort(term, kind="stable")
-    examples = Examples(chosen, narrow(np.bincount(term, minlength=len(chosen))), narrow(place[order]), narrow(times[order]), y[used].astype(float),
-                        np.array([ids[i] for i in used], np.int64), n[used], (int(y.sum()), int(len(y) - y.sum())),
+    used = np.flatnonzero(~blank)
+    place = narrow(np.cumsum(~blank) - 1 if len(used) else np.zeros(len(y), int))[owner]
+    size, order = narrow(np.bincount(term, minlength=len(chosen))), np.argsort(term, kind="stable")
+    del owner, term, held, number
+    examples = Examples(chosen, size, place[order], narrow(times[order]), y[used].astype(float),
+                        np.array([ids[i] for i in used.tolist()], np.int64), n[used], (int(y.sum()), int(len(y) - y.sum())),
                         tuple(n[y == c].mean() if (y == c).any() else 0.0 for c in (1, 0)), prior, plain)
+    del place, times, order
     index = Index(examples)
     if 0 < index.labels.sum() < len(used):
         examples.slope, examples.offset = calibration(index.own_margins(), index.labels, examples.stands_for)
@@ -271,17 +315,25 @@ def train(sample: DataFrame) -> PackedIndex:
     """The index from a bounded sample. The sample's term counts are small: they go to one task, the index to all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        ids, y, stands_for, rows = [], [], [], Counted()
         for b in batches:
-            rows += [(i, term_counts(t), y, n) for i, t, y, n in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), b.column("label").to_pylist(), b.column("weight").to_pylist())]
-        rows.sort(key=lambda r: r[0])
-        index = build([r[0] for r in rows], [r[1] for r in rows], np.array([int(r[2] == 1) for r in rows]), np.array([r[3] for r in rows]))
+            for part in slices(b):
+                for text in texts(part.column("text")):
+                    rows.add(term_counts(text))
+                for held, name in ((ids, "doc_id"), (y, "label"), (stands_for, "weight")):
+                    held += part.column(name).to_pylist()
+        index = build(ids, rows, np.array([int(label == 1) for label in y]), np.array(stands_for))
         yield pa.RecordBatch.from_arrays([pa.array([PackedIndex.of(index).data], pa.binary())], ["index"])
 
-    row = sample.select("doc_id", "text", "label", "weight").repartition(1).mapInArrow(count, "index binary").first()
+    row = sample.select("doc_id", "text", "label", "weight").repartition(1).sortWithinPartitions("doc_id").mapInArrow(count, "index binary").first()
     return PackedIndex(bytes(row[0])) if row else PackedIndex.of(build([], [], np.zeros(0, int)))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, BATCH at a time, so that few texts are Python strings at once."""
+    return (batch.slice(start, BATCH) for start in range(0, batch.num_rows, BATCH))
+
+
 class Numbers(dict):
     """Numbers for pieces in the order in which they come up; `new` lists those not looked at yet."""
 
@@ -308,6 +360,12 @@ class Scorer:
 
     def counts(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts, ascending, their terms, ascending, and how often they hold them."""
+        parts = [(first, self.part(batch[first:last])) for first, last in groups_of(np.array([len(t) for t in batch]), CHARS_HELD)]
+        return (np.concatenate([np.zeros(0, np.int64), *[first + p[0] for first, p in parts]]),
+                np.concatenate([np.zeros(0, np.int64), *[p[1] for _, p in parts]]), np.concatenate([np.zeros(0), *[p[2] for _, p in parts]]))
+
+    def part(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `counts`, for texts that are worked on at once."""
         if len(self.number) > self.REMEMBERED:
             self.reset()
         split = [text.lower().split() for text in batch]
@@ -346,7 +404,7 @@ def score_toxicity(documents: DataFrame, index: Index | PackedIndex, threshold:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(index)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             found = list(of(texts(b.column("text"))))
             s = np.array([f[0] for f in found], float)
             near = pa.array([f[1] for f in found], pa.list_(pa.int64()))
@@ -368,7 +426,7 @@ def reject_toxic(documents: DataFrame, index: Index | PackedIndex, threshold: fl
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Scorer(index)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             yield b.filter(pa.array([s < threshold for s, _ in of(texts(b.column("text")))], pa.bool_()))
 
     return documents.mapInArrow(keep, documents.schema)
