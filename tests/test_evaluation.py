@@ -273,3 +273,17 @@ def test_dealt_queries_come_in_slices_without_what_chose_their_cells(spark, monk
     monkeypatch.setattr(retrieval, "meet", lambda dealt, *a: schemas.append(dealt.columns) or meet(dealt, *a))
     assert retrieval.evaluate(q, c, (1, 3), block=16).first() == plain
     assert schemas and not any(set(s) & {"_in", "_floor", "_seen"} for s in schemas)
+
+
+@pytest.mark.parametrize("n", [1500, 3000])
+def test_class_extremes_send_a_row_a_few_times(spark, n):
+    """On vectors without clusters all pairs are compared, yet rows are sent in proportion to their number."""
+    df, x, _ = cloud(spark, n, 1, classes=1)
+    rows, cells, pivots = clustering._class_cells(df, "id", "label", "embedding", 64, clustering.CLASS_PIVOTS)
+    pairs = clustering._cell_pairs(cells, pivots).select("_l", "cell1", "cell2")
+    first, second = clustering._tiles(rows, cells, pairs, 1 << 15)
+    assert first.filter("_k IS NOT NULL").count() + second.count() == (clustering.CLASS_TILES + 1) * n
+    s = (unit(x) @ unit(x).T)[np.triu_indices(n, 1)]
+    for tile in (1 << 15, n // 6):
+        ends = clustering._extremes(rows, cells, pairs, tile).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+        assert (ends.lo, ends.hi) == pytest.approx((s.min(), s.max()))
