@@ -287,3 +287,42 @@ def test_class_extremes_send_a_row_a_few_times(spark, n):
     for tile in (1 << 15, n // 6):
         ends = clustering._extremes(rows, cells, pairs, tile).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
         assert (ends.lo, ends.hi) == pytest.approx((s.min(), s.max()))
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_a_query_is_sent_once_and_hands_on_k_rows(spark, block, monkeypatch):
+    """On vectors without clusters a query meets all cells, yet it travels once a wave and lane, and k rows come back, however many groups there are."""
+    q, qx, qy = cloud(spark, 400, 1, dim=24)
+    c, cx, cy = cloud(spark, 300, 2, dim=24, start=1000)
+    dealt, meet = [], retrieval.meet
+    monkeypatch.setattr(retrieval, "meet", lambda d, *a: dealt.append(d) or meet(d, *a))
+    found = retrieval.search(*retrieval._sides(q, c, "id", "label", "embedding"), k=5, block=block)
+    met, whole = found.visits()
+    assert found.cells.groups >= 300 // block and met > 0.9 * whole
+    assert len(dealt) == 2 and all(400 <= d.count() <= 2 * 400 for d in dealt)  # at most two lanes here
+    assert found.hits.filter("kind = 'top'").count() <= 2 * 2 * 5 * 400
+    order = np.argsort(-np.round(unit(qx) @ unit(cx).T, retrieval.DIGITS), axis=1, kind="stable")
+    top = retrieval._merge(found.hits, "top", 5).orderBy("query_id", "rank").toPandas()
+    assert top.candidate_id.to_numpy().reshape(400, 5).tolist() == (order[:, :5] + 1000).tolist()
+
+
+@pytest.mark.parametrize("n, m, block, kind", [(7, 900, 16, "string"), (300, 200, None, "bigint"), (200, 600, 32, "string")])
+def test_equal_vectors_in_lanes_and_parts(spark, n, m, block, kind):
+    """Few queries meet their candidates in several lanes; a vector that a third of the rows share ties with itself, smaller ids first."""
+    rng = np.random.default_rng(n)
+    x, y = rng.normal(size=(n + m, 5)), rng.integers(0, 40, n + m)
+    x[rng.random(n + m) < 0.33] = 1.0
+    ids = rng.permutation(n + m)
+    name = (lambda i: f"{i:05d}") if kind == "string" else int
+    schema = f"id {kind}, label int, embedding array<double>"
+    q = spark.createDataFrame([(name(ids[i]), int(y[i]), x[i].tolist()) for i in range(n)], schema)
+    c = spark.createDataFrame([(name(ids[i]), int(y[i]), x[i].tolist()) for i in range(n, n + m)], schema)
+    sims = np.round(unit(x[:n]) @ unit(x[n:]).T, retrieval.DIGITS)
+    order = np.array([np.lexsort((ids[n:], -s)) for s in sims])
+    found = retrieval.search(*retrieval._sides(q, c, "id", "label", "embedding"), k=6, block=block)
+    assert found.grid.lanes > 1
+    top = {(r.query_id, r["rank"]): (r.candidate_id, r.same) for r in retrieval._merge(found.hits, "top", 6).collect()}
+    assert top == {(name(ids[i]), j + 1): (name(ids[n + order[i, j]]), bool(y[i] == y[n + order[i, j]])) for i in range(n) for j in range(6)}
+    rr = {r.query_id: r.reciprocal_rank for r in retrieval.reciprocal_ranks(found, 6).collect()}
+    same = y[n:][order] == y[:n, None]
+    assert rr == pytest.approx({name(ids[i]): 1 / (same[i].argmax() + 1) if same[i].any() else 0.0 for i in range(n)})
