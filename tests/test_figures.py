@@ -1,6 +1,7 @@
 """Literal cases of rules that the given tables do not reach."""
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,24 @@ def test_parts_hold_few_tokens_and_each_word_once(spark):
     assert back == {r.id: r.tokens for r in df.collect()} and len({p.part for p in parts}) == len(parts)
 
 
+def test_parts_are_written_and_decoded_one_at_a_time(spark, monkeypatch):
+    """A row group is one part, and no aggregate holds the words of several parts; ids are those of the words."""
+    kept, plain = [], vocabulary.stored
+    monkeypatch.setattr(vocabulary, "stored", lambda *a, **k: kept.append(plain(*a, **k)) or kept[-1])
+    cut = vocabulary.dictionary_parts
+    monkeypatch.setattr(vocabulary, "dictionary_parts", lambda rows, tokens: cut(rows, tokens, 30))
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 9))) for i in range(200)] + [(200, None)]
+    df = spark.createDataFrame(rows, "id long, content string").coalesce(1)
+    vocab = vocabulary.vocabulary(df.filter("id < 150"), min_freq=2)
+    at = {x.token: x.id for x in vocab.collect()}
+    coded = vocabulary.encode_tokens(df, vocab, "id", pad="none")
+    assert {x.id: x.input_ids for x in coded.collect()} == {i: [at.get(w, 1) for w in (t or "").split()] for i, t in rows}
+    files = [f.removeprefix("file://").removeprefix("file:") for f in kept[-1].inputFiles()]
+    groups = [(m.num_row_groups, m.num_rows) for m in (pq.ParquetFile(f).metadata for f in files)]
+    assert max(n for _, n in groups) > 20 and all(g == n for g, n in groups)
+    assert "collect_list" not in coded._jdf.queryExecution().toString()
+
+
 def test_only_wanted_vectors_leave_the_store(spark):
     store = spark.createDataFrame([("e", f"{i:04d}", [float(i)]) for i in range(5000)], "encoder string, text_key string, embedding array<float>")
     wanted = stored(spark.createDataFrame([(f"{i:04d}",) for i in range(10)], "text_key string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -88,6 +89,33 @@ def dictionary_parts(rows: DataFrame, tokens: str, part_tokens: int = PART_TOKEN
     return rows.mapInArrow(encode, schema)
 
 
+def part_ids(met: DataFrame) -> DataFrame:
+    """part, _ids: the `_id`s of each part by `_place`. A task sorts, on disk if need be, and holds the ids of one part, however many it has."""
+    rows = met.select("part", "_place", "_id").repartition("part").sortWithinPartitions("part", "_place").select("part", "_id")
+
+    def one(part: int, held: list[pa.Array]) -> pa.RecordBatch:
+        ids = pa.concat_arrays(held)
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)], ["part", "_ids"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for b in batches:
+            part, ids = np.asarray(b.column("part")), b.column("_id")
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            for x, y in zip(edges, edges[1:]):
+                if x == y:
+                    continue
+                if held and part[x] != here:
+                    yield one(here, held)
+                    held = []
+                here = int(part[x])
+                held.append(ids.slice(x, y - x))
+        if held:
+            yield one(here, held)
+
+    return rows.mapInArrow(join, "part bigint, _ids array<bigint>")
+
+
 def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[[Column], Column] = words,
                   text: str = "content", max_len: int | None = 256, pad: str = "max_length",
                   batch: str | None = None) -> DataFrame:
@@ -98,19 +126,18 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
     has no tokens, and `vocab` holds a token once.
 
     No token is a row: texts are coded by the dictionary of their part, written once, and only the distinct words of a
-    part meet the vocabulary. A word is in a part once, so no word is a hot key, however frequent.
+    part meet the vocabulary. A word is in a part once, so no word is a hot key, however frequent. Tasks write, read and
+    decode one part at a time, so what they hold does not grow with the number of their parts.
     """
     tokens = tokenize(F.col(text))
     if max_len is not None:
         tokens = F.slice(tokens, 1, max_len)
     rows = df.select(F.col(key).alias("k"), F.struct(*[F.col(batch)] if batch else [F.lit(0)]).alias("b"),
                      F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
-    parts = stored(dictionary_parts(rows, "tokens"))
+    parts = stored(dictionary_parts(rows, "tokens"), group_rows=1)
     known = vocab.select("token", F.col("id").cast("bigint").alias("_id"))
     met = parts.select("part", F.posexplode("words").alias("_place", "token")).join(known, "token", "left")
-    # one group is the dictionary of one part, bounded by `part_tokens`
-    ids = met.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("_place", F.coalesce("_id", F.lit(UNK)).alias("_id")))).alias("_ids"))
-    ids = ids.select("part", F.col("_ids._id").alias("_ids"))
+    ids = part_ids(met.select("part", "_place", F.coalesce("_id", F.lit(UNK).cast("bigint")).alias("_id")))
     coded = parts.select("part", "rows").join(ids, "part", "left").select(F.explode(F.transform("rows", lambda r: F.struct(
         r["k"].alias("k"), r["b"].alias("b"), F.transform(r["codes"], lambda c: F.get("_ids", c)).alias("ids")))).alias("r"))
     rows = coded.select(F.col("r.k").alias(key), F.col("r.b").alias("_b"), F.col("r.ids").alias("_ids"))
