@@ -155,6 +155,17 @@ def test_parts_hold_few_tokens_and_each_word_once(spark):
     assert back == {r.id: r.tokens for r in df.collect()} and len({p.part for p in parts}) == len(parts)
 
 
+def test_long_texts_come_in_small_batches(spark, monkeypatch):
+    """Batches of texts are limited by their bytes, and only while parts are made."""
+    key, cut, seen = "spark.sql.execution.arrow.maxBytesPerBatch", vocabulary.dictionary_parts, []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(vocabulary, "dictionary_parts", lambda *a: seen.append(spark.conf.get(key)) or cut(*a))
+    df = spark.createDataFrame([(i, "w " * i) for i in range(20)], "id long, content string")
+    coded = vocabulary.encode_tokens(df, vocabulary.vocabulary(df), "id", pad="none").collect()
+    assert {x.id: len(x.input_ids) for x in coded} == {i: i for i in range(20)}
+    assert seen == [str(vocabulary.BATCH_BYTES)] and spark.conf.get(key) == before
+
+
 def test_parts_are_written_and_decoded_one_at_a_time(spark, monkeypatch):
     """A row group is one part, and no aggregate holds the words of several parts; ids are those of the words."""
     kept, plain = [], vocabulary.stored

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from threadgrove.functions.text import words
 from threadgrove.operators.ranking import hash_rank
-from threadgrove.session import stored
+from threadgrove.session import batch_bytes, stored
 
 PAD, UNK = 0, 1  # fixed values: ids of <pad> and <unk>; words start at 2
 PART_TOKENS = 1 << 20
+BATCH_BYTES = 8 << 20  # of texts on their way to a part
 
 
 def vocabulary(df: DataFrame, tokenize: Callable[[Column], Column] = words, min_freq: int = 1,
@@ -134,7 +135,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, key: str, tokenize: Callable[
         tokens = F.slice(tokens, 1, max_len)
     rows = df.select(F.col(key).alias("k"), F.struct(*[F.col(batch)] if batch else [F.lit(0)]).alias("b"),
                      F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
-    parts = stored(dictionary_parts(rows, "tokens"), group_rows=1)
+    with batch_bytes(df.sparkSession, BATCH_BYTES):
+        parts = stored(dictionary_parts(rows, "tokens"), group_rows=1)
     known = vocab.select("token", F.col("id").cast("bigint").alias("_id"))
     met = parts.select("part", F.posexplode("words").alias("_place", "token")).join(known, "token", "left")
     ids = part_ids(met.select("part", "_place", F.coalesce("_id", F.lit(UNK).cast("bigint")).alias("_id")))
